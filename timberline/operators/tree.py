@@ -112,7 +112,10 @@ class Model:
         return self._udf(lambda x: self.base_score + self.leaf_sums(x)[:, 0], "double")
 
     def fold_scores(self) -> Column:
-        """base + sums of each of the five fold weights."""
+        """base + sums of each of the five fold weights. Large models need it as a column of its own before lambdas use it."""
+        if sum(map(len, self.trees)) <= NATIVE_NODES:
+            one = lambda j: lambda n: F.lit(float(n.fold_weights[j]))
+            return F.array(*[sum((self.route(t, one(j)) for t in self.trees), F.lit(float(self.base_score))) for j in range(5)])
         return self._udf(lambda x: list(self.base_score + self.leaf_sums(x)[:, 1:]), "array<double>")
 
     def probability(self) -> Column:
