@@ -40,7 +40,7 @@ FORMULAS = {
     "QuantileLoss": ("yr", "CASE WHEN yr >= f THEN 0.5 * (yr - f) ELSE -0.5 * (yr - f) END", "CASE WHEN f >= yr THEN 0.5 ELSE -0.5 END", "1.0", True),
     "HuberLoss": ("yr", "CASE WHEN abs(f - yr) <= 1 THEN 0.5 * (f - yr) * (f - yr) ELSE abs(f - yr) - 0.5 END", "greatest(-1.0, least(1.0, f - yr))", "least(1.0, greatest(0.05, 1 / greatest(abs(f - yr), 1.0)))", True),
     "AbsoluteLoss": ("yr", "abs(f - yr)", "sign(f - yr)", "1.0", True),
-    "MapeLoss": ("yr", "abs(f - yr) / greatest(abs(yr), 1e-4)", "sign(f - yr) / greatest(abs(yr), 1e-4)", "1.0", False),
+    "MapeLoss": ("yr", "abs(f - yr) / greatest(abs(yr), 1e-4)", "sign(f - yr) / greatest(abs(yr), 1e-4)", "CAST(1 AS DOUBLE)", False),
     "FairLoss": ("yr", "abs(f - yr) - ln(1 + abs(f - yr))", "(f - yr) / (abs(f - yr) + 1)", "1 / ((abs(f - yr) + 1) * (abs(f - yr) + 1))", True),
     "PoissonLoss": ("yr", "exp(f) - yr * f", "exp(f) - yr", "exp(f)", True),
     "GammaLoss": ("yr", "yr * exp(-f) + f", "1 - yr * exp(-f)", "yr * exp(-f)", True),
