@@ -54,7 +54,7 @@ def test_shapley_two_features():
             if n.is_leaf:
                 return n.weight
             if n.feature in known:
-                return at(t, n.left if MODEL.step(n, row[None])[0] else n.right)
+                return at(t, n.left if MODEL.branches(n, row[None])[0][1][0] else n.right)
             a, b = t[n.left], t[n.right]
             return (a.cover * at(t, a.id) + b.cover * at(t, b.id)) / (a.cover + b.cover)
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.objectives import policy, policy_target, residual_effect, with_fairness
+from timberline.functions.objectives import LOG, policy, policy_target, residual_effect, with_fairness
 from timberline.functions.primitives import sigmoid
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
@@ -43,7 +43,7 @@ def _with(m: Model, column: str, value: float) -> Column:
                 return F.lit(float(n.weight))
             if m.features[n.feature] == column:
                 return at(n.left if value < n.value else n.right)
-            return F.when(m.goes_left(n), at(n.left)).otherwise(at(n.right))
+            return m.choose(n, at)
 
         out = out + at(0)
     return out
@@ -134,27 +134,25 @@ def fairness_gap(df: DataFrame, y: str, score: str, sensitive: str, strength: fl
     return with_fairness(df, y, score, sensitive, strength, equal_odds)
 
 
-def fair_classifier(df: DataFrame, x: list[str], y: str, sensitive: str, cfg: Config = BINARY, strength: float = 1.0, rounds: int | None = None) -> Model:
-    """Log loss with a demographic parity penalty. The gap is one aggregate a round, and enters the next round's gradients as a literal."""
-    m = None
+def fair_classifier(df: DataFrame, x: list[str], y: str, sensitive: str, cfg: Config = BINARY, strength: float = 1.0, equal_odds: bool = False) -> Model:
+    """Log loss with a penalty on the gap of mean probability between groups (within labels, for equal odds).
+
+    The gaps are one small aggregate a round and enter the round's gradients as literals. Probabilities are sigmoids of
+    the score.
+    """
     s = F.when(F.col(sensitive) == 1, 1).otherwise(0)
-    n1, n = df.agg(F.sum(s), F.count("*")).first()
-    from timberline.functions.objectives import LOG
-
-    for _ in range(rounds or cfg.iterations):
-        score = m.raw_score() if m else F.lit(0.0)
-        p = sigmoid(score)
-        a, b = df.agg(F.avg(F.when(s == 1, p)), F.avg(F.when(s == 0, p))).first()
-        gap = (a or 0.0) - (b or 0.0)
-        up, down = 1 / max(1, n1 or 0), 1 / max(1, n - (n1 or 0))
-
-        def own(y_, f, w, gap=gap, up=up, down=down):
-            c = LOG.columns(y_, f, w)
-            q = sigmoid(f)
-            return {**c, "gradient": c["gradient"] + 2 * strength * gap * F.when(s == 1, up).otherwise(-down) * q * (1 - q) * n}
-
-        before = len(m.trees) if m else 0
-        m = fit(df, x, y, replace(cfg, iterations=1), columns=own, start=m or Model(list(x), "LogLoss", 0.0, 10.0**-cfg.budget))
-        if len(m.trees) == before:
-            break
-    return m
+    label = F.when(F.col(y) > 0.5, 1).otherwise(0) if equal_odds else F.lit(0)
+
+    def penalised(d: DataFrame) -> DataFrame:
+        p = sigmoid(F.col("_score"))
+        c = LOG.columns(F.col(y).cast("double"), F.col("_score"))
+        loss, gradient = c["loss"], c["gradient"]
+        of = {(r["k"], r["s"]): (r["p"], r["n"]) for r in d.groupBy(label.alias("k"), s.alias("s")).agg(F.avg(p).alias("p"), F.count("*").alias("n")).collect()}
+        for k in {k for k, g in of if (k, 1 - g) in of}:
+            (up, n1), (down, n0) = of[k, 1], of[k, 0]
+            push = F.when(label == k, F.when(s == 1, 1 / n1).otherwise(-1 / n0)).otherwise(0.0)
+            gradient = gradient + 2 * strength * (up - down) * push * p * (1 - p) * (n1 + n0)
+            loss = loss + F.when(label == k, strength * (up - down) ** 2).otherwise(0.0)
+        return d.withColumns({"loss": loss, "gradient": gradient, "hessian": c["hessian"]})
+
+    return fit(df, x, y, cfg, frame=penalised, start=Model(list(x), "LogLoss", 0.0, 10.0**-cfg.budget))

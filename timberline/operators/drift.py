@@ -23,7 +23,7 @@ def drift(model: Model, df: DataFrame, kind: str = "data", strict: bool = True)
         raise ValueError(f"unknown drift {kind}")
     if strict and not any(n.count for t in model.trees for n in t):
         raise ValueError("the model has no node counts")
-    rows = [(t, n.id, n.left, n.right, float(tree[n.left].count), float(tree[n.right].count)) for t, tree in enumerate(model.trees) for n in tree if not n.is_leaf and (kind == "data" or tree[n.left].is_leaf or tree[n.right].is_leaf)]
+    rows = [(t, n.id, n.left, n.right, float(tree[n.left].count), float(tree[n.right].count)) for t, tree in enumerate(model.trees) for n in tree if not n.is_leaf and (kind == "data" or any(tree[k].is_leaf for k in n.children))]
     nodes = spark.createDataFrame(rows, "tree_id int, node_id int, l int, r int, a double, b double")
     now = node_visits(model, df)
     side = lambda c, out: now.select("tree_id", F.col("node_id").alias(c), F.col("n").cast("double").alias(out))
@@ -66,9 +66,9 @@ def prune(model: Model, df: DataFrame, y: str) -> Model:
             if n.is_leaf:
                 under[n.id] = own
                 continue
-            below = under[n.left] + under[n.right]
+            below = sum(under[k] for k in n.children)
             if own <= below:
-                n.left = n.right = n.feature = -1
+                n.left = n.right = n.missing = n.feature = -1
                 n.left_cats = None
             under[n.id] = min(own, below)
         tree = _compact(tree)
@@ -82,16 +82,16 @@ def prune(model: Model, df: DataFrame, y: str) -> Model:
 
 
 def _compact(tree: list[Node]) -> list[Node]:
-    """The nodes still reached, renumbered parents first; missing branches have no other way in, so none is orphaned."""
+    """The nodes still reached, missing branches included, renumbered parents first."""
     order, todo = [], [0]
     while todo:
         n = tree[todo.pop(0)]
         order.append(n)
-        todo += [] if n.is_leaf else [n.left, n.right]
+        todo += n.children
     new = {n.id: i for i, n in enumerate(order)}
     for n in order:
         n.parent = new.get(n.parent, -1)
-        n.left, n.right = (-1, -1) if n.is_leaf else (new[n.left], new[n.right])
+        n.left, n.right, n.missing = (new.get(k, -1) for k in (n.left, n.right, n.missing))
     for n in order:
         n.id = new[n.id]
     return order

@@ -20,11 +20,15 @@ def _means(tree: list[Node]) -> dict[int, float]:
         if n.is_leaf:
             out[n.id] = n.weight
         else:
-            a, b = tree[n.left], tree[n.right]
-            out[n.id] = (a.cover * out[a.id] + b.cover * out[b.id]) / max(a.cover + b.cover, 1e-300)
+            out[n.id] = _weighted(tree, n, out.__getitem__)
     return out
 
 
+def _weighted(tree: list[Node], n: Node, value) -> float:
+    """Cover-weighted mean of value(child) over a node's children."""
+    return sum(tree[k].cover * value(k) for k in n.children) / max(sum(tree[k].cover for k in n.children), 1e-300)
+
+
 def _along(model: Model, x: np.ndarray, method: str) -> np.ndarray:
     """[row, feature..., bias] by what changes from a node to its child on the row's path."""
     out = np.zeros((len(x), len(model.features) + 1))
@@ -46,17 +50,18 @@ def _along(model: Model, x: np.ndarray, method: str) -> np.ndarray:
                 if method == "ProbabilityChange":
                     so_far[rows] += n.weight
                 continue
-            left = model.step(n, x[rows])
-            for took, other, here in ((n.left, n.right, rows[left]), (n.right, n.left, rows[~left])):
-                a, b = tree[took], tree[other]
+            heaviest = max(n.children, key=lambda k: tree[k].cover)
+            mid = _weighted(tree, n, lambda k: tree[k].weight)
+            for took, mask in model.branches(n, x[rows]):
+                here, a = rows[mask], tree[took]
                 if method in ("Weight", "Average"):
                     d = value[took] - value[n.id]
                 elif method == "BranchDifference":
-                    d = a.weight - b.weight
+                    d = a.weight - tree[n.right if took == n.left else n.left].weight
                 elif method == "MidpointDifference":
-                    d = a.weight - (a.cover * a.weight + b.cover * b.weight) / max(a.cover + b.cover, 1e-300)
+                    d = a.weight - mid
                 elif method == "ModeDifference":
-                    d = a.weight - (a if a.cover >= b.cover else b).weight
+                    d = a.weight - tree[heaviest].weight
                 else:
                     d = sig(so_far[here] + a.weight) - sig(so_far[here] + n.weight)
                 out[here, n.feature] += d
@@ -78,10 +83,10 @@ def _shapley(model: Model, x: np.ndarray) -> np.ndarray:
             i, path = todo.pop()
             n = tree[i]
             if not n.is_leaf:
-                left = model.step(n, x)
-                for k, side in ((n.left, left), (n.right, ~left)):
+                whole = max(sum(tree[k].cover for k in n.children), 1e-300)
+                for k, side in model.branches(n, x):
                     hot, cold = path.get(n.feature, (np.ones(len(x), bool), 1.0))
-                    todo.append((k, {**path, n.feature: (hot & side, cold * tree[k].cover / max(tree[n.left].cover + tree[n.right].cover, 1e-300))}))
+                    todo.append((k, {**path, n.feature: (hot & side, cold * tree[k].cover / whole)}))
                 continue
             fs = list(path)
             d = len(fs)
@@ -123,9 +128,8 @@ def partial_dependence(model: Model, feature: str, values: list[float | None]) -
             if n.is_leaf:
                 return n.weight
             if n.feature == f:
-                return at(tree, n.left if model.step(n, x)[0] else n.right)
-            a, b = tree[n.left], tree[n.right]
-            return (a.cover * at(tree, a.id) + b.cover * at(tree, b.id)) / max(a.cover + b.cover, 1e-300)
+                return at(tree, next(k for k, m in model.branches(n, x) if m[0]))
+            return _weighted(tree, n, lambda k: at(tree, k))
 
         out.append((v, model.base_score + sum(at(t, 0) for t in model.trees)))
     return out

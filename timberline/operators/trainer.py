@@ -20,11 +20,17 @@ from timberline.sources.tables import cut_lineage
 #: What a split's held-out improvement must be of its training improvement: numeric, categorical.
 FLOOR, CATEGORY_FLOOR = 1.0, 0.99
 CUT_EVERY = 8
+#: The weight of a branch for missing values: its own, its parent's, or its siblings' mean (by count, or once the tree is grown).
+TREATMENTS = ("None", "AssignToParent", "AverageNodeWeight", "AverageLeafWeight")
 
 
 @dataclass
 class Config:
-    """budget sets the step (10**-budget) and how much loss a tree may take off; more is slower and finer."""
+    """budget sets the step (10**-budget) and how much loss a tree may take off; more is slower and finer.
+
+    With missing_branch a split gives missing values a child of their own, which is split further unless missing_splits
+    is off or the feature is in end_missing; missing_treatment sets its weight.
+    """
 
     objective: str | Objective = "LogLoss"
     budget: float = 0.5
@@ -37,12 +43,18 @@ class Config:
     monotone: dict[str, int] = field(default_factory=dict)
     interactions: list[list[str]] | None = None
     weight: str | None = None
+    missing_branch: bool = False
+    missing_splits: bool = True
+    missing_treatment: str = "None"
+    end_missing: list[str] = field(default_factory=list)
     subsample: float = 1.0
     seed: int = 0
 
     def __post_init__(self):
         if self.budget <= 0 or not 2 <= self.max_bin <= 65535 or not 0 < self.subsample <= 1 or self.iterations < 0:
             raise ValueError("a parameter is out of range")
+        if self.missing_treatment not in TREATMENTS:
+            raise ValueError(f"unknown missing treatment {self.missing_treatment}")
         if any(v not in (-1, 0, 1) for v in self.monotone.values()):
             raise ValueError("monotone directions are -1, 0 and 1")
 
@@ -93,9 +105,11 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
         pre = np.cumsum(bins[order], axis=0)
         if len(pre) < 2:
             continue
-        for to_left in (False, True) if gone[:, 2].sum() else (False,):
+        apart = cfg.missing_branch
+        for to_left in (False, True) if gone[:, 2].sum() and not apart else (False,):
             left = pre[:-1] + gone if to_left else pre[:-1]
-            e = _evaluate(left, pre[-1] + gone - left)
+            right = pre[-1] - left if apart else pre[-1] + gone - left
+            e = _evaluate(left, right)
             good = (e["gain"] > 1e-12) & (e["left"][:, 2] > 0) & (e["right"][:, 2] > 0)
             if not root:
                 good &= (e["folds"] == FOLDS) & (e["gen"] >= (CATEGORY_FLOOR if cat else FLOOR))
@@ -105,19 +119,70 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
                 good &= wl <= wr if way > 0 else wl >= wr
             if not good.any():
                 continue
+            wm, more = 0.0, 0.0
+            if apart:
+                wm, more = _apart(e, gone.sum(axis=0), wl, wr, cfg, bounds)
+                e["gain"] = e["gain"] + more
+                good &= e["gain"] > 1e-12
+                if not good.any():
+                    continue
             i = int(np.where(good, e["gain"], -np.inf).argmax())
             if best is None or e["gain"][i] >= best["gain"]:
-                best = {"feature": f, "at": i + 1, "order": order, "cat": cat, "missing_left": to_left, "gain": float(e["gain"][i]), "gen": float(e["gen"][i]), "wl": float(wl[i]), "wr": float(wr[i]), "left": left[i], "right": pre[-1] + gone - left[i], "way": way}
+                best = {"feature": f, "at": i + 1, "order": order, "cat": cat, "missing_left": to_left, "gain": float(e["gain"][i]), "gen": float(e["gen"][i]), "wl": float(wl[i]), "wr": float(wr[i]), "left": left[i], "right": right[i], "way": way}
+                if apart:
+                    best |= {"missing": gone, "wm": float(np.broadcast_to(wm, wl.shape)[i])}
     return best
 
 
-def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id", columns: Callable[[Column, Column, Column], dict[str, Column]] | None = None, start: Model | None = None) -> Model:
+def _apart(e: dict[str, np.ndarray], gone: np.ndarray, wl: np.ndarray, wr: np.ndarray, cfg: Config, bounds) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of a branch for missing values, and what it adds to the gain of splitting the rest."""
+    newton = lambda s: np.clip(-s[..., 0] / (s[..., 1] + cfg.ridge + TINY), *bounds)
+    rest = e["left"] + e["right"]
+    whole = rest + gone
+    parent = newton(whole)
+    if cfg.missing_treatment == "AssignToParent" or not gone[2] and cfg.missing_treatment == "None":
+        wm = parent
+    elif cfg.missing_treatment == "None":
+        wm = np.full(len(wl), newton(gone))
+    else:
+        wm = (wl * e["left"][:, 2] + wr * e["right"][:, 2]) / np.maximum(rest[:, 2], 1)
+    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + TINY)
+    return wm, score(rest) - score(whole) - (2 * gone[0] * wm + (gone[1] + cfg.ridge + TINY) * wm**2)
+
+
+def _treat(tree: list[Node], how: str) -> None:
+    """Sets branches for missing values to their parents' weights, or to the mean leaf or node weight beside them."""
+    def mean(i: int) -> float:
+        n = tree[i]
+        if n.is_leaf:
+            return n.weight
+        sides = [(tree[k].count, mean(k)) for k in (n.left, n.right)]
+        value = sum(c * v for c, v in sides) / max(1, sum(c for c, _ in sides))
+        if n.missing >= 0 and how == "AverageLeafWeight":
+            mean(n.missing)
+            put(n.missing, value)
+        return value
+
+    def put(i: int, weight: float) -> None:
+        tree[i].weight, tree[i].fold_weights = weight, [weight] * FOLDS
+
+    if how == "AverageLeafWeight":
+        mean(0)
+    elif how != "None":
+        for n in tree:
+            if n.missing >= 0:
+                a, b = tree[n.left], tree[n.right]
+                put(n.missing, n.weight if how == "AssignToParent" else (a.count * a.weight + b.count * b.weight) / max(1, a.count + b.count))
+
+
+def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id", columns: Callable[[Column, Column, Column], dict[str, Column]] | None = None, start: Model | None = None, frame: Callable[[DataFrame], DataFrame] | None = None) -> Model:
     """Grows a model on df. Folds are row_id mod 5, so row_id must be a stable key.
 
     Each round: gradients as columns; then, best first, histograms of all open nodes in one job (the smaller of two
     siblings; the larger is the parent's less that), splits on the driver, and rows routed by an expression of the tree, so
     no row moves. The driver holds nodes x features x bins x folds sums. ``columns`` replaces the objective's
-    loss, gradient and hessian (a custom or causal objective); ``start`` goes on from a model's trees.
+    loss, gradient and hessian (a custom or causal objective); ``frame`` adds columns of these names to rows with
+    ``_score``, once a round, for objectives over groups; ``start`` goes on from a model's trees.
     """
     cfg = cfg or Config()
     obj = cfg.objective if isinstance(cfg.objective, Objective) else objective(cfg.objective)
@@ -145,8 +210,12 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     groups = [frozenset(features.index(f) for f in g) for g in cfg.interactions] if cfg.interactions else None
     idle = 0
     for round_ in range(cfg.iterations):
-        got = make(F.col(y).cast("double"), F.col("_score"), w)
-        work = rows.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
+        if frame:
+            made = frame(rows)
+            got = {c: F.col(c) for c in ("loss", "gradient", "hessian")}
+        else:
+            made, got = rows, make(F.col(y).cast("double"), F.col("_score"), w)
+        work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
             work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
         tree, gained, loss = _grow(work, features, cfg, model, widest, cut_of, groups)
@@ -225,15 +294,23 @@ def _grow(work: DataFrame, features: list[str], cfg: Config, model: Model, wides
         else:
             n.value = float(cut_of[features[f]][s["at"]]) if s["at"] < len(cut_of[features[f]]) else float("inf")
         mid = (s["wl"] + s["wr"]) / 2
-        for side, k, weight in (("left", n.left, s["wl"]), ("right", n.right, s["wr"])):
+        sides = [("left", n.left, s["wl"]), ("right", n.right, s["wr"])]
+        if "missing" in s:
+            n.missing = len(tree) + 2
+            sides.append(("missing", n.missing, s["wm"]))
+        for side, k, weight in sides:
             child = node(k, i, n.depth + 1, s[side], weight, 0.0, s["gen"])
             low, high = o.bounds
-            if s["way"]:
+            if s["way"] and side != "missing":
                 upper = (side == "left") == (s["way"] > 0)
                 low, high = (low, min(high, mid)) if upper else (max(low, mid), high)
             tree.append(child)
-            open_[k] = _Open(child, None, (low, high), o.used | {f}, o.hist, n.right if side == "left" else n.left)
+            if side == "missing" and (not child.count or not cfg.missing_splits or features[f] in cfg.end_missing):
+                continue
+            beside = -1 if "missing" in s else n.right if side == "left" else n.left
+            open_[k] = _Open(child, None, (low, high), o.used | {f}, None if "missing" in s else o.hist, beside)
             heapq.heappush(heap, (-float(s[side].sum(axis=0)[0] ** 2 / (s[side].sum(axis=0)[1] + TINY)), k))
         gained += 0.5 * eta * (2 - eta) * s["gain"] / rows
         o.hist = o.hist if any(open_[k].parent_hist is not None for k in (n.left, n.right)) else None
+    _treat(tree, cfg.missing_treatment)
     return tree, gained, loss

@@ -33,11 +33,22 @@ class Node:
     right: int = -1
     missing_left: bool = False
     left_cats: list[int] | None = None
+    missing: int = -1
 
     @property
     def is_leaf(self) -> bool:
         return self.left < 0
 
+    @property
+    def children(self) -> list[int]:
+        """Left, right and, where missing values have a branch of their own, that."""
+        return [] if self.is_leaf else [i for i in (self.left, self.right, self.missing) if i >= 0]
+
+    @property
+    def gone(self) -> int:
+        """Where missing values go."""
+        return self.missing if self.missing >= 0 else self.left if self.missing_left else self.right
+
 
 @dataclass
 class Model:
@@ -66,7 +77,7 @@ class Model:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """model_nodes: one row a node."""
-        rows = [(t, n.id, n.parent, n.is_leaf, None if n.is_leaf else self.features[n.feature], None if n.is_leaf else float(n.value), n.left, n.right, n.left if n.missing_left else n.right, n.left_cats, float(n.weight), [float(x) for x in n.fold_weights], float(n.cover), float(n.gain), n.depth, int(n.count), float(n.generalization)) for t, tree in enumerate(self.trees) for n in tree]
+        rows = [(t, n.id, n.parent, n.is_leaf, None if n.is_leaf else self.features[n.feature], None if n.is_leaf else float(n.value), n.left, n.right, n.gone, n.left_cats, float(n.weight), [float(x) for x in n.fold_weights], float(n.cover), float(n.gain), n.depth, int(n.count), float(n.generalization)) for t, tree in enumerate(self.trees) for n in tree]
         return spark.createDataFrame(rows, "tree_id int, node_id int, parent int, is_leaf boolean, split_feature string, split_value double, left int, right int, missing int, left_cats array<int>, weight double, fold_weights array<double>, cover double, gain double, depth int, count bigint, generalization double")
 
     def text(self) -> str:
@@ -81,24 +92,27 @@ class Model:
                     out.append(f"{pad}{n.id}: leaf={n.weight:.6g}, cover={n.cover:.6g}")
                 else:
                     ask = f"in {n.left_cats}" if n.left_cats is not None else f"< {n.value:.6g}"
-                    out.append(f"{pad}{n.id}: [{self.features[n.feature]} {ask}] yes={n.left}, no={n.right}, missing={n.left if n.missing_left else n.right}, gain={n.gain:.6g}, cover={n.cover:.6g}")
-                    todo += [n.right, n.left]
+                    out.append(f"{pad}{n.id}: [{self.features[n.feature]} {ask}] yes={n.left}, no={n.right}, missing={n.gone}, gain={n.gain:.6g}, cover={n.cover:.6g}")
+                    todo += n.children[::-1]
         return "\n".join(out)
 
     # routing
 
-    def goes_left(self, n: Node) -> Column:
+    def choose(self, n: Node, at) -> Column:
+        """at(child) of the child that a row goes to."""
         v = F.col(self.features[n.feature])
         ask = v.cast("int").isin(n.left_cats or [-1]) if n.left_cats is not None else v < n.value
         gone = v.isNull() | F.isnan(v.cast("double"))
-        return F.when(gone, n.missing_left).otherwise(ask)
+        if n.missing >= 0:
+            return F.when(gone, at(n.missing)).when(ask, at(n.left)).otherwise(at(n.right))
+        return F.when(F.when(gone, n.missing_left).otherwise(ask), at(n.left)).otherwise(at(n.right))
 
     def route(self, tree: list[Node], leaf) -> Column:
         """The leaf a row reaches, as nested CASE; leaf(node) gives its value."""
 
         def at(i: int) -> Column:
             n = tree[i]
-            return leaf(n) if n.is_leaf else F.when(self.goes_left(n), at(n.left)).otherwise(at(n.right))
+            return leaf(n) if n.is_leaf else self.choose(n, at)
 
         return at(0)
 
@@ -143,11 +157,16 @@ class Model:
 
     # walks over a matrix of features
 
-    def step(self, n: Node, x: np.ndarray) -> np.ndarray:
+    def branches(self, n: Node, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each child of a node, and which rows of x go to it."""
         v = x[:, n.feature]
         with np.errstate(invalid="ignore"):
             ask = np.isin(v, n.left_cats) if n.left_cats is not None else v < n.value
-        return np.where(np.isnan(v), n.missing_left, ask)
+        gone = np.isnan(v)
+        if n.missing >= 0:
+            return [(n.left, ask & ~gone), (n.right, ~ask & ~gone), (n.missing, gone)]
+        left = np.where(gone, n.missing_left, ask)
+        return [(n.left, left), (n.right, ~left)]
 
     def visits(self, tree: list[Node], x: np.ndarray):
         """(node, rows that reach it), parents first."""
@@ -156,8 +175,7 @@ class Model:
             i, rows = todo.pop()
             yield tree[i], rows
             if not tree[i].is_leaf:
-                left = self.step(tree[i], x[rows])
-                todo += [(tree[i].right, rows[~left]), (tree[i].left, rows[left])]
+                todo += [(k, rows[m]) for k, m in reversed(self.branches(tree[i], x[rows]))]
 
     def leaf_sums(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 6))
