@@ -111,6 +111,23 @@ def ece(df, y, p, bins=10):
 METRICS = {"rmse": (rmse, False), "rmsle": (rmsle, False), "logloss": (log_loss, False), "brier": (brier, False), "quantile": (quantile_loss, False), "auc": (auc, True), "ndcg": (ndcg, True)}
 
 
+def parse(name: str) -> tuple[str, int | None]:
+    """A metric's name and, of "ndcg@k", its k."""
+    short, _, k = name.lower().partition("@")
+    short = {"brierloss": "brier", "rootmeansquarederror": "rmse", "rootmeansquaredlogerror": "rmsle", "quantileloss": "quantile"}.get(short, short)
+    if short not in METRICS or k and (short != "ndcg" or not k.isdigit() or int(k) < 1):
+        raise ValueError(f"unknown metric {name}")
+    return short, int(k) if k else None
+
+
+def evaluate(name: str, df, y, score, w=None, group=None, row_id=None, burges=True, q=0.5):
+    """A metric by name; ranking takes a group and a key, and honours k and the gain."""
+    short, k = parse(name)
+    if short == "ndcg":
+        return ndcg(df, group, y, score, row_id, k, burges)
+    return quantile_loss(df, y, score, q, w) if short == "quantile" else METRICS[short][0](df, y, score, w)
+
+
 def is_better(metric: str, new: float | None, old: float | None) -> bool:
     """Whether new beats old; a missing or NaN value never does."""
     if new is None or new != new:

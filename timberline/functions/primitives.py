@@ -83,25 +83,79 @@ def generalization(parent: Column, train: Column, valid: Column) -> Column:
     return (parent - train) / F.nullif(parent - valid, F.lit(0.0))
 
 
+def each_fold(xs: Column, fn) -> Column:
+    """fn of each of five values; without a lambda, so that xs may come from a Python function."""
+    return F.array(*[fn(F.get(xs, j)) for j in range(5)])
+
+
+def _over_folds(xs: Column, fn=lambda x: x) -> Column:
+    return sum((fn(F.get(xs, j)) for j in range(1, 5)), fn(F.get(xs, 0))) / 5
+
+
 def fold_mean(xs: Column) -> Column:
     """Sum over five, even where fewer folds counted."""
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / 5
+    return _over_folds(xs)
 
 
 def fold_spread(xs: Column) -> Column:
-    """Population standard deviation of an array."""
+    """Population standard deviation of five values."""
     m = fold_mean(xs)
-    return F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / 5)
+    return F.sqrt(_over_folds(xs, lambda x: (x - m) * (x - m)))
 
 
 def fold_stability(xs: Column) -> Column:
-    """1 / (1 + sd / mean magnitude), within a half and 1."""
-    size = F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.abs(x)) / 5
-    return F.when(size > 0, F.least(F.greatest(1 / (1 + fold_spread(xs) / F.nullif(size, F.lit(0.0))), F.lit(0.5)), F.lit(1.0))).otherwise(0.5)
+    """1 / (1 + sd / mean magnitude), within a half and 1; 1 where all are zero."""
+    size = _over_folds(xs, F.abs)
+    return F.when(size > 0, F.least(F.greatest(1 / (1 + fold_spread(xs) / (size + 1e-6)), F.lit(0.5)), F.lit(1.0))).otherwise(1.0)
 
 
 def fold_energy(xs: Column) -> Column:
-    return F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x * x) / 5)
+    """Root of the mean square."""
+    return F.sqrt(_over_folds(xs, lambda x: x * x))
+
+
+def split_stability(left: Column, right: Column) -> Column:
+    return (fold_stability(left) + fold_stability(right)) / 2
+
+
+# fixed values: the floor of a split's generalization (numeric, categorical), what instability adds, relief, least floor
+FLOORS, UNSTABLE, RELIEF, LEAST_FLOOR = (1.0, 0.99), (0.0, 0.004), (0.01, 0.006), (0.98, 0.984)
+RELIEF_ROWS, RELIEF_DEPTH = 2048, 3
+# fixed values: a rank's share of stability, the power of generalization and its cap (numeric, categorical); weight of energy
+STEADY, POWER, CAP, ENERGY = (0.08, 0.25), (0.1, 0.3), (1.05, 1.12), 0.02
+# fixed values: a small child's share and rows; the least factor, plain and strict
+SPARSE_SHARE, SPARSE_ROWS, SPARSE_LEAST = 0.12, 96, (0.9, 0.82)
+
+
+def _within(v: Column, low, high) -> Column:
+    return F.least(F.greatest(v, F.lit(low) if isinstance(low, (int, float)) else low), F.lit(high))
+
+
+def generalization_floor(stability: Column, depth: Column, count: Column, categorical: bool = False) -> Column:
+    """What a split must reach under the root; small, deep and stable nodes are asked less."""
+    i = int(categorical)
+    need = FLOORS[i] + UNSTABLE[i] * (1 - stability)
+    small = 1 - F.least(count, F.lit(RELIEF_ROWS)) / RELIEF_ROWS
+    deep = 0.5 + 0.5 * F.least(depth, F.lit(RELIEF_DEPTH)) / RELIEF_DEPTH
+    return _within(need - RELIEF[i] * small * deep * _within(stability, 0.5, 1.0), LEAST_FLOOR[i], FLOORS[0])
+
+
+def split_rank(gain: Column, gen: Column, left: Column, right: Column, categorical: bool = False) -> Column:
+    """Gain by stability and generalization of fold weights; large weights of categories are damped."""
+    i = int(categorical)
+    steady = split_stability(left, right)
+    least = FLOORS[i] + UNSTABLE[i] * (1 - steady)
+    out = gain * (1 - STEADY[i] + STEADY[i] * steady) * F.pow(_within(gen, least, CAP[i]), F.lit(POWER[i]))
+    return out / (1 + ENERGY * (fold_energy(left) + fold_energy(right))) if categorical else out
+
+
+def sparse_balance(left: Column, right: Column, strict: bool = False) -> Column:
+    """Damps a split of many categories that sets apart a very small child."""
+    fewer = F.least(left, right)
+    share = fewer / F.greatest(left + right, F.lit(1))
+    factor = F.least(F.sqrt(share / SPARSE_SHARE), F.sqrt(fewer / SPARSE_ROWS))
+    least = SPARSE_LEAST[int(strict)]
+    return F.when((share >= SPARSE_SHARE) | (fewer >= SPARSE_ROWS), 1.0).otherwise(least + (1 - least) * F.least(factor, F.lit(1.0)))
 
 
 def softmax(xs: Column, temperature: float = 1.0) -> Column:

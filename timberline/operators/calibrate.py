@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.primitives import fold_mean, fold_spread, sigmoid
+from timberline.functions.primitives import each_fold, fold_mean, fold_spread, sigmoid
 from timberline.operators.tree import Model
 
 METHODS = ("WeightVariance", "MinMax", "GRP")
@@ -51,7 +51,7 @@ def interval(folds: Column, score: Column, parameters: list[float], method: str)
         a, b = low + parameters[0] * width, low + parameters[1] * width
         mid, half = (a + b) / 2, (b - a) / 2 * SHRINK
         return F.struct((mid - half).alias("low"), (mid + half).alias("high"))
-    xs = F.array_sort(folds)
+    xs = F.sort_array(folds)
     return F.struct(interpolated(xs, F.lit(parameters[0])).alias("low"), interpolated(xs, F.lit(parameters[1])).alias("high"))
 
 
@@ -80,7 +80,7 @@ def label_score(probs: Column, p: Column, label: int, method: str) -> Column:
 
 def label_threshold(df: DataFrame, folds: Column, y: Column, alpha: float, method: str = "Conformal") -> float:
     """The quantile of the true label's score that label sets stay under."""
-    probs = F.transform(folds, sigmoid)
+    probs = each_fold(folds, sigmoid)
     p = fold_mean(probs)
     s = F.when(y == 1, label_score(probs, p, 1, method)).otherwise(label_score(probs, p, 0, method))
     n = max(1, df.count())
@@ -89,7 +89,7 @@ def label_threshold(df: DataFrame, folds: Column, y: Column, alpha: float, metho
 
 def label_set(folds: Column, threshold: float, method: str = "Conformal") -> Column:
     """The labels whose score is at most the threshold; may be empty."""
-    probs = F.transform(folds, sigmoid)
+    probs = each_fold(folds, sigmoid)
     p = fold_mean(probs)
     return F.array_compact(F.array(*[F.when(label_score(probs, p, k, method) <= threshold, k) for k in (0, 1)]))
 

@@ -108,7 +108,8 @@ def _shapley(model: Model, x: np.ndarray) -> np.ndarray:
 def contributions_of(model: Model, x: np.ndarray, method: str = "Average") -> np.ndarray:
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    return _shapley(model, x) if method == "Shapley" else _along(model, x, method)
+    got = _shapley(model, x) if method == "Shapley" else _along(model, x, method)
+    return got if method == "ProbabilityChange" else got + model.head_terms(x)
 
 
 def contributions(model: Model, method: str = "Average") -> Column:
@@ -131,7 +132,7 @@ def partial_dependence(model: Model, feature: str, values: list[float | None]) -
                 return at(tree, next(k for k, m in model.branches(n, x) if m[0]))
             return _weighted(tree, n, lambda k: at(tree, k))
 
-        out.append((v, model.base_score + sum(at(t, 0) for t in model.trees)))
+        out.append((v, float(model.base_score + sum(at(t, 0) for t in model.trees) + model.head_terms(x).sum())))
     return out
 
 

@@ -1,16 +1,24 @@
-"""More than two classes: one model a class, probabilities, importances."""
+"""More than two classes: one model a class or trees shared by all, probabilities, importances."""
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.primitives import softmax
-from timberline.operators.trainer import Config, fit
-from timberline.operators.tree import Model, importance
-from timberline.sources.tables import classes_of
+from timberline.operators.trainer import CUT_EVERY, Config, binned, fit, grow
+from timberline.operators.tree import NATIVE_NODES, Model, importance
+from timberline.sources.tables import classes_of, cut_lineage
+
+# fixed values: softmax temperatures by the most classes they serve; how far a class's odds and prior correct its probability
+TEMPERATURES, MORE_CLASSES = ((4, 1.0), (5, 1.5), (8, 2.0)), 1.75
+ODDS, PRIOR = {3: 0.25, 4: 0.5, 5: 0.5}, 0.25
+FULL_HESSIAN = 5
+EPSILON = 2.0**-52
 
 
 @dataclass
@@ -18,20 +26,46 @@ class MultiModel:
     classes: list
     models: list[Model]
     priors: list[float]
+    shared: bool = False
+
+    @property
+    def large(self) -> bool:
+        return sum(len(t) for m in self.models for t in m.trees) > NATIVE_NODES
+
+    def scores_of(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([m.base_score + m.leaf_sums(x)[:, 0] for m in self.models], axis=1)
 
     def scores(self) -> Column:
+        if self.large:
+            return self.models[0]._udf(lambda x: list(self.scores_of(x)), "array<double>")
         return F.array(*[m.raw_score() for m in self.models])
 
     def predict(self) -> Column:
+        """The class of the greatest score."""
         s = self.scores()
         return F.get(F.lit(self.classes), (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
+    def probabilities_of(self, x: np.ndarray, temperature: float | None = None) -> np.ndarray:
+        if self.shared or temperature is not None:
+            s = self.scores_of(x) / (temperature or self.temperature)
+            e = np.exp(s - s.max(axis=1, keepdims=True))
+        else:
+            p = np.stack([(1 / (1 + np.exp(-m.base_score - m.leaf_sums(x)[:, 1:]))).mean(axis=1) for m in self.models], axis=1)
+            p = np.clip(p, EPSILON, 1 - EPSILON)
+            e = p / (1 - p) ** ODDS.get(len(self.priors), 0.0) / np.maximum(self.priors, EPSILON) ** PRIOR
+        return e / e.sum(axis=1, keepdims=True)
+
+    @property
+    def temperature(self) -> float:
+        return next((t for k, t in TEMPERATURES if len(self.classes) <= k), MORE_CLASSES)
+
     def probabilities(self, temperature: float | None = None) -> Column:
-        """Softmax with a temperature, or one-against-rest probabilities scaled to sum 1."""
-        if temperature is not None:
-            return softmax(self.scores(), temperature)
-        ps = F.array(*[1 / (1 + F.exp(-m.raw_score())) for m in self.models])
-        return F.transform(ps, lambda p: p / F.aggregate(ps, F.lit(0.0), lambda a, x: a + x))
+        """Shared trees: softmax with a temperature. One against the rest: p / (1 - p)^a / prior^b, scaled to sum 1."""
+        if self.large:
+            return self.models[0]._udf(lambda x: list(self.probabilities_of(x, temperature)), "array<double>")
+        if self.shared or temperature is not None:
+            return softmax(self.scores(), temperature or self.temperature)
+        return normalised(F.array(*[m.probability() for m in self.models]), self.priors)
 
     def importance(self, spark) -> DataFrame:
         """Mean over classes of normalised importances."""
@@ -42,18 +76,107 @@ class MultiModel:
         return out.groupBy("feature").agg((F.sum("value") / len(parts)).alias("value"))
 
 
+def normalised(ps: Column, priors: list[float]) -> Column:
+    """Probabilities of classes from those of each against the rest, corrected for odds and priors."""
+    tiny, a = EPSILON, ODDS.get(len(priors), 0.0)
+    ps = F.transform(ps, lambda p: F.least(F.greatest(p, F.lit(tiny)), F.lit(1 - tiny)))
+    ps = F.zip_with(ps, F.lit([float(max(p, tiny)) for p in priors]), lambda p, r: p / F.pow(1 - p, F.lit(a)) / F.pow(r, F.lit(PRIOR)))
+    return F.transform(ps, lambda p: p / F.aggregate(ps, F.lit(0.0), lambda x, v: x + v))
+
+
 def class_priors(df: DataFrame, y: str, classes: list) -> list[float]:
     return list(df.agg(*[F.avg(F.when(F.col(y) == c, 1.0).otherwise(0.0)) for c in classes]).first())
 
 
-def fit_classes(df: DataFrame, x: list[str], y: str, cfg: Config | None = None) -> MultiModel:
+def fit_classes(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id") -> MultiModel:
     """One model against the rest for each class, in order of labels."""
     cfg = cfg or Config()
     classes = classes_of(df, y)
-    models = [fit(df.withColumn("_one", F.when(F.col(y) == c, 1.0).otherwise(0.0)), x, "_one", replace(cfg, objective="LogLoss")) for c in classes]
+    models = [fit(df.withColumn("_one", F.when(F.col(y) == c, 1.0).otherwise(0.0)), x, "_one", replace(cfg, objective="LogLoss"), row_id) for c in classes]
     return MultiModel(classes, models, class_priors(df, y, classes))
 
 
+def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id", candidates: int | None = None) -> MultiModel:
+    """Trees with a weight for each class. Each round grows a tree on the gradients of each of the classes with the most loss
+    (all of up to 8, 6 of up to 16, else 8), solves its leaves for all classes at once, and keeps the one that leaves the
+    least softmax loss.
+
+    A round scans the rows once for losses, once a level of each candidate, once for leaves and once for their losses; the
+    driver holds leaves x classes squared sums (up to five classes; beyond, the Hessian's diagonal).
+    """
+    cfg = cfg or Config()
+    df = df.where(F.col(y).isNotNull())
+    classes = classes_of(df, y)
+    k = len(classes)
+    priors = class_priors(df, y, classes)
+    base = np.log(np.clip(priors, 1e-12, 1))
+    models = [Model(list(x), "LogLoss", float(b), 10.0**-cfg.budget) for b in base - base.mean()]
+    rows, widest, cut_of, groups = binned(df, x, cfg, row_id)
+    label = F.array_position(F.lit(classes), F.col(y)) - 1
+    rows = cut_lineage(rows.withColumns({"_k": label.cast("int"), "_scores": F.array(*[F.lit(m.base_score) for m in models])}), "classes")
+    limit = candidates or (k if k <= 8 else 6 if k <= 16 else 8)
+    wanted = lambda scores: -F.ln(F.greatest(F.get(softmax(scores), F.col("_k")), F.lit(1e-300)))
+    idle = 0
+    for round_ in range(cfg.iterations):
+        work = rows.withColumn("_p", softmax(F.col("_scores")))
+        loss, *each = work.withColumn("_l", wanted(F.col("_scores"))).agg(F.avg("_l"), *[F.sum(F.when(F.col("_k") == i, F.col("_l")).otherwise(0.0)) for i in range(k)]).first()
+        best = None
+        for c in sorted(range(k), key=lambda i: -each[i])[:limit]:
+            p = F.get("_p", c)
+            own = work.withColumns({"_g": p - (F.col("_k") == c).cast("double"), "_h": p * (1 - p), "_l": -F.ln(F.greatest(F.when(F.col("_k") == c, p).otherwise(1 - p), F.lit(1e-300)))})
+            tree, _, _ = grow(own, x, cfg, models[0], widest, cut_of, groups)
+            if len(tree) < 2:
+                continue
+            weights = _leaves(work, models[0], tree, k, cfg)
+            after = rows.agg(F.avg(wanted(_added(models[0], tree, weights)))).first()[0]
+            if best is None or after < best[0]:
+                best = (after, tree, weights)
+        if best is None or best[0] >= loss - 1e-9:
+            break
+        after, tree, weights = best
+        for i, m in enumerate(models):
+            m.trees.append(_of_class(tree, {n: w[i] for n, w in weights.items()}))
+        rows = rows.withColumn("_scores", _added(models[0], tree, weights))
+        if round_ % CUT_EVERY == CUT_EVERY - 1:
+            rows = cut_lineage(rows, "classes")
+        idle = idle + 1 if loss - after < 1e-6 * max(loss, 1e-12) else 0
+        if idle >= cfg.stopping_rounds:
+            break
+    return MultiModel(classes, models, priors, True)
+
+
+def _added(model: Model, tree: list, weights: dict[int, np.ndarray]) -> Column:
+    step = model.route(tree, lambda n: F.lit([float(v) for v in weights[n.id]]))
+    return F.zip_with("_scores", step, lambda s, w: s + w)
+
+
+def _leaves(work: DataFrame, model: Model, tree: list, k: int, cfg: Config) -> dict[int, np.ndarray]:
+    """Newton steps of all classes at each leaf, centred."""
+    p = [F.get("_p", i) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i)] if k <= FULL_HESSIAN else []
+    sums = [F.sum(p[i] - (F.col("_k") == i).cast("double")) for i in range(k)] + [F.sum(p[i] * (1 - p[i])) for i in range(k)] + [F.sum(-p[i] * p[j]) for i, j in pairs]
+    got = work.groupBy(model.route(tree, lambda n: F.lit(n.id)).alias("leaf")).agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).collect()
+    out = {n.id: np.zeros(k) for n in tree}
+    for r in got:
+        v = np.array(r[1:], dtype=float)
+        h = np.diag(v[k : 2 * k] + max(cfg.ridge, 1e-8))
+        for (i, j), c in zip(pairs, v[2 * k :]):
+            h[i, j] = h[j, i] = c
+        w = np.linalg.solve(h, -v[:k]) if pairs else -v[:k] / np.diag(h)
+        w = w - w.mean()
+        out[r[0]] = w * model.eta
+    return out
+
+
+def _of_class(tree: list, weights: dict[int, float]) -> list:
+    """The tree with a class's leaf weights; inner nodes have the cover-weighted mean of their children's, all folds the same."""
+    tree = copy.deepcopy(tree)
+    for n in reversed(tree):
+        n.weight = float(weights[n.id]) if n.is_leaf else sum(tree[c].cover * tree[c].weight for c in n.children) / max(sum(tree[c].cover for c in n.children), 1e-300)
+        n.fold_weights = [n.weight] * 5
+    return tree
+
+
 def class_weights(df: DataFrame, y: str, gate: float = 2.5) -> DataFrame:
     """(label, n, weight): effective-number weights of mean 1 where the most frequent class has over ``gate`` times the rarest's rows, else 1."""
     from pyspark.sql import Window

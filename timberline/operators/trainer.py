@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.objectives import Objective, objective
+from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
 from timberline.operators.binning import cuts, map_bin
 from timberline.operators.histogram import FOLDS, fold_histogram
 from timberline.operators.tree import Model, Node
 from timberline.sources.tables import cut_lineage
 
-#: What a split's held-out improvement must be of its training improvement: numeric, categorical.
-FLOOR, CATEGORY_FLOOR = 1.0, 0.99
 CUT_EVERY = 8
+#: Objectives whose hessian is 1; bins from which a category's small children are damped.
+CONSTANT, SPARSE_BINS = ("SquaredLoss", "QuantileLoss", "AbsoluteLoss", "MapeLoss"), 48
+# fixed values: when a small regression has a linear head, its ridge, its share and what it must gain
+HEAD_BUDGET, HEAD_FEATURES, HEAD_ROWS = 1.0, (2, 12), (256, 2048)
+HEAD_RIDGE, HEAD_BLEND, HEAD_GAIN = 1.0, 0.2, 0.999
 #: The weight of a branch for missing values: its own, its parent's, or its siblings' mean (by count, or once the tree is grown).
 TREATMENTS = ("None", "AssignToParent", "AverageNodeWeight", "AverageLeafWeight")
 
@@ -47,6 +51,7 @@ class Config:
     missing_splits: bool = True
     missing_treatment: str = "None"
     end_missing: list[str] = field(default_factory=list)
+    linear_head: bool = True
     subsample: float = 1.0
     seed: int = 0
 
@@ -84,16 +89,48 @@ def _evaluate(left: np.ndarray, right: np.ndarray) -> dict[str, np.ndarray]:
     parent = -0.5 * score(both) / np.maximum(both[..., 2], 1)
     under = parent - valid
     gen = np.where(under != 0, (parent - train) / np.where(under != 0, under, 1), 0.0)  # negative where held-out folds get worse
-    return {"gain": gain, "gen": gen, "folds": ok.sum(axis=-1), "left": lt, "right": rt}
+    steady = (_stability(wl) + _stability(wr)) / 2
+    energy = np.sqrt((wl**2).mean(axis=-1)) + np.sqrt((wr**2).mean(axis=-1))
+    return {"gain": gain, "gen": gen, "folds": ok.sum(axis=-1), "left": lt, "right": rt, "steady": steady, "energy": energy}
 
 
-def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allowed: list[int], bounds=(-np.inf, np.inf)) -> dict | None:
+def _stability(w: np.ndarray) -> np.ndarray:
+    size = np.abs(w).mean(axis=-1)
+    return np.where(size > 0, np.clip(1 / (1 + w.std(axis=-1) / (size + 1e-6)), 0.5, 1.0), 1.0)
+
+
+def _floor(steady: np.ndarray, depth: int, count: float, cat: bool) -> np.ndarray:
+    need = P.FLOORS[cat] + P.UNSTABLE[cat] * (1 - steady)
+    relief = P.RELIEF[cat] * (1 - min(count, P.RELIEF_ROWS) / P.RELIEF_ROWS) * (0.5 + 0.5 * min(depth, P.RELIEF_DEPTH) / P.RELIEF_DEPTH)
+    return np.clip(need - relief * steady, P.LEAST_FLOOR[cat], P.FLOORS[0])
+
+
+def _rank(e: dict[str, np.ndarray], cat: bool, sparse: bool) -> np.ndarray:
+    """By what a feature's cuts are compared where hessians vary; features are compared by gain."""
+    gen = np.clip(e["gen"], P.FLOORS[cat] + P.UNSTABLE[cat] * (1 - e["steady"]), P.CAP[cat])
+    out = e["gain"] * (1 - P.STEADY[cat] + P.STEADY[cat] * e["steady"]) * gen ** P.POWER[cat]
+    if cat:
+        out = out / (1 + P.ENERGY * e["energy"])
+    if sparse:
+        fewer = np.minimum(e["left"][:, 2], e["right"][:, 2])
+        share = fewer / np.maximum(e["left"][:, 2] + e["right"][:, 2], 1)
+        near = np.minimum(np.sqrt(share / P.SPARSE_SHARE), np.sqrt(fewer / P.SPARSE_ROWS))
+        least = P.SPARSE_LEAST[0]
+        out = out * np.where((share >= P.SPARSE_SHARE) | (fewer >= P.SPARSE_ROWS), 1.0, least + (1 - least) * np.minimum(near, 1))
+    return out
+
+
+def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allowed: list[int], bounds=(-np.inf, np.inf), depth: int = 0) -> dict | None:
     """The best split of a node from hist[feature, bin, fold, (g, h, n)]; bin 0 is missing and goes where more is gained.
 
     Numeric bins are taken in order, a category's by descending mean. A split must gain, must not go against a
-    monotone direction, and, under the root, must hold on all folds and generalise by the floor.
+    monotone direction, and, under the root, must hold on all folds and generalise by the floor,
+    which is lower for small, deep, stable nodes. Cuts of one feature are ranked by gain, stability and generalization
+    together where hessians vary, features by gain.
     """
     best = None
+    name = cfg.objective if isinstance(cfg.objective, str) else cfg.objective.name
+    varying = name not in CONSTANT or cfg.weight is not None
     for f in allowed:
         cat = names[f] in cfg.categorical
         gone, bins = hist[f, 0], hist[f, 1:]
@@ -112,7 +149,7 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
             e = _evaluate(left, right)
             good = (e["gain"] > 1e-12) & (e["left"][:, 2] > 0) & (e["right"][:, 2] > 0)
             if not root:
-                good &= (e["folds"] == FOLDS) & (e["gen"] >= (CATEGORY_FLOOR if cat else FLOOR))
+                good &= (e["folds"] == FOLDS) & (e["gen"] >= _floor(e["steady"], depth, float(pre[-1][:, 2].sum() + gone[:, 2].sum()), cat))
             way = cfg.monotone.get(names[f], 0)
             wl, wr = (np.clip(-e[s][:, 0] / (e[s][:, 1] + cfg.ridge + TINY), *bounds) for s in ("left", "right"))
             if way:
@@ -126,7 +163,8 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
                 good &= e["gain"] > 1e-12
                 if not good.any():
                     continue
-            i = int(np.where(good, e["gain"], -np.inf).argmax())
+            by = _rank(e, cat, cat and len(order) >= SPARSE_BINS) if varying else e["gain"]
+            i = int(np.where(good, by, -np.inf).argmax())
             if best is None or e["gain"][i] >= best["gain"]:
                 best = {"feature": f, "at": i + 1, "order": order, "cat": cat, "missing_left": to_left, "gain": float(e["gain"][i]), "gen": float(e["gen"][i]), "wl": float(wl[i]), "wr": float(wr[i]), "left": left[i], "right": right[i], "way": way}
                 if apart:
@@ -188,26 +226,16 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     obj = cfg.objective if isinstance(cfg.objective, Objective) else objective(cfg.objective)
     w = F.lit(1.0) if cfg.weight is None else F.col(cfg.weight).cast("double")
     make = columns or obj.columns
-    base = df.select(*dict.fromkeys([*features, *([cfg.weight] if cfg.weight else [])]), *[c for c in df.columns if c not in features and c != cfg.weight])
-    first, n = df.select(F.col(y).cast("double").alias("y"), w.alias("w")).agg(obj.initial(F.col("y"), F.col("w")), F.count("*")).first()
     if start is None:
+        first = df.select(F.col(y).cast("double").alias("y"), w.alias("w")).agg(obj.initial(F.col("y"), F.col("w"))).first()[0]
         if first is None or first in (float("inf"), float("-inf")):
             raise ValueError("the target has no rows or a single class")
         model = Model(list(features), obj.name, 0.0 if columns else float(first), 10.0**-cfg.budget)
     else:
         model = start
-    numeric = [f for f in features if f not in cfg.categorical]
-    # below the first cut is a bin of its own, so that bin 0 is left to missing values
-    cut_of = {r["feature"]: [float("-inf"), *r["cuts"]] for r in cuts(df, numeric, cfg.max_bin).collect()} if numeric else {}
-    top = df.agg(*[F.max(F.col(c).cast("int")).alias(c) for c in cfg.categorical]).first().asDict() if cfg.categorical else {}
-    widest = max([len(c) for c in cut_of.values()] + [int(t or 0) + 1 for t in top.values()]) + 1
-    if widest > 65536:
-        raise ValueError("a category's codes pass 65535: pool it first")
-    bins = {f: F.col(f).cast("int") + 1 if f in cfg.categorical else map_bin(F.col(f), cut_of[f]) for f in features}
-    rows = base.withColumns({f"_b{i}": F.coalesce(bins[f], F.lit(0)) for i, f in enumerate(features)})
-    rows = rows.withColumn("_fold", F.pmod(F.col(row_id), F.lit(FOLDS)).cast("int")).withColumn("_score", model.raw_score())
-    rows = cut_lineage(rows, "fit")
-    groups = [frozenset(features.index(f) for f in g) for g in cfg.interactions] if cfg.interactions else None
+        model.head = None  # fitted anew on what the further trees leave
+    rows, widest, cut_of, groups = binned(df, features, cfg, row_id)
+    rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
     idle = 0
     for round_ in range(cfg.iterations):
         if frame:
@@ -218,7 +246,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
             work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
-        tree, gained, loss = _grow(work, features, cfg, model, widest, cut_of, groups)
+        tree, gained, loss = grow(work, features, cfg, model, widest, cut_of, groups)
         if len(tree) < 2:
             idle += 1
             if idle >= cfg.stopping_rounds:
@@ -231,10 +259,55 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         idle = idle + 1 if gained < 1e-6 * max(loss, 1e-12) else 0
         if idle >= cfg.stopping_rounds:
             break
+    if cfg.linear_head and obj.name == "SquaredLoss" and not (columns or frame or cfg.categorical) and cfg.budget >= HEAD_BUDGET and HEAD_FEATURES[0] <= len(features) <= HEAD_FEATURES[1]:
+        model.head = linear_head(rows, features, y)
     return model
 
 
-def _grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest: int, cut_of: dict, groups) -> tuple[list[Node], float, float]:
+def linear_head(rows: DataFrame, features: list[str], y: str) -> dict | None:
+    """A ridge regression of what the trees leave, blended in where it lowers the mean squared error. One aggregate gives
+    rows, means and deviations, one the products; a missing value stands at the mean."""
+    x = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features]
+    rest = F.col(y).cast("double") - F.col("_score")
+    a = rows.agg(F.count("*"), F.avg(rest), F.avg(rest**2), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    k = len(x)
+    n, intercept, mse, means, scales = a[0], a[1], a[2], a[3 : 3 + k], a[3 + k :]
+    if not HEAD_ROWS[0] <= n <= HEAD_ROWS[1] or n <= k + 1 or any(m is None for m in means):
+        return None
+    scales = [max(s, 1e-6) for s in scales]
+    z = [F.coalesce((c - m) / s, F.lit(0.0)) for c, m, s in zip(x, means, scales)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    b = rows.agg(*[F.sum(z[i] * z[j]) for i, j in pairs], *[F.sum(c * (rest - intercept)) for c in z]).first()
+    gram = np.eye(k) * HEAD_RIDGE
+    for (i, j), v in zip(pairs, b):
+        gram[i, j] += v
+        if i != j:
+            gram[j, i] += v
+    head = {"means": list(means), "scales": scales, "coefficients": [float(v) for v in np.linalg.solve(gram, np.array(b[len(pairs) :], dtype=float))], "intercept": intercept, "blend": HEAD_BLEND}
+    part = F.lit(intercept)
+    for c, v in zip(head["coefficients"], z):
+        part = part + c * v
+    better = rows.agg(F.avg((rest - HEAD_BLEND * part) ** 2)).first()[0]
+    return head if better + 1e-12 < mse * HEAD_GAIN else None
+
+
+def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tuple[DataFrame, int, dict[str, list[float]], list[frozenset] | None]:
+    """df with a bin column a feature and a fold; the most bins of any; cuts; interaction groups as places of features."""
+    numeric = [f for f in features if f not in cfg.categorical]
+    # below the first cut is a bin of its own, so that bin 0 is left to missing values
+    cut_of = {r["feature"]: [float("-inf"), *r["cuts"]] for r in cuts(df, numeric, cfg.max_bin).collect()} if numeric else {}
+    top = df.agg(*[F.max(F.col(c).cast("int")).alias(c) for c in cfg.categorical]).first().asDict() if cfg.categorical else {}
+    widest = max([len(c) for c in cut_of.values()] + [int(t or 0) + 1 for t in top.values()]) + 1
+    if widest > 65536:
+        raise ValueError("a category's codes pass 65535: pool it first")
+    bins = {f: F.col(f).cast("int") + 1 if f in cfg.categorical else map_bin(F.col(f), cut_of[f]) for f in features}
+    rows = df.withColumns({f"_b{i}": F.coalesce(bins[f], F.lit(0)) for i, f in enumerate(features)})
+    rows = rows.withColumn("_fold", F.pmod(F.col(row_id), F.lit(FOLDS)).cast("int"))
+    groups = [frozenset(features.index(f) for f in g) for g in cfg.interactions] if cfg.interactions else None
+    return rows, widest, cut_of, groups
+
+
+def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest: int, cut_of: dict, groups) -> tuple[list[Node], float, float]:
     eta, tree = model.eta, []
 
     def histograms(ids: list[int]) -> dict[int, np.ndarray]:
@@ -284,7 +357,7 @@ def _grow(work: DataFrame, features: list[str], cfg: Config, model: Model, wides
         allowed = list(range(len(features)))
         if groups and o.used:
             allowed = sorted(set().union(*[g for g in groups if o.used <= g]))
-        s = find_split(o.hist, i == 0, cfg, features, allowed, o.bounds)
+        s = find_split(o.hist, i == 0, cfg, features, allowed, o.bounds, o.node.depth)
         if s is None:
             continue
         n, f = tree[i], s["feature"]

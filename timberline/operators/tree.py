@@ -61,6 +61,7 @@ class Model:
     trees: list[list[Node]] = field(default_factory=list)
     metadata: dict[str, str] = field(default_factory=dict)
     calibration: dict[str, list[float]] = field(default_factory=dict)
+    head: dict | None = None
 
     # sinks and sources
 
@@ -117,13 +118,56 @@ class Model:
         return at(0)
 
     def raw_score(self) -> Column:
-        """base + sum of leaf weights."""
+        """base + sum of leaf weights + the linear head, where there is one."""
         if sum(map(len, self.trees)) <= NATIVE_NODES:
             out = F.lit(float(self.base_score))
             for t in self.trees:
                 out = out + self.route(t, lambda n: F.lit(float(n.weight)))
+        else:
+            out = self._udf(lambda x: self.base_score + self.leaf_sums(x)[:, 0], "double")
+        if not self.head:
             return out
-        return self._udf(lambda x: self.base_score + self.leaf_sums(x)[:, 0], "double")
+        h = self.head
+        out = out + h["blend"] * h["intercept"]
+        for f, m, s, c in zip(self.features, h["means"], h["scales"], h["coefficients"]):
+            v = F.col(f).cast("double")
+            out = out + F.when(v.isNull() | F.isnan(v), 0.0).otherwise(h["blend"] * c * (v - m) / s)
+        return out
+
+    def head_terms(self, x: np.ndarray) -> np.ndarray:
+        """What the linear head adds for each feature, and its constant."""
+        out = np.zeros((len(x), len(self.features) + 1))
+        if self.head:
+            h = self.head
+            out[:, :-1] = np.nan_to_num((x - np.array(h["means"])) / np.array(h["scales"])) * h["coefficients"] * h["blend"]
+            out[:, -1] = h["blend"] * h["intercept"]
+        return out
+
+    def with_draws(self, df: DataFrame, n: int, row_id: str, seed: int = 0, out: str = "draws") -> DataFrame:
+        """Adds n scores, each with one of the five fold weights of every tree, chosen by a hash of row, tree, draw and seed."""
+        names = self.features
+
+        @F.pandas_udf("array<double>")
+        def run(frame: pd.DataFrame, key: pd.Series) -> pd.Series:
+            folds = self.tree_folds(frame[names].to_numpy(dtype=float))
+            mix = key.to_numpy().view(np.uint64)[:, None]
+            total = np.full((len(frame), n), float(self.base_score))
+            for t in range(len(self.trees)):
+                h = (mix ^ np.arange(t * n, t * n + n, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                total += np.take_along_axis(folds[:, t], ((h >> np.uint64(33)) % np.uint64(5)).astype(int), axis=1)
+            return pd.Series(list(total))
+
+        return df.withColumn(out, run(F.struct(*[F.col(f).cast("double").alias(f) for f in names]), F.xxhash64(F.col(row_id), F.lit(seed))))
+
+    def tree_folds(self, x: np.ndarray) -> np.ndarray:
+        """[row, tree, fold] weights of the leaves reached."""
+        out = np.zeros((len(x), len(self.trees), 5))
+        for t, tree in enumerate(self.trees):
+            for n, rows in self.visits(tree, x):
+                if n.is_leaf:
+                    out[rows, t] = n.fold_weights
+        return out
 
     def fold_scores(self) -> Column:
         """base + sums of each of the five fold weights. Large models need it as a column of its own before lambdas use it."""
@@ -134,6 +178,8 @@ class Model:
 
     def probability(self) -> Column:
         """The mean of the folds' sigmoids."""
+        if sum(map(len, self.trees)) > NATIVE_NODES:
+            return self._udf(lambda x: (1 / (1 + np.exp(-self.base_score - self.leaf_sums(x)[:, 1:]))).mean(axis=1), "double")
         return F.aggregate(F.transform(self.fold_scores(), sigmoid), F.lit(0.0), lambda a, x: a + x) / 5
 
     def node_paths(self) -> Column:

@@ -266,6 +266,27 @@ def node_totals(spark, sf_dir):
     return histogram.node_totals(_hist(spark, sf_dir)).select("node", F.round("g", 4).alias("g"), F.round("h", 4).alias("h"), "n")
 
 
+# ranks of splits: fold weights and gains made of a line's columns
+
+_SPLITS = f"""(SELECT l_orderkey, l_linenumber, gain, gen, n, d, nl, nr, (CASE WHEN ml > 0 THEN least(1.0, greatest(0.5, 1 / (1 + sqrt(vl) / (ml + 1e-6)))) ELSE 1.0 END + CASE WHEN mr > 0 THEN least(1.0, greatest(0.5, 1 / (1 + sqrt(vr) / (mr + 1e-6)))) ELSE 1.0 END) / 2 AS st, el + er AS en FROM (
+  SELECT *, list_avg(list_transform(a, lambda x: abs(x))) AS ml, list_avg(list_transform(b, lambda x: abs(x))) AS mr, list_var_pop(a) AS vl, list_var_pop(b) AS vr, sqrt(list_avg(list_transform(a, lambda x: x * x))) AS el, sqrt(list_avg(list_transform(b, lambda x: x * x))) AS er FROM (
+  SELECT l_orderkey, l_linenumber, l_extendedprice / 1e3 AS gain, 0.9 + CAST(l_tax AS DOUBLE) * 4 AS gen, l_partkey AS n, l_linenumber - 1 AS d, CAST(l_quantity AS DOUBLE) AS nl, CAST(l_partkey AS DOUBLE) AS nr,
+    [CAST(l_discount AS DOUBLE), l_tax, 0.01, l_quantity / 100, 0.05] AS a, [-CAST(l_tax AS DOUBLE), 0.02, l_discount, -0.03, l_quantity / 50] AS b FROM lineitem)))"""
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(st, 6) AS stability, round(least(1.0, greatest(0.98, 1.0 - 0.01 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)), 6) AS floor_numeric,
+  round(least(1.0, greatest(0.984, 0.99 + 0.004 * (1 - st) - 0.006 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)), 6) AS floor_category,
+  round(gain * (0.92 + 0.08 * st) * power(least(1.05, greatest(gen, 1.0)), 0.1), 5) AS rank_numeric,
+  round(gain * (0.75 + 0.25 * st) * power(least(1.12, greatest(gen, 0.99 + 0.004 * (1 - st))), 0.3) / (1 + 0.02 * en), 5) AS rank_category,
+  round(CASE WHEN least(nl, nr) / (nl + nr) >= 0.12 OR least(nl, nr) >= 96 THEN 1.0 ELSE 0.9 + 0.1 * least(1.0, least(sqrt(least(nl, nr) / (nl + nr) / 0.12), sqrt(least(nl, nr) / 96))) END, 6) AS balance FROM {_SPLITS}""")
+def split_ranks(spark, sf_dir):
+    c = lambda name: F.col(name).cast("double")
+    d = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (c("l_extendedprice") / 1e3).alias("gain"), (0.9 + c("l_tax") * 4).alias("gen"), F.col("l_partkey").alias("n"), (F.col("l_linenumber") - 1).alias("d"), c("l_quantity").alias("nl"), c("l_partkey").alias("nr"), F.array(c("l_discount"), c("l_tax"), F.lit(0.01), c("l_quantity") / 100, F.lit(0.05)).alias("a"), F.array(-c("l_tax"), F.lit(0.02), c("l_discount"), F.lit(-0.03), c("l_quantity") / 50).alias("b"))
+    st, gain, gen, a, b = P.split_stability(F.col("a"), F.col("b")), F.col("gain"), F.col("gen"), F.col("a"), F.col("b")
+    floor = lambda cat: F.round(P.generalization_floor(st, F.col("d"), F.col("n"), cat), 6)
+    return d.select("l_orderkey", "l_linenumber", F.round(st, 6).alias("stability"), floor(False).alias("floor_numeric"), floor(True).alias("floor_category"), F.round(P.split_rank(gain, gen, a, b), 5).alias("rank_numeric"), F.round(P.split_rank(gain, gen, a, b, True), 5).alias("rank_category"), F.round(P.sparse_balance(F.col("nl"), F.col("nr")), 6).alias("balance"))
+
+
 # a fixed model of three trees over orders: numeric split, category split, missing branch
 
 def _n(i, parent, depth, w, cover, **k) -> Node:
