@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.objectives import quantile
 from timberline.functions.primitives import each_fold, fold_mean, fold_spread, sigmoid
+from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
 
 METHODS = ("WeightVariance", "MinMax", "GRP")
@@ -101,6 +104,25 @@ def conformal_shift(df: DataFrame, low: Column, high: Column, y: Column, alpha:
     return float(df.select(e.alias("e")).agg(F.percentile_approx("e", min(1.0, math.ceil((n + 1) * (1 - alpha)) / n), 1_000_000)).first()[0] or 0.0)
 
 
+@dataclass
+class QuantilePair:
+    """Two quantile models and how far their predictions move out."""
+
+    low: Model
+    high: Model
+    shift: float
+
+    def interval(self) -> Column:
+        return F.struct((self.low.raw_score() - self.shift).alias("low"), (self.high.raw_score() + self.shift).alias("high"))
+
+
+def fit_quantile_pair(train: DataFrame, held: DataFrame, features: list[str], y: str, alpha: float, cfg: Config | None = None, row_id: str = "row_id") -> QuantilePair:
+    """Conformal quantile regression with the caller's parameters: quantiles at alpha/2 and 1 - alpha/2, fitted on ``train``, shifted by ``held``."""
+    low, high = (fit(train, features, y, replace(cfg or Config(), objective=quantile(q)), row_id) for q in (alpha / 2, 1 - alpha / 2))
+    d = held.select(low.raw_score().alias("low"), high.raw_score().alias("high"), F.col(y).alias("y")).where("y is not null")
+    return QuantilePair(low, high, conformal_shift(d, F.col("low"), F.col("high"), F.col("y"), alpha))
+
+
 def isotonic(df: DataFrame, p: str, y: str, points: int = 4096) -> tuple[list[float], list[float]]:
     """Thresholds and values of a rising step fit. Rows are summed by probability (rounded to 1/points) in Spark;
     adjacent violators are pooled over those few sums."""

@@ -10,6 +10,10 @@ from timberline.functions.primitives import TINY, chi_square
 from timberline.operators.tree import Model, Node
 
 
+#: The part of a standard error that statistical pruning allows.
+SHARE = 0.05
+
+
 def node_visits(model: Model, df: DataFrame) -> DataFrame:
     """(tree_id, node_id, n): a row counts at every node of its path; partial sums leave a row a node and task."""
     p = df.select(F.posexplode(model.node_paths()).alias("tree_id", "path")).select("tree_id", F.explode("path").alias("node_id"))
@@ -49,9 +53,12 @@ def refresh(model: Model, df: DataFrame, y: str, blend: float = 1.0) -> Model:
     return model
 
 
-def prune(model: Model, df: DataFrame, y: str) -> Model:
-    """Bottom-up: a split goes if its node alone has no more loss on df than its leaves have. Losses are taken at every node
-    of a row's path, so an internal node's own loss is known."""
+def prune(model: Model, df: DataFrame, y: str, kind: str = "BottomUp") -> Model:
+    """A split goes if its node alone has no more loss on df than its leaves have ("BottomUp"), than those and a twentieth of
+    their standard error ("Statistical"), or, from the root down, than its children have ("TopDown"). Losses are taken at
+    every node of a row's path, so an internal node's own loss is known."""
+    if kind not in ("BottomUp", "Statistical", "TopDown"):
+        raise ValueError(f"unknown pruning {kind}")
     obj = objective(model.objective)
     score = F.lit(float(model.base_score))
     kept = []
@@ -59,18 +66,24 @@ def prune(model: Model, df: DataFrame, y: str) -> Model:
         one = Model(model.features, model.objective, 0.0, model.eta, [tree])
         weights = F.lit([float(n.weight) for n in tree]).cast("array<double>")
         nodes = df.select(F.explode(F.get(one.node_paths(), 0)).alias("node_id"), F.col(y).cast("double").alias("y"), score.alias("s"))
-        losses = {r[0]: r[1] for r in nodes.groupBy("node_id").agg(F.sum(obj.loss(F.col("y"), F.col("s") + F.get(weights, F.col("node_id"))))).collect()}
-        under: dict[int, float] = {}
-        for n in reversed(tree):
-            own = losses.get(n.id, 0.0)
+        loss = obj.loss(F.col("y"), F.col("s") + F.get(weights, F.col("node_id")))
+        got = nodes.select("node_id", loss.alias("l")).groupBy("node_id").agg(F.sum("l"), F.sum(F.col("l") ** 2), F.count("l")).collect()
+        sums = {r[0]: (r[1] or 0.0, r[2] or 0.0, r[3]) for r in got}
+        under: dict[int, tuple[float, float, int]] = {}
+        for n in tree if kind == "TopDown" else reversed(tree):
+            own = sums.get(n.id, (0.0, 0.0, 0))
             if n.is_leaf:
                 under[n.id] = own
                 continue
-            below = sum(under[k] for k in n.children)
-            if own <= below:
+            of = sums if kind == "TopDown" else under
+            below = tuple(sum(of.get(k, (0.0, 0.0, 0))[j] for k in n.children) for j in range(3))
+            rows = max(1, below[2])
+            error = (max(0.0, below[1] / rows - (below[0] / rows) ** 2) / rows) ** 0.5 if kind == "Statistical" else 0.0
+            cut = own[0] <= below[0] + SHARE * error * rows
+            if cut:
                 n.left = n.right = n.missing = n.feature = -1
                 n.left_cats = None
-            under[n.id] = min(own, below)
+            under[n.id] = own if cut else below
         tree = _compact(tree)
         if len(tree) > 1:
             kept.append(tree)

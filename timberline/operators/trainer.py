@@ -314,18 +314,21 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest
         at = model.route(tree, lambda k: F.lit(k.id)) if tree else F.lit(0)
         here = work.withColumn("_node", at)
         here = here.where(F.col("_node").isin(ids)) if tree else here
-        got = fold_histogram(here, {str(i): f"_b{i}" for i in range(len(features))}, "_node", "_fold", "_g", "_h").toArrow()
+        got = fold_histogram(here, {str(i): f"_b{i}" for i in range(len(features))}, "_node", "_fold", "_g", "_h", () if tree else ("_l",)).toArrow()
         out = {i: np.zeros((len(features), widest, FOLDS, 3)) for i in ids}
         c = {k: got.column(k).to_numpy() for k in got.column_names}
         f = c["feature"].astype(int)
         for i in ids:
             m = c["node"] == i
             out[i][f[m], c["bin"][m], c["fold"][m]] = np.stack([c["g"][m], c["h"][m], c["n"][m].astype(float)], axis=1)
+        if not tree:
+            losses.append(float(np.nansum(c["_l"][f == 0].astype(float))))
         return out
 
-    loss = work.agg(F.avg("_l")).first()[0] or 0.0
+    losses: list[float] = []
     hist = histograms([0])[0]
     total = hist[0].sum(axis=0)
+    loss = losses[0] / max(1.0, total[:, 2].sum())
     if not total[:, 2].sum():
         return [], 0.0, loss
 
