@@ -53,7 +53,7 @@ def test_instrument(data):
 def test_policy_treats_who_gains(data):
     d = data.withColumn("o", F.col("w") * F.signum("a") + F.lit(0.01))
     for robust in (False, True):
-        m = causal.policy_learner(d, ["a"], "w", "o", BIN, robust)
+        m = causal.policy_learner(d, ["a"], "w", "o", BIN, robust, BIN, REG)
         agree = F.avg(((m.raw_score() > 0) == (F.col("a") > 0)).cast("int"))
         assert d.agg(agree).first()[0] > 0.8
 

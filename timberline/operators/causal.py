@@ -121,11 +121,11 @@ def dml(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, f
     return m, {"ate": r["ate"], "se": se, "se_reference": r["sd"] / n**0.5, "low": r["ate"] - 1.96 * se, "high": r["ate"] + 1.96 * se}
 
 
-def policy_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = BINARY, doubly_robust: bool = False) -> Model:
+def policy_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = BINARY, doubly_robust: bool = False, propensity: Config = BINARY, outcome: Config = REGRESSION) -> Model:
     """Whom to treat: a positive score. Propensity and, for the doubly robust form, outcome models are fitted first."""
     check_treatment(df, w)
-    p = sigmoid(fit(df, x, w, BINARY).raw_score())
-    mu = [fit(df.where(F.col(w) == k), x, y, REGRESSION).raw_score() if doubly_robust else None for k in (1, 0)]
+    p = sigmoid(fit(df, x, w, propensity).raw_score())
+    mu = [fit(df.where(F.col(w) == k), x, y, outcome).raw_score() if doubly_robust else None for k in (1, 0)]
     d = cut_lineage(df.withColumn("_gamma", policy_target(F.col(y), F.col(w), p, *mu)), "policy")
     return fit(d, x, "_gamma", cfg, columns=lambda _y, s, _w: policy(F.col("_gamma"), s), start=Model(list(x), "Policy", 0.0, 10.0**-cfg.budget))
 

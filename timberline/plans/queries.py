@@ -266,6 +266,15 @@ def node_totals(spark, sf_dir):
     return histogram.node_totals(_hist(spark, sf_dir)).select("node", F.round("g", 4).alias("g"), F.round("h", 4).alias("h"), "n")
 
 
+@query(f"""WITH {HIST}, b AS (SELECT node, feature, bin, sum(g) AS bg, sum(h) AS bh FROM hist GROUP BY ALL),
+pr AS (SELECT *, (1 + coalesce(sum(CASE WHEN bin <> 0 AND bh > 0 THEN bh END) OVER w, 0)) / greatest(coalesce(sum(CASE WHEN bin <> 0 AND bh > 0 THEN 1 END) OVER w, 1), 1) AS s, coalesce(sum(CASE WHEN bin <> 0 AND bh > 0 THEN bg END) OVER w / sum(CASE WHEN bin <> 0 AND bh > 0 THEN bh END) OVER w, 0) AS m FROM b WINDOW w AS (PARTITION BY node, feature)),
+fo AS (SELECT pr.*, CASE WHEN bh - coalesce(h.h, 0) > 0 THEN (bg - coalesce(h.g, 0) + s * m) / (bh - coalesce(h.h, 0) + s) END AS o, CASE WHEN coalesce(h.h, 0) > 0 THEN h.g / h.h ELSE m END AS held FROM pr CROSS JOIN range(5) f(j) LEFT JOIN hist h ON h.node = pr.node AND h.feature = pr.feature AND h.bin = pr.bin AND h.fold = f.j)
+SELECT node, feature, bin, round(coalesce(avg(o) * (0.55 / (1 + stddev_pop(o) / (abs(avg(o)) + 1e-6)) + 0.45 * avg(CASE WHEN o IS NOT NULL THEN 1 / (1 + abs(held - o) / (abs(o) + 1e-3)) END)) * any_value(bh) / (any_value(bh) + 0.35 * greatest(any_value(s), 1)), 0), 6) AS ordered,
+  round(any_value((bg + s * m) / (bh + s)), 6) AS posterior, round(any_value(((bg + s * m) / (bh + s) - m) * sqrt(bh) / (sqrt(bh) + sqrt(greatest(s, 1)))), 6) AS lift, 'ordered' AS mode FROM fo GROUP BY node, feature, bin""")
+def category_scores(spark, sf_dir):
+    return histogram.category_scores(_hist(spark, sf_dir)).select("node", "feature", "bin", *[F.round(c, 6).alias(c) for c in ("ordered", "posterior", "lift")], "mode")
+
+
 # ranks of splits: fold weights and gains made of a line's columns
 
 _SPLITS = f"""(SELECT l_orderkey, l_linenumber, gain, gen, n, d, nl, nr, (CASE WHEN ml > 0 THEN least(1.0, greatest(0.5, 1 / (1 + sqrt(vl) / (ml + 1e-6)))) ELSE 1.0 END + CASE WHEN mr > 0 THEN least(1.0, greatest(0.5, 1 / (1 + sqrt(vr) / (mr + 1e-6)))) ELSE 1.0 END) / 2 AS st, el + er AS en FROM (
@@ -362,6 +371,31 @@ def partial_dependence(spark, sf_dir):
     return spark.createDataFrame(explain.partial_dependence(MODEL, "price", [None, *grid]), "value double, score double")
 
 
+# a split with a branch of its own for missing values
+
+THREE_WAY = Model(["price", "priority"], "SquaredLoss", 0.0, 1.0, [[_n(0, -1, 0, 0.0, 100, feature=0, value=150000.0, left=1, right=2, missing=3, gain=5.0), _n(1, 0, 1, 0.4, 50), _n(2, 0, 1, -0.3, 35), _n(3, 0, 1, 0.1, 15, feature=1, value=3.0, left=4, right=5, missing=6, gain=1.0), _n(4, 3, 2, 0.15, 8), _n(5, 3, 2, 0.05, 6), _n(6, 3, 2, 0.0, 1)]])
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority FROM orders),
+l AS (SELECT CASE WHEN price < 150000 THEN 1 WHEN price IS NOT NULL THEN 2 WHEN priority < 3 THEN 4 WHEN priority IS NOT NULL THEN 5 ELSE 6 END AS leaf FROM r)
+SELECT leaf, count(*) AS n, round(CAST(CASE leaf WHEN 1 THEN 0.4 WHEN 2 THEN -0.3 WHEN 4 THEN 0.15 WHEN 5 THEN 0.05 ELSE 0 END AS DOUBLE), 6) AS score FROM l GROUP BY leaf""")
+def route_missing_branch(spark, sf_dir):
+    leaf = THREE_WAY.route(THREE_WAY.trees[0], lambda n: F.lit(n.id))
+    return _orders(spark, sf_dir).groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n"), F.round(F.max(THREE_WAY.raw_score()), 6).alias("score"))
+
+
+_PS = [f"1 / (1 + exp(-(l_quantity - 25) / {d}))" for d in ("20.0", "-30.0", "40.0")]
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, {", ".join(f"{p} AS p{i}" for i, p in enumerate(_PS))} FROM lineitem), q AS (SELECT *, {", ".join(f"p{i} / power(1 - p{i}, 0.25) / power({r}, 0.25) AS q{i}" for i, r in enumerate((0.5, 0.3, 0.2)))} FROM p)
+SELECT l_orderkey, l_linenumber, {", ".join(f"round(q{i} / (q0 + q1 + q2), 6) AS class{i}" for i in range(3))} FROM q""")
+def class_probabilities(spark, sf_dir):
+    """Probabilities of three classes from those of each against the rest, corrected for odds and priors."""
+    d = read_table(spark, sf_dir, "lineitem")
+    ps = multi.normalised(F.array(*[P.sigmoid((F.col("l_quantity").cast("double") - 25) / k) for k in (20.0, -30.0, 40.0)]), [0.5, 0.3, 0.2])
+    return d.select("l_orderkey", "l_linenumber", ps.alias("ps")).select("l_orderkey", "l_linenumber", *[F.round(F.get("ps", i), 6).alias(f"class{i}") for i in range(3)])
+
+
 # metrics
 
 SCORED = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, round(o_totalprice / 3e5 - 0.5, 2) AS s, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS r, 1 + o_orderkey % 3 AS w FROM orders) t"
@@ -524,3 +558,114 @@ def uplift_t_learner(spark, sf_dir):
     d = _events(spark, sf_dir).withColumn("row_id", F.col("event_id")).withColumn("user", F.col("user_id").cast("double"))
     effect = causal.t_learner(d, ["value", "user"], "w", "y", Config("SquaredLoss", iterations=2, max_bin=16, max_nodes=7))
     return d.groupBy("event_type").agg(F.round(F.avg(effect), 6).alias("effect"))
+
+
+# models and estimators over whole tables; tests hold their invariants
+
+TINY = Config("SquaredLoss", budget=0.3, iterations=2, max_bin=16, max_nodes=7)
+TINY_BINARY = Config("LogLoss", budget=0.3, iterations=2, max_bin=16, max_nodes=7)
+
+
+def _treated(spark, sf_dir) -> DataFrame:
+    return _events(spark, sf_dir).withColumns({"row_id": F.col("event_id"), "user": F.col("user_id").cast("double"), "w": F.col("w").cast("int")})
+
+
+def _mean_effect(name: str, make):
+    def run(spark, sf_dir):
+        d = _treated(spark, sf_dir)
+        return d.groupBy("event_type").agg(F.round(F.avg(make(d)), 6).alias("effect"))
+
+    run.__name__ = name
+    query()(run)
+
+
+for _name, _make in {
+    "effect_s_learner": lambda d: causal.s_learner(d, ["value"], "w", "y", TINY),
+    "effect_x_learner": lambda d: causal.x_learner(d, ["value"], "w", "y", TINY, TINY_BINARY),
+    "effect_dr_learner": lambda d: causal.dr_learner(d, ["value"], "w", "y", TINY, TINY_BINARY),
+    "effect_r_learner": lambda d: causal.r_learner(d, ["value"], "w", "y", TINY, TINY_BINARY).raw_score(),
+    "effect_policy": lambda d: (causal.policy_learner(d, ["value"], "w", "y", TINY_BINARY, propensity=TINY_BINARY).raw_score() > 0).cast("double"),
+}.items():
+    _mean_effect(_name, _make)
+
+
+@query()
+def effect_double_learning(spark, sf_dir):
+    """The average effect with both standard errors and its interval."""
+    _, ate = causal.dml(_treated(spark, sf_dir), ["value"], "w", "y", TINY)
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in ate.values())], [f"{k}" for k in ate])
+
+
+@query()
+def effect_instrument(spark, sf_dir):
+    """Outcomes were the treatment set to 0 and to 1, by two stages."""
+    d = _treated(spark, sf_dir)
+    _, second = causal.iv(d, ["value"], ["user"], "w", "y", TINY)
+    parts = [causal.iv_at(d, second, v).agg(F.lit(v).alias("treatment"), F.round(F.avg("outcome"), 6).alias("outcome")) for v in (0.0, 1.0)]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def fit_fair(spark, sf_dir):
+    """Mean probability by group under a parity penalty."""
+    d = _orders(spark, sf_dir).withColumn("s", (F.col("priority") <= 2).cast("int"))
+    m = causal.fair_classifier(d, ["price", "s"], "y", "s", TINY_BINARY)
+    return d.groupBy("s").agg(F.round(F.avg(P.sigmoid(m.raw_score())), 6).alias("probability"))
+
+
+@query()
+def fit_classes_shared(spark, sf_dir):
+    """Order status by trees that all classes share: how often each class is meant and found."""
+    d = _orders(spark, sf_dir)
+    m = multi.fit_shared(d, ["price", "priority"], "o_orderstatus", TINY_BINARY)
+    return d.groupBy("o_orderstatus", m.predict().alias("predicted")).agg(F.count("*").alias("n"))
+
+
+@query()
+def fit_ranker(spark, sf_dir):
+    """List-wise ranking of a customer's orders by urgency."""
+    from timberline.operators.estimators import Ranker
+
+    d = _orders(spark, sf_dir).withColumn("relevance", 5 - F.col("priority"))
+    m = Ranker(["price"], TINY_BINARY).fit(d, "relevance", "o_custkey")
+    return M.ndcg(m.predict(d, "s"), "o_custkey", "relevance", "s", "row_id").select(F.round("ndcg", 6).alias("ndcg"))
+
+
+@query()
+def fit_missing_branch(spark, sf_dir):
+    """Nodes of a model whose splits have a branch of their own for missing values."""
+    d = _orders(spark, sf_dir)
+    m = fit(d, ["price", "priority"], "y", Config("LogLoss", budget=0.3, iterations=2, max_bin=16, max_nodes=9, missing_branch=True))
+    return m.table(spark).select("tree_id", "node_id", "split_feature", "left", "right", "missing", "count")
+
+
+@query()
+def intervals_conformal(spark, sf_dir):
+    """Coverage of conformal quantile regression, by a sample held out of its fit."""
+    from timberline.operators.sampling import split_rows
+
+    d = _orders(spark, sf_dir).withColumn("t", F.col("price") / 1e5).where("t is not null")
+    train, held = split_rows(d, 0.7, "row_id")
+    pair = calibrate.fit_quantile_pair(train, held, ["priority"], "t", 0.2, TINY)
+    return held.select("t", pair.interval().alias("i")).agg(F.round(F.avg(F.col("t").between(F.col("i.low"), F.col("i.high")).cast("int")), 6).alias("coverage"))
+
+
+@query()
+def predict_draws(spark, sf_dir):
+    """Four draws of each order's score."""
+    return MODEL.with_draws(_orders(spark, sf_dir), 4, "o_orderkey").select("o_orderkey", "draws")
+
+
+@query()
+def prune_model(spark, sf_dir):
+    """The nodes that each way of pruning keeps of the fixed model."""
+    d = _orders(spark, sf_dir)
+    kinds = ("BottomUp", "TopDown", "Statistical")
+    return spark.createDataFrame([(k, sum(len(t) for t in D.prune(Model.from_json(MODEL.to_json()), d, "y", k).trees)) for k in kinds], "kind string, nodes int")
+
+
+@query()
+def refresh_model(spark, sf_dir):
+    """The fixed model's leaf weights after a batch of orders."""
+    m = D.refresh(Model.from_json(MODEL.to_json()), _orders(spark, sf_dir), "y")
+    return m.table(spark).where("is_leaf").select("tree_id", "node_id", F.round("weight", 6).alias("weight"), "count")
