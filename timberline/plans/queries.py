@@ -52,7 +52,7 @@ FORMULAS = {
 }
 LOG_MEAN = "ln(sum({y} * w) / sum(w))"
 MEAN = "sum({y} * w) / sum(w)"
-INITIAL = {"SquaredLoss": MEAN, "MapeLoss": MEAN, "FairLoss": MEAN, "PoissonLoss": LOG_MEAN, "GammaLoss": LOG_MEAN, "TweedieLoss": LOG_MEAN, "SquaredLogLoss": "exp(sum(ln(1 + {y}) * w) / sum(w)) - 1", "HingeLoss": "sign(sum((2 * {y} - 1) * w))"} | {k: "ln(sum({y} * w) / (sum(w) - sum({y} * w)))" for k in ("LogLoss", "BrierLoss", "CrossEntropyLoss", "CrossEntropyLambdaLoss")} | {k: "quantile_disc({y}, 0.5)" for k in ("QuantileLoss", "HuberLoss", "AbsoluteLoss")}
+INITIAL = {"SquaredLoss": MEAN, "MapeLoss": MEAN, "FairLoss": MEAN, "PoissonLoss": LOG_MEAN, "GammaLoss": LOG_MEAN, "TweedieLoss": LOG_MEAN, "SquaredLogLoss": "exp(sum(ln(1 + {y}) * w) / sum(w)) - 1", "HingeLoss": "CAST(sign(sum((2 * {y} - 1) * w)) AS DOUBLE)"} | {k: "ln(sum({y} * w) / (sum(w) - sum({y} * w)))" for k in ("LogLoss", "BrierLoss", "CrossEntropyLoss", "CrossEntropyLambdaLoss")} | {k: "quantile_disc({y}, 0.5)" for k in ("QuantileLoss", "HuberLoss", "AbsoluteLoss")}
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -283,17 +283,22 @@ _SPLITS = f"""(SELECT l_orderkey, l_linenumber, gain, gen, n, d, nl, nr, (CASE W
     [CAST(l_discount AS DOUBLE), l_tax, 0.01, l_quantity / 100, 0.05] AS a, [-CAST(l_tax AS DOUBLE), 0.02, l_discount, -0.03, l_quantity / 50] AS b FROM lineitem)))"""
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, round(st, 6) AS stability, round(least(1.0, greatest(0.98, 1.0 - 0.01 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)), 6) AS floor_numeric,
-  round(least(1.0, greatest(0.984, 0.99 + 0.004 * (1 - st) - 0.006 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)), 6) AS floor_category,
-  round(gain * (0.92 + 0.08 * st) * power(least(1.05, greatest(gen, 1.0)), 0.1), 5) AS rank_numeric,
-  round(gain * (0.75 + 0.25 * st) * power(least(1.12, greatest(gen, 0.99 + 0.004 * (1 - st))), 0.3) / (1 + 0.02 * en), 5) AS rank_category,
-  round(CASE WHEN least(nl, nr) / (nl + nr) >= 0.12 OR least(nl, nr) >= 96 THEN 1.0 ELSE 0.9 + 0.1 * least(1.0, least(sqrt(least(nl, nr) / (nl + nr) / 0.12), sqrt(least(nl, nr) / 96))) END, 6) AS balance FROM {_SPLITS}""")
+RANKED = ("stability", "floor_numeric", "floor_category", "rank_numeric", "rank_category", "balance")
+
+
+@query(f"""WITH r AS (SELECT l_linenumber, st AS stability, least(1.0, greatest(0.98, 1.0 - 0.01 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)) AS floor_numeric,
+  least(1.0, greatest(0.984, 0.99 + 0.004 * (1 - st) - 0.006 * (1 - least(n, 2048) / 2048) * (0.5 + 0.5 * least(d, 3) / 3) * st)) AS floor_category,
+  gain * (0.92 + 0.08 * st) * power(least(1.05, greatest(gen, 1.0)), 0.1) AS rank_numeric,
+  gain * (0.75 + 0.25 * st) * power(least(1.12, greatest(gen, 0.99 + 0.004 * (1 - st))), 0.3) / (1 + 0.02 * en) AS rank_category,
+  CASE WHEN least(nl, nr) / (nl + nr) >= 0.12 OR least(nl, nr) >= 96 THEN 1.0 ELSE 0.9 + 0.1 * least(1.0, least(sqrt(least(nl, nr) / (nl + nr) / 0.12), sqrt(least(nl, nr) / 96))) END AS balance FROM {_SPLITS})
+SELECT l_linenumber, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}" for c in RANKED)} FROM r GROUP BY l_linenumber""")
 def split_ranks(spark, sf_dir):
     c = lambda name: F.col(name).cast("double")
     d = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (c("l_extendedprice") / 1e3).alias("gain"), (0.9 + c("l_tax") * 4).alias("gen"), F.col("l_partkey").alias("n"), (F.col("l_linenumber") - 1).alias("d"), c("l_quantity").alias("nl"), c("l_partkey").alias("nr"), F.array(c("l_discount"), c("l_tax"), F.lit(0.01), c("l_quantity") / 100, F.lit(0.05)).alias("a"), F.array(-c("l_tax"), F.lit(0.02), c("l_discount"), F.lit(-0.03), c("l_quantity") / 50).alias("b"))
     st, gain, gen, a, b = P.split_stability(F.col("a"), F.col("b")), F.col("gain"), F.col("gen"), F.col("a"), F.col("b")
-    floor = lambda cat: F.round(P.generalization_floor(st, F.col("d"), F.col("n"), cat), 6)
-    return d.select("l_orderkey", "l_linenumber", F.round(st, 6).alias("stability"), floor(False).alias("floor_numeric"), floor(True).alias("floor_category"), F.round(P.split_rank(gain, gen, a, b), 5).alias("rank_numeric"), F.round(P.split_rank(gain, gen, a, b, True), 5).alias("rank_category"), F.round(P.sparse_balance(F.col("nl"), F.col("nr")), 6).alias("balance"))
+    floor = lambda cat: P.generalization_floor(st, F.col("d"), F.col("n"), cat)
+    columns = (st, floor(False), floor(True), P.split_rank(gain, gen, a, b), P.split_rank(gain, gen, a, b, True), P.sparse_balance(F.col("nl"), F.col("nr")))
+    return d.groupBy("l_linenumber").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(name) for name, c in zip(RANKED, columns)])
 
 
 # a fixed model of three trees over orders: numeric split, category split, missing branch
