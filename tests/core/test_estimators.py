@@ -41,6 +41,16 @@ def test_two_classes(data):
     assert m.set_params(max_bin=16).get_params()["max_bin"] == 16
 
 
+def test_rows_without_a_target_are_left_out(data):
+    gaps = data.withColumn("two", F.when(F.col("row_id") % 5 != 0, F.col("two")))
+    whole = Classifier(["a"], SMALL).fit(gaps.where("two is not null"), "two")
+    assert Classifier(["a"], SMALL).fit(gaps, "two").to_json() == whole.to_json()
+    with pytest.raises(ValueError):
+        Classifier(["a"], SMALL).fit(data.limit(0), "two")
+    with pytest.raises(ValueError):
+        Regressor(["a"]).fit(data.limit(0), "y")
+
+
 def test_shared_trees(data):
     m = Classifier(["a", "b"], SMALL).fit(data, "three")
     assert m.multi.shared and m.score(data, "three") > 0.8

@@ -55,7 +55,9 @@ class _Estimator:
     coder: Coder | None = None
     model: Model | None = None
 
-    def _coded(self, df: DataFrame) -> tuple[DataFrame, Config]:
+    def _coded(self, df: DataFrame, y: str) -> tuple[DataFrame, Config]:
+        """Rows with a target, coded; the parameters with the categories named."""
+        df = df.where(F.col(y).isNotNull())
         self.coder = Coder.of(df, self.features, self.categorical, self.max_cat)
         return self.coder.transform(df), replace(self.config, categorical=list(self.coder.maps))
 
@@ -87,7 +89,7 @@ class Regressor(_Estimator):
 
     def fit(self, df: DataFrame, y: str) -> Regressor:
         """Adaptive Huber's delta is an order statistic of residuals, taken anew each round."""
-        d, cfg = self._coded(df)
+        d, cfg = self._coded(df, y)
         frame = None
         if cfg.objective == "AdaptiveHuberLoss":
 
@@ -116,7 +118,7 @@ class Classifier(_Estimator):
     multi: MultiModel | None = None
 
     def fit(self, df: DataFrame, y: str) -> Classifier:
-        d, cfg = self._coded(df)
+        d, cfg = self._coded(df, y)
         self.classes = classes_of(df, y)
         if len(self.classes) < 2:
             raise ValueError("a classifier needs two classes")
@@ -170,7 +172,7 @@ class Ranker(_Estimator):
     def fit(self, df: DataFrame, y: str, group: str) -> Ranker:
         if group not in df.columns:
             raise ValueError("ranking needs groups")
-        d, cfg = self._coded(df)
+        d, cfg = self._coded(df, y)
         names = self.coder.names
         start = Model(list(names), "ListNetLoss", 0.0, 10.0**-cfg.budget)
         self.model = fit(d, names, y, cfg, self.row_id, frame=lambda rows: cut_lineage(listnet(rows, group, y, "_score", cfg.weight), "lists"), start=start)
