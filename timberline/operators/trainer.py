@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
 from timberline.operators.binning import cuts, map_bin
 from timberline.operators.histogram import FOLDS, fold_histogram
+from timberline.operators import schedule as S
+from timberline.operators.sampling import split_rows
 from timberline.operators.tree import Model, Node
 from timberline.sources.tables import cut_lineage
 
@@ -34,6 +36,10 @@ class Config:
 
     With missing_branch a split gives missing values a child of their own, which is split further unless missing_splits
     is off or the feature is in end_missing; missing_treatment sets its weight.
+
+    ``refine`` gives leaves that many Newton steps in all; ``damp`` shrinks trees that generalise worse than those before;
+    ``holdout`` is a share of rows that no tree sees and by which the number of trees is chosen. ``scheduled`` takes step,
+    ridge, rounds, sample and refinement from the data's shape: iterations stays the most, other fields give way.
     """
 
     objective: str | Objective = "LogLoss"
@@ -53,10 +59,14 @@ class Config:
     end_missing: list[str] = field(default_factory=list)
     linear_head: bool = True
     subsample: float = 1.0
+    refine: int = 1
+    damp: bool = False
+    holdout: float = 0.0
+    scheduled: bool = False
     seed: int = 0
 
     def __post_init__(self):
-        if self.budget <= 0 or not 2 <= self.max_bin <= 65535 or not 0 < self.subsample <= 1 or self.iterations < 0:
+        if self.budget <= 0 or not 2 <= self.max_bin <= 65535 or not 0 < self.subsample <= 1 or self.iterations < 0 or self.refine < 1 or not 0 <= self.holdout < 1:
             raise ValueError("a parameter is out of range")
         if self.missing_treatment not in TREATMENTS:
             raise ValueError(f"unknown missing treatment {self.missing_treatment}")
@@ -224,19 +234,28 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     """
     cfg = cfg or Config()
     obj = cfg.objective if isinstance(cfg.objective, Objective) else objective(cfg.objective)
+    held, least, eta = None, 1, 10.0**-cfg.budget
+    if cfg.scheduled:
+        plan = S.schedule(cfg.budget, obj, df.count(), len(features), len(cfg.categorical), bool(cfg.monotone))
+        cfg = replace(cfg, ridge=plan.ridge, iterations=min(cfg.iterations, plan.iterations), stopping_rounds=plan.stopping_rounds, subsample=plan.subsample, refine=plan.refine)
+        least, eta = max(1, plan.least_trees), plan.eta
+    if cfg.holdout:
+        if frame:
+            raise ValueError("rows can't be held out of objectives over groups")
+        df, held = split_rows(df, 1 - cfg.holdout, row_id, cfg.seed - 1)
     w = F.lit(1.0) if cfg.weight is None else F.col(cfg.weight).cast("double")
     make = columns or obj.columns
     if start is None:
         first = df.select(F.col(y).cast("double").alias("y"), w.alias("w")).agg(obj.initial(F.col("y"), F.col("w"))).first()[0]
         if first is None or first in (float("inf"), float("-inf")):
             raise ValueError("the target has no rows or a single class")
-        model = Model(list(features), obj.name, 0.0 if columns else float(first), 10.0**-cfg.budget)
+        model = Model(list(features), obj.name, 0.0 if columns else float(first), eta)
     else:
         model = start
         model.head = None  # fitted anew on what the further trees leave
     rows, widest, cut_of, groups = binned(df, features, cfg, row_id)
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
-    idle = 0
+    idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
     for round_ in range(cfg.iterations):
         if frame:
             made = frame(rows)
@@ -246,19 +265,31 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
             work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
-        tree, gained, loss = grow(work, features, cfg, model, widest, cut_of, groups)
+        tree, gained, loss = grow(work, features, cfg, model, widest, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None)
+        first_loss = loss if first_loss is None else first_loss
         if len(tree) < 2:
             idle += 1
             if idle >= cfg.stopping_rounds:
                 break
             continue
+        if cfg.damp:
+            S.rescale(tree, history.multiplier(tree))
+        if cfg.refine > 1 and not (frame or cfg.monotone):
+            S.refine(work, model, tree, cfg.refine - 1, lambda score: make(F.col(y).cast("double"), score, w), cfg.ridge)
+            _treat(tree, cfg.missing_treatment)
+        history.add(tree)
         model.trees.append(tree)
         rows = rows.withColumn("_score", F.col("_score") + model.route(tree, lambda k: F.lit(float(k.weight))))
         if round_ % CUT_EVERY == CUT_EVERY - 1:
             rows = cut_lineage(rows, "fit")
         idle = idle + 1 if gained < 1e-6 * max(loss, 1e-12) else 0
-        if idle >= cfg.stopping_rounds:
+        if idle >= cfg.stopping_rounds or cfg.damp and history.spent(cfg.budget, idle):
             break
+    if held is not None and not frame:
+        whole = len(model.trees)
+        S.best_prefix(model, held.where(F.col(y).isNotNull()), lambda score: make(F.col(y).cast("double"), score, w)["loss"], past + min(least, whole - past))
+        if len(model.trees) < whole:
+            rows = rows.withColumn("_score", model.raw_score())
     if cfg.linear_head and obj.name == "SquaredLoss" and not (columns or frame or cfg.categorical) and cfg.budget >= HEAD_BUDGET and HEAD_FEATURES[0] <= len(features) <= HEAD_FEATURES[1]:
         model.head = linear_head(rows, features, y)
     return model
@@ -307,7 +338,8 @@ def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tupl
     return rows, widest, cut_of, groups
 
 
-def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest: int, cut_of: dict, groups) -> tuple[list[Node], float, float]:
+def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest: int, cut_of: dict, groups, most: Callable[[float], float] | None = None) -> tuple[list[Node], float, float]:
+    """One tree, what it takes off the mean loss, and that loss before it; most(loss) is how much it may."""
     eta, tree = model.eta, []
 
     def histograms(ids: list[int]) -> dict[int, np.ndarray]:
@@ -343,7 +375,7 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest
     open_ = {0: _Open(tree[0], hist)}
     heap = [(-float(whole[0] ** 2 / (whole[1] + TINY)), 0)]
     rows, gained = max(whole[2], 1.0), 0.0
-    target = max(loss, 1e-12) * eta * 0.5
+    target = most(loss) if most else max(loss, 1e-12) * eta * 0.5
     while heap and len(tree) < cfg.max_nodes and gained < target:
         _, i = heapq.heappop(heap)
         o = open_[i]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions import metrics as M
 from timberline.functions import objectives as O
 from timberline.functions import primitives as P
-from timberline.operators import binning, calibrate, causal, encode, explain, histogram, multi
+from timberline.operators import binning, calibrate, causal, encode, explain, histogram, multi, schedule
 from timberline.operators import drift as D
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model, Node, importance
@@ -338,6 +338,24 @@ def ensemble_score(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", F.round(MODEL.raw_score(), 6).alias("score"), F.round(MODEL.probability(), 6).alias("probability"))
 
 
+@query(f"WITH {ROUTED}, g AS (SELECT l1 AS leaf, 1 / (1 + exp(-0.1 - s)) AS p, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM z) SELECT CAST(leaf AS INT) AS leaf, round(-sum(p - y) / (sum(p * (1 - p)) + 0.5 + 1e-12), 6) AS step, count(*) AS n FROM g GROUP BY leaf")
+def leaf_steps(spark, sf_dir):
+    """A further Newton step of each leaf of the second tree at the fixed model's scores."""
+    c = O.OBJECTIVES["LogLoss"].columns(F.col("y"), MODEL.raw_score())
+    return schedule.leaf_steps(_orders(spark, sf_dir), MODEL.route(MODEL.trees[1], lambda n: F.lit(n.id)), c["gradient"], c["hessian"], 0.5).withColumn("step", F.round("step", 6))
+
+
+_W0, _W1, _W2 = "CASE l0 WHEN 1 THEN 0.4 ELSE -0.3 END", "CASE l1 WHEN 1 THEN 0.2 WHEN 3 THEN -0.25 ELSE -0.05 END", "CASE l2 WHEN 1 THEN 0.05 ELSE -0.15 END"
+
+
+@query(f"""WITH {ROUTED}, k AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, unnest([0, 1, 2, 3]) AS trees, unnest([CAST(0.1 AS DOUBLE), 0.1 + {_W0}, 0.1 + {_W0} + {_W1}, 0.1 + {_W0} + {_W1} + {_W2}]) AS s FROM z)
+SELECT CAST(trees AS INT) AS trees, round(avg(-(y * ln(1 / (1 + exp(-s))) + (1 - y) * ln(1 - 1 / (1 + exp(-s))))), 6) AS loss, count(*) AS n FROM k GROUP BY trees""")
+def prefix_losses(spark, sf_dir):
+    """The fixed model's mean loss with its first 0, 1, 2 and 3 trees."""
+    d = _orders(spark, sf_dir)
+    return schedule.prefix_losses(MODEL, d, lambda s: O.OBJECTIVES["LogLoss"].columns(F.col("y"), s)["loss"]).withColumn("loss", F.round("loss", 6))
+
+
 @query(f"WITH {ROUTED} SELECT tree_id, node_id, count(*) AS n FROM (SELECT 0 AS tree_id, unnest([0, l0]) AS node_id FROM z UNION ALL SELECT 1, unnest(CASE WHEN l1 = 1 THEN [0, 1] ELSE [0, 2, l1] END) FROM z UNION ALL SELECT 2, unnest([0, l2]) FROM z) GROUP BY ALL")
 def node_visits(spark, sf_dir):
     return D.node_visits(MODEL, _orders(spark, sf_dir))
@@ -552,6 +570,14 @@ def fit_regression(spark, sf_dir):
     return d.groupBy("l_returnflag").agg(F.round(F.avg((F.col("y") - m.raw_score()) ** 2), 6).alias("mse"))
 
 
+@query()
+def fit_scheduled(spark, sf_dir):
+    """A model with a schedule from its data's shape, leaves refined, trees damped and their number chosen by rows held out."""
+    cfg = Config("LogLoss", iterations=3, max_bin=32, max_nodes=15, scheduled=True, damp=True, holdout=0.2)
+    m = fit(_orders(spark, sf_dir), ["price", "priority"], "y", cfg)
+    return m.table(spark).select("tree_id", "node_id", "split_feature", F.round("weight", 6).alias("weight"), "count")
+
+
 @query()
 def drift_score(spark, sf_dir):
     d = _orders(spark, sf_dir)
