@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import metrics
-from timberline.operators import calibrate, explain, multi
-from timberline.operators.estimators import Classifier, Ranker, Regressor
+from timberline.operators import calibrate, encode, explain, multi
+from timberline.operators.estimators import Classifier, Coder, Ranker, Regressor
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
 
@@ -134,3 +134,65 @@ def test_large_models_score_in_batches(spark, data):
     assert k.large and np.allclose([r[0] for r in data.orderBy("row_id").select(k.probabilities()).collect()], k.probabilities_of(x))
     small = multi.MultiModel(["u", "v", "w"], [m, m, m], [0.5, 0.3, 0.2])
     assert np.allclose([r[0] for r in data.orderBy("row_id").select(small.probabilities()).collect()], small.probabilities_of(x))
+
+
+def test_low_support_and_many_categories(spark):
+    low = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2)) for i in range(104)], "row_id bigint, c string, y double")
+    assert Coder.of(low, ["c"], y="y").maps["c"]["how"]["mode"] == "native"
+    many = spark.createDataFrame([(i, f"k{i % 20}", float(i % 3)) for i in range(320)], "row_id bigint, c string, y double")
+    coder = Coder.of(many, ["c"], y="y")
+    codes = {r["c"] for r in coder.transform(many).select("c").collect()}
+    assert coder.maps["c"]["how"]["mode"] == "pooled" and len(codes) <= 5
+
+
+def test_target_means_of_pooled_categories(spark):
+    names = ["common"] * 20 + ["rare_signal"] * 4 + [f"t{i}" for i in range(16)]
+    d = spark.createDataFrame([(i, b, 1.0 if b == "rare_signal" else float(i % 2) / 2) for i, b in enumerate(names)], "row_id bigint, b string, y double")
+    coder = Coder.of(d, ["b"], max_cat=4, y="y")
+    assert coder.names == ["b", "b__target_mean"]
+    score = {r["n"]: r["b__target_mean"] for r in coder.transform(d.withColumn("n", F.col("b"))).collect()}
+    assert score["rare_signal"] > score["common"]
+    out = coder.transform(spark.createDataFrame([(1, None, 0.0), (2, "new", 0.0)], d.schema)).select("b__target_mean").collect()
+    assert all(0 <= r[0] <= 1 for r in out)
+    assert coder.transform(d.limit(0)).count() == 0
+
+
+def test_out_of_fold_means_leave_own_fold_out(spark):
+    """Against NumPy; a row's target never enters its own feature."""
+    rng = np.random.default_rng(3)
+    n = 2400
+    c, y = rng.integers(0, 12, n), rng.integers(0, 2, n).astype(float)
+    d = spark.createDataFrame([(i, f"k{k:02d}", float(t)) for i, (k, t) in enumerate(zip(c, y))], "row_id bigint, c string, y double")
+    coder = Coder.of(d, ["c"], y="y")
+    assert coder.names == ["c", "c__target_mean"]
+    got = np.array([r[0] for r in coder.fit_transform(d, "y", "row_id").orderBy("row_id").select("c__target_mean").collect()])
+    fold, smooth = np.arange(n) % 5, coder.means["c__target_mean"]["smooth"]
+    for i in range(0, n, 97):
+        other = fold != fold[i]
+        same = other & (c == c[i])
+        assert np.isclose(got[i], (y[same].sum() + smooth * y[other].mean()) / (same.sum() + smooth))
+    whole = coder.transform(d).select("c", "c__target_mean").distinct().collect()
+    assert len(whole) == 12
+
+
+def test_crosses_find_what_neither_category_shows(spark):
+    rows = [(i, "ab"[i % 2], "xyz"[(i // 2) % 3], float((i % 2 == 0) == ((i // 2) % 3 == 0)), i % 2 == 0) for i in range(2700)]
+    d = spark.createDataFrame(rows, "row_id bigint, a string, b string, y double, spare boolean")
+    small = Config("LogLoss", budget=0.2, iterations=1, max_bin=8, max_nodes=3)
+    m = Classifier(["a", "b"], small).fit(d.withColumn("t", F.when(F.col("y") > 0, "u").otherwise("v")), "t")
+    assert m.coder.crosses == {"a__x__b": ["a", "b"]} and m.coder.names[:3] == ["a", "b", "a__x__b"]
+    assert m.score(d.withColumn("t", F.when(F.col("y") > 0, "u").otherwise("v")), "t") == 1.0
+    again = Classifier(["a", "b"]).load(m.to_json())
+    gaps = d.limit(6).withColumn("a", F.when(F.col("row_id") > 2, F.col("a")))
+    assert again.predict(gaps).count() == 6 and not Coder.of(d.limit(500), ["a", "b"], y="y").crosses
+    r = Regressor(["a", "b"], Config("SquaredLoss", budget=0.2, iterations=1, max_bin=8, max_nodes=3)).fit(d, "y")
+    assert "a__x__b" in r.coder.maps and r.score(d, "y") > 0.3
+
+
+def test_pairs_are_ranked():
+    of = lambda k, n=5000, mode="native": {"categories": k, "rows": n, "mode": mode}
+    kinds = {"a": of(5), "b": of(5), "c": of(50), "few": of(5, 100), "one": of(1)}
+    pairs = encode.best_pairs(kinds, {"a": 0.3, "b": 0.1, "c": 0.0, "few": 1.0, "one": 1.0})
+    assert pairs[0] == ("a", "b") and len(pairs) == 3 and not any({"few", "one"} & set(p) for p in pairs)
+    pooled = encode.best_pairs({"a": of(5), "b": of(5), "c": of(5, mode="pooled")}, {"a": 0.1, "b": 0.1, "c": 0.1})
+    assert "c" in pooled[0] and encode.best_pairs({}, {}) == []

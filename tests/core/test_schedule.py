@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions.objectives import objective
+from timberline.operators import histogram, trainer
 from timberline.operators import schedule as S
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model, Node
@@ -112,3 +113,23 @@ def test_fits(data):
     for bad in ({"refine": 0}, {"holdout": 1.0}):
         with pytest.raises(ValueError):
             Config(**bad)
+
+
+@pytest.mark.parametrize("bins", [5, 60])
+def test_orders_of_categories(spark, bins):
+    """The driver's statistics are those of the table's, and a second order is tried where there are many categories."""
+    rng = np.random.default_rng(bins)
+    cells = rng.normal(size=(bins, 5, 3))
+    cells[..., 1:] = rng.integers(0, 4, size=(bins, 5, 1)) * np.array([0.2, 1.0])
+    cells[..., 0] *= cells[..., 2] > 0
+    table = [(0, "c", b + 1, j, *map(float, cells[b, j])) for b in range(bins) for j in range(5) if cells[b, j, 2]]
+    hist = spark.createDataFrame(table, "node int, feature string, bin int, fold int, g double, h double, n double")
+    got = {r["bin"]: r for r in histogram.category_scores(hist, 0.1).collect()}
+    scores, mode = histogram.ordering_scores(cells[..., :2], 0.1)
+    assert {r["mode"] for r in got.values()} == {mode}
+    for k, v in scores.items():
+        assert np.allclose([got[b + 1][k] if b + 1 in got else 0.0 for b in range(bins)], v)
+    orders = trainer.category_orders(cells, 0.1)
+    assert len(orders) == (1 if bins == 5 else 2) and all(sorted(o) == sorted(orders[0]) for o in orders)
+    one = trainer.find_split(np.concatenate([np.zeros((1, 5, 3)), cells])[None], True, Config("LogLoss", categorical=["c"], ridge=0.1), ["c"], [0])
+    assert one["cat"] and 0 < one["at"] < bins

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +37,14 @@ def category_map(df: DataFrame, c: str, max_cat: int = 1000) -> tuple[DataFrame,
     support the most frequent have codes of their own and the rest share buckets by their CRC32."""
     counts = category_counts(df, c)
     k, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    threshold = support_threshold(k, rows)
+    threshold, seen = support_threshold(k, rows), {"categories": k, "rows": rows}
     if k <= max_cat and (not k or rows / k >= threshold):
-        return counts.select("category", F.row_number().over(Window.orderBy("category")).alias("code")), {"mode": "native", "buckets": 0, "offset": k + 1}
+        return counts.select("category", F.row_number().over(Window.orderBy("category")).alias("code")), {"mode": "native", "buckets": 0, "offset": k + 1} | seen
     pooled = pool_target(k, rows, max_cat, threshold or 1.0)
     tail = min(pooled, tail_floor(pooled))
     head = min(HEAD, pooled - tail)
     top = counts.orderBy(F.desc("n"), "category").limit(head)
-    return top.select("category", F.row_number().over(Window.orderBy("category")).alias("code")), {"mode": "pooled", "buckets": tail, "offset": head + 1}
+    return top.select("category", F.row_number().over(Window.orderBy("category")).alias("code")), {"mode": "pooled", "buckets": tail, "offset": head + 1} | seen
 
 
 def encode(df: DataFrame, c: str, mapping: DataFrame, how: dict, out: str) -> DataFrame:
@@ -90,8 +93,33 @@ def cross(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(JOIN, a, b))
 
 
+# fixed values: rows and categories from which a category with support has a target mean besides its codes; the most
+# features with which categories are crossed, how many are tried as sources, and how many crosses are kept
+MEAN_ROWS, MEAN_CATEGORIES, CROSS_FEATURES, CROSS_SOURCES, CROSSES = 2048, 10, 64, 6, 3
+# fixed values: what a source without signal still counts, and how much more a pooled one
+CROSS_LEAST, CROSS_POOLED, WIDE = 0.05, 1.15, 128
+
+
+def wants_mean(how: dict) -> bool:
+    """Pooled categories share codes, so their means always help; native ones where there are many with support."""
+    k, n = how["categories"], how["rows"]
+    return how["mode"] == "pooled" or n >= MEAN_ROWS and k >= MEAN_CATEGORIES and n / k >= support_threshold(k, n)
+
+
+def best_pairs(kinds: dict[str, dict], signals: dict[str, float]) -> list[tuple[str, str]]:
+    """Pairs of categories worth crossing: both with signal, and the smaller with many categories. Pure arithmetic on
+    the few numbers known of each, so the pairs of at most six sources are all ranked."""
+    fit_for = [c for c, how in kinds.items() if how["rows"] >= MEAN_ROWS and how["categories"] >= 2]
+    sources = sorted(fit_for, key=lambda c: (-signals[c], -kinds[c]["categories"], c))[:CROSS_SOURCES]
+
+    def worth(pair: tuple[str, str]) -> float:
+        a, b = (kinds[c] for c in pair)
+        strength = math.prod(signals[c] + CROSS_LEAST for c in pair) * math.log1p(min(a["categories"], b["categories"]))
+        return strength * (CROSS_POOLED if "pooled" in (a["mode"], b["mode"]) else 1.0)
+
+    return sorted(combinations(sources, 2), key=lambda p: (-worth(p), p))[:CROSSES]
+
+
 def mean_budget(columns: int) -> int:
     """How many target means a wide binary task keeps."""
-    import math
-
     return max(8, min(16, round(math.sqrt(columns))))

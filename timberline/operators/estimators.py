@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.metrics import ndcg
 from timberline.functions.objectives import adaptive_huber_delta, huber, listnet
-from timberline.operators.encode import category_map, encode
+from timberline.operators.encode import CROSS_FEATURES, MEAN_ROWS, WIDE, best_pairs, category_map, cross, encode, fold_of, full_means, mean_budget, signal_score, support_threshold, target_means, wants_mean
 from timberline.operators.multi import MultiModel, class_weights, fit_classes, fit_shared
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
@@ -19,31 +19,90 @@ from timberline.sources.tables import FeatureSpec, classes_of, cut_lineage
 
 @dataclass
 class Coder:
-    """Numeric features and, for each categorical one, its codes: at most ``max_cat`` rows, joined as a small table."""
+    """Numeric features; for each categorical one and each cross of two, its codes; and target means of some of these.
+
+    Codes and means are at most ``max_cat`` rows a feature (64 a cross), joined as small tables. Crosses and means need a
+    numeric target: means are out of fold in the rows that a model learns from (``fit_transform``), whole at scoring.
+    """
 
     numeric: list[str]
     maps: dict[str, dict] = field(default_factory=dict)
+    crosses: dict[str, list[str]] = field(default_factory=dict)
+    means: dict[str, dict] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, df: DataFrame, features: list[str], categorical: list[str] | str = "auto", max_cat: int = 1000) -> Coder:
+    def of(cls, df: DataFrame, features: list[str], categorical: list[str] | str = "auto", max_cat: int = 1000, y: str | None = None, binary: bool = False) -> Coder:
         spec = FeatureSpec.of(df, features, categorical)
         out = cls(spec.numeric)
         for c in spec.categorical:
-            codes, how = category_map(df, c, max_cat)
-            out.maps[c] = {"codes": [[r["category"], r["code"]] for r in codes.collect()], "how": how}
+            out._map(df, c, max_cat)
+        if y is None or not spec.categorical:
+            return out
+        kinds = {c: m["how"] for c, m in out.maps.items()}
+        signals = {c: _signal(df, c, y, how) for c, how in kinds.items()}
+        for a, b in best_pairs(kinds, signals) if len(features) <= CROSS_FEATURES else []:
+            name = f"{a}__x__{b}"
+            pair = df.select(F.col(y), _crossed(a, b).alias(name))
+            how = category_map(pair, name, min(max_cat, 64))
+            if how[1]["rows"] < MEAN_ROWS or how[1]["categories"] < 2:
+                continue
+            out.crosses[name] = [a, b]
+            out._map(pair, name, min(max_cat, 64), how)
+            signals[name] = _signal(pair, name, y, how[1])
+        chosen = [c for c, m in out.maps.items() if wants_mean(m["how"])]
+        if binary and len(features) >= WIDE:
+            chosen = sorted(chosen, key=lambda c: (-signals[c], c))[: mean_budget(len(features))]
+        if chosen:
+            coded = out._codes(df)
+            for c in chosen:
+                how = out.maps[c]["how"]
+                smooth = max(1.0, support_threshold(how["categories"], how["rows"]))
+                rows = full_means(coded.select(F.coalesce(c, F.lit(0)).alias("bucket"), y), "bucket", y, smooth).collect()
+                prior = coded.agg(F.avg(F.col(y).cast("double"))).first()[0]
+                out.means[f"{c}__target_mean"] = {"of": c, "smooth": smooth, "prior": prior, "means": [[r["bucket"], r["target_mean"]] for r in rows]}
         return out
 
+    def _map(self, df: DataFrame, c: str, max_cat: int, made: tuple[DataFrame, dict] | None = None) -> None:
+        codes, how = made or category_map(df, c, max_cat)
+        self.maps[c] = {"codes": [[r["category"], r["code"]] for r in codes.collect()], "how": how}
+
     @property
     def names(self) -> list[str]:
-        return [*self.numeric, *self.maps]
+        return [*self.numeric, *self.maps, *self.means]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """df with categories as codes; the rest of its columns stay."""
-        FeatureSpec(self.numeric, list(self.maps)).check(df)
+    def _codes(self, df: DataFrame) -> DataFrame:
+        FeatureSpec(self.numeric, [c for c in self.maps if c not in self.crosses]).check(df)
+        df = df.withColumns({name: _crossed(a, b) for name, (a, b) in self.crosses.items()}) if self.crosses else df
         for c, m in self.maps.items():
             df = encode(df, c, df.sparkSession.createDataFrame([tuple(r) for r in m["codes"]], "category string, code int"), m["how"], c)
         return df
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with categories as codes, and crosses and means beside them; the rest of its columns stay."""
+        df = self._codes(df)
+        for name, m in self.means.items():
+            small = df.sparkSession.createDataFrame([tuple(r) for r in m["means"]], f"_bucket int, `{name}` double")
+            df = df.withColumn("_bucket", F.coalesce(m["of"], F.lit(0))).join(small, "_bucket", "left").drop("_bucket")
+            df = df.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit(m["prior"])))
+        return df
+
+    def fit_transform(self, df: DataFrame, y: str, row_id: str) -> DataFrame:
+        """As transform, with the mean of the other folds in place of the whole: a row's own target has no part in it."""
+        df = self._codes(df)
+        for name, m in self.means.items():
+            d = df.withColumns({"_bucket": F.coalesce(m["of"], F.lit(0)), "_mean_fold": fold_of(F.col(row_id))})
+            df = target_means(d, "_bucket", y, "_mean_fold", m["smooth"], name).drop("_bucket", "_mean_fold").withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit(m["prior"])))
+        return df
+
+
+def _crossed(a: str, b: str) -> Column:
+    known = lambda c: F.when(F.col(c).cast("string") != "nan", F.col(c).cast("string"))
+    return cross(known(a), known(b))
+
+
+def _signal(df: DataFrame, c: str, y: str, how: dict) -> float:
+    return signal_score(df, c, y, support_threshold(how["categories"], how["rows"])).first()[0] or 0.0
+
 
 @dataclass
 class _Estimator:
@@ -55,11 +114,12 @@ class _Estimator:
     coder: Coder | None = None
     model: Model | None = None
 
-    def _coded(self, df: DataFrame, y: str) -> tuple[DataFrame, Config]:
-        """Rows with a target, coded; the parameters with the categories named."""
+    def _coded(self, df: DataFrame, y: str, target: str | None = None) -> tuple[DataFrame, Config]:
+        """Rows with a target, coded; the parameters with the categories named. A numeric ``target`` allows crosses and means."""
         df = df.where(F.col(y).isNotNull())
-        self.coder = Coder.of(df, self.features, self.categorical, self.max_cat)
-        return self.coder.transform(df), replace(self.config, categorical=list(self.coder.maps))
+        self.coder = Coder.of(df, self.features, self.categorical, self.max_cat, target, binary=target not in (None, y))
+        coded = self.coder.fit_transform(df, target, self.row_id) if target else self.coder.transform(df)
+        return coded, replace(self.config, categorical=list(self.coder.maps))
 
     def get_params(self) -> dict:
         return asdict(self.config) | {"features": self.features, "categorical": self.categorical, "row_id": self.row_id, "max_cat": self.max_cat}
@@ -89,7 +149,7 @@ class Regressor(_Estimator):
 
     def fit(self, df: DataFrame, y: str) -> Regressor:
         """Adaptive Huber's delta is an order statistic of residuals, taken anew each round."""
-        d, cfg = self._coded(df, y)
+        d, cfg = self._coded(df, y, y)
         frame = None
         if cfg.objective == "AdaptiveHuberLoss":
 
@@ -118,14 +178,14 @@ class Classifier(_Estimator):
     multi: MultiModel | None = None
 
     def fit(self, df: DataFrame, y: str) -> Classifier:
-        d, cfg = self._coded(df, y)
         self.classes = classes_of(df, y)
         if len(self.classes) < 2:
             raise ValueError("a classifier needs two classes")
-        if len(self.classes) > 2:
+        two = len(self.classes) == 2
+        d, cfg = self._coded(df.withColumn("_one", (F.col(y) == self.classes[1]).cast("double")) if two else df, y, "_one" if two else None)
+        if not two:
             self.multi = (fit_shared if self.shared else fit_classes)(d, self.coder.names, y, cfg, self.row_id)
             return self
-        d = d.withColumn("_one", (F.col(y) == self.classes[1]).cast("double"))
         if self.balanced and cfg.weight is None and cfg.objective == "LogLoss":
             of = {r["label"]: r["weight"] for r in class_weights(df.where(F.col(y).isNotNull()), y).collect()}
             d, cfg = d.withColumn("_balance", F.when(F.col("_one") > 0, of[self.classes[1]]).otherwise(of[self.classes[0]])), replace(cfg, weight="_balance")

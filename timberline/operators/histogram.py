@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +119,28 @@ def category_scores(hist: DataFrame, ridge: float = 0.0) -> DataFrame:
     ordered = F.col("mean") * (STEADY * steady + AGREE * F.col("agree")) * h / (h + SHRINK * F.greatest(s, F.lit(1.0)))
     zero = lambda v: F.when(h > 0, F.coalesce(v, F.lit(0.0))).otherwise(0.0)
     return cells.select("node", "feature", "bin", zero(ordered).alias("ordered"), zero(posterior).alias("posterior"), zero(lift).alias("lift"), "mode")
+
+
+def ordering_scores(bins: np.ndarray, ridge: float = 0.0) -> tuple[dict[str, np.ndarray], str]:
+    """category_scores for one node and feature on the driver: bins[bin, fold, (g, h)] without the missing bin."""
+    g, h = bins[..., 0], bins[..., 1]
+    whole_g, whole_h = g.sum(axis=1), h.sum(axis=1)
+    known = whole_h > 0
+    used = int(known.sum())
+    s, total = (1 + whole_h[known].sum()) / max(used, 1), whole_h[known].sum() + ridge
+    m = whole_g[known].sum() / total if total else 0.0
+    thin = (whole_h[known] <= THIN * max(s, 1.0)).sum() / max(used, 1)
+    mode = "ordered" if used < MANY_BINS else "lift" if thin >= LIFT_SHARE else "posterior" if thin >= MEAN_SHARE else "ordered"
+    posterior = (whole_g + s * m) / (whole_h + s + ridge)
+    lift = (posterior - m) * np.sqrt(whole_h) / (np.sqrt(whole_h) + np.sqrt(max(s, 1.0)))
+    rest_g, rest_h = whole_g[:, None] - g, whole_h[:, None] - h
+    has = rest_h > 0
+    n = np.maximum(has.sum(axis=1), 1)
+    mean_of = lambda v: np.where(has, v, 0.0).sum(axis=1) / n
+    out = (rest_g + s * m) / (rest_h + s + ridge)
+    held = np.where(h > 0, g / np.where(h > 0, h + ridge, 1.0), m)
+    mean = mean_of(out)
+    agree = mean_of(1 / (1 + np.abs(held - out) / (np.abs(out) + 1e-3)))
+    steady = 1 / (1 + np.sqrt(mean_of((out - mean[:, None]) ** 2)) / (np.abs(mean) + 1e-6))
+    ordered = mean * (STEADY * steady + AGREE * agree) * whole_h / (whole_h + SHRINK * max(s, 1.0))
+    return {k: np.where(known, v, 0.0) for k, v in {"ordered": ordered, "posterior": posterior, "lift": lift}.items()}, mode

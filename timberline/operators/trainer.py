@@ -14,7 +14,7 @@ from timberline.functions.objectives import Objective, objective
 from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
 from timberline.operators.binning import cuts, map_bin
-from timberline.operators.histogram import FOLDS, fold_histogram
+from timberline.operators.histogram import FOLDS, fold_histogram, ordering_scores
 from timberline.operators import schedule as S
 from timberline.operators.sampling import split_rows
 from timberline.operators.tree import Model, Node
@@ -133,7 +133,7 @@ def _rank(e: dict[str, np.ndarray], cat: bool, sparse: bool) -> np.ndarray:
 def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allowed: list[int], bounds=(-np.inf, np.inf), depth: int = 0) -> dict | None:
     """The best split of a node from hist[feature, bin, fold, (g, h, n)]; bin 0 is missing and goes where more is gained.
 
-    Numeric bins are taken in order, a category's by descending mean. A split must gain, must not go against a
+    Numeric bins are taken in order, a category's by descending mean and, where there are many, by a second statistic. A split must gain, must not go against a
     monotone direction, and, under the root, must hold on all folds and generalise by the floor,
     which is lower for small, deep, stable nodes. Cuts of one feature are ranked by gain, stability and generalization
     together where hessians vary, features by gain.
@@ -142,43 +142,63 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
     name = cfg.objective if isinstance(cfg.objective, str) else cfg.objective.name
     varying = name not in CONSTANT or cfg.weight is not None
     for f in allowed:
-        cat = names[f] in cfg.categorical
         gone, bins = hist[f, 0], hist[f, 1:]
-        order = np.arange(len(bins))
-        if cat:
-            tot = bins.sum(axis=1)
-            order = np.argsort(tot[:, 0] / (tot[:, 1] + 1.0), kind="stable")
-            order = order[tot[order, 2] > 0]
-        pre = np.cumsum(bins[order], axis=0)
-        if len(pre) < 2:
+        cat = names[f] in cfg.categorical
+        for order in category_orders(bins, cfg.ridge) if cat else [np.arange(len(bins))]:
+            s = _best_cut(bins[order], gone, root, cfg, names[f], varying, bounds, depth)
+            if s and (best is None or s["gain"] >= best["gain"]):
+                best = s | {"feature": f, "order": order, "cat": cat}
+    return best
+
+
+def category_orders(bins: np.ndarray, ridge: float = 0.0) -> list[np.ndarray]:
+    """Orders of a category's bins[bin, fold, (g, h, n)] to cut: by mean gradient over hessian and, from SPARSE_BINS bins
+    with rows, also by the ordered statistic, the posterior mean or the lift, whichever histogram.category_scores prefers."""
+    tot = bins.sum(axis=1)
+    with_rows = np.flatnonzero(tot[:, 2] > 0)
+    by = lambda v: with_rows[np.argsort(v[with_rows], kind="stable")]
+    out = [by(tot[:, 0] / (tot[:, 1] + 1.0))]
+    if len(with_rows) >= SPARSE_BINS:
+        scores, mode = ordering_scores(bins[..., :2], ridge)
+        other = by(scores[mode])
+        if not np.array_equal(other, out[0]):
+            out.append(other)
+    return out
+
+
+def _best_cut(bins: np.ndarray, gone: np.ndarray, root: bool, cfg: Config, name: str, varying: bool, bounds, depth: int) -> dict | None:
+    """The best cut of one feature's bins as they are ordered; missing values on the side that gains more, or apart."""
+    best, cat = None, name in cfg.categorical
+    pre = np.cumsum(bins, axis=0)
+    if len(pre) < 2:
+        return None
+    apart = cfg.missing_branch
+    for to_left in (False, True) if gone[:, 2].sum() and not apart else (False,):
+        left = pre[:-1] + gone if to_left else pre[:-1]
+        right = pre[-1] - left if apart else pre[-1] + gone - left
+        e = _evaluate(left, right)
+        good = (e["gain"] > 1e-12) & (e["left"][:, 2] > 0) & (e["right"][:, 2] > 0)
+        if not root:
+            good &= (e["folds"] == FOLDS) & (e["gen"] >= _floor(e["steady"], depth, float(pre[-1][:, 2].sum() + gone[:, 2].sum()), cat))
+        way = cfg.monotone.get(name, 0)
+        wl, wr = (np.clip(-e[s][:, 0] / (e[s][:, 1] + cfg.ridge + TINY), *bounds) for s in ("left", "right"))
+        if way:
+            good &= wl <= wr if way > 0 else wl >= wr
+        if not good.any():
             continue
-        apart = cfg.missing_branch
-        for to_left in (False, True) if gone[:, 2].sum() and not apart else (False,):
-            left = pre[:-1] + gone if to_left else pre[:-1]
-            right = pre[-1] - left if apart else pre[-1] + gone - left
-            e = _evaluate(left, right)
-            good = (e["gain"] > 1e-12) & (e["left"][:, 2] > 0) & (e["right"][:, 2] > 0)
-            if not root:
-                good &= (e["folds"] == FOLDS) & (e["gen"] >= _floor(e["steady"], depth, float(pre[-1][:, 2].sum() + gone[:, 2].sum()), cat))
-            way = cfg.monotone.get(names[f], 0)
-            wl, wr = (np.clip(-e[s][:, 0] / (e[s][:, 1] + cfg.ridge + TINY), *bounds) for s in ("left", "right"))
-            if way:
-                good &= wl <= wr if way > 0 else wl >= wr
+        wm, more = 0.0, 0.0
+        if apart:
+            wm, more = _apart(e, gone.sum(axis=0), wl, wr, cfg, bounds)
+            e["gain"] = e["gain"] + more
+            good &= e["gain"] > 1e-12
             if not good.any():
                 continue
-            wm, more = 0.0, 0.0
+        by = _rank(e, cat, cat and len(bins) >= SPARSE_BINS) if varying else e["gain"]
+        i = int(np.where(good, by, -np.inf).argmax())
+        if best is None or e["gain"][i] >= best["gain"]:
+            best = {"at": i + 1, "missing_left": to_left, "gain": float(e["gain"][i]), "gen": float(e["gen"][i]), "wl": float(wl[i]), "wr": float(wr[i]), "left": left[i], "right": right[i], "way": way}
             if apart:
-                wm, more = _apart(e, gone.sum(axis=0), wl, wr, cfg, bounds)
-                e["gain"] = e["gain"] + more
-                good &= e["gain"] > 1e-12
-                if not good.any():
-                    continue
-            by = _rank(e, cat, cat and len(order) >= SPARSE_BINS) if varying else e["gain"]
-            i = int(np.where(good, by, -np.inf).argmax())
-            if best is None or e["gain"][i] >= best["gain"]:
-                best = {"feature": f, "at": i + 1, "order": order, "cat": cat, "missing_left": to_left, "gain": float(e["gain"][i]), "gen": float(e["gen"][i]), "wl": float(wl[i]), "wr": float(wr[i]), "left": left[i], "right": right[i], "way": way}
-                if apart:
-                    best |= {"missing": gone, "wm": float(np.broadcast_to(wm, wl.shape)[i])}
+                best |= {"missing": gone, "wm": float(np.broadcast_to(wm, wl.shape)[i])}
     return best
 
 
