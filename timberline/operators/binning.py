@@ -63,16 +63,28 @@ def _distinct(df: DataFrame, few: dict[str, int], bins: int) -> dict[str, list[f
     small = [v for v, n in few.items() if n <= 2 * bins + 2]
     if not small:
         return {}
-    row = df.select(*[F.slice(F.sort_array(F.collect_set(_number(v))), 1, 2 * bins + 8).alias(v) for v in small]).first()
+    row = df.select(*[_values(v, bins).alias(v) for v in small]).first()
     return {v: row[v] for v in small if len(row[v]) <= bins + 1}
 
 
+def _values(v: str, bins: int) -> Column:
+    """Sorted distinct values, cut off where there are too many to be bins."""
+    return F.slice(F.sort_array(F.collect_set(_number(v))), 1, 2 * bins + 8)
+
+
 def sketched_cuts(df: DataFrame, values: list[str], bins: int = 256) -> dict[str, list[float]]:
-    """cuts for training: two aggregates that shuffle no values. Distinct values are exact, percentiles are off by at most
-    a hundredth of a bin's rows, which moves a cut to a neighbouring value."""
-    row = df.agg(*[F.approx_count_distinct(_number(v), 0.01).alias(f"n{i}") for i, v in enumerate(values)], *[c.alias(f"p{i}") for i, c in enumerate(_sketched(values, bins))]).first()
-    exact = _distinct(df, {v: row[f"n{i}"] for i, v in enumerate(values)}, bins)
-    return {v: exact[v] if v in exact else sorted(set(row[f"p{i}"] or [])) for i, v in enumerate(values)}
+    """cuts for training: two aggregates that shuffle no values, one to count distinct values and one to take those of
+    features with few and sketch percentiles of those with more. Distinct values are exact, percentiles are off by at
+    most a hundredth of a bin's rows, which moves a cut to a neighbouring value."""
+    few = df.agg(*[F.approx_count_distinct(_number(v), 0.02).alias(v) for v in values]).first().asDict()
+    small = [v for v in values if few[v] <= bins]
+    row = df.agg(*[_values(v, bins).alias(v) for v in small], *[c for v, c in zip(values, _sketched(values, bins)) if v not in small]).first().asDict()
+    return {v: row[v] if v in small and len(row[v]) <= bins + 1 else _thinned(row[v], bins) if v in small else sorted(set(row[v] or [])) for v in values}
+
+
+def _thinned(xs: list[float], bins: int) -> list[float]:
+    """Where an estimate was too low: as many of the distinct values as there are bins, evenly."""
+    return sorted({xs[(i * len(xs) - 1) // bins] for i in range(1, bins + 1)})
 
 
 def map_bin(v: Column, c: list[float]) -> Column:

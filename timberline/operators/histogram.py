@@ -15,11 +15,12 @@ def fold_histogram(df: DataFrame, bins: dict[str, str], node: str = "node", fold
     """(node, feature, bin, fold, g, h, n): sums of gradient and hessian and counts; bins names each feature's bin column.
     Columns named in also are summed too.
 
-    Rows fan out by feature before a hash aggregate, whose partial sums leave at most nodes x features x bins x folds
-    rows a task for the shuffle.
+    Rows fan out by feature before a hash aggregate with numbers as keys, whose partial sums leave at most
+    nodes x features x bins x folds rows a task for the shuffle; names are given to the sums.
     """
-    long = df.select(node, fold, g, h, *also, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(b).alias("bin")) for f, b in bins.items()])).alias("x"))
-    return long.groupBy(F.col(node).alias("node"), F.col("x.feature").alias("feature"), F.col("x.bin").alias("bin"), F.col(fold).alias("fold")).agg(F.sum(g).alias("g"), F.sum(h).alias("h"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in also])
+    long = df.select(F.col(node).alias("node"), F.col(fold).alias("fold"), g, h, *also, F.posexplode(F.array(*[F.col(b).cast("int") for b in bins.values()])).alias("at", "bin"))
+    sums = long.groupBy("node", "at", "bin", "fold").agg(F.sum(g).alias("g"), F.sum(h).alias("h"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in also])
+    return sums.select("node", F.get(F.lit(list(bins)), "at").alias("feature"), "bin", "fold", "g", "h", "n", *also)
 
 
 def subtract(parent: DataFrame, *children: DataFrame) -> DataFrame:

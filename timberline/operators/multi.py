@@ -105,7 +105,7 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
     driver holds leaves x classes squared sums (up to five classes; beyond, the Hessian's diagonal).
     """
     cfg = cfg or Config()
-    df = df.where(F.col(y).isNotNull())
+    df = df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*x, y, row_id]))
     classes = classes_of(df, y)
     k = len(classes)
     priors = class_priors(df, y, classes)

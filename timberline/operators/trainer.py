@@ -273,6 +273,8 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     else:
         model = start
         model.head = None  # fitted anew on what the further trees leave
+    if not (columns or frame):  # these may use any column; all else that a fit reads is named, and no more is written
+        df = df.select(*dict.fromkeys([*features, *model.features, y, row_id, *([cfg.weight] if cfg.weight else [])]))
     rows, widest, cut_of, groups = binned(df, features, cfg, row_id)
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
     idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
