@@ -27,8 +27,10 @@ def brute(v, w, p):
 
 
 @pytest.mark.parametrize("weight", [None, "w"])
-def test_percentiles(data, weight):
+@pytest.mark.parametrize("ordered", [0, binning.ORDERED])
+def test_percentiles(data, weight, ordered, monkeypatch):
     """Buckets of the ordered pass leave no trace, not even where one value has two fifths of the rows."""
+    monkeypatch.setattr(binning, "ORDERED", ordered)
     got = {(r["feature"], r["p"]): r["value"] for r in binning.weighted_percentiles(data, ["a", "b"], PS, weight).collect()}
     pdf = data.toPandas()
     w = pdf.w.to_numpy() if weight else np.ones(len(pdf))
@@ -47,6 +49,8 @@ def test_sketched_cuts(data):
             assert ((low - slack <= i / 16) & (i / 16 <= high + slack)).any()
 
 
-def test_nothing(data):
-    assert binning.weighted_percentiles(data.limit(0), ["a"], PS).count() == 0
+def test_nothing(data, monkeypatch):
+    for ordered in (-1, binning.ORDERED):
+        monkeypatch.setattr(binning, "ORDERED", ordered)
+        assert binning.weighted_percentiles(data.limit(0), ["a"], PS).count() == 0
     assert binning.sketched_cuts(data.limit(0), ["a", "c"], 8) == {"a": [], "c": []}

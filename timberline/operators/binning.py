@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Buckets that an ordered pass over one feature is split into; ranks that a sketch of percentiles keeps for each of its points.
 BUCKETS, RANKS = 64, 100
+#: Distinct values of a feature that one task orders.
+ORDERED = 200_000
 
 
 def _number(v: str) -> Column:
@@ -25,23 +27,27 @@ def _sketched(values: list[str], points: int, ranks: int = RANKS) -> list[Column
 def weighted_percentiles(df: DataFrame, values: list[str], percents: list[float], w: str | None = None) -> DataFrame:
     """(feature, p, value): the least value whose share of cumulative weight reaches p. Exact.
 
-    Equal values are summed before the ordered pass. That pass is split at sketched percentiles, so that no task holds a
-    feature's distinct values: each bucket starts from the weight of those before it, of which there are at most 65 a
-    feature. The result does not depend on where the buckets' bounds lie.
+    Equal values are summed before the ordered pass. Where a feature has over ORDERED distinct values, that pass is split
+    at sketched percentiles, so that a task holds a share of them: each bucket starts from the weight of those before it,
+    of which there are at most 65 a feature. The result is the same either way, wherever the buckets' bounds lie.
     """
     k = F.lit(1.0) if w is None else F.col(w)
-    at = df.agg(*_sketched(values, BUCKETS)).first().asDict()
-    cells = [F.struct(F.lit(v).alias("feature"), map_bin(_number(v), sorted(set(at[v] or []))).alias("bucket"), _number(v).alias("v")) for v in values]
-    long = df.select(k.alias("w"), F.inline(F.array(*cells))).where("v is not null")
-    sums = long.groupBy("feature", "bucket", "v").agg(F.sum("w").alias("w"))
+    long = df.select(k.alias("w"), F.inline(F.array(*[F.struct(F.lit(v).alias("feature"), _number(v).alias("v")) for v in values]))).where("v is not null")
+    sums = long.groupBy("feature", "v").agg(F.sum("w").alias("w"))
     every = Window.partitionBy("feature")
-    before = sums.groupBy("feature", "bucket").agg(F.sum("w").alias("own"))
-    before = before.select("feature", "bucket", F.sum("own").over(every.orderBy("bucket")).alias("upto"), "own", F.sum("own").over(every).alias("total"))
-    up = Window.partitionBy("feature", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = sums.withColumn("inside", F.sum("w").over(up)).join(F.broadcast(before), ["feature", "bucket"])  # at most 65 rows a feature
-    share = (F.col("upto") - F.col("own") + F.col("inside")) / F.nullif("total", F.lit(0.0))
-    reach = inside.withColumn("p", F.explode(F.lit(percents))).where(share >= F.col("p"))
-    return reach.groupBy("feature", "p").agg(F.min("v").alias("value"))
+    upto = lambda by: by.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if max(df.agg(*[F.approx_count_distinct(_number(v)) for v in values]).first()) <= ORDERED:
+        share = F.sum("w").over(upto(every)) / F.nullif(F.sum("w").over(every), F.lit(0.0))
+        shares = sums.select("feature", "v", share.alias("share"))
+    else:
+        at = df.agg(*_sketched(values, BUCKETS, 4)).first().asDict()
+        bucket = F.coalesce(*[F.when(F.col("feature") == v, map_bin(F.col("v"), sorted(set(at[v] or [])))) for v in values])
+        sums = sums.withColumn("bucket", bucket)
+        before = sums.groupBy("feature", "bucket").agg(F.sum("w").alias("own"))
+        before = before.select("feature", "bucket", F.sum("own").over(every.orderBy("bucket")).alias("upto"), "own", F.sum("own").over(every).alias("total"))
+        inside = sums.withColumn("inside", F.sum("w").over(upto(Window.partitionBy("feature", "bucket")))).join(F.broadcast(before), ["feature", "bucket"])  # at most 65 rows a feature
+        shares = inside.select("feature", "v", ((F.col("upto") - F.col("own") + F.col("inside")) / F.nullif("total", F.lit(0.0))).alias("share"))
+    return shares.withColumn("p", F.explode(F.lit(percents))).where("share >= p").groupBy("feature", "p").agg(F.min("v").alias("value"))
 
 
 def cuts(df: DataFrame, values: list[str], bins: int = 256, w: str | None = None) -> DataFrame:
