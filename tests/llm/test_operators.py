@@ -333,6 +333,29 @@ def test_fingerprints(spark, odd, none, docs):
     assert sketch.with_next(sketch.fingerprints(none), ["text"]).count() == 0
 
 
+def test_likeness_of_short_texts(spark, tmp_path):
+    """Against exact containment of shingle sets: texts of 1 to 100 words, copies with another last word among them."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in range(1, 101):
+        words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[n // 3 :] + [f"v{x}" for x in rng.integers(0, 5000, n // 2)])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op8_fingerprint"](spark, str(tmp_path)).collect()}
+
+    def exact(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+        return 1.0 if a == b else len(x & y) / min(len(x), len(y))
+
+    between = 0
+    for i, t in enumerate(texts):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        near = [exact(t, t[: len(t) - half] + after[:half]), exact(t, after)]
+        assert [got[i]["near_edited"], got[i]["near_next"]] == pytest.approx(near), t
+        between += sum(0 < v < 1 for v in near)
+    assert between > 200
+
+
 # packing
 
 

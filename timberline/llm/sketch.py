@@ -1,4 +1,4 @@
-"""Document fingerprints: threshold-scaled sketches of word shingles. DataFrame functions only."""
+"""Document fingerprints: sketches of word shingles under one threshold. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from timberline.llm.common import SPACE, read_table, spread
 
-#: One in so many shingle hashes is kept.
-SCALE = 8
+#: One in so many shingle hashes is kept. At 1 all are, so likeness is exact for short texts too (but for 32-bit collisions).
+SCALE = 1
 SHINGLE = 5
 
 
@@ -27,7 +27,7 @@ def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataF
     one = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get("_wh", i + k) for k in range(SHINGLE)]), 32)
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))))
     kept = F.filter(F.transform(starts, one), lambda h: h < (1 << 32) // scale)
-    return df.withColumn(out, F.array_sort(F.array_distinct(kept))).drop("_wh")
+    return df.withColumn(out, F.sort_array(F.array_distinct(kept))).drop("_wh")
 
 
 def printed(sketch: Column, text: Column) -> Column:
@@ -86,11 +86,13 @@ def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def op8_fingerprint(spark, sf_dir):
     """Every document's fingerprint, that of its edited text, and how like they and the next document's are."""
-    d = with_next(fingerprints(read_table(spark, sf_dir, "documents")), ["text", "sketch"])
+    d = spread(read_table(spark, sf_dir, "documents"), ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
+    d = with_next(d, ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    d = with_sketch(d, "edited", "edited_sketch")
+    for c, out in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):  # after the shuffle: sketches are larger than texts
+        d = with_sketch(d, c, out)
     text, edited = F.col("text"), F.col("edited")
     return d.select(
         "doc_id",
