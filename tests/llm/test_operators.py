@@ -285,6 +285,18 @@ def test_components(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_by_component(spark, docs):
+    """Rows that share a null or repeated doc_id stay where their components differ; which row stays does not hang on order."""
+    a, b, c, d, e = [t for t in docs.values() if len(t) > 500][:5]
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "w"), (2, c, "x"), (4, d, "x"), (4, c, "x"), (4, e, "z"), (4, e, "y"), (9, a, "x"), (None, None, "x"), (None, "", "x")]
+    apart = [simhash.fingerprint(t) for t in (a, b, c, d, e)]
+    assert min((x ^ y).bit_count() for i, x in enumerate(apart) for y in apart[:i]) > simhash.RADIUS
+    for order in (rows, rows[::-1]):
+        kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(3)).collect()]
+        assert Counter(kept) - Counter([(None, None, "x"), (None, "", "x")]) == Counter([(None, a, "x"), (None, b, "w"), (2, c, "x"), (4, d, "x"), (4, e, "y")])
+        assert len(kept) == 6
+
+
 def test_links_at_each_distance(spark):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]

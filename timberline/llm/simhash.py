@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import connected_components, materialize, read_table, spread
+from timberline.llm.common import connected_components, materialize, read_table, spread, whole_row
 
 RADIUS = 4
 SHINGLE = 4
@@ -40,15 +40,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint, signed) of each document."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint, signed) of each document; keyed: also text_hash, the XXH64 of its text."""
+    rows = spread(docs, ["doc_id", "text"])
+    more = ["text_hash"] if keyed else []
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return spread(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.select("*", *[F.xxhash64("text").alias(c) for c in more]).mapInArrow(run, ", ".join(f"{c} bigint" for c in ["doc_id", "fp", *more]))
 
 
 def _signed(x: int) -> int:
@@ -111,10 +113,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each component with its smallest doc_id, all columns; of rows with that doc_id, one."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")).distinct()
-    own = docs.withColumn("_k", F.coalesce("doc_id", F.lit(NO_ID)))
-    return own.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+    """One row of each component, all columns: that of the smallest doc_id (nulls first), then the smallest XXH64 of its
+    text, then the smallest other columns as JSON.
+
+    Components are told apart by fingerprints, never by doc_id, so no row goes for sharing a null or repeated doc_id
+    with a row of another component.
+    """
+    known = materialize(fingerprints(docs, keyed=True).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), "fp", F.col("text_hash").alias("_h")), "simhash-fp")
+    nodes = materialize(known.groupBy("fp").agg(F.min(F.struct("_k", "_h")).alias("least")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp")), "simhash-cc")
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = placed.groupBy("root").agg(F.min("least").alias("least")).select("least._k", "least._h")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    last = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_k"), F.xxhash64(F.col("text").cast("string")).alias("_h"), last.alias("_last"), whole_row(docs))
+    return own.join(kept, ["_k", "_h"], "left_semi").groupBy("_k", "_h").agg(F.min_by("_doc", "_last").alias("_doc")).select("_doc.*")
 
 
 def op7_simhash(spark, sf_dir):
