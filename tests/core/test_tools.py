@@ -1,6 +1,7 @@
 """Exports, samples, conformal pairs, pruning."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,47 @@ def test_prune_kinds(data, kind):
     assert len(m.trees[0]) == 5 and sorted(n.weight for n in m.trees[0] if n.is_leaf) == [-3.0, -0.9, 1.5]
     with pytest.raises(ValueError):
         drift.prune(noisy(), data, "y", "Other")
+
+
+def plain_pava(p, y):
+    """Row by row over sums by p; each row of p's value."""
+    at, inverse = np.unique(p, return_inverse=True)
+    blocks = []
+    for b, n in zip(np.bincount(inverse, y), np.bincount(inverse)):
+        blocks.append([b, n, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [u + v for u, v in zip(blocks[-1], last)]
+    ends = np.cumsum([k for _, _, k in blocks])
+    n = np.bincount(inverse)
+    xs = [float(np.average(at[e - k : e], weights=n[e - k : e])) for e, (_, _, k) in zip(ends, blocks)]
+    return xs, [float(b / n) for b, n, _ in blocks]
+
+
+def test_isotonic_is_exact_for_rare_positives(spark):
+    rng = np.random.default_rng(12)
+    p = rng.random(60_000) * 1.2e-4
+    p[::7] = np.round(p[::7], 6)
+    y = (rng.random(60_000) < 20 * p).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"p": p, "y": y})).unionByName(spark.createDataFrame([(None, 1.0), (0.5, None), (float("nan"), 1.0)], "p double, y double"))
+    xs, ys = calibrate.isotonic(df.repartition(5), "p", "y")
+    want = plain_pava(p, y)
+    at = np.linspace(0, 1.3e-4, 5001)
+    assert len(set(want[1])) > 5 and sorted(set(ys)) == pytest.approx(sorted(set(want[1])), rel=1e-12)
+    assert np.interp(at, xs, ys) == pytest.approx(np.interp(at, *want), rel=1e-6, abs=1e-12)
+    assert len(xs) < 200
+    level = calibrate.isotonic(spark.createDataFrame([(0.1, 0), (0.2, 0), (0.3, 1), (0.4, 1)], "p double, y int"), "p", "y")
+    assert level == ([0.1, 0.2, 0.3, 0.4], [0.0, 0.0, 1.0, 1.0])
+    assert calibrate.isotonic(df.limit(0), "p", "y") == ([], [])
+
+
+def test_classes_are_calibrated(spark, data):
+    d = data.withColumn("z", (F.col("y") > 1).cast("int"))
+    m = fit(d, ["a"], "z", Config("LogLoss", budget=0.5, iterations=2, max_bin=8, max_nodes=5), "row_id")
+    raw = d.select("z", m.probability().alias("p")).toPandas()
+    for method in ("Conformal", *calibrate.METHODS):
+        c = Model.from_json(calibrate.calibrate_classes(Model.from_json(m.to_json()), d, "z", [0.1], method).to_json())
+        got = d.select("z", c.probability(True).alias("p"), c.probability().alias("raw"), calibrate.label_sets(c, 0.1).alias("s")).toPandas()
+        assert np.allclose(got["raw"], raw["p"]) and np.allclose(got["p"], np.interp(raw["p"], *plain_pava(raw["p"].to_numpy(), raw["z"].to_numpy())), atol=1e-9)
+        assert np.mean([z in s for z, s in zip(got["z"], got["s"])]) >= 0.89
+    assert np.allclose(d.select(m.probability(True)).toPandas().iloc[:, 0], raw["p"])

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,17 +124,64 @@ def fit_quantile_pair(train: DataFrame, held: DataFrame, features: list[str], y:
     return QuantilePair(low, high, conformal_shift(d, F.col("low"), F.col("high"), F.col("y"), alpha))
 
 
-def isotonic(df: DataFrame, p: str, y: str, points: int = 4096) -> tuple[list[float], list[float]]:
-    """Thresholds and values of a rising step fit. Rows are summed by probability (rounded to 1/points) in Spark;
-    adjacent violators are pooled over those few sums."""
-    rows = df.groupBy(F.round(F.col(p) * points).cast("int").alias("k")).agg(F.avg(p).alias("x"), F.avg(y).alias("y"), F.count("*").alias("n")).orderBy("k").collect()
-    out: list[list[float]] = []
-    for r in rows:
-        out.append([r["x"] * r["n"], r["y"] * r["n"], float(r["n"])])
-        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
-            last = out.pop()
-            out[-1] = [a + b for a, b in zip(out[-1], last)]
-    return [a / n for a, _, n in out], [b / n for _, b, n in out]
+def pooled(blocks) -> list[tuple]:
+    """Pools adjacent violators among blocks (sum of x, sum of y, rows, first x, last x) in order of x.
+
+    Neighbours of one level become one block that keeps the x of its ends. Pooling parts of the order first and their
+    blocks afterwards gives the same fit.
+    """
+    out: list[tuple] = []
+    for a, b, n, first, last in blocks:
+        while out and out[-1][1] / out[-1][2] > b / n:
+            p = out.pop()
+            a, b, n = a + p[0], b + p[1], n + p[2]
+            first = last = a / n
+        if out and out[-1][1] / out[-1][2] == b / n:
+            p = out.pop()
+            a, b, n, first = a + p[0], b + p[1], n + p[2], p[3]
+        out.append((a, b, n, first, last))
+    return out
+
+
+def isotonic(df: DataFrame, p: str, y: str) -> tuple[list[float], list[float]]:
+    """Thresholds and values of a rising step fit, exact. Rows without p or y are left out.
+
+    Rows are summed by probability, adjacent violators pooled within ranges of it in Spark, and the ranges' blocks pooled
+    again here. A level that several blocks share has two thresholds, its ends: between them the value is the same.
+    """
+
+    def run(frames):
+        blocks: list[tuple] = []
+        for f in frames:
+            blocks = pooled([*blocks, *zip(f["a"], f["b"], f["n"], f["x"], f["x"])])
+        yield pd.DataFrame(blocks, columns=["a", "b", "n", "first", "last"]).astype(float)
+
+    rows = df.select(F.col(p).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and not isnan(x) and y is not null")
+    sums = rows.groupBy("x").agg(F.sum("y").alias("b"), F.count("*").cast("double").alias("n")).select("x", (F.col("x") * F.col("n")).alias("a"), "b", "n")
+    got = sums.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(run, "a double, b double, n double, first double, last double").collect()
+    xs, ys = [], []
+    for _, b, n, first, last in pooled(sorted((tuple(r) for r in got), key=lambda r: r[3])):
+        for x in sorted({first, last}):
+            xs.append(x)
+            ys.append(b / n)
+    return xs, ys
+
+
+def calibrate_classes(model: Model, df: DataFrame, y: str, alphas: list[float], method: str = "Conformal") -> Model:
+    """Fits isotonic steps of the model's probability (for every method), then each alpha's threshold of label sets."""
+    if method not in ("Conformal", *METHODS):
+        raise ValueError(f"unknown method {method}")
+    d = df.where(F.col(y).isNotNull())
+    model.isotonic = list(isotonic(d.select(model.probability().alias("p"), F.col(y).alias("y")), "p", "y"))
+    d = d.select(model.fold_scores().alias("fs"), F.col(y).alias("y"))
+    for a in alphas:
+        model.calibration[str(a)] = [label_threshold(d, F.col("fs"), F.col("y"), a, method)]
+    model.metadata["calibration"] = method
+    return model
+
+
+def label_sets(model: Model, alpha: float) -> Column:
+    return label_set(model.fold_scores(), model.calibration[str(alpha)][0], model.metadata["calibration"])
 
 
 def isotonic_value(p: Column, xs: list[float], ys: list[float]) -> Column:

@@ -52,7 +52,7 @@ class Node:
 
 @dataclass
 class Model:
-    """An additive ensemble: base score, trees (node 0 is the root), features, objective; metadata and calibration."""
+    """An additive ensemble: base score, trees (node 0 is the root), features, objective; metadata, calibration and isotonic steps."""
 
     features: list[str]
     objective: str
@@ -62,6 +62,7 @@ class Model:
     metadata: dict[str, str] = field(default_factory=dict)
     calibration: dict[str, list[float]] = field(default_factory=dict)
     head: dict | None = None
+    isotonic: list[list[float]] | None = None
 
     # sinks and sources
 
@@ -176,8 +177,12 @@ class Model:
             return F.array(*[sum((self.route(t, one(j)) for t in self.trees), F.lit(float(self.base_score))) for j in range(5)])
         return self._udf(lambda x: list(self.base_score + self.leaf_sums(x)[:, 1:]), "array<double>")
 
-    def probability(self) -> Column:
-        """The mean of the folds' sigmoids."""
+    def probability(self, calibrated: bool = False) -> Column:
+        """The mean of the folds' sigmoids; calibrated: by the isotonic steps, where they are fitted."""
+        if calibrated and self.isotonic:
+            from timberline.operators.calibrate import isotonic_value
+
+            return isotonic_value(self.probability(), *self.isotonic)
         if sum(map(len, self.trees)) > NATIVE_NODES:
             return self._udf(lambda x: (1 / (1 + np.exp(-self.base_score - self.leaf_sums(x)[:, 1:]))).mean(axis=1), "double")
         return F.aggregate(F.transform(self.fold_scores(), sigmoid), F.lit(0.0), lambda a, x: a + x) / 5
