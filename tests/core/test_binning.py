@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from timberline.operators import binning
+from timberline.operators.trainer import Config, binned
 
 PS = [0.01, 0.1, 0.5, 0.9, 1.0]
 
@@ -54,3 +55,16 @@ def test_nothing(data, monkeypatch):
         monkeypatch.setattr(binning, "ORDERED", ordered)
         assert binning.weighted_percentiles(data.limit(0), ["a"], PS).count() == 0
     assert binning.sketched_cuts(data.limit(0), ["a", "c"], 8) == {"a": [], "c": []}
+
+
+def test_weights_reach_the_cuts(spark):
+    """Of two classes of equal weight, the rare one has half of the cuts."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(v), 1.0) for i, v in enumerate(rng.random(4000))] + [(4000 + i, float(10 + v), 100.0) for i, v in enumerate(rng.random(40))]
+    df = spark.createDataFrame(rows, "row_id bigint, a double, k double")
+    cuts = binned(df, ["a"], Config(max_bin=16, weight="k"), "row_id")[2]["a"]
+    v = sorted((a, k) for _, a, k in rows)
+    upto = np.cumsum([k for _, k in v]) / 8000
+    assert cuts[1:] == [v[int(np.searchsorted(upto, i / 16))][0] for i in range(1, 17)]
+    assert sum(c > 5 for c in cuts) == 8
+    assert binned(df.limit(0), ["a"], Config(max_bin=16, weight="k"), "row_id")[2]["a"] == [float("-inf")]

@@ -88,6 +88,12 @@ def sketched_cuts(df: DataFrame, values: list[str], bins: int = 256) -> dict[str
     return {v: row[v] if v in small and len(row[v]) <= bins + 1 else _thinned(row[v], bins) if v in small else sorted(set(row[v] or [])) for v in values}
 
 
+def weighted_cuts(df: DataFrame, values: list[str], bins: int, w: str) -> dict[str, list[float]]:
+    """cuts for training on weighted rows: percentiles of weight, exact, so that rare rows of high weight have cuts of their own."""
+    got = {r["feature"]: r["cuts"] for r in cuts(df, values, bins, w).collect()}
+    return {v: got.get(v) or [] for v in values}
+
+
 def _thinned(xs: list[float], bins: int) -> list[float]:
     """Where an estimate was too low: as many of the distinct values as there are bins, evenly."""
     return sorted({xs[(i * len(xs) - 1) // bins] for i in range(1, bins + 1)})

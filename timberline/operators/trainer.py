@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from timberline.functions.objectives import Objective, objective
 from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
-from timberline.operators.binning import map_bin, sketched_cuts
+from timberline.operators.binning import map_bin, sketched_cuts, weighted_cuts
 from timberline.operators.histogram import FOLDS, fold_histogram, ordering_scores
 from timberline.operators import schedule as S
 from timberline.operators.sampling import split_rows
@@ -348,7 +348,8 @@ def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tupl
     """df with a bin column a feature and a fold; the most bins of any; cuts; interaction groups as places of features."""
     numeric = [f for f in features if f not in cfg.categorical]
     # below the first cut is a bin of its own, so that bin 0 is left to missing values
-    cut_of = {f: [float("-inf"), *c] for f, c in sketched_cuts(df, numeric, cfg.max_bin).items()} if numeric else {}
+    found = {} if not numeric else weighted_cuts(df, numeric, cfg.max_bin, cfg.weight) if cfg.weight else sketched_cuts(df, numeric, cfg.max_bin)
+    cut_of = {f: [float("-inf"), *c] for f, c in found.items()}
     top = df.agg(*[F.max(F.col(c).cast("int")).alias(c) for c in cfg.categorical]).first().asDict() if cfg.categorical else {}
     widest = max([len(c) for c in cut_of.values()] + [int(t or 0) + 1 for t in top.values()]) + 1
     if widest > 65536:
