@@ -459,3 +459,15 @@ def test_embeddings(spark):
     for i in root:
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], find(i), find(i) == i), i
     assert embeddings.embedding_components(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_low_rank(spark, monkeypatch):
+    """In many dimensions neighbours may differ in a few directions only; all their links across lists are found."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(256, 4)))[0].T).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in e], 0) for i, e in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "LIST", 32)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_components(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= embeddings.COSINE).sum(axis=1) - 1
+    assert want.sum() > 1000 and got == dict(enumerate(want.tolist()))

@@ -17,8 +17,6 @@ COSINE = 0.98
 SAMPLE, LIST, LISTS, PARTS, WORDS = 8192, 256, 512, 8, 64
 #: Rows of a list that meet in one task, a side.
 SIDE = 4096
-#: How many of its standard deviations a neighbour's shift across a plane may be and still be probed for.
-SHIFTS = 4
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -52,12 +50,11 @@ class Index:
     def assign(self, x: np.ndarray, reach: float):
         """List, probes, codes and quantisation error of each row of x.
 
-        A vector within ``reach`` that lies in another list is on the far side of the plane halfway between that list's
-        centre and this row's. Its shift along the plane's normal is at most reach, and for a direction at random about
-        reach / sqrt(dimension); lists whose plane is nearer than SHIFTS times that (at most reach) are probed.
-        Up to 16 dimensions nothing can be missed; above, one shift in 30,000 at the very edge.
+        Two vectors within ``reach`` of each other in two lists lie on both sides of the plane halfway between the lists'
+        centres, so one of them is within half of reach of it. Each row probes the lists whose plane is as near as that:
+        every pair is met from one side at least, in any dimension.
         """
-        reach = min(reach, SHIFTS * reach / x.shape[1] ** 0.5)
+        reach = reach / 2
         d = (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)
         home = d.argmin(axis=1)
         apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2), 1e-30)) if len(self.centres) <= 64 else None
