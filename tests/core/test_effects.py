@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timberline.functions import metrics as M
 from timberline.operators import calibrate, causal, drift, explain
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
@@ -140,3 +141,25 @@ def test_streams(spark, data, tmp_path):
     hold = {"model": Model.from_json(m.to_json())}
     scorer.refit_batches(stream, ["a"], "y", REG, hold, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert len(hold["model"].trees) > len(m.trees)
+
+
+def test_uplift_ranges_suit_any_score(spark):
+    """Scores within -1..1 spread over tasks, and their curve is that of one ordered pass."""
+    rng = np.random.default_rng(2)
+    y, w, s = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000), np.round(rng.uniform(-1, 1, 4000), 3)
+    df = spark.createDataFrame([(i, int(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(y, w, s))], "row_id bigint, y int, w int, s double")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = M.uplift_curve(df.repartition(4), "y", "w", "s", "row_id").withColumn("task", F.spark_partition_id()).toPandas().sort_values("place")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    order = np.lexsort((np.arange(4000), -s))
+    nt, nc = np.cumsum(w[order]), np.cumsum(1 - w[order])
+    want = (np.cumsum((y * w)[order]) / np.maximum(nt, 1) - np.cumsum((y * (1 - w))[order]) / np.maximum(nc, 1)) * np.arange(1, 4001)
+    assert (got["row_id"].to_numpy() == order).all() and np.allclose(got["value"], want)
+    assert got["task"].value_counts().max() < 1000
+    assert M.uplift_curve(df.limit(0), "y", "w", "s", "row_id").count() == 0

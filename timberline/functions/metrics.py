@@ -59,19 +59,26 @@ def ndcg(df, group, y, score, row_id, k=None, burges=True):
     return per.agg(F.avg(F.when(F.col("ideal") > 0, F.col("dcg") / F.nullif("ideal", F.lit(0.0))).otherwise(0.0)).alias("ndcg"))
 
 
+#: Ranges of scores that uplift curves are ordered in.
+RANGES = 64
+
+
 def uplift_curve(df, y, w, score, row_id, qini=False):
     """Points of the cumulative gain or Qini curve by descending score.
 
     Sums of score ranges come first, so the ordered pass is within a range, offset by the small table of range sums.
+    Ranges are cut at sketched percentiles of the score, whatever its scale; the result is the same wherever they lie.
     """
     d = df.select(_c(y).cast("double").alias("y"), _c(w).cast("double").alias("w"), _c(score).alias("s"), _c(row_id).alias("row_id"))
-    d = d.withColumn("_b", F.floor(F.col("s") / 16).cast("long"))
+    at = d.agg(F.percentile_approx(F.col("s").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    splits = F.lit(sorted({float(x) for x in at if x == x})).cast("array<double>")
+    d = d.withColumn("_b", F.when(F.col("s").isNotNull(), F.size(F.filter(splits, lambda x: x <= F.col("s").cast("double")))))
     sums = {"nt": F.col("w"), "nc": 1 - F.col("w"), "yt": F.col("y") * F.col("w"), "yc": F.col("y") * (1 - F.col("w")), "n": F.lit(1.0)}
     ranges = d.groupBy("_b").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
     before = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("_b", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0.0)).alias(f"_{k}") for k in sums])
     within = Window.partitionBy("_b").orderBy(F.desc("s"), "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.join(ranges, "_b").select("row_id", *[(F.sum(v).over(within) + F.col(f"_{k}")).alias(k) for k, v in sums.items()])
+    d = d.join(F.broadcast(ranges), "_b").select("row_id", *[(F.sum(v).over(within) + F.col(f"_{k}")).alias(k) for k, v in sums.items()])
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(b, F.lit(0.0))).otherwise(0.0)
     if qini:
         value = F.col("yt") - over("yc", "nc") * F.col("nt")
