@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -18,23 +19,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode, else one in the warehouse."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, local mode takes a temporary one; a cluster must name it,
+    since a folder of one machine would lose what the others write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="timberline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_timberline"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths of the tables written by this process and not yet removed.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``materialize`` wrote; frames that read it are spent."""
+    WRITTEN.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes all tables written since there were ``since`` of them: for the end of a job whose results are stored."""
+    for path in WRITTEN[since:]:
+        remove(spark, path)
+
+
+def sampled(key: str, share: float):
+    """Whether a row is in a sample of some share by a hash of its key, of 64 bits, so that no share of a large table
+    rounds to nothing."""
+    return F.xxhash64(key) <= F.lit(min(2**63 - 1, math.ceil(share * 2**64) - 2**63))
+
+
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns alone, those df lacks as nulls; any others, clashing names included, are left out."""
     kinds = {"doc_id": "bigint", "n_chars": "bigint", "vec_id": "bigint", "conv_id": "bigint", "turn": "bigint"}
@@ -46,12 +73,12 @@ def whole_row(df: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
 
 
-def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds. Each is an aggregate with map-side combine and a
-    join on its result, so that a hub's rows can be split; a round's edges go to the shared folder,
-    and only a count and a checksum come to the driver.
+    Alternating large-star and small-star rounds until nothing changes. Each is an aggregate with map-side combine and a
+    join on its result, so that a hub's rows can be split; a round's edges go to the shared folder, those of the round
+    before it are removed, and only a count and a checksum come to the driver.
     """
 
     def checksum(e: DataFrame) -> tuple:
@@ -66,16 +93,12 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
         small = kept.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return small.distinct()
 
+    spark, seen = edges.sparkSession, None
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag)
-    seen = checksum(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    now = checksum(e)
+    while now[0] and now != seen:
+        last, seen = WRITTEN[-1], now
         e = materialize(stars(e), tag)
         now = checksum(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        remove(spark, last)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read_table, spread
+from timberline.llm.common import read_table, sampled, spread
 
 #: Contexts hold up to so many bytes.
 ORDER = 3
-#: Documents of a language that the trees are grown from, about, and bytes of each that count towards them.
-SAMPLE, SAMPLE_BYTES = 1500, 4096
+#: Documents of a language that the trees are grown from, about. All of their texts count.
+SAMPLE = 1500
+#: Bytes that are taken at once; parts overlap by the context, so nothing is lost between them.
+PART = 1 << 18
 PAD = b"\n" * ORDER
 UNKNOWN = "und"
 
@@ -81,17 +83,40 @@ class ContextTrees:
         return out
 
     def index(self) -> None:
-        """A direct way from a gram of four bytes to its row: numbers of byte pairs, then a table of pairs of those."""
+        """A hash table from a gram of four bytes to its row: open addressing, at most a quarter full, so that its size goes
+        with the number of grams alone."""
         keys = self.keys[ORDER]
-        pairs = np.unique(np.concatenate([keys >> np.uint32(16), keys & np.uint32(0xFFFF)]))
-        self.pair = np.zeros(1 << 16, dtype=np.int32)
-        self.pair[pairs] = np.arange(1, len(pairs) + 1)
-        self.side = len(pairs) + 1
-        self.row = np.full(self.side * self.side, -1, dtype=np.int32)
-        self.row[self.pair[keys >> np.uint32(16)] * self.side + self.pair[keys & np.uint32(0xFFFF)]] = np.arange(len(keys))
+        self.bits = max(8, (4 * len(keys) - 1).bit_length())
+        self.row = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.key = np.zeros(1 << self.bits, dtype=np.uint32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(todo):
+            free = self.row[slot] < 0
+            at, first = np.unique(slot[free], return_index=True)
+            self.row[at] = todo[free][first]
+            left = self.row[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & (len(self.row) - 1)
+        used = self.row >= 0
+        self.key[used] = keys[self.row[used]]
         self.top = self.cost[ORDER].astype(np.float32)
 
-    def code_lengths(self, texts: list[bytes], part: int = 1 << 18) -> np.ndarray:
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def rows_of(self, grams: np.ndarray) -> np.ndarray:
+        """Each gram's row, -1 where no tree has it."""
+        slot = self._slot(grams)
+        out = self.row[slot]
+        off = np.flatnonzero((out >= 0) & (self.key[slot] != grams))
+        slot = slot[off]
+        while len(off):
+            slot = (slot + 1) & (len(self.row) - 1)
+            out[off] = self.row[slot]
+            on = (out[off] >= 0) & (self.key[slot] != grams[off])
+            off, slot = off[on], slot[on]
+        return out
+
+    def code_lengths(self, texts: list[bytes], part: int = PART) -> np.ndarray:
         """Bits of each whole text in each language. Long texts go through in parts, which lose no context."""
         out = np.zeros((len(texts), len(self.langs)))
         for i, t in enumerate(texts):
@@ -101,14 +126,13 @@ class ContextTrees:
         return out
 
     def _bits(self, data: np.ndarray) -> np.ndarray:
-        d = data.astype(np.int32)
-        two = self.pair[(d[:-1] << 8) | d[1:]]
-        rows = self.row[two[:-2] * self.side + two[2:]]
+        grams = _grams(data, ORDER)
+        rows = self.rows_of(grams)
         hit = rows >= 0
         n = np.bincount(rows[hit], minlength=0) if len(rows) > 4 * len(self.top) else None
         total = n @ self.top[: len(n)] if n is not None else self.top[rows[hit]].sum(axis=0, dtype=np.float64)
         if not hit.all():
-            total = total + self._back_off(_grams(data, ORDER)[~hit], ORDER).sum(axis=0)
+            total = total + self._back_off(grams[~hit], ORDER).sum(axis=0)
         return total
 
 
@@ -116,24 +140,38 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 != 2
 
 
-def train(docs: DataFrame, where: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees | None:
-    """Trees from about ``sample`` documents of each language among those that meet ``where``, picked by a hash of their ids.
+def train(docs: DataFrame, where: Column, sample: int = SAMPLE) -> ContextTrees | None:
+    """Trees from the whole texts of about ``sample`` documents of each language among those that meet ``where``, picked by a
+    hash of their ids.
 
-    Grams are counted by task and added up by language; what comes to the driver is bounded by the sample's
-    bytes. Only text and lang teach. None if no document has a language.
+    Grams are counted by task, a part of a text at a time, and added up by language in Spark; what comes to the driver is
+    the distinct grams of the sample. Languages are the model's classes: it holds a column for each, so labels that are not
+    languages (thousands of them) don't belong in lang. Only text and lang teach. None if no document has a language.
     """
     docs = spread(docs, ["doc_id", "text", "lang"]).where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {r["lang"]: min(1.0, sample / r["n"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return None
-    rate = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")]).select("lang", "text")
+    least = F.lit(False)
+    for s in set(share.values()):
+        least = least | (F.col("lang").isin([k for k, v in share.items() if v == s]) & sampled("doc_id", s))
+    picked = docs.where(least).select("lang", "text")
 
     def count(batches):
-        parts: dict[str, list[np.ndarray]] = {}
         for b in batches:
+            parts: dict[str, list[np.ndarray]] = {}
+            held = 0
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts.setdefault(lang, []).append(np.frombuffer(PAD + text.encode("utf-8", "surrogatepass")[:sample_bytes], dtype=np.uint8))
+                data = np.frombuffer(PAD + text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                for a in range(0, len(data) - ORDER, PART):
+                    parts.setdefault(lang, []).append(data[a : a + PART + ORDER])
+                    held += PART
+                    if held >= 64 * PART:
+                        yield from counted(parts)
+                        parts, held = {}, 0
+            yield from counted(parts)
+
+    def counted(parts):
         for lang, texts in parts.items():
             for k in range(ORDER + 1):
                 g, n = np.unique(np.concatenate([_grams(t, k) for t in texts]), return_counts=True)
@@ -167,7 +205,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None
 
     def run(batches):
         model = shared.value
-        if not hasattr(model, "row"):
+        if not hasattr(model, "top"):
             model.index()
         for b in batches:
             texts = b.column(place).to_pylist()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import read_table, spread
+from timberline.llm.common import read_table, sampled, spread
 
 #: Labelled documents that teach, at most about; and the shape of the model.
 SAMPLE, ROUNDS, DEPTH, BINS, RATE, RIDGE, LEAST = 24_000, 60, 4, 64, 0.15, 1.0, 8
@@ -115,13 +115,15 @@ def learnable(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SAMPLE) -> Forest:
     """A forest from about ``sample`` labelled documents that meet ``where``, picked by a hash of their ids.
 
-    Only text and quality teach. Their ids are bounded by the sample; texts join on them.
+    Only text and quality teach. Of a doc_id's several labels the greatest counts, of its several texts that of the least
+    statistics, so a repeated id teaches once. The sample's ids, some 24,000 pairs of numbers, are broadcast; statistics are taken
+    of their texts alone.
     """
     known = labels.select("doc_id", "quality").where(where & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    share = min(1.0, sample / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    hashed = spread(docs, ["doc_id", "text"]).where(where & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    rows = with_statistics(hashed).join(picked, "doc_id").orderBy("doc_id").select("stats", "quality").toArrow()
+    share = min(1.0, sample / max(1, known.agg(F.count_distinct("doc_id")).first()[0]))
+    picked = known.where(sampled("doc_id", share)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    texts = spread(docs, ["doc_id", "text"]).where(where & sampled("doc_id", share)).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+    rows = with_statistics(texts).groupBy("doc_id").agg(F.min("stats").alias("stats")).join(F.broadcast(picked), "doc_id").orderBy("doc_id").select("stats", "quality").toArrow()
     x = np.array(rows.column("stats").to_pylist(), dtype=float).reshape(-1, len(NAMES))
     return boost(x, rows.column("quality").to_numpy().astype(float))
 
@@ -129,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, sample: int = SAMPL
 def classify(docs: DataFrame, forest: Forest, least: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score is at least ``least``) of each document.
 
-    A null text counts as empty; without labels every score is 0.5. Rows are judged one by one, by their whole text.
+    A null text counts as empty; without labels every score is 0.5. Rows are judged one by one, by their whole text, however
+    long; equal texts have equal scores, repeated rows a score each. Extra columns are ignored, an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # some thousand numbers
 
