@@ -82,12 +82,46 @@ def test_quality(spark, odd, none):
     got = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").collect()
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert sum(p == q for _, p, q in held) / len(held) > 0.85
+    assert area(held) > 0.95
+    assert sum(p == q for _, p, q in held) / len(held) > 0.95 > np.mean([q for _, _, q in held]) + 0.05
     forest = quality.train(odd, spark.createDataFrame([(4, 1), (2, 0), (None, 1)], "doc_id bigint, quality int"), F.col("doc_id").isNotNull())
     assert all(0 <= r["score"] <= 1 for r in quality.classify(odd, forest).collect())
     assert quality.classify(none, forest).count() == 0
     blank = quality.train(none, spark.createDataFrame([], "doc_id bigint, quality int"), F.col("doc_id").isNotNull())
     assert {r["score"] for r in quality.classify(odd, blank).collect()} == {0.5}
+    twice = quality.train(odd.union(odd), spark.createDataFrame([(4, 1), (4, 0), (2, 0), (2, 0), (9, 1)], "doc_id bigint, quality int"), F.col("doc_id").isNotNull())
+    once = quality.train(odd, spark.createDataFrame([(4, 1), (2, 0), (9, 1)], "doc_id bigint, quality int"), F.col("doc_id").isNotNull())
+    assert np.array_equal(twice.leaf, once.leaf) and twice.base == once.base
+
+
+def area(held):
+    """That under the ROC curve, of (score, _, truth)."""
+    good, bad = ([s for s, _, q in held if q == k] for k in (1, 0))
+    return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+
+
+def test_quality_by_hand(spark):
+    """Scores of the query against statistics and trees taken row by row, of whole texts."""
+    sf = "/root/testdata/sf0.01"
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    taught = sorted(i for i in truth if i in text and zlib.crc32(str(i).encode()) % 5)
+    forest = quality.boost(np.array([quality.statistics(text[i]) for i in taught]), np.array([float(truth[i]) for i in taught]))
+    for r in QUERIES["op2_quality"](spark, sf).collect():
+        want = forest.score(np.array([quality.statistics(text[r["doc_id"]])]))[0]
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == (want >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_statistics():
+    """A text's statistics against their meaning, one by one."""
+    t = "The cat sat. The cat sat.\n\nThe cat sat. The cat sat.\nWHY 12 é!"
+    got = dict(zip(quality.NAMES, quality.statistics(t)))
+    words, raw = t.split(), t.encode()
+    assert got["words"] == pytest.approx(np.log1p(len(words))) and got["bytes"] == pytest.approx(np.log1p(len(raw)))
+    assert got["distinct"] == len(set(words)) / len(words) and got["same_lines"] == pytest.approx(1 / 3) and got["shouted"] == 1 / len(words)
+    assert got["digit"] == 2 / len(raw) and got["high"] == 2 / len(raw) and got["top_word"] == 4 / len(words)
+    assert got["pair_repeat"] == pytest.approx(1 - len(set(zip(words, words[1:]))) / (len(words) - 1))
+    assert quality.statistics(None) == quality.statistics("")
 
 
 def test_forest_walk():
@@ -121,6 +155,38 @@ def test_language(spark, odd, none):
     assert langid.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_learns_from_whole_texts(spark):
+    """What tells two languages apart may stand at the end of long texts."""
+    start = "lorem ipsum dolor " * 2000
+    df = spark.createDataFrame([(i, start + ("the quick brown fox " if i % 2 else "der schnelle braune fuchs ") * 300, "en" if i % 2 else "de") for i in range(8)], "doc_id bigint, text string, lang string")
+    trees = langid.train(df, F.lit(True))
+    asked = spark.createDataFrame([(1, "the brown fox"), (2, "der braune fuchs")], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in langid.identify(asked, trees).orderBy("doc_id").collect()] == ["en", "de"]
+
+
+def test_samples_of_any_rate(spark):
+    """No rate rounds to nothing: the threshold goes with it down to one key in 2**63."""
+    from timberline.llm.common import sampled
+
+    df = spark.range(200_000)
+    for share in (0.25, 0.01, 0.0005):
+        assert abs(df.where(sampled("id", share)).count() - share * 200_000) < 5 * (share * 200_000) ** 0.5 + 1
+    assert df.where(sampled("id", 1.0)).count() == 200_000
+    least = df.select(F.min(F.xxhash64("id"))).first()[0]
+    assert df.where(sampled("id", (least + 2**63 + 2**20) / 2**64)).count() == 1
+
+
+def test_index_of_many_grams():
+    """The hash table finds each gram and no other, whatever their number of byte pairs."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**32, 60_000).astype(np.uint32))
+    trees = langid.ContextTrees(["a"], [np.zeros(0, np.uint32)] * 3 + [keys], [np.zeros((len(keys), 1))] * 4, [np.zeros(0, np.uint32)] * 4, [np.zeros((0, 1))] * 4)
+    trees.index()
+    other = np.setdiff1d(rng.integers(0, 2**32, 60_000).astype(np.uint32), keys)
+    assert np.array_equal(trees.rows_of(keys), np.arange(len(keys))) and (trees.rows_of(other) == -1).all()
+    assert len(trees.row) <= 8 * len(keys)
+
+
 def test_code_lengths():
     """Against the tree walked byte by byte."""
     texts = {"a": [b"the cat and the hat", b"that then"], "b": [b"der hund und die katze \xc3\xa4"]}
@@ -205,32 +271,52 @@ def test_personal_digest(spark, docs):
 # licenses
 
 
+def plain_labels(words):
+    """Every block against every template, by sets."""
+    number = [(label, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for label, ts in licenses.TEMPLATES.items() for t in ts for w in [re.findall(r"[a-z0-9]+", t.lower())]]
+    out, half = set(), licenses.BLOCK // 2
+    for lo in range(0, max(1, len(words)), half):
+        end = min(len(words), lo + licenses.BLOCK)
+        block = {tuple(words[i : i + n]) for n in (3, 4, 5) for i in range(lo, end) if i + n <= len(words)}
+        held = [(label, t) for label, t in number if len(t & block) >= licenses.CONTAINED * len(t)]
+        for label, t in held:
+            rivals = [(other, r) for other, r in number if other != label and len(t & r) >= licenses.CONTAINED * len(t)]
+            if all(len((t - r) & block) >= licenses.CONTAINED * len(t - r) if t - r else (other, r) not in held for other, r in rivals):
+                out.add(label)
+    return out
+
+
 def test_licenses(spark, odd, none, docs):
-    every = dict(docs) | {-1 - i: t for i, t in enumerate(["Under the MIT license under the mit license", "apache-license: version 2", "cc by nc", None, "", "the license under mit filler " * 40, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"])}
+    mit, gpl, lgpl = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["gpl-3"][0], licenses.TEMPLATES["lgpl"][0]
+    said = ["Under the MIT license under the mit license", "apache-license: version 2", "cc by nc", None, "", "the license under mit filler " * 400, mit, "x " * 700 + gpl + " y" * 700, lgpl, mit + lgpl, " ".join(gpl.split()[:60]), licenses.TEMPLATES["bsd-2"][0], licenses.TEMPLATES["bsd-3"][0], "é" + mit.replace("software", "work")]
+    every = dict(docs) | {-1 - i: t for i, t in enumerate(said)}
     df = spark.createDataFrame(list(every.items()), "doc_id bigint, text string")
-    index = licenses.Index.built({})
     for r in licenses.scan_licenses(df).collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), every[r["doc_id"]] or ""))
-        places, base, labels = [], set(), set()
+        places, base = [], set()
         for label, p in licenses.PHRASES.items():
             p = p.split()
             for i in range(len(words)):
                 if words[i : i + len(p)] == p:
                     places.append(i)
                     base.add(label)
-        half = licenses.BLOCK // 2
-        for lo in range(0, max(1, len(words)), half):
-            block = set(words[lo : lo + licenses.BLOCK])
-            for label, ts in licenses.TEMPLATES.items():
-                for t in ts:
-                    t = set(t.split())
-                    if len(t & block) >= licenses.CONTAINED * len(t):
-                        labels.add(label)
+        more = plain_labels(words)
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min(places, default=None), max(places, default=None))
-        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | labels))
-        assert (r["score"] > 0) == bool(base | labels)
-    assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
-    assert len(index.label) == sum(map(len, licenses.TEMPLATES.values()))
+        assert r["base_labels"] == ",".join(sorted(base)) and r["labels"] == ",".join(sorted(base | more)), every[r["doc_id"]]
+        assert (r["score"] > 0) == bool(base | more)
+    assert licenses.scan_licenses(odd.union(odd)).count() == 2 * len(ODD) and licenses.scan_licenses(none).count() == 0
+
+
+def test_license_verdicts(spark):
+    """Each template gets its own label alone; prose and other licenses get none of it."""
+    said = [(label, "Some words before. " * 90 + t + " Some words after." * 90) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    said += [("", t) for t in ("released under the GPL license", "The film was released in May. Under the new law every license expires", "the MIT license is not the license of this work, which is released under no license", "Permission is hereby granted to any person")]
+    said += [("agpl-3,mit", licenses.TEMPLATES["mit"][0] + licenses.TEMPLATES["agpl-3"][0]), ("gpl-3", licenses.TEMPLATES["gpl-3"][0].replace("program", "library")), ("lgpl", licenses.TEMPLATES["lgpl"][0].replace("program", "library"))]
+    df = spark.createDataFrame(list(enumerate(t for _, t in said)), "doc_id bigint, text string")
+    for r in licenses.scan_licenses(df).collect():
+        want, text = said[r["doc_id"]]
+        assert set(r["labels"].split(",")) - set(r["base_labels"].split(",")) | {want} >= set(want.split(",")) and set(r["labels"].split(",")) <= set(want.split(",")) | set(r["base_labels"].split(",")), (text, r)
+        assert set(want.split(",")) <= set(r["labels"].split(",")), (text, r)
 
 
 # chat
@@ -389,7 +475,26 @@ def test_pack_unit():
             for o, n in sorted(parts):
                 assert o == at
                 at += n
-            assert at <= 2048 and at & (at - 1) == 0
+            assert at <= 2048
+        padded = sum(n if n & (n - 1) == 0 else 2048 for n in (sum(k for _, k in parts) for parts in fill.values()))
+        assert padded - sum(lengths) <= 2 * packing.SLACK * padded
+
+
+def test_few_documents_are_cut():
+    """Documents that fit a sequence stay whole, but for a few; each goes to the least cost among sequences with room."""
+    rng = np.random.default_rng(1)
+    lengths = np.maximum(1, np.exp(rng.normal(6.3, 1.0, 4000))).astype(int).tolist()
+    pieces = packing.pack_unit(lengths)
+    n = Counter(p[0] for p in pieces)
+    fits = [i for i, x in enumerate(lengths) if x <= 2048]
+    assert sum(n[i] > 1 for i in fits) < 0.08 * len(fits)
+    used, cost = Counter(), Counter()
+    last = 2049
+    for d, a, k, s, o in [p for p in pieces if p[2] < 2048]:
+        if k == lengths[d] % 2048 and k <= last:  # not cut: none of less cost has room
+            assert all(cost[t] >= cost[s] or 2048 - used[t] < k for t in {p[3] for p in pieces if p[2] < 2048})
+        used[s] += k
+        cost[s] += packing.piece_cost(k)
 
 
 def test_packing(spark, odd, none, docs):
@@ -413,7 +518,7 @@ def test_packing(spark, odd, none, docs):
     fill = defaultdict(int)
     for p in pieces:
         fill[p["sequence_id"]] += p["length"]
-    assert all(n & (n - 1) == 0 and n <= 2048 for n in fill.values())
+    assert max(fill.values()) <= 2048 and sum(n if n & (n - 1) == 0 else 2048 for n in fill.values()) <= 1.05 * sum(fill.values())
     assert packing.pack_documents(odd, packing.default_tokenizer()).agg({"length": "sum"}).first()[0] > len(ODD)
     assert packing.pack_documents(none, packing.default_tokenizer()).count() == 0
 

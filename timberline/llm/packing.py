@@ -16,6 +16,8 @@ LENGTH = 2048
 END_ID = 1
 #: Tokens that are packed together; more than this in a task start another unit, so memory is bounded.
 UNIT = 2 << 20
+#: Room beyond the tokens, as a share: more of it cuts fewer documents and pads more.
+SLACK = 0.02
 #: Words whose ids a worker keeps.
 CACHE = 400_000
 
@@ -25,31 +27,44 @@ def piece_cost(n: int, linear: float = 1.0, square: float = 1.0 / LENGTH) -> flo
     return linear * n + square * n * n
 
 
-def pack_unit(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+def rooms_for(total: int, length: int = LENGTH, slack: float = SLACK) -> list[int]:
+    """Capacities of the sequences that ``total`` tokens go to: as many whole ones as hold them and ``slack`` more, so that most
+    documents find one with room; where rounding up would pad over twice that, whole ones and one for each power of
+    two in the rest, so that nothing is padded."""
+    whole = -(-int(total * (1 + slack)) // length)
+    if whole * length - total <= 2 * slack * whole * length:
+        return [length] * whole
+    return [length] * (total // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if (total % length) >> b & 1]
+
+
+def pack_unit(lengths: list[int], length: int = LENGTH, slack: float = SLACK) -> list[tuple[int, int, int, int, int]]:
     """(document, start, n, sequence, offset) of each piece, for documents of the given lengths.
 
-    The room is exactly that of the tokens: full sequences, and for what is left over one sequence for each power
-    of two in it, so nothing is padded. Documents, in whole sequences and what remains, go by descending length to the
-    sequence of least cost that has room; what doesn't fit there is cut and goes on to the next.
+    What of a document fills sequences whole has them to itself. The rest go by descending length, each to the sequence of
+    least cost among those with room for it. Only where none has room is a document cut: as much as the roomiest holds
+    goes there, the remainder takes its turn by its length.
     """
-    total = sum(lengths)
-    room = [length] * (total // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if (total % length) >> b & 1]
-    todo = []
+    todo, out, full = [], [], 0
     for d, n in enumerate(lengths):
-        todo += [(-min(length, n - a), d, a) for a in range(0, n, length)]
-    todo.sort()
-    open_, used, out = [(0.0, -r, s) for s, r in enumerate(room)], [0] * len(room), []
-    heapq.heapify(open_)
-    for n, d, a in todo:
-        n = -n
-        while n:
-            cost, _, s = heapq.heappop(open_)
-            take = min(n, room[s] - used[s])
-            out.append((d, a, take, s, used[s]))
-            used[s] += take
-            a, n = a + take, n - take
-            if used[s] < room[s]:
-                heapq.heappush(open_, (cost + piece_cost(take), used[s] - room[s], s))
+        for a in range(0, n - length + 1, length):
+            out.append((d, a, length, full, 0))
+            full += 1
+        if n % length:
+            todo.append((-(n % length), d, n - n % length))
+    size = np.array(rooms_for(-sum(t[0] for t in todo), length, slack), dtype=np.int64)
+    room, cost = size.copy(), np.zeros(len(size))
+    heapq.heapify(todo)
+    while todo:
+        n, d, a = heapq.heappop(todo)
+        s = int(np.where(room >= -n, cost, np.inf).argmin())
+        if room[s] < -n:
+            s = int(room.argmax())
+        take = min(-n, int(room[s]))
+        out.append((d, a, take, full + s, int(size[s] - room[s])))
+        room[s] -= take
+        cost[s] += piece_cost(take)
+        if take < -n:
+            heapq.heappush(todo, (n + take, d, a + take))
     return out
 
 
@@ -116,8 +131,10 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
 
     Tasks pack their own documents, a unit of at most UNIT tokens (or one document) at a time, so nothing is shuffled
     and a lost task packs the same again. A unit's thousand sequences balance as well as more would. sequence_id is
-    the partition's number times 2**32 plus a count. A null or empty text is end_id alone; rows with one doc_id
-    are packed each on its own; an empty table gives no pieces.
+    the partition's number times 2**32 plus a count, so which documents share a sequence goes with how the input is split:
+    another cluster or file layout packs otherwise, as fully. A null or empty text is end_id alone; a very long text is a
+    unit of its own; rows with one doc_id, and equal rows, are packed each on its own; ties in length go by the order of
+    rows; extra columns are ignored; an empty table gives no pieces.
     """
 
     def run(batches):
