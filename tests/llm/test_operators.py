@@ -406,6 +406,44 @@ def test_links_at_each_distance(spark):
     assert lonely and not any(f in roots for f in lonely)
 
 
+def test_links_in_crowded_keys(spark, monkeypatch):
+    """Links are found where a key holds many fingerprints too far apart, more of them than are compared."""
+    rng = np.random.default_rng(9)
+    found = set()
+    for _ in range(12):
+        two = int(rng.integers(0, 2**42))
+        found |= {two | int(x) << 42 for x in rng.integers(0, 2**22, 60)}
+    for x in list(found)[::5]:
+        found.add(x ^ sum(1 << int(b) for b in rng.permutation(64)[:4]))
+    sign = lambda x: x - 2**64 if x >> 63 else x
+    from timberline.llm.common import connected_components
+
+    df = spark.createDataFrame([(sign(f),) for f in found], "fp bigint")
+    a = np.array(sorted(found), dtype=np.uint64)
+    root = {int(x): int(x) for x in a}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, x in enumerate(a):
+        for y in a[k + 1 :][np.bitwise_count(a[k + 1 :] ^ x) <= simhash.RADIUS]:
+            root[find(int(x))] = find(int(y))
+    want = Counter(frozenset(g) for g in grouped({sign(i): sign(find(i)) for i in root}) if len(g) > 1)
+    for near in (1, 7, 100):
+        monkeypatch.setattr(simhash, "NEAR", near)
+        got = {r["node"]: r["root"] for r in connected_components(simhash.links(df)).collect()}
+        assert Counter(frozenset(g) for g in grouped(got)) == want
+
+
+def grouped(root):
+    out = defaultdict(set)
+    for k, v in root.items():
+        out[v].add(k)
+    return out.values()
+
+
 # sketches
 
 

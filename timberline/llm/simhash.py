@@ -14,6 +14,8 @@ from timberline.llm.common import connected_components, materialize, read_table,
 
 RADIUS = 4
 SHINGLE = 4
+#: Neighbours of a shared key that are compared to either side before full variants are emitted.
+NEAR = 7
 NO_ID = -(2**63)
 #: The fingerprint's bits in three blocks. Two fingerprints that differ in at most 4 bits differ in at most 2 on some two blocks.
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -65,6 +67,27 @@ def _longs(xs: list[int]) -> Column:
     return F.lit(xs).cast("array<bigint>")
 
 
+def _part(x: Column, lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned(F.shiftleft(x, 64 - hi), 64 - hi + lo)
+
+
+def _two_blocks(x: Column, c: Column) -> Column:
+    """The two blocks of x other than block c, side by side, and c above them: one number."""
+    (_, a), (_, b), _ = BLOCKS
+    kept = F.when(c == 0, _part(x, a, 64)).when(c == 1, _part(x, 0, a).bitwiseOR(F.shiftleft(_part(x, b, 64), a))).otherwise(_part(x, 0, b))
+    return kept.bitwiseOR(F.shiftleft(c.cast("long"), 60))
+
+
+def _with_third(key: Column, fp: Column) -> list[Column]:
+    """c, and v: a key's blocks in their places with block c of fp."""
+    (_, a), (_, b), _ = BLOCKS
+    c = F.shiftrightunsigned(key, 60).cast("int")
+    kept = _part(key, 0, 60)
+    v = F.when(c == 0, F.shiftleft(kept, a).bitwiseOR(_part(fp, 0, a)))
+    v = v.when(c == 1, _part(kept, 0, a).bitwiseOR(F.shiftleft(_part(kept, a, 60), b)).bitwiseOR(F.shiftleft(_part(fp, a, b), a)))
+    return [c.alias("c"), v.otherwise(kept.bitwiseOR(F.shiftleft(_part(fp, b, 64), b))).alias("v")]
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp at most RADIUS bits apart, whose components are those of all such pairs.
 
@@ -72,23 +95,26 @@ def links(fps: DataFrame) -> DataFrame:
     one are within the radius, so each links to the least of them and no pairs are made. Variants are emitted in two
     steps, so that those which can't meet another are never shuffled: first their two-block keys, of which there are
     132 (each choice of two blocks, up to one bit flipped; the other one or two flips are the partner's or the
-    third block's); then, only where a key is shared, the full 64-bit variants that have it. A key is shared by at most
-    2**22 * 44 fingerprints and a variant by 2081, whatever the input's size.
+    third block's); then, only where a key is shared by a fingerprint within the radius, the full 64-bit variants that have it.
+    A key has 42 or 43 bits, so among ten thousand million fingerprints most keys are shared by chance: NEAR neighbours to
+    either side in a key's order are compared, and a fingerprint with none in the radius goes on only where its key
+    holds others farther off. A key is shared by at most 2**22 * 44 fingerprints and a variant by 2081, whatever the input's size.
     """
-    choices = []
-    for c, (lo, hi) in enumerate(BLOCKS):
-        keep = _signed(((1 << 64) - 1) ^ (((1 << hi) - 1) ^ ((1 << lo) - 1)))
-        choices += [(c, keep, m) for m in _masks([i for i in range(64) if not lo <= i < hi], range(2))]
-    picks = F.array(*[F.struct(F.lit(c).cast("byte").alias("c"), F.lit(k).cast("long").alias("k"), F.lit(m).cast("long").alias("m")) for c, k, m in choices])
-    first = fps.select("fp", F.explode(picks).alias("p")).select("fp", F.col("p.c").alias("c"), F.col("fp").bitwiseAND(F.col("p.k")).bitwiseXOR(F.col("p.m")).alias("key"))
-    w = Window.partitionBy("c", "key").orderBy("fp")
+    masks = [_masks([i for i in range(64) if not lo <= i < hi], range(2)) for lo, hi in BLOCKS]
+    picks = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(m).cast("long").alias("m")) for c, ms in enumerate(masks) for m in ms])
+    first = fps.select("fp", F.explode(picks).alias("p")).select("fp", _two_blocks(F.col("fp").bitwiseXOR(F.col("p.m")), F.col("p.c")).alias("key"))
+    w = Window.partitionBy("key").orderBy("fp")
     shared = first.withColumn("_a", F.lag("fp").over(w)).withColumn("_b", F.lead("fp").over(w)).where("_a is not null or _b is not null").drop("_a", "_b")
-    rest = [range(lo, hi) for lo, hi in BLOCKS]
-    keeps = F.array(*[F.lit(next(k for c, k, _ in choices if c == i)).cast("long") for i in range(3)])
-    flip = F.col("fp").bitwiseAND(F.get(keeps, F.col("c").cast("int"))).bitwiseXOR(F.col("key"))
-    few, more = F.array(*[_longs(_masks(r, range(2))) for r in rest]), F.array(*[_longs(_masks(r, range(3))) for r in rest])
-    third = F.when(F.col("flip") == 0, F.get(more, F.col("c").cast("int"))).otherwise(F.get(few, F.col("c").cast("int")))
-    second = shared.withColumn("flip", flip).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"), F.explode(third).alias("m")).select("fp", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
+    beside = [f("fp", i).over(w).alias(f"_{f.__name__}{i}") for f in (F.lag, F.lead) for i in range(1, NEAR + 2)]
+    near = lambda c: F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= RADIUS
+    close = F.col(f"_lag{NEAR + 1}").isNotNull() | F.col(f"_lead{NEAR + 1}").isNotNull()
+    for i in range(1, NEAR + 1):
+        close = close | F.coalesce(near(f"_lag{i}"), F.lit(False)) | F.coalesce(near(f"_lead{i}"), F.lit(False))
+    shared = shared.select("fp", "key", *beside).where(close)
+    shared = shared.select("fp", *_with_third(F.col("key"), F.col("fp")))
+    few, more = (F.array(*[_longs(_masks(range(lo, hi), range(n))) for lo, hi in BLOCKS]) for n in (2, 3))
+    flips = F.when(F.col("v") == F.col("fp"), F.get(more, "c")).otherwise(F.get(few, "c"))
+    second = shared.select("fp", "v", F.explode(flips).alias("m")).select("fp", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
     by = Window.partitionBy("v").orderBy("fp")
     met = second.select(F.col("fp").alias("a"), F.first("fp").over(by).alias("b")).where("a <> b").distinct()
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
@@ -99,7 +125,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal fingerprints are one node, so copies cost no pairs. Texts without words all have fingerprint 0 and are
     linked like any other. Rows with a null doc_id keep it; they count as smaller than all, so a component that
-    holds one has a null component_id. Repeated rows stay. Extra columns are ignored.
+    holds one has a null component_id. Repeated rows stay; long texts count whole; extra columns are ignored; an empty table
+    gives none.
     """
     known = materialize(fingerprints(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "fp"), "simhash-fp")
     nodes = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
