@@ -564,7 +564,7 @@ def test_packing(spark, odd, none, docs):
 # embeddings
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows, k = [], 0
     for label in (0, 1, None):
@@ -576,12 +576,9 @@ def test_embeddings(spark):
                 k += 1
     rows += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] + [1.0] * 15, 0), (k + 3, [float("inf")] + [1.0] * 15, 0), (k + 4, [1.0] * 3, 0), (k + 5, [], 1), (k + 6, [None] * 16, 1), (k + 7, [2 * v for v in rows[0][1]], 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<float>, label int, root string")
-    old = embeddings.LIST, embeddings.SIDE
-    embeddings.LIST, embeddings.SIDE = 16, 32
-    try:
-        got = {r["vec_id"]: r for r in embeddings.embedding_components(df).collect()}
-    finally:
-        embeddings.LIST, embeddings.SIDE = old
+    monkeypatch.setattr(embeddings, "LIST", 16)
+    monkeypatch.setattr(embeddings, "SIDE", 32)
+    got = {r["vec_id"]: r for r in embeddings.embedding_components(df).collect()}
     good = [(i, np.array(e, dtype=np.float32).astype(float), g) for i, e, g in rows if g is not None and e and None not in e and np.isfinite(e).all() and any(e)]
     n, root = Counter(), {r[0]: r[0] for r in rows}
 
@@ -614,3 +611,46 @@ def test_embeddings_of_low_rank(spark, monkeypatch):
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     want = (unit @ unit.T >= embeddings.COSINE).sum(axis=1) - 1
     assert want.sum() > 1000 and got == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize(("dim", "lists", "side"), [(64, 8, 50), (96, 40, 4096), (1, 100, 4096), (3, 10, 20)])
+def test_planted_embeddings(spark, agrees, monkeypatch, tmp_path, dim, lists, side):
+    """The query against its SQL on a table with links: across lists, in hot groups of copies, at the threshold's edge."""
+    import duckdb
+
+    rng = np.random.default_rng(dim)
+    rows = []
+    for g in range(120):
+        c = rng.normal(size=dim)
+        c /= np.linalg.norm(c)
+        for _ in range(1 + g % 4):
+            d = rng.normal(size=dim)
+            d -= (d @ c) * c
+            d /= max(np.linalg.norm(d), 1e-9)
+            t = rng.uniform(0, 0.25)
+            rows.append((np.cos(t) * c + np.sin(t) * d) * rng.uniform(0.5, 2))
+    rows += [rows[0]] * 150 + [-rows[0]] * 3 + [np.zeros(dim)]
+    df = spark.createDataFrame([(i, [float(v) for v in e], i % 2 if i % 50 else None) for i, e in enumerate(rows)], "vec_id bigint, embedding array<float>, label int")
+    df.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(embeddings, "LIST", max(1, len(rows) // 2 // lists))
+    monkeypatch.setattr(embeddings, "SIDE", side)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["op10_embeddings"](spark, str(tmp_path))
+    agrees(got, con, SQL["op10_embeddings"])
+    assert got.agg({"n_links": "sum"}).first()[0] > 5000
+
+
+def test_lists_grow():
+    """Many lists from few centres; every midpoint of a near pair lies in a list of both."""
+    rng = np.random.default_rng(2)
+    x = embeddings._unit(rng.normal(size=(3000, 48)))
+    index = embeddings.Index.fit(x, 2500)
+    assert [len(c) for c in index.centres] == [50, 50] and len(np.unique(index.home(x))) > 500
+    y = embeddings._unit(x + rng.normal(size=x.shape) * 0.02)
+    hx, nx = index.places(x, 0.2)
+    hy, ny = index.places(y, 0.2)
+    mid = index.home((x + y) / 2)
+    close = np.linalg.norm(x - y, axis=1) <= 0.2
+    assert close.sum() > 1000 and (hx != hy).sum() > 100
+    assert all(m in a and m in b for m, a, b, ok in zip(mid, nx, ny, close) if ok)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from timberline.llm.common import connected_components, materialize, read_table
 
 COSINE = 0.98
-#: Vectors that fit the index at most; vectors of a list aimed at; lists at most; parts of a vector and codewords of each.
-SAMPLE, LIST, LISTS, PARTS, WORDS = 8192, 256, 512, 8, 64
+#: Vectors that fit the index at most; vectors of a list aimed at; centres a half at most; parts of a vector and codewords of each.
+SAMPLE, LIST, CENTRES, PARTS, WORDS = 8192, 256, 1024, 8, 64
 #: Rows of a list that meet in one task, a side.
 SIDE = 4096
 
@@ -33,48 +33,82 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarra
 
 @dataclass
 class Index:
-    """centres of the lists; for each part of a vector its bounds, and the codewords of residuals there."""
+    """Inverted lists as pairs of cells, one for each half of a vector: centres of each half's cells, so that 2k centres make k * k
+    lists. For each part of a vector its bounds, and the codewords of residuals there."""
 
-    centres: np.ndarray
+    halves: list[tuple[int, int]]
+    centres: list[np.ndarray]
     bounds: list[tuple[int, int]]
     books: list[np.ndarray]
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int) -> Index:
-        centres = _kmeans(x, lists)
-        r = x - centres[(-2 * x @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)]
-        edges = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
-        bounds = list(zip(edges[:-1], edges[1:]))
-        return cls(centres, bounds, [_kmeans(r[:, a:b], WORDS) for a, b in bounds])
-
-    def assign(self, x: np.ndarray, reach: float):
-        """List, probes, codes and quantisation error of each row of x.
-
-        Two vectors within ``reach`` of each other in two lists lie on both sides of the plane halfway between the lists'
-        centres, so one of them is within half of reach of it. Each row probes the lists whose plane is as near as that:
-        every pair is met from one side at least, in any dimension.
+        """lists: about how many there shall be."""
+        dim = x.shape[1]
+        halves = [(0, dim // 2), (dim // 2, dim)] if dim > 1 else [(0, dim)]
+        k = max(1, round(lists ** (1 / len(halves))))
+        own = cls(halves, [_kmeans(x[:, a:b], k) for a, b in halves], [], [])
+        edges = np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)
+        own.bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        r = x - own.centre(own.home(x))
+        own.books = [_kmeans(r[:, a:b], WORDS) for a, b in own.bounds]
+        return own
+
+    def _far(self, x: np.ndarray, h: int) -> np.ndarray:
+        """Squared distances of a half of each row to its centres."""
+        a, b = self.halves[h]
+        c = self.centres[h]
+        return (x[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * x[:, a:b] @ c.T + (c**2).sum(axis=1)
+
+    def _list(self, cells: list[np.ndarray]) -> np.ndarray:
+        return cells[0] * len(self.centres[1]) + cells[1] if len(cells) > 1 else cells[0]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The list whose cells hold each row."""
+        return self._list([self._far(x, h).argmin(axis=1) for h in range(len(self.halves))])
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        cells = np.divmod(lists, len(self.centres[1])) if len(self.halves) > 1 else [lists]
+        return np.concatenate([c[i] for c, i in zip(self.centres, cells)], axis=1)
+
+    def places(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each row's own list, and all lists that have a point within half of reach of it, its own among them.
+
+        The midpoint of two vectors within reach of each other is within half of reach of both, so both are in the midpoint's
+        list, in any dimension. A cell's points lie beyond the plane halfway between its centre and the row's own.
         """
-        reach = reach / 2
-        d = (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)
-        home = d.argmin(axis=1)
-        apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2), 1e-30)) if len(self.centres) <= 64 else None
-        probes, rows = [], np.arange(len(x))
-        for i in rows:
-            gap = apart[home[i]] if apart is not None else np.sqrt(np.maximum(((self.centres - self.centres[home[i]]) ** 2).sum(axis=1), 1e-30))
-            near = (d[i] - d[i, home[i]]) / (2 * gap) <= reach + 1e-6
-            near[home[i]] = False
-            probes.append(np.flatnonzero(near).astype(np.int32))
-        r = x - self.centres[home]
+        homes, offs = [], []
+        for h, c in enumerate(self.centres):
+            d = self._far(x, h)
+            own = d.argmin(axis=1)
+            apart = np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] - 2 * c @ c.T + (c**2).sum(axis=1)), 1e-30))
+            off = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * apart[own])
+            off[np.arange(len(x)), own] = 0
+            homes.append(own)
+            offs.append(off)
+        near, limit = [], reach / 2 + 1e-6
+        for i in range(len(x)):
+            cells = [np.flatnonzero(off[i] <= limit) for off in offs]
+            if len(cells) > 1:
+                u, v = (off[i][c] for off, c in zip(offs, cells))
+                p, q = np.nonzero(u[:, None] ** 2 + v**2 <= limit**2)
+                cells = [cells[0][p], cells[1][q]]
+            near.append(self._list(cells))
+        return self._list(homes), near
+
+    def codes(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codewords of each row's residual in a list, and the error they leave."""
+        r = x - self.centre(lists)
         codes, left = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
         for m, ((a, b), book) in enumerate(zip(self.bounds, self.books)):
             e = (r[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * r[:, a:b] @ book.T + (book**2).sum(axis=1)
             codes[:, m] = e.argmin(axis=1)
             left += np.maximum(e.min(axis=1), 0)
-        return home, probes, codes, np.sqrt(left)
+        return codes, np.sqrt(left)
 
-    def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
+    def distances(self, queries: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to a list's coded members, by sums of table entries."""
-        r = queries - self.centres[centre]
+        r = queries - centre
         out = np.zeros((len(queries), len(codes)))
         for m, ((a, b), book) in enumerate(zip(self.bounds, self.books)):
             table = (r[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * r[:, a:b] @ book.T + (book**2).sum(axis=1)
@@ -96,103 +130,100 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """(n, edges): n(vec_id, n_links), the number of vectors linked with each that has links; edges(a, b), whose
-    components are those of all links.
+def _known(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, e (floats as they are, else doubles), dim and same (a hash of 128 bits, equal for equal vectors) of the vectors
+    that can be linked."""
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    good = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    known = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>" if floats else "array<double>").alias("e")).where("label is not null and e is not null and vec_id is not null").where(F.coalesce(good, F.lit(False)) & F.exists("e", lambda x: x != 0))
+    return known.withColumns({"dim": F.size("e"), "same": F.struct(F.xxhash64("e").alias("a"), F.xxhash64(F.lit(1), "e").alias("b"))})
+
 
-    The index is fitted on at most SAMPLE vectors; every row is indexed. A row goes to its list as a member, and to the
-    lists it probes as a query; lists are kept apart by label and by number of components, and large ones are cut into
-    squares of SIDE rows a side, so no task holds a list. In a square, table look-ups leave the pairs which the members' own
-    quantisation errors can't exclude, and those are compared exactly. Pairs are counted where they are met,
-    and only once for both rows; a square emits a row for each of its vectors that has links, never a pair.
+def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """(n, edges) of known(vec_id, label, e, dim, copies): n(vec_id, n_links), the number of vectors (copies counted) linked with
+    each, but for its own copies; edges(a, b), whose components are those of all links.
+
+    The index is fitted on at most SAMPLE vectors; every row is indexed. Lists are kept apart by label and by number of
+    components, and grow in number with the largest label. A row goes to every list within half of the links' reach, where
+    table look-ups leave the pairs which quantisation errors can't exclude; those are compared exactly. A pair counts in
+    the list of its midpoint alone, so once. Large lists are cut into squares of SIDE rows a side, so no task holds a list;
+    a square emits a row for each of its vectors that has links, never a pair.
     """
-    spark = vectors.sparkSession
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    good = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    known = vectors.select("vec_id", "label", e.alias("e")).where("label is not null and e is not null and vec_id is not null").where(F.coalesce(good, F.lit(False)) & F.exists("e", lambda x: x != 0))
-    known = known.withColumn("dim", F.size("e"))
+    spark = known.sparkSession
     stats = known.groupBy("label", "dim").agg(F.count("*").alias("n"))
     dims = {r["dim"]: r["most"] for r in stats.groupBy("dim").agg(F.max("n").alias("most")).collect()}
     reach = float(np.sqrt(2 - 2 * cosine))
     models = {}
     for dim, most in dims.items():
-        rows = known.where(F.col("dim") == dim).select("vec_id", "e").orderBy(F.xxhash64("vec_id")).limit(min(SAMPLE, 50_000_000 // (8 * dim))).toArrow()
+        rows = known.where(F.col("dim") == dim).select("vec_id", "e").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
         x = np.array(rows.column("e").to_pylist(), dtype=float)
-        models[dim] = Index.fit(_unit(x), max(1, min(LISTS, most // LIST, len(x) // 8)))
-    shared = spark.sparkContext.broadcast(models)  # LISTS and WORDS rows a dimension
-    kinds = known.select("label").schema["label"].dataType.simpleString()
+        models[dim] = Index.fit(_unit(x), max(1, min(most // LIST, CENTRES**2, (len(x) // 8) ** 2)))
+    shared = spark.sparkContext.broadcast(models)  # 2 * CENTRES and WORDS rows a dimension
+    known = known.select("vec_id", "label", "dim", "copies", "e")
 
     def assign(batches):
         for b in batches:
-            frame = b.to_pandas()
-            for dim, part in frame.groupby("dim"):
-                x = np.stack(part["e"].to_numpy())
-                home, probes, codes, left = shared.value[dim].assign(_unit(x), reach)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"vec_id": part["vec_id"], "label": part["label"], "dim": part["dim"], "e": list(x), "home": home.astype(np.int32), "probes": probes, "codes": [c.tobytes() for c in codes], "err": left}), preserve_index=False, schema=pa.schema([("vec_id", pa.int64()), ("label", b.schema.field("label").type), ("dim", pa.int32()), ("e", pa.list_(pa.float64())), ("home", pa.int32()), ("probes", pa.list_(pa.int32())), ("codes", pa.binary()), ("err", pa.float64())]))
-
-    schema = f"vec_id bigint, label {kinds}, dim int, e array<double>, home int, probes array<int>, codes binary, err double"
-    placed = materialize(known.mapInArrow(assign, schema), "pq-placed")
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                dims, es = some.column(2).to_numpy(), some.column(4)
+                home, lists = np.zeros(len(dims), np.int32), np.empty(len(dims), dtype=object)
+                for dim in np.unique(dims):
+                    rows = np.flatnonzero(dims == dim)
+                    home[rows], near = shared.value[dim].places(_unit(np.stack([es[int(i)].values.to_numpy(zero_copy_only=False) for i in rows])), reach)
+                    for i, own in zip(rows, near):
+                        lists[i] = own
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home), pa.array(list(lists), pa.list_(pa.int32()))], [*some.schema.names, "home", "lists"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema)
+    placed = materialize(known.mapInArrow(assign, schema + ", home int, lists array<int>"), "pq-placed")
     key = ["label", "dim", "list"]
-    stops = placed.withColumn("list", F.explode(F.concat(F.array("home"), "probes")))
-    sides = stops.groupBy(*key).agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
-    stops = stops.join(sides, key)
-    mine = F.pmod(F.xxhash64("vec_id"), F.col("sides")).cast("int")
-    all_ = F.sequence(F.lit(0), F.col("sides") - 1)
-    as_query = stops.withColumn("i", F.explode(all_)).withColumn("j", mine).withColumn("member", F.lit(False))
-    as_member = stops.where("list = home").withColumn("i", mine).withColumn("j", F.explode(all_)).withColumn("member", F.lit(True))
+    stops = placed.withColumn("list", F.explode("lists")).drop("lists")
+    sizes = stops.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
+    stops = stops.join(sizes, key).withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("sides")).cast("int"))
+    squares = stops.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"low": F.least("i", "j"), "high": F.greatest("i", "j")})
 
     def square(frame: pd.DataFrame) -> pd.DataFrame:
-        model, c = shared.value[int(frame["dim"].iloc[0])], int(frame["list"].iloc[0])
-        none = pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-        ms, qs = frame[frame["member"]], frame[~frame["member"]]
-        if not len(ms) or not len(qs):
-            return none
-        ids = np.unique(frame["vec_id"].to_numpy())
-        mi, qi = (np.searchsorted(ids, f["vec_id"].to_numpy()) for f in (ms, qs))
-        mx, qx = (np.stack(f["e"].to_numpy()) for f in (ms, qs))
-        mu, qu = _unit(mx), _unit(qx)
-        mh, qh = ms["home"].to_numpy(), qs["home"].to_numpy()
-        codes = np.frombuffer(b"".join(ms["codes"]), np.uint8).reshape(len(ms), -1)
-        limit = (reach + ms["err"].to_numpy()) ** 2 + 1e-9
-        probed = [set(p) for p in ms["probes"]]
-        n, firsts, seconds = np.zeros(len(ids), np.int64), [], []
-        step = max(1, 2_000_000 // len(ms))
-        for a in range(0, len(qs), step):
-            q, m = np.nonzero(model.distances(qu[a : a + step], c, codes) <= limit)
-            q += a
-            keep = qi[q] != mi[m]
-            q, m = q[keep], m[keep]
-            hit = np.zeros(len(q), dtype=bool)
+        model, c = shared.value[int(frame["dim"].iloc[0])], np.array([frame["list"].iloc[0]])
+        ids = frame["vec_id"].to_numpy()
+        side, low, high = (frame[k].to_numpy() for k in ("i", "low", "high"))
+        u = _unit(np.stack(frame["e"].to_numpy()))
+        home, copies = frame["home"].to_numpy(), frame["copies"].to_numpy()
+        codes, err = model.codes(u, np.repeat(c, len(u)))
+        qs, ms = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        limit = (reach + err[ms]) ** 2 + 1e-9
+        n, firsts, seconds = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step, centre, same = max(1, 2_000_000 // max(1, len(ms))), model.centre(c), low[0] == high[0]
+        for at in range(0, len(qs), step):
+            part = qs[at : at + step]
+            q, m = np.nonzero(model.distances(u[part], centre, codes[ms]) <= limit)
+            q, m = part[q], ms[m]
+            if same:
+                q, m = q[q < m], m[q < m]
             for s in range(0, len(q), 100_000):
-                hit[s : s + 100_000] = (qu[q[s : s + 100_000]] * mu[m[s : s + 100_000]]).sum(axis=1) >= cosine
-            q, m = q[hit], m[hit]
-            own = qh[q] == c
-            np.add.at(n, qi[q[own]], 1)  # each member is also a query of its own list
-            firsts.append(qi[q[own]])
-            seconds.append(mi[m[own]])
-            q, m = q[~own], m[~own]
-            # a pair that each row finds in the other's list counts in the list of the smaller number
-            once = np.array([not (qh[x] < c and qh[x] in probed[y]) for x, y in zip(q, m)], dtype=bool)
-            q, m = q[once], m[once]
-            np.add.at(n, qi[q], 1)
-            np.add.at(n, mi[m], 1)
-            firsts.append(qi[q])
-            seconds.append(mi[m])
-        root = _roots(len(ids), np.concatenate(firsts), np.concatenate(seconds))
-        some = n > 0
-        root_of = ids[root]
-        linked = np.zeros(len(ids), dtype=bool)
-        for x in (*firsts, *seconds):
-            linked[x] = True
-        some |= linked
-        return pd.DataFrame({"vec_id": ids[some], "n": n[some], "root": root_of[some]})
-
-    squares = as_query.unionByName(as_member).groupBy(*key, "i", "j").applyInPandas(square, "vec_id bigint, n bigint, root bigint")
-    found = materialize(squares, "pq-found")
+                a, b = q[s : s + 100_000], m[s : s + 100_000]
+                hit = (u[a] * u[b]).sum(axis=1) >= cosine
+                a, b = a[hit], b[hit]
+                here = (home[a] == c) & (home[b] == c)
+                mixed = np.flatnonzero(home[a] != home[b])  # rows of one list have their midpoint there
+                here[mixed] = model.home((u[a[mixed]] + u[b[mixed]]) / 2) == c
+                a, b = a[here], b[here]
+                np.add.at(n, a, copies[b])
+                np.add.at(n, b, copies[a])
+                firsts.append(a)
+                seconds.append(b)
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids))
+        root = ids[order][_roots(len(ids), rank[a], rank[b])][rank]
+        return pd.DataFrame({"vec_id": ids[n > 0], "n": n[n > 0], "root": root[n > 0]})
+
+    found = materialize(squares.groupBy(*key, "low", "high").applyInPandas(square, "vec_id bigint, n bigint, root bigint"), "pq-found")
     return found.groupBy("vec_id").agg(F.sum("n").alias("n_links")), found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
     big = np.abs(x).max(axis=1, keepdims=True)
     x = x / np.where(big > 0, big, 1)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
@@ -202,12 +233,22 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE) -> DataFram
     """vec_id, n_links, component_id and kept of each vector.
 
     Vectors that are null, zero or hold null or non-finite components, and those without label, are alone, as are
-    vectors of different length. Rows with one vec_id count as one vector; a null vec_id is linked with nothing.
+    vectors of different length. Rows with one vec_id are one vector, that of the least components; a null vec_id is linked with
+    nothing; extra columns are ignored; an empty table gives none. Equal vectors of a label are one to the index, so that a
+    group of copies costs neither its square nor a list: they are linked with each other and share their links.
     """
-    n, edges = near_links(vectors, cosine)
+    known = _known(vectors).groupBy("vec_id").agg(F.min(F.struct("label", "e", "dim", "same")).alias("v")).select("vec_id", "v.*")
+    known = materialize(known, "pq-known")
+    alike = ["label", "dim", "same"]
+    groups = materialize(known.groupBy(*alike).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "pq-groups")
+    first = groups.select(F.col("rep").alias("vec_id"), "copies")
+    n, edges = near_links(known.drop("same").join(first, "vec_id"), cosine)
     roots = connected_components(edges, "pq-cc")
-    out = vectors.select("vec_id").join(n, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    groups = groups.withColumnRenamed("rep", "vec_id").join(n, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    groups = groups.select(*alike, (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    linked = known.select("vec_id", *alike).join(groups, alike).select("vec_id", "n_links", "component_id")
+    out = vectors.select("vec_id").join(linked, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
