@@ -261,6 +261,40 @@ def test_personal_spans(spark, odd, none, docs):
     assert pii.redact(none).count() == 0
 
 
+def test_labelers_reliabilities():
+    """Expectation-maximisation finds the labelers' error rates that votes were drawn with, without knowing the truth."""
+    rng = np.random.default_rng(11)
+    truth = rng.random(200_000) < 0.6
+    right = (0.95, 0.85, 0.7, 0.9)  # of those who vote; a fifth abstain
+    votes = np.stack([np.where(rng.random(len(truth)) < 0.2, 1, 2 * np.where(rng.random(len(truth)) < r, truth, ~truth)) for r in right], axis=1)
+    pattern = votes @ np.array([27, 9, 3, 1])
+    table, prior, post = pii.estimate(Counter(pattern.tolist()))
+    assert abs(prior - 0.6) < 0.02
+    for i, r in enumerate(right):
+        for t in (0, 1):
+            assert abs(table[i][t][2 * t] - 0.8 * r) < 0.02 and abs(table[i][t][1] - 0.2) < 0.02
+    told = np.array([post[v] > 0.5 for v in pattern.tolist()])
+    assert (told == truth).mean() > 0.95
+
+
+def test_personal_proposals(spark):
+    """Each kind's odd spellings are found where checks, lists and context speak for them, and left where they speak against."""
+    good = [("email", f"please write to anna{i} (at) mail{i} (dot) com today") for i in range(40)] + [("ip", f"the server 10{i % 9}[.]20.{i}[.]7 answers") for i in range(40)] + [("card", f"paid by visa card 4111.1111.1111.1111 in {i}") for i in range(40)] + [("phone", f"call (212) 555-01{i:02} now") for i in range(40)]
+    good = [(k, t.replace("[.]20.", "[.]20[.]")) for k, t in good]
+    bad = [f"order 0{i % 9}12 . 999 . 400 . 3{i:02}" for i in range(40)] + [f"invoice 1234.5678.9012.{1000 + i}" for i in range(40)] + [f"Seen (at) place{i} nothing" for i in range(40)]
+    sure = [f"mail x{i}@site.org, host 10.0.0.{i}, card 4111 1111 1111 1111, phone +1 212 555 01{i:02}" for i in range(40)]
+    texts = [t for _, t in good] + bad + sure
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal(df).collect()}
+    for i, (kind, t) in enumerate(good):
+        assert [pii.KINDS[x["k"]] for x in got[i]] == [kind] and not got[i][0]["base"], (t, got[i])
+    kept = sum(bool(got[len(good) + i]) for i in range(len(bad)))
+    assert kept == 0
+    assert all(sorted(pii.KINDS[x["k"]] for x in got[len(good) + len(bad) + i] if x["base"]) == ["card", "email", "ip", "phone"] for i in range(len(sure)))
+    model = pii.fit_spans(pii.candidates(df))
+    assert set(model.reliability) == {0, 1, 2, 3} and all(0 <= p <= 1 for p in model.score.values())
+
+
 def test_personal_digest(spark, docs):
     for r in QUERIES["op3_pii"](spark, SF).collect():
         base = plain_spans(docs[r["doc_id"]])

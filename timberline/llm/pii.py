@@ -23,9 +23,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Wider patterns, which only propose.
+#: Wider patterns, which only propose: addresses and numbers written so that a plain pattern misses them.
+DOT = r"(?: ?[\[(]\.[\])] ?| ?[\[(] ?dot ?[\])] ?| \. )"
 LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,64}+)++",
+    "ip": rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:{DOT}[0-9]{{1,3}}+){{3}}(?![0-9.])",
+    "card": r"(?<![0-9][ .,/_-])(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}|[ -]{2}[0-9]{4}){3}(?![ .,/_-]?[0-9])",
     "phone": r"(?<![0-9+.-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[ .-][0-9])",
 }
 MAYBE = {
@@ -34,6 +37,8 @@ MAYBE = {
     ("card", True): lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
     ("phone", True): lambda t: F.contains(t, F.lit("+")),
     ("email", False): lambda t: t.rlike(r"(?i)[\[(] ?at ?[\])]"),
+    ("ip", False): lambda t: t.rlike(r"(?i)[0-9] ?(?:[\[(] ?(?:\.|dot) ?[\])]| \. ) ?[0-9]"),
+    ("card", False): lambda t: t.rlike(r"[0-9]{4}(?:[._/]|[ -]{2})[0-9]{4}"),
     ("phone", False): lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
 }
 #: Gazetteers and context words.
@@ -45,8 +50,8 @@ NEAR = {
     "phone": r"(?i)(?:phone|call|tel|fax|mobile|dial|contact)\W",
 }
 AGAINST = r"(?i)(?:version|\bv|isbn|order|invoice|section|figure|part no|id)\W{0,3}$"
-LABELERS = 4
-PARTS = 64
+#: Labelers, feature patterns of a kind, and matches whose places are added up in one go.
+LABELERS, FEATURES, PARTS = 4, 24, 64
 
 
 def _sum(xs: Column) -> Column:
@@ -103,25 +108,29 @@ def _described(kind: str, base: bool, x: Column, text: Column) -> Column:
     """A candidate with its labelers' votes (in base 3) and the classifier's features (a small number)."""
     m, before = x["m"], F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["s"], F.lit(CONTEXT)).cast("int"))
     n = F.length(_digits(m))
-    strict = _vote(F.lit(base), F.lit(False))
-    tail = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
+    tail = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)[^A-Za-z0-9-]*$", 1))
+    if kind == "ip":
+        checks = m.rlike(rf"^{OCTET}(?:[^0-9]+{OCTET}){{3}}$")
+    else:
+        checks = {"email": tail.rlike("^[a-z]{2,18}$"), "card": _luhn(_digits(m)), "phone": n.between(9, 15)}[kind]
+    checks = _vote(checks, ~checks)
     gazetteer = {
         "email": _vote(tail.isin(TLDS), F.length(tail) > 6),
-        "ip": _vote(m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\."), m.rlike(r"^0")),
+        "ip": _vote(m.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])[^0-9]"), m.rlike(r"^0")),
         "card": _vote(m.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), m.rlike("^[01789]")),
         "phone": _vote(m.rlike(r"^(?:\+[1-9]|\(?[2-9][0-9]{2})"), m.rlike(r"^\(?[01]")),
     }[kind]
     context = _vote(before.rlike(NEAR[kind]), before.rlike(AGAINST))
     shape = {
         "email": _vote(F.length(m).between(6, 64), F.length(m) > 120),
-        "ip": _vote(F.length(m).between(7, 15), F.length(m) > 15),
-        "card": _vote(n.isin(13, 14, 15, 16, 19), F.lit(False)),
+        "ip": _vote(F.length(m).between(7, 15), m.rlike("[0-9]{4}") | m.rlike(r"(?:^|[^0-9])0[0-9]")),
+        "card": _vote(n.isin(13, 14, 15, 16, 19), m.rlike(r"(?:[0-9] ){6}") | m.rlike(r"^([0-9])\1{7}")),
         "phone": _vote(n.between(10, 13), n < 9),
     }[kind]
-    votes = ((strict * 3 + gazetteer) * 3 + context) * 3 + shape
+    votes = ((checks * 3 + gazetteer) * 3 + context) * 3 + shape
     k = KINDS.index(kind)
     length = F.least(F.floor(F.length(m) / 8), F.lit(3)).cast("int")
-    feats = ((F.lit(k) * 4 + length) * 2 + F.when(m.rlike(r"[^0-9]"), 1).otherwise(0)) * 3 + context
+    feats = ((F.lit(k) * 4 + length) * 2 + F.when(checks == 2, 1).otherwise(0)) * 3 + context
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"), F.lit(base).alias("base"), votes.cast("int").alias("v"), feats.cast("int").alias("f"))
 
 
@@ -144,27 +153,25 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """reliability: for each labeler, P(vote | truth) as [truth][vote]; score: P(personal) of each feature pattern seen."""
+    """For each kind seen: reliability, for each labeler P(vote | truth) as [truth][vote]; prior; posterior by vote pattern.
+    score: P(personal) of each feature pattern seen."""
 
-    reliability: tuple
-    prior: float
+    reliability: dict[int, list]
+    prior: dict[int, float]
+    posterior: dict[tuple[int, int], float]
     score: dict[int, float]
 
 
-def fit_spans(spans: DataFrame, rounds: int = 40) -> SpanModel:
-    """Two-class Dawid-Skene over vote patterns, then a logistic classifier on the features, taught its posteriors.
-
-    The rows are counted by pattern in Spark, with partial sums before the shuffle; 81 vote patterns times 96
-    feature patterns bound what the driver reads. Without candidates the model is that of its pseudo-counts.
-    """
-    rows = [(r["v"], r["f"], r["n"]) for r in spans.select(F.explode("spans").alias("c")).groupBy(F.col("c.v").alias("v"), F.col("c.f").alias("f")).agg(F.count("*").alias("n")).collect()]
-    split = {v: [v // 3**i % 3 for i in reversed(range(LABELERS))] for v, _, _ in rows}
+def estimate(counts: dict[int, int], rounds: int = 60) -> tuple[list, float, dict[int, float]]:
+    """Two-class expectation-maximisation (Dawid and Skene) over the vote patterns of one kind: each labeler's reliability, the
+    share of true candidates, and each pattern's posterior. It begins at the votes' balance."""
+    split = {v: [v // 3**i % 3 for i in reversed(range(LABELERS))] for v in counts}
     post = {v: min(0.95, max(0.05, 0.5 + 0.2 * sum(x - 1 for x in votes))) for v, votes in split.items()}
     table, prior = [], 0.5
     for _ in range(rounds):
         table = [[[1.0, 2.0, 1.0] for _ in range(2)] for _ in range(LABELERS)]
         mass = [1.0, 1.0]
-        for v, _, n in rows:
+        for v, n in counts.items():
             for truth in (0, 1):
                 w = n * (post[v] if truth else 1 - post[v])
                 mass[truth] += w
@@ -175,10 +182,28 @@ def fit_spans(spans: DataFrame, rounds: int = 40) -> SpanModel:
         for v, votes in split.items():
             odds = math.log(prior / (1 - prior)) + sum(math.log(table[i][1][x] / table[i][0][x]) for i, x in enumerate(votes))
             post[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    return table, prior, post
+
+
+def fit_spans(spans: DataFrame) -> SpanModel:
+    """Reliabilities of the labelers, each kind's own, then a logistic classifier on the features, taught their posteriors.
+
+    The rows are counted by pattern in Spark, with partial sums before the shuffle; 81 vote patterns times 96
+    feature patterns bound what the driver reads. Without candidates the model is empty.
+    """
+    rows = [(r["v"], r["f"], r["n"]) for r in spans.select(F.explode("spans").alias("c")).groupBy(F.col("c.v").alias("v"), F.col("c.f").alias("f")).agg(F.count("*").alias("n")).collect()]
+    by_kind: dict[int, dict[int, int]] = {}
+    for v, f, n in rows:
+        own = by_kind.setdefault(f // FEATURES, {})
+        own[v] = own.get(v, 0) + n
+    reliability, priors, post = {}, {}, {}
+    for k, counts in sorted(by_kind.items()):
+        reliability[k], priors[k], of = estimate(counts)
+        post |= {(k, v): p for v, p in of.items()}
     n_of, y_of = {}, {}
     for v, f, n in rows:
-        n_of[f], y_of[f] = n_of.get(f, 0) + n, y_of.get(f, 0.0) + n * post[v]
-    on = lambda f: ("b", ("k", f // 24), ("l", f // 6 % 4), ("o", f // 3 % 2), ("c", f % 3), ("kl", f // 6))
+        n_of[f], y_of[f] = n_of.get(f, 0) + n, y_of.get(f, 0.0) + n * post[f // FEATURES, v]
+    on = lambda f: ("b", ("k", f // FEATURES), ("l", f // 6 % 4), ("o", f // 3 % 2), ("c", f % 3), ("kl", f // 6))
     weight: dict = {}
     total = sum(n_of.values()) or 1
     for _ in range(300):
@@ -189,7 +214,7 @@ def fit_spans(spans: DataFrame, rounds: int = 40) -> SpanModel:
                 step[x] = step.get(x, 0.0) + (y_of[f] - n * p) / total
         for x, g in step.items():
             weight[x] = weight.get(x, 0.0) * (1 - 1e-4) + 2.0 * g
-    return SpanModel(tuple(map(lambda t: tuple(map(tuple, t)), table)), prior, {f: 1 / (1 + math.exp(-sum(weight.get(x, 0.0) for x in on(f)))) for f in n_of})
+    return SpanModel(reliability, priors, post, {f: 1 / (1 + math.exp(-sum(weight.get(x, 0.0) for x in on(f)))) for f in n_of})
 
 
 def decided(spans: DataFrame, model: SpanModel, least: float = 0.5) -> DataFrame:
@@ -200,10 +225,11 @@ def decided(spans: DataFrame, model: SpanModel, least: float = 0.5) -> DataFrame
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each personal span of its text replaced by its kind in brackets; overlapping spans become one,
-    named after the first. Columns stay; n_chars follows the text."""
-    found = candidates(docs.select(whole_row(docs), "text"))
-    model = fit_spans(materialize(candidates(spread(docs, ["doc_id", "text"])).where("size(spans) > 0").select("spans"), "pii-fit"))
-    found = decided(found, model)
+    named after the first. Columns stay; n_chars follows the text. Null and empty texts, and rows without spans, stay as they are;
+    repeated rows are redacted alike; an empty table gives none. Candidates are found once: rows with theirs go to the
+    shared folder, from which the model is fitted and the texts are redacted."""
+    found = materialize(candidates(docs.select(whole_row(docs), F.col("text").cast("string").alias("text"))).select("_doc", "spans"), "pii-rows")
+    found = decided(found, fit_spans(found.select("spans"))).withColumn("text", F.col("_doc.text").cast("string"))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def join(acc: Column, c: Column) -> Column:
@@ -224,7 +250,8 @@ def redact(docs: DataFrame) -> DataFrame:
 def find_personal(docs: DataFrame) -> DataFrame:
     """doc_id and spans, an array of (s, e, k, base, ...) in order of start, then kind, for each document.
 
-    A null text has none; rows with one doc_id are documents of their own; extra columns are ignored; an
+    A null text has none; a very long one is searched whole, with work in its length; rows with one doc_id, and equal rows,
+    are documents of their own; of proposals that overlap a base span none counts; extra columns are ignored; an
     empty table gives an empty result. The text is read once: candidates, without it, go to the shared folder.
     """
     spans = materialize(candidates(spread(docs, ["doc_id", "text"])).select("doc_id", "spans"), "pii-spans")
