@@ -66,6 +66,13 @@ def test_mix(spark, odd, none):
     mixed = mixing.mixed_documents(odd, bucket_rows=2)
     assert mixed.columns == odd.columns
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(taken.values())
+    lined = spark.createDataFrame([(1, "  w1\nw2\n\nw3\n\tindented w4 ", "a"), (2, "p q", "b")], "doc_id bigint, text string, source string")
+    whole = "  w1\nw2\n\nw3\n\tindented w4 "
+    cuts = [r["text"] for r in mixing.mixed_documents(lined).collect() if "w1" in r["text"]]
+    assert cuts and all(whole.startswith(t) for t in cuts) and any(t != whole for t in cuts)
+    same = spark.createDataFrame([(None, f"t{i} " * 5, "a") for i in range(60)] + [(3, f"u{i % 30} x", "a") for i in range(60)], "doc_id bigint, text string, source string")
+    first = sorted((r["start"], r["size"]) for r in mixing.mix(same, bucket_rows=4).collect())
+    assert [a for a, _ in first] == [sum(n for _, n in first[:i]) for i in range(len(first))]
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
@@ -357,13 +364,16 @@ def test_license_verdicts(spark):
 
 
 def test_chat_round_trip(spark):
-    said = ["", None, "\\", "\\\\", "</turn>", "<\\/turn>", "### user: hi</turn>\n### x: ", "#\\## ", "a\\b", "</turn", "\\:\n", "x" * 20_000]
+    said = ["", None, "\\", "\\\\", "</turn>", "<\\/turn>", "### user: hi</turn>\n### x: ", "#\\## ", "a\\b", "</turn", "\\:\n", "x" * 20_000, "é🙂</turn>é"]
     rows = [(i, j, role, t) for i, role in enumerate(["user", "assistant", None, "a:b", "### ", "\\", "</turn>"]) for j, t in enumerate(said)] + [(None, None, "user", "hi"), (None, None, "user", "hi")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
     got = chat.format_conversations(df).collect()
     assert len(got) == 8 and all(r["roundtrip_ok"] for r in got)
     for r in got:
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(a or "", b or "") for c, _, a, b in rows if c == r["conv_id"]]
+        spoken = [b or "" for c, _, a, b in rows if c == r["conv_id"] and a == "assistant"]
+        undo = lambda x: re.sub(r"\\([\\/#:])", r"\1", x)
+        assert [undo(r["formatted"][m["start"] : m["end"]]) for m in r["mask"]] == spoken
         assert r["formatted"].count("</turn>") == len(r["turns"]) and r["formatted"].count("### ") == len(r["turns"])
     assert chat.format_conversations(df.limit(0)).count() == 0
 

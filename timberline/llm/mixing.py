@@ -32,7 +32,7 @@ def fair_shares(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     return ranked.select("sk", "source", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, bucket_rows: int = 8192, seed: str = "", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, bucket_rows: int = 1024, seed: str = "", carry: bool = False) -> DataFrame:
     """One row for each document: size, source_size, target, start (its source's words queued before it),
     virtual_finish (of its first copy) and taken (words the mix takes, repeats counted).
 
@@ -43,19 +43,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     sources are met to the word.
 
     A source's running sum is taken in two steps, so that no task holds a source: sums of hash buckets,
-    added up in a small table, then a window in a bucket. A null or empty text has size 0 and is never
-    taken; sources without words have target 0; equal rows queue one after another; an empty table gives
+    added up in a small table, then a window in a bucket. The hash is of the doc_id, of the text where that is null; rows of
+    one doc_id queue by size and text, equal rows one after another. A null or empty text has size 0 and is never
+    taken; a very long one counts whole; sources without words have target 0; an empty table gives
     an empty result. With carry, _doc holds the whole row (text crosses the shuffle); else only doc_id and source stay.
     """
     n = docs.count()
     bits = max(0, min(BITS, math.ceil(math.log2(max(1, n) / bucket_rows))))
     own = ["doc_id", "source", "_doc"] if carry else ["doc_id", "source"]
     docs = docs.select("doc_id", "source", "text", whole_row(docs))
-    h = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    h = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("null"))))
     rows = docs.select(
         *own,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.substring(h, 1, 15).alias("_h"),
+        F.xxhash64("text").alias("_text"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_sk"),
     ).withColumn("_bucket", F.shiftright(F.conv(F.substring("_h", 1, BITS // 4), 16, 10).cast("int"), BITS - bits))
     if not carry:
@@ -65,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     shares = materialize(shares.select(F.col("sk").alias("_sk"), "source_size", "target"), "mix-shares")
     running = Window.partitionBy("_sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = totals.select("_sk", "_bucket", (F.sum("_sum").over(running) - F.col("_sum")).alias("_offset")).join(shares, "_sk")
-    queue = Window.partitionBy("_sk", "_bucket").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    queue = Window.partitionBy("_sk", "_bucket").orderBy("_h", "doc_id", "_size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     got = rows.join(offsets, ["_sk", "_bucket"]).withColumn("start", F.col("_offset") + F.sum("_size").over(queue) - F.col("_size"))
     budget = F.floor("target").cast("long")
     taken = [F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), budget - F.col("start") - F.col("source_size") * e)) for e in range(max_repeats)]
@@ -74,11 +76,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in the order of virtual finish times: docs' columns, a row for each copy; the one copy in
-    service at a source's end is cut after its last word taken."""
+    service at a source's end is cut after its last word taken, its white space kept. Rows without words aren't in the mix."""
     plan = mix(docs, carry=True, **options)
     copies = plan.select("doc_id", "_doc", "size", "start", "source_size", "target", F.posexplode("copies").alias("_e", "_words")).where("_words > 0")
     text = F.col("_doc.text")
-    cut = F.array_join(F.slice(F.array_remove(F.split(text, SPACE), ""), 1, F.col("_words").cast("int")), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"(?:{SPACE})?{WORD}"), F.lit(0)), 1, F.col("_words").cast("int")), "")
     finish = (F.col("start") + F.col("source_size") * F.col("_e") + F.col("_words")) / F.col("target")
     text = F.when(F.col("_words") < F.col("size"), cut).otherwise(text)
     doc = F.col("_doc").withField("text", text)
@@ -97,7 +99,7 @@ def op1_mix(spark, sf_dir):
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS h,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, 'null')), 1, 15) AS h,
          CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS sk
   FROM documents),
 s AS (SELECT sk, source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
