@@ -17,6 +17,8 @@ ORDER = 3
 SAMPLE = 1500
 #: Bytes that are taken at once; parts overlap by the context, so nothing is lost between them.
 PART = 1 << 18
+#: Bytes whose grams a task counts at once; rows that are judged at once.
+COUNTED, ROWS = 1 << 21, 512
 PAD = b"\n" * ORDER
 UNKNOWN = "und"
 
@@ -165,8 +167,8 @@ def train(docs: DataFrame, where: Column, sample: int = SAMPLE) -> ContextTrees
                 data = np.frombuffer(PAD + text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
                 for a in range(0, len(data) - ORDER, PART):
                     parts.setdefault(lang, []).append(data[a : a + PART + ORDER])
-                    held += PART
-                    if held >= 64 * PART:
+                    held += len(parts[lang][-1])
+                    if held >= COUNTED:
                         yield from counted(parts)
                         parts, held = {}, 0
             yield from counted(parts)
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None, keep: list[str] | None
         model = shared.value
         if not hasattr(model, "top"):
             model.index()
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = b.column(place).to_pylist()
             known = np.array([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
             pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))

@@ -19,7 +19,7 @@ UNIT = 2 << 20
 #: Room beyond the tokens, as a share: more of it cuts fewer documents and pads more.
 SLACK = 0.02
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def piece_cost(n: int, linear: float = 1.0, square: float = 1.0 / LENGTH) -> float:
