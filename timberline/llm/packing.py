@@ -18,8 +18,8 @@ END_ID = 1
 UNIT = 2 << 20
 #: Room beyond the tokens, as a share: more of it cuts fewer documents and pads more.
 SLACK = 0.02
-#: Words whose ids a worker keeps.
-CACHE = 250_000
+#: Words whose ids a worker keeps, at most twice: those met of late, and as many met before them.
+CACHE = 125_000
 
 
 def piece_cost(n: int, linear: float = 1.0, square: float = 1.0 / LENGTH) -> float:
@@ -85,7 +85,8 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), {"": b""}, {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.cores, self.old, self.old_cores = {}, {"": b""}, {}, {}
         self.model = self.tokenizer.model
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         #: Latin letters that lower-case one to one and never compose, as the model's byte alphabet shows them.
@@ -102,23 +103,27 @@ class WordIds:
             return self._whole(word)
         out = self.cores.get(shown)
         if out is None:
-            out = self.cores[shown] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            out = self.old_cores.get(shown)
+            if out is None:
+                out = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.cores[shown] = out
         if len(core) < len(word):
             tail = word[len(core) :]
-            if tail not in self.known:
-                self.known[tail] = self._whole(tail)
-            out += self.known[tail]
+            if tail not in self.cores:
+                self.cores[tail] = self._whole(tail)
+            out += self.cores[tail]
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-            self.cores.clear()
-            known[""] = self.cores[""] = b""
+        if len(self.known) > CACHE:
+            self.known, self.old = {}, self.known
+        if len(self.cores) > CACHE:
+            self.cores, self.old_cores = {"": b""}, self.cores
+        known, before = self.known, self.old.get
         for w in {w for ws in words for w in ws if w not in known}:
-            known[w] = self._new(w)
+            ids = before(w)
+            known[w] = self._new(w) if ids is None else ids
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in words]
 
