@@ -1,18 +1,19 @@
 """Objectives: loss, gradient and hessian of a row as columns, and the initial score as one aggregate.
 
-An objective's per-row values are multiplied by the weight unless noted. ``need`` names what a plan must add
-as columns first: group softmaxes for rankings, an order statistic for the adaptive Huber loss.
+An objective's per-row values are multiplied by the weight unless it has formulas of its own for weighted rows. Group
+softmaxes of rankings are columns that a plan adds first; the adaptive Huber loss takes an order statistic once a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timberline.functions.primitives import sigmoid
+from timberline.operators.binning import order_statistics, weighted_percentiles
 
 Row = Callable[[Column, Column], Column]
 EDGE = 1e-15
@@ -20,19 +21,35 @@ EDGE = 1e-15
 
 @dataclass(frozen=True)
 class Objective:
+    """initial: an aggregate of target and weight, or the share of weight whose quantile a fit starts from. weighted: columns
+    of target, score and weight, where these aren't the plain ones times the weight. adapt: the objective as rows and scores
+    make it, taken anew each round."""
+
     name: str
     loss: Row
     gradient: Row
     hessian: Row
-    initial: Callable[[Column, Column], Column]
+    initial: Callable[[Column, Column], Column] | float
     metric: str = "rmse"
     weighs_hessian: bool = True
+    weighted: Callable[[Column, Column, Column], dict[str, Column]] | None = None
+    adapt: Callable[[DataFrame, Column, Column], Objective] | None = None
 
     def columns(self, y: Column, score: Column, w: Column | None = None) -> dict[str, Column]:
+        if w is not None and self.weighted:
+            return self.weighted(y, score, w)
         w = F.lit(1.0) if w is None else w
         h = self.hessian(y, score)
         return {"loss": self.loss(y, score) * w, "gradient": self.gradient(y, score) * w, "hessian": h * w if self.weighs_hessian else h}
 
+    def start(self, df: DataFrame, y: Column, w: Column | None = None) -> float | None:
+        """The score that a fit starts from; quantiles are exact."""
+        d = df.select(y.cast("double").alias("y"), (F.lit(1.0) if w is None else w.cast("double")).alias("w"))
+        if isinstance(self.initial, float):
+            got = weighted_percentiles(d, ["y"], [self.initial], "w").first()
+            return got["value"] if got else None
+        return d.agg(self.initial(F.col("y"), F.col("w"))).first()[0]
+
 
 def _mean(y: Column, w: Column) -> Column:
     return F.sum(y * w) / F.nullif(F.sum(w), F.lit(0.0))
@@ -49,11 +66,6 @@ def _logit_mean(y: Column, w: Column) -> Column:
     return F.when(p <= 0, float("-inf")).when(p >= 1, float("inf")).otherwise(F.ln(p / F.nullif(1 - p, F.lit(0.0))))
 
 
-def _disc(q: float):
-    """A quantile as an order statistic. Weights don't enter: see binning.weighted_percentiles for those."""
-    return lambda y, w: F.percentile_approx(y, q, 1_000_000)
-
-
 def _cross(y: Column, f: Column) -> Column:
     p = F.least(F.greatest(sigmoid(f), F.lit(EDGE)), F.lit(1 - EDGE))
     return -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
@@ -64,7 +76,7 @@ def _p(f: Column) -> Column:
 
 
 def quantile(q: float = 0.5) -> Objective:
-    return Objective("QuantileLoss", lambda y, f: F.when(y - f >= 0, q * (y - f)).otherwise((q - 1) * (y - f)), lambda y, f: F.when(f - y >= 0, 1 - q).otherwise(-q), lambda y, f: F.lit(1.0), _disc(q), "quantile")
+    return Objective("QuantileLoss", lambda y, f: F.when(y - f >= 0, q * (y - f)).otherwise((q - 1) * (y - f)), lambda y, f: F.when(f - y >= 0, 1 - q).otherwise(-q), lambda y, f: F.lit(1.0), float(q), "quantile")
 
 
 def huber(delta: float = 1.0) -> Objective:
@@ -74,15 +86,20 @@ def huber(delta: float = 1.0) -> Objective:
         lambda y, f: F.when(d(y, f) <= delta, 0.5 * (f - y) ** 2).otherwise(delta * (d(y, f) - 0.5 * delta)),
         lambda y, f: F.least(F.greatest(f - y, F.lit(-delta)), F.lit(delta)),
         lambda y, f: F.least(F.greatest(delta / F.greatest(d(y, f), F.lit(delta)), F.lit(0.05)), F.lit(1.0)),
-        _disc(0.5),
+        0.5,
     )
 
 
 def adaptive_huber_delta(df: DataFrame, y: Column, score: Column, alpha: float = 0.5) -> float:
-    """The order statistic of absolute residuals that the adaptive Huber loss uses: place floor(n alpha) mod n."""
+    """The order statistic of absolute residuals that the adaptive Huber loss uses: place floor(n alpha) mod n. Exact."""
     r = df.select(F.abs(y - score).alias("r")).where("r is not null")
     n = r.count()
-    return r.agg(F.percentile_approx("r", (int(n * alpha) % n + 0.5) / n, 1_000_000)).first()[0] if n else 1.0
+    return order_statistics(r, "r", [int(n * alpha) % n + 1], n)[0] if n else 1.0
+
+
+def adaptive_huber(alpha: float = 0.5) -> Objective:
+    """Huber's loss whose delta is, each round, a quantile of the absolute residuals."""
+    return replace(huber(), name="AdaptiveHuberLoss", adapt=lambda df, y, score: huber(adaptive_huber_delta(df, y, score, alpha) or 1.0))
 
 
 def fair(c: float = 1.0) -> Objective:
@@ -99,6 +116,18 @@ def tweedie(p: float = 1.5) -> Objective:
     )
 
 
+def _lambda(y: Column, f: Column, w: Column) -> dict[str, Column]:
+    """Cross entropy of z = 1 - (1 - p)**w: a row of weight w is seen in one of w independent chances. Where z rounds to 0 or 1, the
+    plain loss times the weight."""
+    ef, p = F.exp(f), sigmoid(f)
+    none = F.exp(-w * F.log1p(ef))  # 1 - z
+    z = -F.expm1(-w * F.log1p(ef))
+    c, odds = 1 / none, z / none
+    plain = {"loss": _cross(y, f) * w, "gradient": (p - y) * w, "hessian": p * (1 - p) * w}
+    own = {"loss": -(y * F.ln(z) + (1 - y) * F.ln(none)), "gradient": (1 - y / z) * w * p, "hessian": w * ef / (1 + ef) ** 2 * (1 + y * c / odds**2 * (1 + w * ef - c))}
+    return {k: F.when((z <= 0) | (none <= 0) | F.isnan(v), plain[k]).otherwise(v) for k, v in own.items()}
+
+
 def _log_gap(y: Column, f: Column) -> Column:
     return F.log1p(y) - F.log1p(F.greatest(f, F.lit(-1 + 1e-6)))
 
@@ -116,7 +145,8 @@ OBJECTIVES: dict[str, Objective] = {
         Objective("SquaredLoss", lambda y, f: (f - y) ** 2, lambda y, f: f - y, lambda y, f: F.lit(1.0), _mean),
         quantile(),
         huber(),
-        Objective("AbsoluteLoss", lambda y, f: F.abs(f - y), lambda y, f: F.signum(f - y), lambda y, f: F.lit(1.0), _disc(0.5)),
+        adaptive_huber(),
+        Objective("AbsoluteLoss", lambda y, f: F.abs(f - y), lambda y, f: F.signum(f - y), lambda y, f: F.lit(1.0), 0.5),
         Objective("MapeLoss", lambda y, f: F.abs(f - y) / F.greatest(F.abs(y), F.lit(1e-4)), lambda y, f: F.signum(f - y) / F.greatest(F.abs(y), F.lit(1e-4)), lambda y, f: F.lit(1.0), _mean, weighs_hessian=False),
         fair(),
         Objective("PoissonLoss", lambda y, f: F.exp(f) - y * f, lambda y, f: F.exp(f) - y, lambda y, f: F.exp(f), _log_mean),
@@ -124,19 +154,17 @@ OBJECTIVES: dict[str, Objective] = {
         tweedie(),
         Objective("SquaredLogLoss", lambda y, f: 0.5 * _log_gap(y, f) ** 2, lambda y, f: -_log_gap(y, f) / (1 + F.greatest(f, F.lit(-1 + 1e-6))), lambda y, f: (1 + _log_gap(y, f)) / (1 + F.greatest(f, F.lit(-1 + 1e-6))) ** 2, lambda y, w: F.exp(_mean(F.log1p(y), w)) - 1, "rmsle"),
         Objective("CrossEntropyLoss", _cross, LOG.gradient, LOG.hessian, _logit_mean, "logloss"),
-        Objective("CrossEntropyLambdaLoss", _cross, LOG.gradient, LOG.hessian, _logit_mean, "logloss"),
+        Objective("CrossEntropyLambdaLoss", _cross, LOG.gradient, LOG.hessian, _logit_mean, "logloss", weighted=_lambda),
         Objective("HingeLoss", lambda y, f: F.greatest(F.lit(0.0), 1 - _signed(y) * f), lambda y, f: F.when(_signed(y) * f < 1, -_signed(y)).otherwise(0.0), lambda y, f: F.lit(1e-6), lambda y, w: F.signum(F.sum(_signed(y) * w)), "logloss"),
     )
 }
 
 
 def objective(name: str, **parameters) -> Objective:
-    """By name; parameters go to the families (q, delta, c, p)."""
-    families = {"QuantileLoss": quantile, "HuberLoss": huber, "AdaptiveHuberLoss": huber, "FairLoss": fair, "TweedieLoss": tweedie}
+    """By name; parameters go to the families (q, delta, alpha, c, p)."""
+    families = {"QuantileLoss": quantile, "HuberLoss": huber, "AdaptiveHuberLoss": adaptive_huber, "FairLoss": fair, "TweedieLoss": tweedie}
     if name in families and parameters:
         return families[name](**parameters)
-    if name == "AdaptiveHuberLoss":
-        return huber()
     if name not in OBJECTIVES:
         raise ValueError(f"unknown objective {name}")
     return OBJECTIVES[name]

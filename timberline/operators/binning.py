@@ -50,6 +50,13 @@ def weighted_percentiles(df: DataFrame, values: list[str], percents: list[float]
     return shares.withColumn("p", F.explode(F.lit(percents))).where("share >= p").groupBy("feature", "p").agg(F.min("v").alias("value"))
 
 
+def order_statistics(df: DataFrame, v: str, places: list[int], n: int) -> list[float]:
+    """The values at some places (from 1) of a column's n values in order. Exact."""
+    at = sorted({(min(max(k, 1), n) - 0.5) / n for k in places})
+    got = {r["p"]: r["value"] for r in weighted_percentiles(df, [v], at).collect()}
+    return [got[(min(max(k, 1), n) - 0.5) / n] for k in places]
+
+
 def cuts(df: DataFrame, values: list[str], bins: int = 256, w: str | None = None) -> DataFrame:
     """(feature, cuts): sorted distinct percentiles at i/bins, or the distinct values where there are at most bins + 1."""
     few = df.select(*[F.approx_count_distinct(v, 0.01).alias(v) for v in values]).first().asDict()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.metrics import ndcg
-from timberline.functions.objectives import adaptive_huber_delta, huber, listnet
+from timberline.functions.objectives import listnet
 from timberline.operators.encode import CROSS_FEATURES, MEAN_ROWS, WIDE, best_pairs, category_map, cross, encode, fold_of, full_means, mean_budget, signal_score, support_threshold, target_means, wants_mean
 from timberline.operators.multi import MultiModel, class_weights, fit_classes, fit_shared
 from timberline.operators.trainer import Config, fit
@@ -148,16 +148,8 @@ class Regressor(_Estimator):
     config: Config = field(default_factory=lambda: Config("SquaredLoss"))
 
     def fit(self, df: DataFrame, y: str) -> Regressor:
-        """Adaptive Huber's delta is an order statistic of residuals, taken anew each round."""
         d, cfg = self._coded(df, y, y)
-        frame = None
-        if cfg.objective == "AdaptiveHuberLoss":
-
-            def frame(rows: DataFrame) -> DataFrame:
-                of = huber(adaptive_huber_delta(rows, F.col(y), F.col("_score")) or 1.0)
-                return rows.withColumns(of.columns(F.col(y).cast("double"), F.col("_score")))
-
-        self.model = fit(d, self.coder.names, y, cfg, self.row_id, frame=frame)
+        self.model = fit(d, self.coder.names, y, cfg, self.row_id)
         return self
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:

@@ -266,7 +266,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     w = F.lit(1.0) if cfg.weight is None else F.col(cfg.weight).cast("double")
     make = columns or obj.columns
     if start is None:
-        first = df.select(F.col(y).cast("double").alias("y"), w.alias("w")).agg(obj.initial(F.col("y"), F.col("w"))).first()[0]
+        first = obj.start(df, F.col(y), w)
         if first is None or first in (float("inf"), float("-inf")):
             raise ValueError("the target has no rows or a single class")
         model = Model(list(features), obj.name, 0.0 if columns else float(first), eta)
@@ -283,6 +283,8 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
             made = frame(rows)
             got = {c: F.col(c) for c in ("loss", "gradient", "hessian")}
         else:
+            if obj.adapt and not columns:
+                make = obj.adapt(rows, F.col(y).cast("double"), F.col("_score")).columns
             made, got = rows, make(F.col(y).cast("double"), F.col("_score"), w)
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:

@@ -33,12 +33,14 @@ def query(sql: str | None = None):
 LINES = "(SELECT l_returnflag, l_extendedprice / 1e4 AS yr, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS yb, l_quantity / 10 AS f, 1.0 + l_discount AS w, 1 / (1 + exp(-l_quantity / 10)) AS p FROM lineitem)"
 #: For each objective: whether its target is the label; loss, gradient and hessian; whether weights enter the hessian.
 CE = ("yb", "-(yb * ln(p) + (1 - yb) * ln(1 - p))", "p - yb", "p * (1 - p)", True)
+DELTA = f"(SELECT abs(f - yr) FROM {LINES} d ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM {LINES} c))"
 FORMULAS = {
     "LogLoss": CE,
     "BrierLoss": ("yb", "(yb - p) * (yb - p)", "2 * (p - yb) * p * (1 - p)", "2 * p * (1 - p) * ((p - yb) * (1 - 2 * p) + p * (1 - p))", True),
     "SquaredLoss": ("yr", "(f - yr) * (f - yr)", "f - yr", "1.0", True),
     "QuantileLoss": ("yr", "CASE WHEN yr >= f THEN 0.5 * (yr - f) ELSE -0.5 * (yr - f) END", "CASE WHEN f >= yr THEN 0.5 ELSE -0.5 END", "1.0", True),
     "HuberLoss": ("yr", "CASE WHEN abs(f - yr) <= 1 THEN 0.5 * (f - yr) * (f - yr) ELSE abs(f - yr) - 0.5 END", "greatest(-1.0, least(1.0, f - yr))", "least(1.0, greatest(0.05, 1 / greatest(abs(f - yr), 1.0)))", True),
+    "AdaptiveHuberLoss": ("yr", f"CASE WHEN abs(f - yr) <= {DELTA} THEN 0.5 * (f - yr) * (f - yr) ELSE {DELTA} * (abs(f - yr) - 0.5 * {DELTA}) END", f"greatest(-{DELTA}, least({DELTA}, f - yr))", f"least(1.0, greatest(0.05, {DELTA} / greatest(abs(f - yr), {DELTA})))", True),
     "AbsoluteLoss": ("yr", "abs(f - yr)", "sign(f - yr)", "1.0", True),
     "MapeLoss": ("yr", "abs(f - yr) / greatest(abs(yr), 1e-4)", "sign(f - yr) / greatest(abs(yr), 1e-4)", "CAST(1 AS DOUBLE)", False),
     "FairLoss": ("yr", "abs(f - yr) - ln(1 + abs(f - yr))", "(f - yr) / (abs(f - yr) + 1)", "1 / ((abs(f - yr) + 1) * (abs(f - yr) + 1))", True),
@@ -47,12 +49,14 @@ FORMULAS = {
     "TweedieLoss": ("yr", "2 * yr * exp(-0.5 * f) + 2 * exp(0.5 * f)", "exp(0.5 * f) - yr * exp(-0.5 * f)", "0.5 * exp(0.5 * f) + 0.5 * yr * exp(-0.5 * f)", True),
     "SquaredLogLoss": ("yr", "0.5 * power(ln(1 + yr) - ln(1 + f), 2)", "(ln(1 + f) - ln(1 + yr)) / (1 + f)", "(1 + ln(1 + yr) - ln(1 + f)) / power(1 + f, 2)", True),
     "CrossEntropyLoss": CE,
-    "CrossEntropyLambdaLoss": CE,
+    "CrossEntropyLambdaLoss": ("yb", "-(yb * ln(1 - power(1 - p, w)) + (1 - yb) * w * ln(1 - p)) / w", "(1 - yb / (1 - power(1 - p, w))) * p", "p * (1 - p) * (1 + yb * power(1 - p, w) / power(1 - power(1 - p, w), 2) * (1 + w * p / (1 - p) - power(1 - p, -w)))", True),
     "HingeLoss": ("yb", "greatest(0.0, 1 - (2 * yb - 1) * f)", "CASE WHEN (2 * yb - 1) * f < 1 THEN 1 - 2 * yb ELSE 0.0 END", "1e-6", True),
 }
 LOG_MEAN = "ln(sum({y} * w) / sum(w))"
 MEAN = "sum({y} * w) / sum(w)"
-INITIAL = {"SquaredLoss": MEAN, "MapeLoss": MEAN, "FairLoss": MEAN, "PoissonLoss": LOG_MEAN, "GammaLoss": LOG_MEAN, "TweedieLoss": LOG_MEAN, "SquaredLogLoss": "exp(sum(ln(1 + {y}) * w) / sum(w)) - 1", "HingeLoss": "CAST(sign(sum((2 * {y} - 1) * w)) AS DOUBLE)"} | {k: "ln(sum({y} * w) / (sum(w) - sum({y} * w)))" for k in ("LogLoss", "BrierLoss", "CrossEntropyLoss", "CrossEntropyLambdaLoss")} | {k: "quantile_disc({y}, 0.5)" for k in ("QuantileLoss", "HuberLoss", "AbsoluteLoss")}
+#: The least target at which the weight so far reaches half of all.
+WEIGHTED_MEDIAN = f"(SELECT min(v) FROM (SELECT {{y}} AS v, sum(w) OVER (ORDER BY {{y}}) AS upto, sum(w) OVER () AS whole FROM {LINES} m) WHERE upto >= 0.5 * whole)"
+INITIAL = {"SquaredLoss": MEAN, "MapeLoss": MEAN, "FairLoss": MEAN, "PoissonLoss": LOG_MEAN, "GammaLoss": LOG_MEAN, "TweedieLoss": LOG_MEAN, "SquaredLogLoss": "exp(sum(ln(1 + {y}) * w) / sum(w)) - 1", "HingeLoss": "CAST(sign(sum((2 * {y} - 1) * w)) AS DOUBLE)"} | {k: "ln(sum({y} * w) / (sum(w) - sum({y} * w)))" for k in ("LogLoss", "BrierLoss", "CrossEntropyLoss", "CrossEntropyLambdaLoss")} | {k: WEIGHTED_MEDIAN for k in ("QuantileLoss", "HuberLoss", "AdaptiveHuberLoss", "AbsoluteLoss")}
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -66,14 +70,14 @@ def _objective(name: str):
     def run(spark, sf_dir):
         d = _lines(spark, sf_dir)
         o = O.OBJECTIVES[name]
+        first = o.start(d, F.col(y), F.col("w"))
+        o = o.adapt(d, F.col(y), F.col("f")) if o.adapt else o
         c = o.columns(F.col(y), F.col("f"), F.col("w"))
-        every = d.agg(F.round(o.initial(F.col(y), F.col("w")), 6).alias("initial"))
-        by = d.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.round(F.sum(v), 3).alias(k) for k, v in c.items()])
-        return by.crossJoin(F.broadcast(every))  # one row
+        return d.groupBy("l_returnflag").agg(F.count("*").alias("n"), *[F.round(F.sum(v), 3).alias(k) for k, v in c.items()], F.lit(round(first, 6)).alias("initial"))
 
     run.__name__ = f"obj_{name}"
     hw = f"({hess}) * w" if weighs else hess
-    return query(f"SELECT l_returnflag, count(*) AS n, round(sum(({loss}) * w), 3) AS loss, round(sum(({grad}) * w), 3) AS gradient, round(sum({hw}), 3) AS hessian, (SELECT round({INITIAL[name].format(y=y)}, 6) FROM {LINES} t) AS initial FROM {LINES} s GROUP BY l_returnflag")(run)
+    return query(f"SELECT l_returnflag, count(*) AS n, round(sum(({loss}) * w), 3) AS loss, round(sum(({grad}) * w), 3) AS gradient, round(sum({hw}), 3) AS hessian, (SELECT round({INITIAL[name].format(y=y)}, 6) FROM {LINES} t{' LIMIT 1' if INITIAL[name] is WEIGHTED_MEDIAN else ''}) AS initial FROM {LINES} s GROUP BY l_returnflag")(run)
 
 
 for _name in FORMULAS:
