@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from timberline.functions.objectives import LOG
 from timberline.functions.primitives import sigmoid
+from timberline.operators.binning import order_statistics
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Ranges of scores that curves are ordered in.
+RANGES = 64
+
+
 def _mean(df: DataFrame, value: Column, w, name: str, last=lambda c: c) -> DataFrame:
     w = F.lit(1.0) if w is None else _c(w)
     return df.agg(last(F.sum(value * w) / F.nullif(F.sum(w), F.lit(0.0))).alias(name))
@@ -40,13 +45,26 @@ def quantile_loss(df, y, score, q=0.5, w=None):
     return _mean(df, F.when(s >= 0, q * s).otherwise((q - 1) * s), w, "quantile_loss")
 
 
+def _ranges(d: DataFrame, s: str) -> Column:
+    """The range that a score lies in: ranges are cut at sketched percentiles, whatever the scale, so that an ordered pass is within
+    one. Results are the same wherever the cuts lie."""
+    at = d.agg(F.percentile_approx(F.col(s).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    splits = F.lit(sorted({float(x) for x in at if x == x})).cast("array<double>")
+    return F.when(F.col(s).isNotNull(), F.size(F.filter(splits, lambda x: x <= F.col(s).cast("double"))))
+
+
 def auc(df, y, score, w=None):
-    """Area under the ROC curve: equal scores are one step. Rows are summed by score before the ordered pass."""
+    """Area under the ROC curve: equal scores are one step. Rows are summed by score; the ordered pass is within ranges of the
+    score, offset by the small table of the ranges' sums."""
     k = F.lit(1.0) if w is None else _c(w)
     steps = df.groupBy(_c(score).alias("s")).agg(F.sum(_c(y) * k).alias("pos"), F.sum((1 - _c(y)) * k).alias("neg"))
-    up = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("_b", F.coalesce(_ranges(df.select(_c(score).alias("s")), "s"), F.lit(-1)))
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # of RANGES rows
+    ranges = steps.groupBy("_b").agg(F.sum("pos").alias("_pos")).select("_b", F.coalesce(F.sum("_pos").over(above), F.lit(0.0)).alias("_above"))
+    up = Window.partitionBy("_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.join(F.broadcast(ranges), "_b").withColumn("tp", F.sum("pos").over(up) + F.col("_above"))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.sum("neg") * F.sum("pos"), F.lit(0.0))
-    return steps.withColumn("tp", F.sum("pos").over(up)).agg(area.alias("auc"))
+    return steps.agg(area.alias("auc"))
 
 
 def ndcg(df, group, y, score, row_id, k=None, burges=True):
@@ -59,10 +77,6 @@ def ndcg(df, group, y, score, row_id, k=None, burges=True):
     return per.agg(F.avg(F.when(F.col("ideal") > 0, F.col("dcg") / F.nullif("ideal", F.lit(0.0))).otherwise(0.0)).alias("ndcg"))
 
 
-#: Ranges of scores that uplift curves are ordered in.
-RANGES = 64
-
-
 def uplift_curve(df, y, w, score, row_id, qini=False):
     """Points of the cumulative gain or Qini curve by descending score.
 
@@ -70,9 +84,7 @@ def uplift_curve(df, y, w, score, row_id, qini=False):
     Ranges are cut at sketched percentiles of the score, whatever its scale; the result is the same wherever they lie.
     """
     d = df.select(_c(y).cast("double").alias("y"), _c(w).cast("double").alias("w"), _c(score).alias("s"), _c(row_id).alias("row_id"))
-    at = d.agg(F.percentile_approx(F.col("s").cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    splits = F.lit(sorted({float(x) for x in at if x == x})).cast("array<double>")
-    d = d.withColumn("_b", F.when(F.col("s").isNotNull(), F.size(F.filter(splits, lambda x: x <= F.col("s").cast("double")))))
+    d = d.withColumn("_b", _ranges(d, "s"))
     sums = {"nt": F.col("w"), "nc": 1 - F.col("w"), "yt": F.col("y") * F.col("w"), "yc": F.col("y") * (1 - F.col("w")), "n": F.lit(1.0)}
     ranges = d.groupBy("_b").agg(*[F.sum(v).alias(f"_{k}") for k, v in sums.items()])
     before = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,13 +117,26 @@ def qini_coefficient(df, y, w, score, row_id):
     return curve.agg((F.sum(step) - 0.5 * last).alias("qini"))
 
 
-def calibration_curve(df, y, p, bins=10):
-    b = F.least(F.floor(_c(p) * bins), F.lit(bins - 1)).cast("int")
-    return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(_c(y)).alias("mean_y"), F.avg(_c(p)).alias("mean_p"))
+def calibration_curve(df, y, p, bins=10, strategy="uniform"):
+    """(bin, n, mean_y, mean_p) of probabilities in bins of one width, or cut at their quantiles (linear between order
+    statistics; a probability on a cut lies above it)."""
+    if strategy not in ("uniform", "quantile"):
+        raise ValueError(f"unknown strategy {strategy}")
+    d = df.select(_c(y).cast("double").alias("y"), _c(p).cast("double").alias("p"))
+    if strategy == "uniform":
+        b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    else:
+        n = d.where("p is not null").count()
+        spots = [i / bins * (n - 1) for i in range(1, bins)] if n else []
+        low = order_statistics(d, "p", [int(x) + 1 for x in spots], n) if n else []
+        high = order_statistics(d, "p", [int(x) + 2 for x in spots], n) if n else []
+        cuts = [a + (c - a) * (x - int(x)) for a, c, x in zip(low, high, spots)]
+        b = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda x: x <= F.col("p")))
+    return d.where("p is not null").groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"), F.avg("p").alias("mean_p"))
 
 
-def ece(df, y, p, bins=10):
-    curve = calibration_curve(df, y, p, bins)
+def ece(df, y, p, bins=10, strategy="uniform"):
+    curve = calibration_curve(df, y, p, bins, strategy)
     return curve.agg((F.sum(F.col("n") * F.abs(F.col("mean_y") - F.col("mean_p"))) / F.nullif(F.sum("n"), F.lit(0))).alias("ece"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.objectives import quantile
 from timberline.functions.primitives import each_fold, fold_mean, fold_spread, sigmoid
+from timberline.operators.binning import order_statistics, weighted_percentiles
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
 
@@ -31,18 +32,23 @@ def position(xs: Column, y: Column) -> Column:
     return (y - F.array_min(xs)) / F.nullif(F.array_max(xs) - F.array_min(xs), F.lit(0.0))
 
 
+def conformal_quantile(df: DataFrame, v: Column, alpha: float) -> float:
+    """The order statistic of v whose place is the least that covers 1 - alpha of n + 1 rows. Exact."""
+    d = df.select(v.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n = d.count()
+    return order_statistics(d, "v", [math.ceil((n + 1) * (1 - alpha))], n)[0] if n else 0.0
+
+
 def regression_parameters(df: DataFrame, folds: Column, score: Column, y: Column, alpha: float, method: str) -> list[float]:
     """What an interval of a method needs: one quantile of scaled residuals, or two of positions."""
     d = df.select(folds.alias("fs"), score.alias("s"), y.alias("y"))
-    n = max(1, d.count())
     if method == "WeightVariance":
-        r = F.abs(F.col("y") - F.col("s")) / F.greatest(fold_spread(F.col("fs")), F.lit(LEAST_SPREAD))
-        q = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
-        return [float(d.agg(F.percentile_approx(r, q, 1_000_000)).first()[0] or 0.0)]
+        return [conformal_quantile(d, F.abs(F.col("y") - F.col("s")) / F.greatest(fold_spread(F.col("fs")), F.lit(LEAST_SPREAD)), alpha)]
+    n = max(1, d.count())
     edge = -1 / n if method == "MinMax" else 1 / n  # the one narrows, the other widens
     ps = [min(1.0, max(0.0, p)) for p in (alpha / 2 - edge, 1 - alpha / 2 + edge)]
-    got = d.agg(F.percentile_approx(position(F.col("fs"), F.col("y")), ps, 1_000_000)).first()[0] or [0.0, 1.0]
-    return [float(x) for x in got]
+    got = {r["p"]: r["value"] for r in weighted_percentiles(d.select(position(F.col("fs"), F.col("y")).alias("v")), ["v"], sorted(set(ps))).collect()}
+    return [float(got[p]) for p in ps] if got else [0.0, 1.0]
 
 
 def interval(folds: Column, score: Column, parameters: list[float], method: str) -> Column:
@@ -62,14 +68,17 @@ def interval(folds: Column, score: Column, parameters: list[float], method: str)
 def calibrate(model: Model, df: DataFrame, y: str, alphas: list[float], method: str = "WeightVariance") -> Model:
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    folds = model.fold_scores(ordered=method == "GRP")
     for a in alphas:
-        model.calibration[str(a)] = regression_parameters(df, model.fold_scores(), model.raw_score(), F.col(y), a, method)
+        model.calibration[str(a)] = regression_parameters(df, folds, model.raw_score(), F.col(y), a, method)
     model.metadata["calibration"] = method
     return model
 
 
 def intervals(model: Model, alpha: float) -> Column:
-    return interval(model.fold_scores(), model.raw_score(), model.calibration[str(alpha)], model.metadata["calibration"])
+    """(low, high). GRP interpolates in sums of each tree's sorted fold weights, which differ from sorted sums."""
+    method = model.metadata["calibration"]
+    return interval(model.fold_scores(ordered=method == "GRP"), model.raw_score(), model.calibration[str(alpha)], method)
 
 
 def label_score(probs: Column, p: Column, label: int, method: str) -> Column:
@@ -87,8 +96,7 @@ def label_threshold(df: DataFrame, folds: Column, y: Column, alpha: float, metho
     probs = each_fold(folds, sigmoid)
     p = fold_mean(probs)
     s = F.when(y == 1, label_score(probs, p, 1, method)).otherwise(label_score(probs, p, 0, method))
-    n = max(1, df.count())
-    return float(df.select(s.alias("s")).agg(F.percentile_approx("s", min(1.0, math.ceil((n + 1) * (1 - alpha)) / n), 1_000_000)).first()[0] or 0.0)
+    return conformal_quantile(df, s, alpha)
 
 
 def label_set(folds: Column, threshold: float, method: str = "Conformal") -> Column:
@@ -100,9 +108,7 @@ def label_set(folds: Column, threshold: float, method: str = "Conformal") -> Col
 
 def conformal_shift(df: DataFrame, low: Column, high: Column, y: Column, alpha: float) -> float:
     """How far quantile predictions must move out to cover: a quantile of max(low - y, y - high)."""
-    n = max(1, df.count())
-    e = F.greatest(low - y, y - high)
-    return float(df.select(e.alias("e")).agg(F.percentile_approx("e", min(1.0, math.ceil((n + 1) * (1 - alpha)) / n), 1_000_000)).first()[0] or 0.0)
+    return conformal_quantile(df, F.greatest(low - y, y - high), alpha)
 
 
 @dataclass

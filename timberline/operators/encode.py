@@ -58,34 +58,33 @@ def encode(df: DataFrame, c: str, mapping: DataFrame, how: dict, out: str) -> Da
 def signal_score(df: DataFrame, c: str, y: str, threshold: float) -> DataFrame:
     """Count-weighted mean over categories of how far their smoothed target mean lies from the whole's, times confidence."""
     counts = category_counts(df, c, y)
-    every = Window.partitionBy()
-    prior = F.sum("total").over(every) / F.nullif(F.sum("n").over(every), F.lit(0))
+    whole = counts.agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("prior"))
     lift = F.abs((F.col("total") + threshold * F.col("prior")) / (F.col("n") + threshold) - F.col("prior"))
-    return counts.withColumn("prior", prior).agg((F.sum(F.col("n") * lift * F.col("n") / (F.col("n") + threshold)) / F.nullif(F.sum("n"), F.lit(0))).alias("signal"))
+    return counts.crossJoin(F.broadcast(whole)).agg((F.sum(F.col("n") * lift * F.col("n") / (F.col("n") + threshold)) / F.nullif(F.sum("n"), F.lit(0))).alias("signal"))
 
 
 def fold_of(row_id: Column, folds: int = 5) -> Column:
-    return (row_id % folds).cast("int")
+    return F.pmod(row_id, F.lit(folds)).cast("int")
 
 
 def target_means(df: DataFrame, bucket: str, y: str, fold: str, smooth: float, out: str) -> DataFrame:
     """Adds the smoothed target mean of a row's bucket over the other folds. Sums by bucket and fold are small next to the rows;
-    their totals come from a window over them, and rows join on both keys."""
+    a bucket's totals come from a window over its five sums, the folds' from a table of five rows, and rows join on both keys."""
     sums = df.groupBy(bucket, fold).agg(F.sum(F.col(y).cast("double")).alias("_y"), F.count(y).alias("_n"))
-    by, every, in_fold = Window.partitionBy(bucket), Window.partitionBy(), Window.partitionBy(fold)
-    sums = sums.withColumn("_py", F.sum("_y").over(every) - F.sum("_y").over(in_fold)).withColumn("_pn", F.sum("_n").over(every) - F.sum("_n").over(in_fold))
-    prior = F.col("_py") / F.nullif("_pn", F.lit(0))
-    mean = (F.sum("_y").over(by) - F.col("_y") + smooth * prior) / F.nullif(F.sum("_n").over(by) - F.col("_n") + F.lit(smooth), F.lit(0.0))
-    sums = sums.select(bucket, fold, mean.alias(out))
+    rest = [F.sum(c).over(Window.partitionBy()) - F.col(c) for c in ("_fy", "_fn")]  # of five rows
+    folds = df.groupBy(fold).agg(F.sum(F.col(y).cast("double")).alias("_fy"), F.count(y).alias("_fn"))
+    folds = folds.select(fold, (rest[0] / F.nullif(rest[1], F.lit(0))).alias("_prior"))
+    by = Window.partitionBy(bucket)
+    mean = (F.sum("_y").over(by) - F.col("_y") + smooth * F.col("_prior")) / F.nullif(F.sum("_n").over(by) - F.col("_n") + F.lit(smooth), F.lit(0.0))
+    sums = sums.join(F.broadcast(folds), fold).select(bucket, fold, mean.alias(out))
     return df.join(sums, [bucket, fold], "left")
 
 
 def full_means(df: DataFrame, bucket: str, y: str, smooth: float) -> DataFrame:
     """(bucket, target_mean) for scoring."""
     sums = df.groupBy(bucket).agg(F.sum(F.col(y).cast("double")).alias("_y"), F.count(y).alias("_n"))
-    every = Window.partitionBy()
-    prior = F.sum("_y").over(every) / F.nullif(F.sum("_n").over(every), F.lit(0))
-    return sums.withColumn("_p", prior).select(bucket, ((F.col("_y") + smooth * F.col("_p")) / F.nullif(F.col("_n") + F.lit(smooth), F.lit(0.0))).alias("target_mean"))
+    prior = sums.agg((F.sum("_y") / F.nullif(F.sum("_n"), F.lit(0))).alias("_p"))  # one row
+    return sums.crossJoin(F.broadcast(prior)).select(bucket, ((F.col("_y") + smooth * F.col("_p")) / F.nullif(F.col("_n") + F.lit(smooth), F.lit(0.0))).alias("target_mean"))
 
 
 def cross(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from timberline.functions.primitives import softmax
 from timberline.operators.trainer import CUT_EVERY, Config, binned, fit, grow
 from timberline.operators.tree import NATIVE_NODES, Model, importance
-from timberline.sources.tables import classes_of, cut_lineage
+from timberline.sources.tables import WRITTEN, classes_of, cut_lineage, discard
 
 # fixed values: softmax temperatures by the most classes they serve; how far a class's odds and prior correct its probability
 TEMPERATURES, MORE_CLASSES = ((4, 1.0), (5, 1.5), (8, 2.0)), 1.75
@@ -113,6 +113,7 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
     models = [Model(list(x), "LogLoss", float(b), 10.0**-cfg.budget) for b in base - base.mean()]
     rows, widest, cut_of, groups = binned(df, x, cfg, row_id)
     label = F.array_position(F.lit(classes), F.col(y)) - 1
+    since = len(WRITTEN)
     rows = cut_lineage(rows.withColumns({"_k": label.cast("int"), "_scores": F.array(*[F.lit(m.base_score) for m in models])}), "classes")
     limit = candidates or (k if k <= 8 else 6 if k <= 16 else 8)
     wanted = lambda scores: -F.ln(F.greatest(F.get(softmax(scores), F.col("_k")), F.lit(1e-300)))
@@ -139,9 +140,11 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
         rows = rows.withColumn("_scores", _added(models[0], tree, weights))
         if round_ % CUT_EVERY == CUT_EVERY - 1:
             rows = cut_lineage(rows, "classes")
+            discard(df.sparkSession, since, keep=1)
         idle = idle + 1 if loss - after < 1e-6 * max(loss, 1e-12) else 0
         if idle >= cfg.stopping_rounds:
             break
+    discard(df.sparkSession, since)
     return MultiModel(classes, models, priors, True)
 
 

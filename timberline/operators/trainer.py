@@ -18,7 +18,7 @@ from timberline.operators.histogram import FOLDS, fold_histogram, ordering_score
 from timberline.operators import schedule as S
 from timberline.operators.sampling import split_rows
 from timberline.operators.tree import Model, Node
-from timberline.sources.tables import cut_lineage
+from timberline.sources.tables import WRITTEN, cut_lineage, discard
 
 CUT_EVERY = 8
 #: Objectives whose hessian is 1; bins from which a category's small children are damped.
@@ -276,6 +276,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     if not (columns or frame):  # these may use any column; all else that a fit reads is named, and no more is written
         df = df.select(*dict.fromkeys([*features, *model.features, y, row_id, *([cfg.weight] if cfg.weight else [])]))
     rows, widest, cut_of, groups = binned(df, features, cfg, row_id)
+    spark, since = df.sparkSession, len(WRITTEN)
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
     idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
     for round_ in range(cfg.iterations):
@@ -306,6 +307,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         rows = rows.withColumn("_score", F.col("_score") + model.route(tree, lambda k: F.lit(float(k.weight))))
         if round_ % CUT_EVERY == CUT_EVERY - 1:
             rows = cut_lineage(rows, "fit")
+            discard(spark, since, keep=1)
         idle = idle + 1 if gained < 1e-6 * max(loss, 1e-12) else 0
         if idle >= cfg.stopping_rounds or cfg.damp and history.spent(cfg.budget, idle):
             break
@@ -316,6 +318,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
             rows = rows.withColumn("_score", model.raw_score())
     if cfg.linear_head and obj.name == "SquaredLoss" and not (columns or frame or cfg.categorical) and cfg.budget >= HEAD_BUDGET and HEAD_FEATURES[0] <= len(features) <= HEAD_FEATURES[1]:
         model.head = linear_head(rows, features, y)
+    discard(spark, since)
     return model
 
 

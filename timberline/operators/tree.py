@@ -77,6 +77,22 @@ class Model:
     def to_bytes(self) -> bytes:
         return self.to_json().encode()
 
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Model:
+        return cls.from_json(data.decode())
+
+    def put(self, key: str, value: str) -> None:
+        self.metadata[key] = value
+
+    def get(self, key: str) -> str:
+        if key not in self.metadata:
+            raise KeyError(f"no metadata {key}")
+        return self.metadata[key]
+
+    def metadata_table(self, spark: SparkSession) -> DataFrame:
+        """model_meta: a row a key."""
+        return spark.createDataFrame(sorted(self.metadata.items()), "key string, value string")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """model_nodes: one row a node."""
         rows = [(t, n.id, n.parent, n.is_leaf, None if n.is_leaf else self.features[n.feature], None if n.is_leaf else float(n.value), n.left, n.right, n.gone, n.left_cats, float(n.weight), [float(x) for x in n.fold_weights], float(n.cover), float(n.gain), n.depth, int(n.count), float(n.generalization)) for t, tree in enumerate(self.trees) for n in tree]
@@ -170,12 +186,14 @@ class Model:
                     out[rows, t] = n.fold_weights
         return out
 
-    def fold_scores(self) -> Column:
-        """base + sums of each of the five fold weights. Large models need it as a column of its own before lambdas use it."""
+    def fold_scores(self, ordered: bool = False) -> Column:
+        """base + sums of each of the five fold weights, or of each tree's in order of size. Large models need it as a column of
+        its own before lambdas use it."""
         if sum(map(len, self.trees)) <= NATIVE_NODES:
-            one = lambda j: lambda n: F.lit(float(n.fold_weights[j]))
+            of = lambda n: sorted(n.fold_weights) if ordered else n.fold_weights
+            one = lambda j: lambda n: F.lit(float(of(n)[j]))
             return F.array(*[sum((self.route(t, one(j)) for t in self.trees), F.lit(float(self.base_score))) for j in range(5)])
-        return self._udf(lambda x: list(self.base_score + self.leaf_sums(x)[:, 1:]), "array<double>")
+        return self._udf(lambda x: list(self.base_score + self.leaf_sums(x, ordered)[:, 1:]), "array<double>")
 
     def probability(self, calibrated: bool = False) -> Column:
         """The mean of the folds' sigmoids; calibrated: by the isotonic steps, where they are fitted."""
@@ -228,12 +246,12 @@ class Model:
             if not tree[i].is_leaf:
                 todo += [(k, rows[m]) for k, m in reversed(self.branches(tree[i], x[rows]))]
 
-    def leaf_sums(self, x: np.ndarray) -> np.ndarray:
+    def leaf_sums(self, x: np.ndarray, ordered: bool = False) -> np.ndarray:
         out = np.zeros((len(x), 6))
         for t in self.trees:
             for n, rows in self.visits(t, x):
                 if n.is_leaf:
-                    out[rows] += [n.weight, *n.fold_weights]
+                    out[rows] += [n.weight, *(sorted(n.fold_weights) if ordered else n.fold_weights)]
         return out
 
     def paths(self, tree: list[Node], x: np.ndarray) -> np.ndarray:

@@ -16,19 +16,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables written by this process and not yet removed.
+WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df into the folder of ``spark.checkpoint.dir`` and reads it back; survives lost executors."""
+    """Writes df into the folder of ``spark.checkpoint.dir`` and reads it back; survives lost executors. Where the folder is unset,
+    local mode takes a temporary one; a cluster must name it."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        top = tempfile.mkdtemp(prefix="timberline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_timberline"
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the tables written since there were ``since`` of them, but for the last ``keep``; frames that read them are spent."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in WRITTEN[since : len(WRITTEN) - keep]:
+        WRITTEN.remove(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 @dataclass
 class FeatureSpec:
     """Names and kinds of features, taken from a frame at fit and checked at scoring."""
