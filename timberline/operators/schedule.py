@@ -34,7 +34,12 @@ HEALTHY, WEAK, BEHIND, RECENT = 1.0, 0.99, 0.002, 8
 # fixed values: damping's strength for generalization, instability and concentration; its floor; scales of the first two
 DAMP = {"binary": (0.12, 0.16, 0.18, 0.6), "robust": (0.06, 0.22, 0.0, 0.82), "other": (0.06, 0.22, 0.0, 0.82)}
 SHORTFALL, UNSTEADY = 0.015, (0.88, 0.38)
-SMALL_ROWS, LARGE_ROWS, FEW_FEATURES = 2048, 100_000, 32
+# fixed values: how fast the step shrinks beyond budget 1, and up to which features (binary) or rows and features (robust)
+BINARY_SLOPE, BINARY_FEATURES = 0.65, 96
+ROBUST_SLOPE, ROBUST_ROWS, ROBUST_FEATURES = 1.1, 16_384, 32
+#: Rows up to which leaves are refined four times, and from which once; trees a fit has at least, at budget 0 and at most.
+SMALL_ROWS, LARGE_ROWS = 2048, 100_000
+LEAST_BINARY, MOST_BINARY, LEAST_ROBUST = 2, 96, 40
 #: Steps tried for a leaf's further Newton steps, largest first; the least change of the mean loss.
 STEPS, LEAST_CHANGE = (1.0, 0.5, 0.25, 0.125), 1e-7
 
@@ -61,10 +66,10 @@ def step_size(budget: float, kind: str, rows: int, features: int) -> float:
     """10 to minus the budget; beyond budget 1 small steps come slower for losses with a curvature of their own
     and, where a small table is cheap to pass over, faster for robust ones."""
     slope = 1.0
-    if kind == "binary" and features <= 3 * FEW_FEATURES:
-        slope = 0.65
-    elif kind == "robust" and rows <= 8 * SMALL_ROWS and features <= FEW_FEATURES:
-        slope = 1.1
+    if kind == "binary" and features <= BINARY_FEATURES:
+        slope = BINARY_SLOPE
+    elif kind == "robust" and rows <= ROBUST_ROWS and features <= ROBUST_FEATURES:
+        slope = ROBUST_SLOPE
     return 10.0 ** -(min(budget, 1.0) + slope * max(budget - 1.0, 0.0))
 
 
@@ -99,7 +104,7 @@ def schedule(budget: float, objective: str | Objective, rows: int, features: int
     more = max(budget - 1.0, 0.0)
     grown = lambda start, by, cap: start * min(10.0 ** (by * more), cap)
     passes = 1 if monotone or kind == "other" or rows > LARGE_ROWS else 4 if rows <= SMALL_ROWS else 2
-    least = min(96, max(4, round(2 * 10.0 ** (0.5 * budget)))) if kind == "binary" else round(40 * 10.0 ** (0.5 * more)) if kind == "robust" else 0
+    least = min(MOST_BINARY, round(LEAST_BINARY * 10.0 ** (0.5 * budget))) if kind == "binary" else round(LEAST_ROBUST * 10.0 ** (0.5 * more)) if kind == "robust" else 0
     return Schedule(
         eta=step_size(budget, kind, rows, features),
         ridge=leaf_ridge(budget, kind, rows, features, categorical),
@@ -121,15 +126,13 @@ def _steady(n: Node) -> float:
 
 
 def specialization(tree: list[Node]) -> float:
-    """1 where a tree's effect is spread over its leaves, 0 where one leaf has it all: entropy and the largest share."""
-    mass = np.array([abs(n.weight) * n.count for n in tree if n.is_leaf])
-    leaves, mass = len(mass), mass[mass > 1e-12]
-    if len(mass) < 2:
+    """1 where a tree's effect is spread evenly over its leaves, 0 where one leaf has it all: how many leaves of equal effect
+    would concentrate it as much (the inverse of the sum of squared shares), between one and all."""
+    effect = np.array([abs(n.weight) * n.count for n in tree if n.is_leaf])
+    if len(effect) < 2 or not effect.sum():
         return 1.0
-    share = mass / mass.sum()
-    spread = -(share * np.log(share)).sum() / math.log(leaves)
-    even = (1 - share.max()) / (1 - 1 / leaves)
-    return float(np.clip(0.7 * spread + 0.3 * even, 0, 1))
+    share = effect / effect.sum()
+    return float((1 / (share**2).sum() - 1) / (len(effect) - 1))
 
 
 def reliability(tree: list[Node]) -> float:
@@ -142,13 +145,13 @@ def reliability(tree: list[Node]) -> float:
 
 
 def tree_generalization(tree: list[Node], kind: str) -> float:
-    """The best node's for binary losses, a mean by rows and steadiness for others; the root has none."""
-    nodes = [(n.generalization * (0.99 + 0.01 * _steady(n)), math.sqrt(max(n.count, 1)) * _steady(n)) for n in tree[1:]]
-    if not nodes:
+    """Of the splits that made a tree's nodes: the best one's generalization for binary losses, where single strong splits
+    decide, else the mean over rows. 0 for a tree without splits."""
+    below = tree[1:]
+    if not below:
         return 0.0
-    if kind == "binary":
-        return max(v for v, _ in nodes)
-    return float(np.average([min(max(v, 0.95), 1.05) for v, _ in nodes], weights=[w for _, w in nodes]))
+    values = [n.generalization for n in below]
+    return max(values) if kind == "binary" else float(np.average(values, weights=[max(n.count, 1) for n in below]))
 
 
 class History:
