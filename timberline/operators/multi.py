@@ -111,7 +111,7 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
     priors = class_priors(df, y, classes)
     base = np.log(np.clip(priors, 1e-12, 1))
     models = [Model(list(x), "LogLoss", float(b), 10.0**-cfg.budget) for b in base - base.mean()]
-    rows, widest, cut_of, groups = binned(df, x, cfg, row_id)
+    rows, widths, cut_of, groups = binned(df, x, cfg, row_id)
     label = F.array_position(F.lit(classes), F.col(y)) - 1
     since = len(WRITTEN)
     rows = cut_lineage(rows.withColumns({"_k": label.cast("int"), "_scores": F.array(*[F.lit(m.base_score) for m in models])}), "classes")
@@ -125,7 +125,7 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
         for c in sorted(range(k), key=lambda i: -each[i])[:limit]:
             p = F.get("_p", c)
             own = work.withColumns({"_g": p - (F.col("_k") == c).cast("double"), "_h": p * (1 - p), "_l": -F.ln(F.greatest(F.when(F.col("_k") == c, p).otherwise(1 - p), F.lit(1e-300)))})
-            tree, _, _ = grow(own, x, cfg, models[0], widest, cut_of, groups)
+            tree, _, _ = grow(own, x, cfg, models[0], widths, cut_of, groups)
             if len(tree) < 2:
                 continue
             weights = _leaves(work, models[0], tree, k, cfg)

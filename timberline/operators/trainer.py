@@ -77,10 +77,10 @@ class Config:
 @dataclass
 class _Open:
     node: Node
-    hist: np.ndarray | None
+    hist: list[np.ndarray] | None
     bounds: tuple[float, float] = (-np.inf, np.inf)
     used: frozenset = frozenset()
-    parent_hist: np.ndarray | None = None
+    parent_hist: list[np.ndarray] | None = None
     sibling: int = -1
 
 
@@ -130,8 +130,8 @@ def _rank(e: dict[str, np.ndarray], cat: bool, sparse: bool) -> np.ndarray:
     return out
 
 
-def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allowed: list[int], bounds=(-np.inf, np.inf), depth: int = 0) -> dict | None:
-    """The best split of a node from hist[feature, bin, fold, (g, h, n)]; bin 0 is missing and goes where more is gained.
+def find_split(hist: list[np.ndarray], root: bool, cfg: Config, names: list[str], allowed: list[int], bounds=(-np.inf, np.inf), depth: int = 0) -> dict | None:
+    """The best split of a node from hist[feature][bin, fold, (g, h, n)]; bin 0 is missing and goes where more is gained.
 
     Numeric bins are taken in order, a category's by descending mean and, where there are many, by a second statistic. A split must gain, must not go against a
     monotone direction, and, under the root, must hold on all folds and generalise by the floor,
@@ -142,7 +142,7 @@ def find_split(hist: np.ndarray, root: bool, cfg: Config, names: list[str], allo
     name = cfg.objective if isinstance(cfg.objective, str) else cfg.objective.name
     varying = name not in CONSTANT or cfg.weight is not None
     for f in allowed:
-        gone, bins = hist[f, 0], hist[f, 1:]
+        gone, bins = hist[f][0], hist[f][1:]
         cat = names[f] in cfg.categorical
         for order in category_orders(bins, cfg.ridge) if cat else [np.arange(len(bins))]:
             s = _best_cut(bins[order], gone, root, cfg, names[f], varying, bounds, depth)
@@ -248,7 +248,8 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
 
     Each round: gradients as columns; then, best first, histograms of all open nodes in one job (the smaller of two
     siblings; the larger is the parent's less that), splits on the driver, and rows routed by an expression of the tree, so
-    no row moves. The driver holds nodes x features x bins x folds sums. ``columns`` replaces the objective's
+    no row moves. The driver holds, for each open node, the sums of each feature's own bins and
+    folds (a thousand features of 64 bins: 8 MB). ``columns`` replaces the objective's
     loss, gradient and hessian (a custom or causal objective); ``frame`` adds columns of these names to rows with
     ``_score``, once a round, for objectives over groups; ``start`` goes on from a model's trees.
     """
@@ -275,7 +276,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         model.head = None  # fitted anew on what the further trees leave
     if not (columns or frame):  # these may use any column; all else that a fit reads is named, and no more is written
         df = df.select(*dict.fromkeys([*features, *model.features, y, row_id, *([cfg.weight] if cfg.weight else [])]))
-    rows, widest, cut_of, groups = binned(df, features, cfg, row_id)
+    rows, widths, cut_of, groups = binned(df, features, cfg, row_id)
     spark, since = df.sparkSession, len(WRITTEN)
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
     idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
@@ -290,7 +291,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
             work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
-        tree, gained, loss = grow(work, features, cfg, model, widest, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None)
+        tree, gained, loss = grow(work, features, cfg, model, widths, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None)
         first_loss = loss if first_loss is None else first_loss
         if len(tree) < 2:
             idle += 1
@@ -349,24 +350,24 @@ def linear_head(rows: DataFrame, features: list[str], y: str) -> dict | None:
     return head if better + 1e-12 < mse * HEAD_GAIN else None
 
 
-def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tuple[DataFrame, int, dict[str, list[float]], list[frozenset] | None]:
-    """df with a bin column a feature and a fold; the most bins of any; cuts; interaction groups as places of features."""
+def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tuple[DataFrame, list[int], dict[str, list[float]], list[frozenset] | None]:
+    """df with a bin column a feature and a fold; how many bins each has; cuts; interaction groups as places of features."""
     numeric = [f for f in features if f not in cfg.categorical]
     # below the first cut is a bin of its own, so that bin 0 is left to missing values
     found = {} if not numeric else weighted_cuts(df, numeric, cfg.max_bin, cfg.weight) if cfg.weight else sketched_cuts(df, numeric, cfg.max_bin)
     cut_of = {f: [float("-inf"), *c] for f, c in found.items()}
     top = df.agg(*[F.max(F.col(c).cast("int")).alias(c) for c in cfg.categorical]).first().asDict() if cfg.categorical else {}
-    widest = max([len(c) for c in cut_of.values()] + [int(t or 0) + 1 for t in top.values()]) + 1
-    if widest > 65536:
+    widths = [int(top[f] or 0) + 2 if f in cfg.categorical else len(cut_of[f]) + 1 for f in features]
+    if max(widths) > 65536:
         raise ValueError("a category's codes pass 65535: pool it first")
     bins = {f: F.col(f).cast("int") + 1 if f in cfg.categorical else map_bin(F.col(f), cut_of[f]) for f in features}
     rows = df.withColumns({f"_b{i}": F.coalesce(bins[f], F.lit(0)) for i, f in enumerate(features)})
     rows = rows.withColumn("_fold", F.pmod(F.col(row_id), F.lit(FOLDS)).cast("int"))
     groups = [frozenset(features.index(f) for f in g) for g in cfg.interactions] if cfg.interactions else None
-    return rows, widest, cut_of, groups
+    return rows, widths, cut_of, groups
 
 
-def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest: int, cut_of: dict, groups, most: Callable[[float], float] | None = None) -> tuple[list[Node], float, float]:
+def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widths: list[int], cut_of: dict, groups, most: Callable[[float], float] | None = None) -> tuple[list[Node], float, float]:
     """One tree, what it takes off the mean loss, and that loss before it; most(loss) is how much it may."""
     eta, tree = model.eta, []
 
@@ -375,12 +376,14 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest
         here = work.withColumn("_node", at)
         here = here.where(F.col("_node").isin(ids)) if tree else here
         got = fold_histogram(here, {str(i): f"_b{i}" for i in range(len(features))}, "_node", "_fold", "_g", "_h", () if tree else ("_l",)).toArrow()
-        out = {i: np.zeros((len(features), widest, FOLDS, 3)) for i in ids}
+        out = {i: [np.zeros((n, FOLDS, 3)) for n in widths] for i in ids}
         c = {k: got.column(k).to_numpy() for k in got.column_names}
         f = c["feature"].astype(int)
-        for i in ids:
-            m = c["node"] == i
-            out[i][f[m], c["bin"][m], c["fold"][m]] = np.stack([c["g"][m], c["h"][m], c["n"][m].astype(float)], axis=1)
+        order = np.lexsort((f, c["node"]))
+        bounds = np.flatnonzero(np.diff(c["node"][order]) | np.diff(f[order])) + 1
+        sums = np.stack([c["g"], c["h"], c["n"]], axis=1).astype(float)
+        for rows_of in np.split(order, bounds) if len(order) else ():
+            out[int(c["node"][rows_of[0]])][f[rows_of[0]]][c["bin"][rows_of], c["fold"][rows_of]] = sums[rows_of]
         if not tree:
             losses.append(float(np.nansum(c["_l"][f == 0].astype(float))))
         return out
@@ -414,7 +417,7 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widest
                 open_[j].hist = x
             for j in need:
                 if open_[j].hist is None:
-                    open_[j].hist = open_[j].parent_hist - open_[open_[j].sibling].hist
+                    open_[j].hist = [p - q for p, q in zip(open_[j].parent_hist, open_[open_[j].sibling].hist)]
             for j in need:
                 open_[j].parent_hist = None
         allowed = list(range(len(features)))

@@ -559,6 +559,22 @@ def class_balance(spark, sf_dir):
 SHORT = Config("LogLoss", iterations=3, max_bin=32, max_nodes=15)
 
 
+_ONE = "(SELECT l_quantity AS q, l_discount AS d, l_tax AS t, l_extendedprice / 1e4 AS y FROM lineitem)"
+
+
+@query(f"""WITH b AS (SELECT avg(y) AS base, count(*) AS n FROM {_ONE} o), r AS (SELECT feature, v, base - y AS g FROM (UNPIVOT (SELECT CAST(q AS DOUBLE) AS l_quantity, CAST(d AS DOUBLE) AS l_discount, CAST(t AS DOUBLE) AS l_tax, y FROM {_ONE} o) ON l_quantity, l_discount, l_tax INTO NAME feature VALUE v) u, b),
+s AS (SELECT feature, v, sum(sum(g)) OVER w AS lg, sum(count(*)) OVER w AS ln, sum(sum(g)) OVER f AS tg, sum(count(*)) OVER f AS tn FROM r GROUP BY feature, v WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY feature)),
+k AS (SELECT *, lg * lg / (ln + 1e-8) + power(tg - lg, 2) / (tn - ln + 1e-8) - tg * tg / (tn + 1e-8) AS gain FROM s WHERE ln > 0 ORDER BY gain DESC LIMIT 1)
+SELECT feature AS split_feature, round(v, 6) AS split_value, round(gain, 3) AS gain, round(-lg / (ln + 1e-8) * power(10, -0.5), 6) AS left_weight, round(-(tg - lg) / (tn - ln + 1e-8) * power(10, -0.5), 6) AS right_weight, CAST(ln AS BIGINT) AS left_count, CAST(tn - ln AS BIGINT) AS right_count, round((SELECT base FROM b), 6) AS base FROM k""")
+def fit_one_split(spark, sf_dir):
+    """The first split that a fit makes of prices, with its leaves."""
+    d = read_table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1e4).alias("y"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"))
+    m = fit(d, ["l_quantity", "l_discount", "l_tax"], "y", Config("SquaredLoss", iterations=1, max_bin=64, max_nodes=3))
+    root, left, right = m.trees[0]
+    row = (m.features[root.feature], round(root.value, 6), round(root.gain, 3), round(left.weight, 6), round(right.weight, 6), left.count, right.count, round(m.base_score, 6))
+    return spark.createDataFrame([row], "split_feature string, split_value double, gain double, left_weight double, right_weight double, left_count bigint, right_count bigint, base double")
+
+
 @query()
 def fit_binary(spark, sf_dir):
     """A short model on orders: importances."""
