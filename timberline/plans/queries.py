@@ -180,11 +180,16 @@ def category_native(spark, sf_dir):
     return mapping.where(F.lit(how["mode"] == "native"))
 
 
-@query()
+@query("""WITH c AS (SELECT p_name AS k, count(*) AS n FROM part GROUP BY 1), z AS (SELECT count(*) AS k, sum(n) AS rows, CASE WHEN sum(n) < 128 THEN 1 WHEN count(*) <= 16 THEN 48 ELSE 64 END AS threshold FROM c),
+p AS (SELECT greatest(1, least(48, k, 64, rows // threshold)) AS pooled FROM z), h AS (SELECT pooled, CASE WHEN pooled < 4 THEN least(pooled, 1) ELSE least(pooled, 16, pooled // 4) END AS tail FROM p), f AS (SELECT least(32, pooled - tail) AS head FROM h),
+t AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k) AS r FROM c), m AS (SELECT k, n, CAST(row_number() OVER (ORDER BY k) AS INT) AS code FROM t, f WHERE r <= head)
+SELECT code, CAST(n AS BIGINT) AS n FROM m UNION ALL SELECT 0, CAST(sum(n) AS BIGINT) FROM t, f WHERE r > head""")
 def category_pool(spark, sf_dir):
+    """Codes of frequent part names, and how many rows share the buckets of the rest (0)."""
     d = read_table(spark, sf_dir, "part")
     mapping, how = encode.category_map(d, "p_name", max_cat=48)
-    return encode.encode(d, "p_name", mapping, how, "code").groupBy("code").agg(F.count("*").alias("n"))
+    coded = encode.encode(d, "p_name", mapping, how, "code")
+    return coded.groupBy(F.when(F.col("code") < how["offset"], F.col("code")).otherwise(0).alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT o_custkey, CAST(o_orderkey % 5 AS INT) AS fold, o_totalprice AS y FROM orders),
@@ -381,21 +386,27 @@ def contributions_weight(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", *[F.round(F.get(c, i), 6).alias(n) for i, n in enumerate(("price", "priority", "bias"))])
 
 
-@query()
+@query(f"""WITH {ROUTED}, v AS (SELECT o_orderkey, {{w0}} - 0.12 + {{w2}} - 0.01 AS rest, CASE WHEN l1 = 1 THEN 0.2 ELSE -7.5 / 70 END AS known_priority, CASE WHEN price < 50000 THEN -0.25 ELSE -0.05 END AS right_leaf, l1 FROM z),
+k AS (SELECT *, 0.06 + 0.7 * right_leaf AS known_price, CASE WHEN l1 = 1 THEN 0.2 ELSE right_leaf END AS known_both, -0.015 AS neither FROM v)
+SELECT o_orderkey, round(CAST(rest + ((known_price - neither) + (known_both - known_priority)) / 2 AS DOUBLE), 6) AS price, round(CAST(((known_priority - neither) + (known_both - known_price)) / 2 AS DOUBLE), 6) AS priority, CAST(0.215 AS DOUBLE) AS bias FROM k""".format(w0=_W0, w2=_W2))
 def shapley(spark, sf_dir):
     c = explain.contributions(MODEL, "Shapley")
     return _orders(spark, sf_dir).select("o_orderkey", *[F.round(F.get(c, i), 6).alias(n) for i, n in enumerate(("price", "priority", "bias"))])
 
 
-@query()
+@query(f"""WITH {ROUTED}, c AS (SELECT o_orderkey, 0.1 + s AS score, {{w0}} - 0.12 + {{w2}} - 0.01 + CASE l1 WHEN 1 THEN 0 WHEN 3 THEN -0.25 + 7.5 / 70 ELSE -0.05 + 7.5 / 70 END AS price, CASE l1 WHEN 1 THEN 0.215 ELSE -7.5 / 70 + 0.015 END AS priority FROM z)
+SELECT o_orderkey, CASE WHEN score < 0 THEN CASE WHEN price < 0 AND priority < 0 THEN CASE WHEN price < priority THEN 'price,priority' ELSE 'priority,price' END WHEN price < 0 THEN 'price' WHEN priority < 0 THEN 'priority' ELSE '' END END AS reasons FROM c""".format(w0=_W0, w2=_W2))
 def reason_codes(spark, sf_dir):
-    return _orders(spark, sf_dir).select("o_orderkey", explain.reason_codes(MODEL, 0.0).alias("reasons"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.array_join(explain.reason_codes(MODEL, 0.0), ",").alias("reasons"))
 
 
-@query()
+@query("""WITH g AS (SELECT CAST(NULL AS DOUBLE) AS value UNION ALL SELECT min(o_totalprice) + (max(o_totalprice) - min(o_totalprice)) * i / 12 FROM orders, range(13) t(i) GROUP BY i)
+SELECT round(value, 4) AS value, round(CAST(0.1 + CASE WHEN value < 150000 THEN 0.4 ELSE -0.3 END + 0.06 + 0.7 * CASE WHEN value < 50000 THEN -0.25 ELSE -0.05 END + CASE WHEN value IS NULL OR value < 250000 THEN 0.05 ELSE -0.15 END AS DOUBLE), 6) AS score FROM g""")
 def partial_dependence(spark, sf_dir):
-    grid = explain.grid(read_table(spark, sf_dir, "orders"), "o_totalprice", 10)
-    return spark.createDataFrame(explain.partial_dependence(MODEL, "price", [None, *grid]), "value double, score double")
+    """The fixed model's score over the range of prices, and where the price is missing."""
+    low, high = read_table(spark, sf_dir, "orders").agg(F.min("o_totalprice"), F.max("o_totalprice")).first()
+    got = explain.partial_dependence(MODEL, "price", [None, *[low + (high - low) * i / 12 for i in range(13)]])
+    return spark.createDataFrame([(None if v is None else round(v, 4), round(s, 6)) for v, s in got], "value double, score double")
 
 
 # a split with a branch of its own for missing values
@@ -487,6 +498,20 @@ def calibration_curve(spark, sf_dir):
     return M.calibration_curve(_labelled(spark, sf_dir), "y", "p").select("bin", "n", F.round("mean_y", 8).alias("mean_y"), F.round("mean_p", 8).alias("mean_p"))
 
 
+QUANTILE_BINS = f"WITH k AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM {LABELLED}), c AS (SELECT CAST(len(list_filter(cuts, lambda c: c <= p)) AS INT) AS bin, count(*) AS n, avg(y) AS mean_y, avg(p) AS mean_p FROM {LABELLED}, k GROUP BY 1)"
+
+
+@query(f"{QUANTILE_BINS} SELECT bin, n, round(mean_y, 8) AS mean_y, round(mean_p, 8) AS mean_p FROM c")
+def calibration_curve_quantile(spark, sf_dir):
+    got = M.calibration_curve(_labelled(spark, sf_dir), "y", "p", strategy="quantile")
+    return got.select("bin", "n", F.round("mean_y", 8).alias("mean_y"), F.round("mean_p", 8).alias("mean_p"))
+
+
+@query(f"{QUANTILE_BINS} SELECT round(sum(n * abs(mean_y - mean_p)) / sum(n), 8) AS ece FROM c")
+def ece_quantile(spark, sf_dir):
+    return M.ece(_labelled(spark, sf_dir), "y", "p", strategy="quantile").select(F.round("ece", 8).alias("ece"))
+
+
 @query(f"WITH c AS (SELECT least(floor(p * 10), 9) AS b, count(*) AS n, avg(y) AS y, avg(p) AS p FROM {LABELLED} GROUP BY 1) SELECT round(sum(n * abs(y - p)) / sum(n), 8) AS ece FROM c")
 def ece(spark, sf_dir):
     return M.ece(_labelled(spark, sf_dir), "y", "p").select(F.round("ece", 8).alias("ece"))
@@ -534,10 +559,13 @@ def label_sets(spark, sf_dir):
     return read_table(spark, sf_dir, "lineitem").groupBy(F.array_contains(s, 0).cast("int").alias("zero"), F.array_contains(s, 1).cast("int").alias("one")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT p, sum(y) AS y, count(*) AS n FROM {LABELLED} GROUP BY p), o AS (SELECT row_number() OVER w AS i, sum(y) OVER w AS sy, sum(n) OVER w AS sn, y, n FROM g WINDOW w AS (ORDER BY p)),
+m AS (SELECT a.i AS a, b.i AS b, CAST(b.sy - a.sy + a.y AS DOUBLE) / (b.sn - a.sn + a.n) AS v FROM o a JOIN o b ON a.i <= b.i), l AS (SELECT a, b AS i, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m)
+SELECT DISTINCT round(max(least), 9) AS value FROM l GROUP BY i""")
 def isotonic_fit(spark, sf_dir):
-    xs, ys = calibrate.isotonic(_labelled(spark, sf_dir), "p", "y")
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(xs, ys)], "threshold double, value double")
+    """The levels of the rising step fit of quality on length: for each row the greatest over starts of the least mean to any end."""
+    _, ys = calibrate.isotonic(_labelled(spark, sf_dir), "p", "y")
+    return spark.createDataFrame(sorted({(round(float(b), 9),) for b in ys}), "value double")
 
 
 # classes
@@ -598,10 +626,17 @@ def fit_scheduled(spark, sf_dir):
     return m.table(spark).select("tree_id", "node_id", "split_feature", F.round("weight", 6).alias("weight"), "count")
 
 
-@query()
+def _chi(a: int, b: int, c: str, d: str) -> str:
+    return f"CASE WHEN ({c} + {d}) > 0 AND ({a} + {c}) > 0 AND ({b} + {d}) > 0 THEN ({a} + {b} + {c} + {d}) * power({a} * {d} - {b} * {c}, 2) / (CAST({a} + {b} AS DOUBLE) * ({c} + {d}) * ({a} + {c}) * ({b} + {d})) ELSE 0 END"
+
+
+@query(f"""WITH {ROUTED}, c AS (SELECT {", ".join(f"CAST(count(*) FILTER ({w}) AS DOUBLE) AS {n}" for n, w in {"a1": "l0 = 1", "a2": "l0 = 2", "b1": "l1 = 1", "b2": "l1 <> 1", "b3": "l1 = 3", "b4": "l1 = 4", "c1": "l2 = 1", "c2": "l2 = 2"}.items())} FROM z)
+SELECT round(({_chi(60, 40, "a1", "a2")} + {_chi(30, 70, "b1", "b2")} + {_chi(20, 50, "b3", "b4")} + {_chi(80, 20, "c1", "c2")}) / 4, 4) AS data, round(({_chi(60, 40, "a1", "a2")} + {_chi(30, 70, "b1", "b2")} + {_chi(20, 50, "b3", "b4")} + {_chi(80, 20, "c1", "c2")}) / 4, 4) AS concept FROM c""")
 def drift_score(spark, sf_dir):
+    """How far orders have drifted from the fixed model's counts: at all splits, and at those above leaves."""
     d = _orders(spark, sf_dir)
-    return D.drift(fit(d, ["price", "priority"], "y", SHORT), d.withColumn("price", F.col("price") * 1.2))
+    both = [D.drift(MODEL, d, kind).select(F.round("drift", 4).alias(kind)) for kind in ("data", "concept")]
+    return both[0].crossJoin(F.broadcast(both[1]))  # one row each
 
 
 @query()
@@ -715,7 +750,18 @@ def prune_model(spark, sf_dir):
     return spark.createDataFrame([(k, sum(len(t) for t in D.prune(Model.from_json(MODEL.to_json()), d, "y", k).trees)) for k in kinds], "kind string, nodes int")
 
 
-@query()
+def _refreshed(leaf: str, before: dict[int, tuple[float, int]], prior: str, out: str) -> str:
+    """A table of a tree's leaves after a step: SQL over z with the score before the tree in ``prior``."""
+    old = " ".join(f"WHEN {k} THEN {w}" for k, (w, _) in before.items())
+    cover = " ".join(f"WHEN {k} THEN {c}" for k, (_, c) in before.items())
+    sums = f"SELECT {leaf} AS node_id, sum(1 / (1 + exp(-({prior}))) - CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS g, sum(1 / (1 + exp(-({prior}))) * (1 - 1 / (1 + exp(-({prior}))))) AS h, count(*) AS n FROM f GROUP BY 1"
+    return f"{out} AS (SELECT CAST(node_id AS INT) AS node_id, CASE node_id {old} END * (1 - h / (h + CASE node_id {cover} END + 1e-8)) + h / (h + CASE node_id {cover} END + 1e-8) * (-g / (h + 1e-8) * 0.3) AS weight, CASE node_id {cover} END + n AS count FROM ({sums}))"
+
+
+@query(f"""WITH {ROUTED}, f AS (SELECT *, CAST(0.1 AS DOUBLE) AS f0 FROM z), {_refreshed("l0", {1: (0.4, 60), 2: (-0.3, 40)}, "f0", "t0")},
+{_refreshed("l1", {1: (0.2, 30), 3: (-0.25, 20), 4: (-0.05, 50)}, "f0 + (SELECT weight FROM t0 WHERE node_id = l0)", "t1")},
+{_refreshed("l2", {1: (0.05, 80), 2: (-0.15, 20)}, "f0 + (SELECT weight FROM t0 WHERE node_id = l0) + (SELECT weight FROM t1 WHERE node_id = l1)", "t2")}
+SELECT CAST(tree_id AS INT) AS tree_id, node_id, round(weight, 6) AS weight, CAST(count AS BIGINT) AS count FROM (SELECT 0 AS tree_id, * FROM t0 UNION ALL SELECT 1, * FROM t1 UNION ALL SELECT 2, * FROM t2)""")
 def refresh_model(spark, sf_dir):
     """The fixed model's leaf weights after a batch of orders."""
     m = D.refresh(Model.from_json(MODEL.to_json()), _orders(spark, sf_dir), "y")
