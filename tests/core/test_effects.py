@@ -163,3 +163,25 @@ def test_uplift_ranges_suit_any_score(spark):
     assert (got["row_id"].to_numpy() == order).all() and np.allclose(got["value"], want)
     assert got["task"].value_counts().max() < 1000
     assert M.uplift_curve(df.limit(0), "y", "w", "s", "row_id").count() == 0
+
+
+@pytest.mark.parametrize("kind", causal.KINDS)
+def test_effect_estimators(data, kind):
+    """Each kind fits, predicts, and predicts the same after JSON."""
+    y, w, more = {"IV": ("e", "d", {"instruments": ["z"]}), "Fair": ("k", "s", {"options": {"strength": 2.0}}), "Policy": ("y", "w", {"options": {"doubly_robust": True}})}.get(kind, ("y", "w", {}))
+    x = ["a", "s"] if kind == "Fair" else ["a"]
+    m = causal.Effect(kind, x, w, REG, BIN, **more).fit(data, y)
+    got = m.predict(data, "t")
+    assert set(got.columns) == {*data.columns, "t"}
+    again = causal.Effect.from_json(m.to_json())
+    assert again.predict(data, "t").agg(F.sum("t")).first() == got.agg(F.sum("t")).first()
+    low, high = {"IV": (1.5, 4.0), "Fair": (0.2, 0.8), "Policy": (0.9, 1.0)}.get(kind, (1.2, 2.8))
+    assert low <= mean(got, "t") <= high
+    if kind == "DML":
+        assert again.average["low"] < again.average["ate"] < again.average["high"]
+    if kind == "IV":
+        assert mean(m.predict(data, "o", at=1.0), "o") - mean(m.predict(data, "o", at=0.0), "o") == pytest.approx(mean(got, "t"))
+    with pytest.raises(ValueError):
+        causal.Effect("Q", ["a"], "w")
+    with pytest.raises(ValueError):
+        causal.Effect("S", ["a"], "w").predict(data)

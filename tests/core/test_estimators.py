@@ -196,3 +196,68 @@ def test_pairs_are_ranked():
     assert pairs[0] == ("a", "b") and len(pairs) == 3 and not any({"few", "one"} & set(p) for p in pairs)
     pooled = encode.best_pairs({"a": of(5), "b": of(5), "c": of(5, mode="pooled")}, {"a": 0.1, "b": 0.1, "c": 0.1})
     assert "c" in pooled[0] and encode.best_pairs({}, {}) == []
+
+
+def test_models_of_classes(data):
+    """Pruned, calibrated and explained class by class; shared trees refuse what their folds can't tell."""
+    m = multi.fit_classes(data, ["a", "b"], "three", SMALL)
+    pd = m.partial_dependence("a", [None, -1.0, 1.0])
+    assert [v for v, _ in pd] == [None, -1.0, 1.0] and np.isclose(pd[1][1], np.mean([explain.partial_dependence(k, "a", [-1.0])[0][1] for k in m.models]))
+    m.calibrate(data, "three", [0.1])
+    got = data.select(m.intervals(0.1).alias("i"), m.scores().alias("s")).limit(20).collect()
+    assert all(len(r["i"]) == 3 and all(i["low"] <= s <= i["high"] for i, s in zip(r["i"], r["s"])) for r in got)
+    nodes = sum(len(t) for k in m.models for t in k.trees)
+    assert sum(len(t) for k in m.prune(data, "three").models for t in k.trees) <= nodes
+    shared = multi.fit_shared(data, ["a", "b"], "three", SMALL)
+    for refused in (lambda: shared.prune(data, "three"), lambda: shared.calibrate(data, "three", [0.1]), lambda: shared.intervals(0.1)):
+        with pytest.raises(ValueError):
+            refused()
+
+
+def test_which_classes_share():
+    assert not multi.shares_trees(3, 1000, 10) and multi.shares_trees(3, 1000, 96) and multi.shares_trees(6, 10_000, 12) and multi.shares_trees(3, 10_000, 24)
+    assert multi.shares_trees(12, 2000, 12) and multi.shares_trees(6, 200, 10) and not multi.shares_trees(6, 200, 12) and multi.shares_trees(6, 300, 16) and multi.shares_trees(5, 500, 24)
+    assert multi.class_budget(1.5, 3, 60_000, 10) == 1.0 and multi.class_budget(1.5, 4, 60_000, 10) == 1.5 and multi.class_budget(0.5, 3, 60_000, 10) == 0.5
+
+
+def test_start_values(spark):
+    """Weighted quantiles as order statistics, by hand."""
+    from timberline.functions import objectives as O
+
+    d = spark.createDataFrame(list(zip([1.0, 2.0, 9.0, 3.2, 4.0], [0.0, 0.5, 1.0, 0.3, 0.5])), "y double, w double")
+    at = lambda o, w=None: o.start(d, F.col("y"), w)
+    assert at(O.quantile(0.1), F.col("w")) == 2.0 and at(O.quantile(0.9), F.col("w")) == 9.0
+    assert at(O.OBJECTIVES["AbsoluteLoss"], F.col("w")) == 4.0 and at(O.OBJECTIVES["HuberLoss"]) == 3.2 and at(O.OBJECTIVES["AdaptiveHuberLoss"], F.col("w")) == 4.0
+    assert O.residual_quantiles(d, F.col("y"), F.lit(0.0), [0.0, 0.5, 0.6, 1.0]) == [1.0, 3.2, 3.2, 9.0]
+    with pytest.raises(TypeError):
+        O.objective("AdaptiveHuberLoss", q=1)
+    assert O.objective("AdaptiveHuberLoss", alpha=0.9).adapt is not None
+
+
+def test_robust_rounds(spark):
+    """Long tails clip gradients; plain residuals leave squared loss as it is. The adaptive Huber loss adapts in every fit."""
+    from timberline.functions import objectives as O
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=600)
+    plain, long = a + 0.1 * rng.normal(size=600), a + 0.1 * rng.standard_cauchy(size=600)
+    d = spark.createDataFrame([(i, float(x), float(p), float(q)) for i, (x, p, q) in enumerate(zip(a, plain, long))], "row_id bigint, a double, p double, q double")
+    r = np.sort(np.abs(long))
+    at = lambda s: r[int(599 * s + 0.5)]
+    assert O.robust_delta(d, F.col("q"), F.lit(0.0)) == pytest.approx(max((at(0.9) + at(0.95)) / 2, 2 * at(0.75), 2 * at(0.5), 0.5))
+    assert O.robust_delta(d.where("abs(a) > 1"), F.col("a"), F.signum("a") * 1.0001 * F.abs("a")) is None
+    cfg = dict(budget=0.3, iterations=6, max_bin=16, max_nodes=7)
+    error = lambda m: d.agg(F.avg((F.col("a") - m.raw_score()) ** 2)).first()[0]
+    assert error(fit(d, ["a"], "q", Config("SquaredLoss", robust=True, **cfg))) < error(fit(d, ["a"], "q", Config("SquaredLoss", **cfg)))
+    adapted, fixed = fit(d, ["a"], "q", Config("AdaptiveHuberLoss", **cfg)), fit(d, ["a"], "q", Config("HuberLoss", **cfg))
+    assert adapted.objective == "AdaptiveHuberLoss" and adapted.trees[0][1].weight != fixed.trees[0][1].weight
+
+
+def test_model_bytes_and_metadata(data):
+    m = fit(data.withColumn("t", F.col("y")), ["a"], "t", Config("SquaredLoss", budget=0.3, iterations=1, max_bin=8, max_nodes=3))
+    m.put("made", "today")
+    again = Model.from_bytes(m.to_bytes())
+    assert again.get("made") == "today" and again.to_json() == m.to_json()
+    assert [tuple(r) for r in again.metadata_table(data.sparkSession).collect()] == [("made", "today")]
+    with pytest.raises(KeyError):
+        again.get("gone")

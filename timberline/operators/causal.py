@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +26,15 @@ def clipped(p: Column, clip: float) -> Column:
     return F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
 
 
-def s_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> Column:
-    """Effect of treatment by one model with it as a feature: score at 1 less score at 0."""
+def s_models(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> dict[str, Model]:
+    """One model with the treatment as a feature."""
     check_treatment(df, w)
-    m = fit(df.withColumn("_w", F.col(w).cast("double")), [*x, "_w"], y, cfg)
-    return _with(m, "_w", 1.0) - _with(m, "_w", 0.0)
+    return {"outcome": fit(df.withColumn("_w", F.col(w).cast("double")), [*x, "_w"], y, cfg)}
+
+
+def s_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> Column:
+    """Effect of treatment by one model: score at 1 less score at 0."""
+    return effect_of("S", s_models(df, x, w, y, cfg))
 
 
 def _with(m: Model, column: str, value: float) -> Column:
@@ -49,28 +54,50 @@ def _with(m: Model, column: str, value: float) -> Column:
     return out
 
 
-def t_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> Column:
+def t_models(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> dict[str, Model]:
+    """A model of each arm."""
     check_treatment(df, w)
-    m1, m0 = (fit(df.where(F.col(w) == k), x, y, replace(cfg, seed=cfg.seed + k)) for k in (1, 0))
-    return m1.raw_score() - m0.raw_score()
+    return {f"arm{k}": fit(df.where(F.col(w) == k), x, y, replace(cfg, seed=cfg.seed + k)) for k in (1, 0)}
+
+
+def t_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION) -> Column:
+    return effect_of("T", t_models(df, x, w, y, cfg))
+
+
+def x_models(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, propensity: Config = BINARY) -> dict[str, Model]:
+    """Models of arms and of the propensity, and of each arm's effects imputed by the other's model."""
+    out = t_models(df, x, w, y, cfg) | {"propensity": fit(df, x, w, propensity)}
+    out["effect1"] = fit(df.where(F.col(w) == 1).withColumn("_d", F.col(y) - out["arm0"].raw_score()), x, "_d", cfg)
+    out["effect0"] = fit(df.where(F.col(w) == 0).withColumn("_d", out["arm1"].raw_score() - F.col(y)), x, "_d", cfg)
+    return out
 
 
 def x_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, propensity: Config = BINARY) -> Column:
-    """Effects imputed by the other arm's model, mixed by the propensity: p tau0 + (1 - p) tau1."""
-    check_treatment(df, w)
-    treated, rest = df.where(F.col(w) == 1), df.where(F.col(w) == 0)
-    m1, m0, p = fit(treated, x, y, cfg), fit(rest, x, y, cfg), sigmoid(fit(df, x, w, propensity).raw_score())
-    t1 = fit(treated.withColumn("_d", F.col(y) - m0.raw_score()), x, "_d", cfg)
-    t0 = fit(rest.withColumn("_d", m1.raw_score() - F.col(y)), x, "_d", cfg)
-    return p * t0.raw_score() + (1 - p) * t1.raw_score()
+    """Imputed effects mixed by the propensity: p tau0 + (1 - p) tau1."""
+    return effect_of("X", x_models(df, x, w, y, cfg, propensity))
+
+
+def dr_models(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, propensity: Config = BINARY, clip: float = 1e-3) -> dict[str, Model]:
+    """Models of arms and of the propensity, and one of the doubly robust pseudo-outcome."""
+    out = t_models(df, x, w, y, cfg) | {"propensity": fit(df, x, w, propensity)}
+    gamma = policy_target(F.col(y), F.col(w), sigmoid(out["propensity"].raw_score()), out["arm1"].raw_score(), out["arm0"].raw_score(), clip)
+    return out | {"effect": fit(df.withColumn("_d", gamma), x, "_d", cfg)}
 
 
 def dr_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, propensity: Config = BINARY, clip: float = 1e-3) -> Column:
-    check_treatment(df, w)
-    m1, m0 = fit(df.where(F.col(w) == 1), x, y, cfg), fit(df.where(F.col(w) == 0), x, y, cfg)
-    p = sigmoid(fit(df, x, w, propensity).raw_score())
-    gamma = policy_target(F.col(y), F.col(w), p, m1.raw_score(), m0.raw_score(), clip)
-    return fit(df.withColumn("_d", gamma), x, "_d", cfg).raw_score()
+    return effect_of("DR", dr_models(df, x, w, y, cfg, propensity, clip))
+
+
+def effect_of(kind: str, models: dict[str, Model]) -> Column:
+    """A row's effect of treatment by the models of one of the learners."""
+    if kind == "S":
+        return _with(models["outcome"], "_w", 1.0) - _with(models["outcome"], "_w", 0.0)
+    if kind == "T":
+        return models["arm1"].raw_score() - models["arm0"].raw_score()
+    if kind == "X":
+        p = sigmoid(models["propensity"].raw_score())
+        return p * models["effect0"].raw_score() + (1 - p) * models["effect1"].raw_score()
+    return models["effect"].raw_score()
 
 
 def r_learner(df: DataFrame, x: list[str], w: str, y: str, cfg: Config = REGRESSION, propensity: Config = BINARY) -> Model:
@@ -156,3 +183,78 @@ def fair_classifier(df: DataFrame, x: list[str], y: str, sensitive: str, cfg: Co
         return d.withColumns({"loss": loss, "gradient": gradient, "hessian": c["hessian"]})
 
     return fit(df, x, y, cfg, frame=penalised, start=Model(list(x), "LogLoss", 0.0, 10.0**-cfg.budget))
+
+
+KINDS = ("S", "T", "X", "DR", "R", "DML", "IV", "Policy", "Fair")
+
+
+@dataclass
+class Effect:
+    """Causal estimators under one roof: fitted once, kept as JSON, replayed as a column on any frame with the features.
+
+    kind: learners of a treatment's effect ("S", "T", "X", "DR", "R", "DML"), an instrument's two stages ("IV"), a policy
+    ("Policy", whom to treat), or a classifier under a fairness penalty ("Fair", where ``treatment`` names the sensitive column).
+    options go to the learner: clip, folds, doubly_robust, strength, equal_odds.
+    """
+
+    kind: str
+    features: list[str]
+    treatment: str
+    config: Config = field(default_factory=lambda: Config("SquaredLoss"))
+    nuisance: Config = field(default_factory=lambda: Config("LogLoss"))
+    instruments: list[str] = field(default_factory=list)
+    options: dict = field(default_factory=dict)
+    models: dict[str, Model] = field(default_factory=dict)
+    average: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown kind {self.kind}")
+        if self.kind == "IV" and not self.instruments:
+            raise ValueError("two stages need an instrument")
+
+    def fit(self, df: DataFrame, y: str) -> Effect:
+        x, w, cfg, own = self.features, self.treatment, self.config, self.options
+        if self.kind in ("S", "T"):
+            self.models = {"S": s_models, "T": t_models}[self.kind](df, x, w, y, cfg)
+        elif self.kind in ("X", "DR"):
+            self.models = {"X": x_models, "DR": dr_models}[self.kind](df, x, w, y, cfg, self.nuisance, **own)
+        elif self.kind == "R":
+            self.models = {"effect": r_learner(df, x, w, y, cfg, self.nuisance)}
+        elif self.kind == "DML":
+            effect, self.average = dml(df, x, w, y, cfg, **own)
+            self.models = {"effect": effect}
+        elif self.kind == "IV":
+            self.models = dict(zip(("first", "second"), iv(df, x, self.instruments, w, y, cfg)))
+        elif self.kind == "Policy":
+            self.models = {"effect": policy_learner(df, x, w, y, self.nuisance, propensity=self.nuisance, outcome=cfg, **own)}
+        else:
+            self.models = {"effect": fair_classifier(df, x, y, w, self.nuisance, **own)}
+        return self
+
+    def predict(self, df: DataFrame, out: str = "effect", at: float | None = None) -> DataFrame:
+        """Adds the effect; for IV the outcome at a treatment (or its difference between 1 and 0), for a policy 1 where
+        treating pays, for the fair classifier a probability."""
+        if not self.models:
+            raise ValueError("not fitted")
+        if self.kind == "IV":
+            second = self.models["second"]
+            if at is not None:
+                return iv_at(df, second, at).withColumnRenamed("outcome", out)
+            untreated = iv_at(df, second, 0.0).withColumnRenamed("outcome", "_untreated")
+            return iv_at(untreated, second, 1.0).withColumn(out, F.col("outcome") - F.col("_untreated")).drop("outcome", "_untreated")
+        if self.kind == "Policy":
+            return df.withColumn(out, (self.models["effect"].raw_score() > 0).cast("int"))
+        if self.kind == "Fair":
+            return df.withColumn(out, sigmoid(self.models["effect"].raw_score()))
+        return df.withColumn(out, effect_of(self.kind, self.models))
+
+    def to_json(self) -> str:
+        plain = {"kind": self.kind, "features": self.features, "treatment": self.treatment, "instruments": self.instruments, "options": self.options, "average": self.average}
+        return json.dumps(plain | {"models": {k: json.loads(m.to_json()) for k, m in self.models.items()}})
+
+    @classmethod
+    def from_json(cls, text: str) -> Effect:
+        d = json.loads(text)
+        models = {k: Model.from_json(json.dumps(m)) for k, m in d.pop("models").items()}
+        return cls(**d, models=models)

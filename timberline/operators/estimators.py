@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from timberline.functions.metrics import ndcg
 from timberline.functions.objectives import listnet
 from timberline.operators.encode import CROSS_FEATURES, MEAN_ROWS, WIDE, best_pairs, category_map, cross, encode, fold_of, full_means, mean_budget, signal_score, support_threshold, target_means, wants_mean
-from timberline.operators.multi import MultiModel, class_weights, fit_classes, fit_shared
+from timberline.operators.multi import MultiModel, class_weights, fit_classes, fit_multi, fit_shared
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
 from timberline.sources.tables import FeatureSpec, classes_of, cut_lineage
@@ -162,10 +162,11 @@ class Regressor(_Estimator):
 
 @dataclass
 class Classifier(_Estimator):
-    """Two classes: one model, of probability the mean of its folds' sigmoids. More: shared trees, or one model against the rest each."""
+    """Two classes: one model, of probability the mean of its folds' sigmoids. More: shared trees, or one model against the rest
+    each, as ``shared`` says or, left open, as suits the table's shape."""
 
     balanced: bool = True
-    shared: bool = True
+    shared: bool | None = None
     classes: list = field(default_factory=list)
     multi: MultiModel | None = None
 
@@ -176,7 +177,7 @@ class Classifier(_Estimator):
         two = len(self.classes) == 2
         d, cfg = self._coded(df.withColumn("_one", (F.col(y) == self.classes[1]).cast("double")) if two else df, y, "_one" if two else None)
         if not two:
-            self.multi = (fit_shared if self.shared else fit_classes)(d, self.coder.names, y, cfg, self.row_id)
+            self.multi = (fit_multi if self.shared is None else fit_shared if self.shared else fit_classes)(d, self.coder.names, y, cfg, self.row_id)
             return self
         if self.balanced and cfg.weight is None and cfg.objective == "LogLoss":
             of = {r["label"]: r["weight"] for r in class_weights(df.where(F.col(y).isNotNull()), y).collect()}

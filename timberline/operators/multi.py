@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.primitives import softmax
+from timberline.operators.calibrate import calibrate, intervals
+from timberline.operators.drift import prune
+from timberline.operators.explain import partial_dependence
 from timberline.operators.trainer import CUT_EVERY, Config, binned, fit, grow
 from timberline.operators.tree import NATIVE_NODES, Model, importance
 from timberline.sources.tables import WRITTEN, classes_of, cut_lineage, discard
@@ -67,6 +70,33 @@ class MultiModel:
             return softmax(self.scores(), temperature or self.temperature)
         return normalised(F.array(*[m.probability() for m in self.models]), self.priors)
 
+    def partial_dependence(self, feature: str, values: list[float | None]) -> list[tuple[float | None, float]]:
+        """Mean over classes of their models' dependence."""
+        each = [partial_dependence(m, feature, values) for m in self.models]
+        return [(v, sum(e[i][1] for e in each) / len(each)) for i, v in enumerate(values)]
+
+    def prune(self, df: DataFrame, y: str, kind: str = "BottomUp") -> MultiModel:
+        """Each class's model against its own rows and the rest."""
+        self._apart("pruned")
+        for c, m in zip(self.classes, self.models):
+            prune(m, df.withColumn("_one", F.when(F.col(y) == c, 1.0).otherwise(0.0)), "_one", kind)
+        return self
+
+    def calibrate(self, df: DataFrame, y: str, alphas: list[float], method: str = "WeightVariance") -> MultiModel:
+        self._apart("calibrated")
+        for c, m in zip(self.classes, self.models):
+            calibrate(m, df.withColumn("_one", F.when(F.col(y) == c, 1.0).otherwise(0.0)), "_one", alphas, method)
+        return self
+
+    def intervals(self, alpha: float) -> Column:
+        """An array of (low, high), one for each class."""
+        self._apart("calibrated")
+        return F.array(*[intervals(m, alpha) for m in self.models])
+
+    def _apart(self, done: str) -> None:
+        if self.shared:
+            raise ValueError(f"trees that classes share can't be {done}: their folds have one weight")
+
     def importance(self, spark) -> DataFrame:
         """Mean over classes of normalised importances."""
         parts = [importance(m.table(spark)) for m in self.models]
@@ -88,6 +118,39 @@ def class_priors(df: DataFrame, y: str, classes: list) -> list[float]:
     return list(df.agg(*[F.avg(F.when(F.col(y) == c, 1.0).otherwise(0.0)) for c in classes]).first())
 
 
+# fixed values: when trees are shared: features; rows with features, categories or classes; classes with rows; by rows a class
+WIDE_FEATURES, SHARED_ROWS, SHARED_FEATURES, SHARED_CATEGORIES, SHARED_CLASSES = 96, 10_000, 24, 8, 6
+MANY_CLASSES, MANY_ROWS = 12, 2000
+BY_CLASS = ((6, None, 24, None, 10), (6, None, 48, 16, None), (4, 8, 96, 24, None))
+# fixed values: classes, rows and features for which one model a class has a budget of 1 at most
+CAPPED_CLASSES, CAPPED_ROWS, CAPPED_FEATURES, CAPPED_BUDGET = 3, 50_000, 24, 1.0
+
+
+def shares_trees(classes: int, rows: int, features: int, categorical: int = 0) -> bool:
+    """Whether trees that classes share serve a table better than a model a class."""
+    if features >= WIDE_FEATURES or classes >= MANY_CLASSES and rows >= MANY_ROWS:
+        return True
+    if rows >= SHARED_ROWS and (features >= SHARED_FEATURES or categorical >= SHARED_CATEGORIES or classes >= SHARED_CLASSES):
+        return True
+    each = rows // max(classes, 1)
+    return any(classes >= low and (high is None or classes <= high) and each >= n and (least is None or features >= least) and (most is None or features <= most) for low, high, n, least, most in BY_CLASS)
+
+
+def class_budget(budget: float, classes: int, rows: int, features: int) -> float:
+    """The budget of one model a class: three classes of a long, narrow table need no more than 1."""
+    return min(budget, CAPPED_BUDGET) if classes == CAPPED_CLASSES and rows >= CAPPED_ROWS and features <= CAPPED_FEATURES else budget
+
+
+def fit_multi(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id") -> MultiModel:
+    """Shared trees or a model a class, whichever suits the table's shape."""
+    cfg = cfg or Config()
+    df = df.where(F.col(y).isNotNull())
+    rows, classes = df.count(), len(classes_of(df, y))
+    if shares_trees(classes, rows, len(x), len(cfg.categorical)):
+        return fit_shared(df, x, y, cfg, row_id)
+    return fit_classes(df, x, y, replace(cfg, budget=class_budget(cfg.budget, classes, rows, len(x))), row_id)
+
+
 def fit_classes(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id") -> MultiModel:
     """One model against the rest for each class, in order of labels."""
     cfg = cfg or Config()
@@ -96,8 +159,9 @@ def fit_classes(df: DataFrame, x: list[str], y: str, cfg: Config | None = None,
     return MultiModel(classes, models, class_priors(df, y, classes))
 
 
-def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id", candidates: int | None = None) -> MultiModel:
-    """Trees with a weight for each class. Each round grows a tree on the gradients of each of the classes with the most loss
+def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, row_id: str = "row_id", candidates: int | None = None, balanced: bool = True) -> MultiModel:
+    """Trees with a weight for each class. Rows count by their class's blended weight (where ``balanced``) and by the
+    parameters' weight column. Each round grows a tree on the gradients of each of the classes with the most loss
     (all of up to 8, 6 of up to 16, else 8), solves its leaves for all classes at once, and keeps the one that leaves the
     least softmax loss.
 
@@ -105,7 +169,7 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
     driver holds leaves x classes squared sums (up to five classes; beyond, the Hessian's diagonal).
     """
     cfg = cfg or Config()
-    df = df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*x, y, row_id]))
+    df = df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*x, y, row_id, *([cfg.weight] if cfg.weight else [])]))
     classes = classes_of(df, y)
     k = len(classes)
     priors = class_priors(df, y, classes)
@@ -113,23 +177,25 @@ def fit_shared(df: DataFrame, x: list[str], y: str, cfg: Config | None = None, r
     models = [Model(list(x), "LogLoss", float(b), 10.0**-cfg.budget) for b in base - base.mean()]
     rows, widths, cut_of, groups = binned(df, x, cfg, row_id)
     label = F.array_position(F.lit(classes), F.col(y)) - 1
+    of = {r["label"]: float(r["weight"]) for r in blended_class_weights(df, y).collect()} if balanced else {}
+    weight = F.get(F.lit([of.get(c, 1.0) for c in classes]), label.cast("int")) * (F.col(cfg.weight).cast("double") if cfg.weight else F.lit(1.0))
     since = len(WRITTEN)
-    rows = cut_lineage(rows.withColumns({"_k": label.cast("int"), "_scores": F.array(*[F.lit(m.base_score) for m in models])}), "classes")
+    rows = cut_lineage(rows.withColumns({"_w": weight, "_k": label.cast("int"), "_scores": F.array(*[F.lit(m.base_score) for m in models])}), "classes")
     limit = candidates or (k if k <= 8 else 6 if k <= 16 else 8)
     wanted = lambda scores: -F.ln(F.greatest(F.get(softmax(scores), F.col("_k")), F.lit(1e-300)))
     idle = 0
     for round_ in range(cfg.iterations):
         work = rows.withColumn("_p", softmax(F.col("_scores")))
-        loss, *each = work.withColumn("_l", wanted(F.col("_scores"))).agg(F.avg("_l"), *[F.sum(F.when(F.col("_k") == i, F.col("_l")).otherwise(0.0)) for i in range(k)]).first()
+        loss, *each = work.withColumn("_l", wanted(F.col("_scores")) * F.col("_w")).agg(F.avg("_l"), *[F.sum(F.when(F.col("_k") == i, F.col("_l")).otherwise(0.0)) for i in range(k)]).first()
         best = None
         for c in sorted(range(k), key=lambda i: -each[i])[:limit]:
             p = F.get("_p", c)
-            own = work.withColumns({"_g": p - (F.col("_k") == c).cast("double"), "_h": p * (1 - p), "_l": -F.ln(F.greatest(F.when(F.col("_k") == c, p).otherwise(1 - p), F.lit(1e-300)))})
+            own = work.withColumns({"_g": (p - (F.col("_k") == c).cast("double")) * F.col("_w"), "_h": p * (1 - p) * F.col("_w"), "_l": -F.ln(F.greatest(F.when(F.col("_k") == c, p).otherwise(1 - p), F.lit(1e-300))) * F.col("_w")})
             tree, _, _ = grow(own, x, cfg, models[0], widths, cut_of, groups)
             if len(tree) < 2:
                 continue
             weights = _leaves(work, models[0], tree, k, cfg)
-            after = rows.agg(F.avg(wanted(_added(models[0], tree, weights)))).first()[0]
+            after = rows.agg(F.avg(wanted(_added(models[0], tree, weights)) * F.col("_w"))).first()[0]
             if best is None or after < best[0]:
                 best = (after, tree, weights)
         if best is None or best[0] >= loss - 1e-9:
@@ -157,7 +223,8 @@ def _leaves(work: DataFrame, model: Model, tree: list, k: int, cfg: Config) -> d
     """Newton steps of all classes at each leaf, centred."""
     p = [F.get("_p", i) for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i)] if k <= FULL_HESSIAN else []
-    sums = [F.sum(p[i] - (F.col("_k") == i).cast("double")) for i in range(k)] + [F.sum(p[i] * (1 - p[i])) for i in range(k)] + [F.sum(-p[i] * p[j]) for i, j in pairs]
+    w = F.col("_w")
+    sums = [F.sum((p[i] - (F.col("_k") == i).cast("double")) * w) for i in range(k)] + [F.sum(p[i] * (1 - p[i]) * w) for i in range(k)] + [F.sum(-p[i] * p[j] * w) for i, j in pairs]
     got = work.groupBy(model.route(tree, lambda n: F.lit(n.id)).alias("leaf")).agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).collect()
     out = {n.id: np.zeros(k) for n in tree}
     for r in got:
@@ -193,6 +260,13 @@ def class_weights(df: DataFrame, y: str, gate: float = 2.5) -> DataFrame:
     return c.select("label", "n", F.when(F.col("ratio") > gate, F.col("raw") / mean).otherwise(1.0).alias("weight"))
 
 
+def blended_class_weights(df: DataFrame, y: str) -> DataFrame:
+    """(label, n, weight): effective-number weights drawn to 1 by how balanced the classes are. A row a class."""
+    strength = F.col("balance")
+    both = class_weights(df, y, gate=0.0).crossJoin(F.broadcast(class_balance(df, y).select("balance")))  # one row
+    return both.select("label", "n", F.when(strength <= 1e-6, 1.0).otherwise(1 + strength * (F.col("weight") - 1)).alias("weight"))
+
+
 def class_balance(df: DataFrame, y: str) -> DataFrame:
     """0.75 times the gap of entropy to even classes, plus 0.25 times the pressure of the imbalance ratio."""
     c = df.groupBy(y).agg(F.count("*").cast("double").alias("n"))

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.objectives import Objective, objective
+from timberline.functions.objectives import Objective, objective, robust_squared
 from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
 from timberline.operators.binning import map_bin, sketched_cuts, weighted_cuts
@@ -40,6 +40,7 @@ class Config:
     ``refine`` gives leaves that many Newton steps in all; ``damp`` shrinks trees that generalise worse than those before;
     ``holdout`` is a share of rows that no tree sees and by which the number of trees is chosen. ``scheduled`` takes step,
     ridge, rounds, sample and refinement from the data's shape: iterations stays the most, other fields give way.
+    ``robust`` clips squared loss's gradients in rounds whose residuals have long tails.
     """
 
     objective: str | Objective = "LogLoss"
@@ -63,6 +64,7 @@ class Config:
     damp: bool = False
     holdout: float = 0.0
     scheduled: bool = False
+    robust: bool = False
     seed: int = 0
 
     def __post_init__(self):
@@ -255,6 +257,8 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     """
     cfg = cfg or Config()
     obj = cfg.objective if isinstance(cfg.objective, Objective) else objective(cfg.objective)
+    if cfg.robust and obj.name == "SquaredLoss":
+        obj = robust_squared()
     held, least, eta = None, 1, 10.0**-cfg.budget
     if cfg.scheduled:
         plan = S.schedule(cfg.budget, obj, df.count(), len(features), len(cfg.categorical), bool(cfg.monotone))
