@@ -7,17 +7,37 @@ from pyspark.sql import functions as F
 
 from timberline.functions.objectives import objective
 from timberline.functions.primitives import TINY, chi_square
-from timberline.operators.tree import Model, Node
+from timberline.operators.tree import Model, Node, ancestry
+from timberline.sources.tables import WRITTEN, cut_lineage, discard
 
 
-#: The part of a standard error that statistical pruning allows.
-SHARE = 0.05
+#: The part of a standard error that statistical pruning allows; trees after which a running score is written.
+SHARE, CUT_EVERY = 0.05, 8
 
 
 def node_visits(model: Model, df: DataFrame) -> DataFrame:
-    """(tree_id, node_id, n): a row counts at every node of its path; partial sums leave a row a node and task."""
-    p = df.select(F.posexplode(model.node_paths()).alias("tree_id", "path")).select("tree_id", F.explode("path").alias("node_id"))
-    return p.groupBy("tree_id", "node_id").agg(F.count("*").alias("n"))
+    """(tree_id, node_id, n): a row counts at every node of its path. Rows are counted by leaf, with partial sums before the
+    shuffle, and the few counts then go to the leaves' ancestors."""
+    spark = df.sparkSession
+    counts = df.select(F.posexplode(model.leaves()).alias("tree_id", "leaf")).groupBy("tree_id", "leaf").agg(F.count("*").alias("n"))
+    above = [(t, n.id, k) for t, tree in enumerate(model.trees) for n, way in zip(tree, ancestry(tree)) if n.is_leaf for k in way]
+    ways = spark.createDataFrame(above, "tree_id int, leaf int, node_id int")
+    return counts.join(F.broadcast(ways), ["tree_id", "leaf"]).groupBy("tree_id", "node_id").agg(F.sum("n").alias("n"))  # as many ways as leaves are deep
+
+
+def _scored(df: DataFrame, model: Model, columns: list[str]):
+    """Rows with a running score in a column, and a way to add a tree to it that cuts lineage now and then."""
+    since = len(WRITTEN)
+    rows = cut_lineage(df.select(*dict.fromkeys([*model.features, *columns])).withColumn("_s", F.lit(float(model.base_score))), "walk")
+
+    def added(rows: DataFrame, t: int, one: Model) -> DataFrame:
+        rows = rows.withColumn("_s", F.col("_s") + one.raw_score())
+        if t % CUT_EVERY == CUT_EVERY - 1:
+            rows = cut_lineage(rows, "walk")
+            discard(df.sparkSession, since, keep=1)
+        return rows
+
+    return rows, added, lambda: discard(df.sparkSession, since)
 
 
 def drift(model: Model, df: DataFrame, kind: str = "data", strict: bool = True) -> DataFrame:
@@ -36,20 +56,28 @@ def drift(model: Model, df: DataFrame, kind: str = "data", strict: bool = True)
 
 
 def refresh(model: Model, df: DataFrame, y: str, blend: float = 1.0) -> Model:
-    """Adds a batch's Newton steps to every node, tree by tree: one small aggregate each."""
+    """Adds a batch's Newton steps to every node, tree by tree: one small aggregate by leaf each, summed up to the root on the driver."""
     obj = objective(model.objective)
-    score = F.lit(float(model.base_score))
+    rows, added, end = _scored(df, model, [y])
     for t, tree in enumerate(model.trees):
         one = Model(model.features, model.objective, 0.0, model.eta, [tree])
-        c = obj.columns(F.col(y).cast("double"), score)
-        sums = df.select(F.explode(F.get(one.node_paths(), 0)).alias("node_id"), c["gradient"].alias("g"), c["hessian"].alias("h")).groupBy("node_id").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()
-        for r in sums:
-            n = tree[r["node_id"]]
-            share = r["h"] / (r["h"] + n.cover + TINY) * blend
-            new = -r["g"] / (r["h"] + TINY) * model.eta
+        c = obj.columns(F.col(y).cast("double"), F.col("_s"))
+        sums = rows.select(one.route(tree, lambda n: F.lit(n.id)).alias("leaf"), c["gradient"].alias("g"), c["hessian"].alias("h")).groupBy("leaf").agg(F.sum("g"), F.sum("h"), F.count("*")).collect()
+        at = {n.id: [0.0, 0.0, 0] for n in tree}
+        ways = dict(zip((n.id for n in tree), ancestry(tree)))
+        for leaf, *own in sums:
+            for k in ways[leaf]:
+                at[k] = [a + (b or 0) for a, b in zip(at[k], own)]
+        for n in tree:
+            g, h, count = at[n.id]
+            if not count:
+                continue
+            share = h / (h + n.cover + TINY) * blend
+            new = -g / (h + TINY) * model.eta
             n.fold_weights = [(1 - share) * w + share * new for w in n.fold_weights]
-            n.weight, n.cover, n.count = (1 - share) * n.weight + share * new, n.cover + r["h"], n.count + r["n"]
-        score = score + one.raw_score()
+            n.weight, n.cover, n.count = (1 - share) * n.weight + share * new, n.cover + h, n.count + count
+        rows = added(rows, t, one)
+    end()
     return model
 
 
@@ -60,12 +88,12 @@ def prune(model: Model, df: DataFrame, y: str, kind: str = "BottomUp") -> Model:
     if kind not in ("BottomUp", "Statistical", "TopDown"):
         raise ValueError(f"unknown pruning {kind}")
     obj = objective(model.objective)
-    score = F.lit(float(model.base_score))
+    rows, added, end = _scored(df, model, [y])
     kept = []
-    for tree in model.trees:
+    for t, tree in enumerate(model.trees):
         one = Model(model.features, model.objective, 0.0, model.eta, [tree])
         weights = F.lit([float(n.weight) for n in tree]).cast("array<double>")
-        nodes = df.select(F.explode(F.get(one.node_paths(), 0)).alias("node_id"), F.col(y).cast("double").alias("y"), score.alias("s"))
+        nodes = rows.select(F.explode(F.get(one.node_paths(), 0)).alias("node_id"), F.col(y).cast("double").alias("y"), F.col("_s").alias("s"))
         loss = obj.loss(F.col("y"), F.col("s") + F.get(weights, F.col("node_id")))
         got = nodes.select("node_id", loss.alias("l")).groupBy("node_id").agg(F.sum("l"), F.sum(F.col("l") ** 2), F.count("l")).collect()
         sums = {r[0]: (r[1] or 0.0, r[2] or 0.0, r[3]) for r in got}
@@ -77,9 +105,9 @@ def prune(model: Model, df: DataFrame, y: str, kind: str = "BottomUp") -> Model:
                 continue
             of = sums if kind == "TopDown" else under
             below = tuple(sum(of.get(k, (0.0, 0.0, 0))[j] for k in n.children) for j in range(3))
-            rows = max(1, below[2])
-            error = (max(0.0, below[1] / rows - (below[0] / rows) ** 2) / rows) ** 0.5 if kind == "Statistical" else 0.0
-            cut = own[0] <= below[0] + SHARE * error * rows
+            seen = max(1, below[2])
+            error = (max(0.0, below[1] / seen - (below[0] / seen) ** 2) / seen) ** 0.5 if kind == "Statistical" else 0.0
+            cut = own[0] <= below[0] + SHARE * error * seen
             if cut:
                 n.left = n.right = n.missing = n.feature = -1
                 n.left_cats = None
@@ -89,7 +117,8 @@ def prune(model: Model, df: DataFrame, y: str, kind: str = "BottomUp") -> Model:
             kept.append(tree)
         else:
             model.base_score += tree[0].weight
-        score = score + one.raw_score()
+        rows = added(rows, t, Model(model.features, model.objective, 0.0, model.eta, [tree]))
+    end()
     model.trees = kept
     return model
 

@@ -205,14 +205,16 @@ class Model:
             return self._udf(lambda x: (1 / (1 + np.exp(-self.base_score - self.leaf_sums(x)[:, 1:]))).mean(axis=1), "double")
         return F.aggregate(F.transform(self.fold_scores(), sigmoid), F.lit(0.0), lambda a, x: a + x) / 5
 
-    def node_paths(self) -> Column:
-        """For each tree the nodes a row visits."""
-
-        def run(x: np.ndarray):
-            per = [self.paths(t, x) for t in self.trees]
-            return [[[int(i) for i in p[r] if i >= 0] for p in per] for r in range(len(x))]
+    def leaves(self) -> Column:
+        """For each tree the leaf a row reaches."""
+        if sum(map(len, self.trees)) <= NATIVE_NODES:
+            return F.array(*[self.route(t, lambda n: F.lit(n.id)) for t in self.trees])
+        return self._udf(lambda x: list(self.leaf_ids(x)), "array<int>")
 
-        return self._udf(run, "array<array<int>>")
+    def node_paths(self) -> Column:
+        """For each tree the nodes a row visits: its leaf's, from a literal."""
+        paths = F.from_json(F.lit(json.dumps([ancestry(t) for t in self.trees])), "array<array<array<int>>>")
+        return F.zip_with(self.leaves(), paths, lambda leaf, tree: F.get(tree, leaf))
 
     def _udf(self, fn, kind: str) -> Column:
         names = self.features
@@ -254,6 +256,14 @@ class Model:
                     out[rows] += [n.weight, *(sorted(n.fold_weights) if ordered else n.fold_weights)]
         return out
 
+    def leaf_ids(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(self.trees)), dtype=np.int32)
+        for t, tree in enumerate(self.trees):
+            for n, rows in self.visits(tree, x):
+                if n.is_leaf:
+                    out[rows, t] = n.id
+        return out
+
     def paths(self, tree: list[Node], x: np.ndarray) -> np.ndarray:
         out = np.full((len(x), 1 + max(n.depth for n in tree)), -1)
         for n, rows in self.visits(tree, x):
@@ -261,6 +271,14 @@ class Model:
         return out
 
 
+def ancestry(tree: list[Node]) -> list[list[int]]:
+    """For each node its way from the root, itself included; nodes stand after their parents."""
+    out: list[list[int]] = []
+    for n in tree:
+        out.append([*(out[n.parent] if n.parent >= 0 else []), n.id])
+    return out
+
+
 def importance(nodes: DataFrame, kind: str = "Gain", normalise: bool = True) -> DataFrame:
     """(feature, value): Weight, Gain, Cover (means), TotalGain or TotalCover over splits, of sum 1 where normalised."""
     value = {"Weight": F.count("*").cast("double"), "Gain": F.avg("gain"), "Cover": F.avg("cover"), "TotalGain": F.sum("gain"), "TotalCover": F.sum("cover")}[kind]
