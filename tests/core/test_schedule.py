@@ -134,3 +134,35 @@ def test_orders_of_categories(spark, bins):
     assert len(orders) == (1 if bins == 5 else 2) and all(sorted(o) == sorted(orders[0]) for o in orders)
     one = trainer.find_split(np.concatenate([np.zeros((1, 5, 3)), cells])[None], True, Config("LogLoss", categorical=["c"], ridge=0.1), ["c"], [0])
     assert one["cat"] and 0 < one["at"] < bins
+
+
+def test_scheduled_budget():
+    at = S.scheduled_budget
+    assert at(0.9, "LogLoss", 500, 3) == 0.9 and at(2.0, "SquaredLoss", 500, 3) == 2.0 and at(2.0, "LogLoss", 500, 3) == 1.3
+    assert at(2.0, "LogLoss", 900, 12) == 1.7 and at(2.0, "LogLoss", 1400, 20) == 1.8 and at(2.0, "LogLoss", 9000, 64) == 1.4
+    assert at(2.0, "LogLoss", 60_000, 20, 12) == 1.5 and at(2.0, "LogLoss", 60_000, 20, 11) == 2.0
+
+
+def test_sampled_features(spark):
+    """Every feature is tried; those that gain are tried more often; a fit splits none but those of its tree's sample."""
+    s = S.FeatureSample(20, 5, seed=3)
+    for _ in range(60):
+        got = s.draw()
+        assert len(set(got)) == 5
+        s.learn([Node(0, -1, 0, 0.0, 1, 1, [0.0] * 5, gain=10.0 if f in (2, 7) else 0.1, feature=f, left=1, right=2) for f in got])
+    assert s.tried.min() > 0 and min(s.tried[[2, 7]]) > 1.5 * np.delete(s.tried, [2, 7]).mean()
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 6))
+    d = spark.createDataFrame([(i, *map(float, r), float(r[4] + 0.1 * r[0])) for i, r in enumerate(x)], "row_id bigint, " + ", ".join(f"f{j} double" for j in range(6)) + ", y double")
+    m = trainer.fit(d, [f"f{j}" for j in range(6)], "y", Config("SquaredLoss", budget=0.3, iterations=6, max_bin=8, max_nodes=5, feature_share=0.34))
+    assert len(m.trees) >= 4 and all(len({n.feature for n in t if not n.is_leaf}) <= 2 for t in m.trees) and any(n.feature == 4 for t in m.trees for n in t)
+
+
+def test_class_weights_of_rows(spark):
+    from timberline.operators.sampling import class_label, class_weighted
+
+    d = spark.createDataFrame([(float(i % 10 == 0), 2.0) for i in range(200)], "y double, w double")
+    got = {r["y"]: r["v"] for r in class_weighted(d, "y", "v", "w").distinct().collect()}
+    assert got[1.0] > 2 * got[0.0] and np.isclose(20 * got[1.0] + 180 * got[0.0], 400)
+    assert class_weighted(d.withColumn("y", F.col("y") + 0.5), "y", "v").agg(F.max("v")).first()[0] == 1.0
+    assert [r[0] for r in spark.createDataFrame([(1.0 + 1e-10,), (0.3,), (None,)], "y double").select(class_label(F.col("y"))).collect()] == [1, None, None]

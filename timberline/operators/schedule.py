@@ -73,6 +73,51 @@ def step_size(budget: float, kind: str, rows: int, features: int) -> float:
     return 10.0 ** -(min(budget, 1.0) + slope * max(budget - 1.0, 0.0))
 
 
+# fixed values: what is left of a log loss's budget beyond 1, by the most and least rows, most and least features and least
+# share of categories of the tables it holds for; the first that fits counts
+BUDGETS = (
+    (0.5, None, 50_000, 32, None, 0.6),
+    (0.3, 1_000, None, 4, None, 0.0),
+    (0.7, 1_000, None, 12, None, 0.0),
+    (0.8, 1_500, None, 24, None, 0.0),
+    (0.4, 10_000, None, None, 64, 0.0),
+)
+
+
+def scheduled_budget(budget: float, objective: str, rows: int, features: int, categorical: int = 0) -> float:
+    """A log loss's budget, damped beyond 1 for tables that are small, or wide, or mostly categories."""
+    if budget <= 1 or objective != "LogLoss":
+        return budget
+    for part, most_rows, least_rows, most, least, share in BUDGETS:
+        within = (most_rows is None or rows <= most_rows) and (least_rows is None or rows >= least_rows)
+        if within and (most is None or features <= most) and (least is None or features >= least) and categorical >= share * max(features, 1):
+            return 1 + part * (budget - 1)
+    return budget
+
+
+class FeatureSample:
+    """Which features a tree may split: the ``count`` of highest mean gain a tree they were tried in, plus what their mean is
+    unsure by (an upper confidence bound), so that features not tried for long come up again. Ties go by a hash of the seed."""
+
+    def __init__(self, features: int, count: int, seed: int = 0):
+        self.count, self.tried, self.gain = max(1, min(count, features)), np.zeros(features), np.zeros(features)
+        self.order = np.random.default_rng(seed).permutation(features)
+
+    def draw(self) -> list[int]:
+        rounds = self.tried.sum() / self.count
+        tried = np.maximum(self.tried, 1)
+        mean = self.gain / tried
+        worth = np.where(self.tried > 0, mean / (mean.max() or 1.0) + 0.5 * np.sqrt(np.log1p(rounds) / tried), np.inf)
+        got = sorted(self.order[np.argsort(-worth[self.order], kind="stable")][: self.count].tolist())
+        self.tried[got] += 1
+        return got
+
+    def learn(self, tree: list[Node]) -> None:
+        for n in tree:
+            if not n.is_leaf:
+                self.gain[n.feature] += max(n.gain, 0.0)
+
+
 def leaf_ridge(budget: float, kind: str, rows: int, features: int, categorical: int = 0) -> float:
     """More where a feature has many rows, less for large budgets."""
     if rows < RIDGE_ROWS:

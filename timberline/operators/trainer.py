@@ -40,7 +40,8 @@ class Config:
     ``refine`` gives leaves that many Newton steps in all; ``damp`` shrinks trees that generalise worse than those before;
     ``holdout`` is a share of rows that no tree sees and by which the number of trees is chosen. ``scheduled`` takes step,
     ridge, rounds, sample and refinement from the data's shape: iterations stays the most, other fields give way.
-    ``robust`` clips squared loss's gradients in rounds whose residuals have long tails.
+    ``robust`` clips squared loss's gradients in rounds whose residuals have long tails. ``feature_share`` is how many of the features
+    each tree may split, chosen by what they gained before; histograms are of these alone, which wide tables need most.
     """
 
     objective: str | Objective = "LogLoss"
@@ -65,10 +66,11 @@ class Config:
     holdout: float = 0.0
     scheduled: bool = False
     robust: bool = False
+    feature_share: float = 1.0
     seed: int = 0
 
     def __post_init__(self):
-        if self.budget <= 0 or not 2 <= self.max_bin <= 65535 or not 0 < self.subsample <= 1 or self.iterations < 0 or self.refine < 1 or not 0 <= self.holdout < 1:
+        if self.budget <= 0 or not 2 <= self.max_bin <= 65535 or not 0 < self.subsample <= 1 or self.iterations < 0 or self.refine < 1 or not 0 <= self.holdout < 1 or not 0 < self.feature_share <= 1:
             raise ValueError("a parameter is out of range")
         if self.missing_treatment not in TREATMENTS:
             raise ValueError(f"unknown missing treatment {self.missing_treatment}")
@@ -261,6 +263,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         obj = robust_squared()
     held, least, eta = None, 1, 10.0**-cfg.budget
     if cfg.scheduled:
+        cfg = replace(cfg, budget=S.scheduled_budget(cfg.budget, obj.name, df.count(), len(features), len(cfg.categorical)))
         plan = S.schedule(cfg.budget, obj, df.count(), len(features), len(cfg.categorical), bool(cfg.monotone))
         cfg = replace(cfg, ridge=plan.ridge, iterations=min(cfg.iterations, plan.iterations), stopping_rounds=plan.stopping_rounds, subsample=plan.subsample, refine=plan.refine)
         least, eta = max(1, plan.least_trees), plan.eta
@@ -283,6 +286,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     rows, widths, cut_of, groups = binned(df, features, cfg, row_id)
     spark, since = df.sparkSession, len(WRITTEN)
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
+    sample = S.FeatureSample(len(features), round(cfg.feature_share * len(features)), cfg.seed) if cfg.feature_share < 1 else None
     idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
     for round_ in range(cfg.iterations):
         if frame:
@@ -295,7 +299,9 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
             work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
-        tree, gained, loss = grow(work, features, cfg, model, widths, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None)
+        tree, gained, loss = grow(work, features, cfg, model, widths, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None, sample.draw() if sample else None)
+        if sample:
+            sample.learn(tree)
         first_loss = loss if first_loss is None else first_loss
         if len(tree) < 2:
             idle += 1
@@ -371,15 +377,15 @@ def binned(df: DataFrame, features: list[str], cfg: Config, row_id: str) -> tupl
     return rows, widths, cut_of, groups
 
 
-def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widths: list[int], cut_of: dict, groups, most: Callable[[float], float] | None = None) -> tuple[list[Node], float, float]:
-    """One tree, what it takes off the mean loss, and that loss before it; most(loss) is how much it may."""
-    eta, tree = model.eta, []
+def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widths: list[int], cut_of: dict, groups, most: Callable[[float], float] | None = None, use: list[int] | None = None) -> tuple[list[Node], float, float]:
+    """One tree, what it takes off the mean loss, and that loss before it; most(loss) is how much it may, ``use`` the features it may split."""
+    eta, tree, use = model.eta, [], list(range(len(features))) if use is None else use
 
     def histograms(ids: list[int]) -> dict[int, np.ndarray]:
         at = model.route(tree, lambda k: F.lit(k.id)) if tree else F.lit(0)
         here = work.withColumn("_node", at)
         here = here.where(F.col("_node").isin(ids)) if tree else here
-        got = fold_histogram(here, {str(i): f"_b{i}" for i in range(len(features))}, "_node", "_fold", "_g", "_h", () if tree else ("_l",)).toArrow()
+        got = fold_histogram(here, {str(i): f"_b{i}" for i in use}, "_node", "_fold", "_g", "_h", () if tree else ("_l",)).toArrow()
         out = {i: [np.zeros((n, FOLDS, 3)) for n in widths] for i in ids}
         c = {k: got.column(k).to_numpy() for k in got.column_names}
         f = c["feature"].astype(int)
@@ -389,12 +395,12 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widths
         for rows_of in np.split(order, bounds) if len(order) else ():
             out[int(c["node"][rows_of[0]])][f[rows_of[0]]][c["bin"][rows_of], c["fold"][rows_of]] = sums[rows_of]
         if not tree:
-            losses.append(float(np.nansum(c["_l"][f == 0].astype(float))))
+            losses.append(float(np.nansum(c["_l"][f == use[0]].astype(float))))
         return out
 
     losses: list[float] = []
     hist = histograms([0])[0]
-    total = hist[0].sum(axis=0)
+    total = hist[use[0]].sum(axis=0)
     loss = losses[0] / max(1.0, total[:, 2].sum())
     if not total[:, 2].sum():
         return [], 0.0, loss
@@ -424,9 +430,9 @@ def grow(work: DataFrame, features: list[str], cfg: Config, model: Model, widths
                     open_[j].hist = [p - q for p, q in zip(open_[j].parent_hist, open_[open_[j].sibling].hist)]
             for j in need:
                 open_[j].parent_hist = None
-        allowed = list(range(len(features)))
+        allowed = use
         if groups and o.used:
-            allowed = sorted(set().union(*[g for g in groups if o.used <= g]))
+            allowed = sorted(set().union(*[g for g in groups if o.used <= g]).intersection(use))
         s = find_split(o.hist, i == 0, cfg, features, allowed, o.bounds, o.node.depth)
         if s is None:
             continue
