@@ -68,3 +68,16 @@ def test_weights_reach_the_cuts(spark):
     assert cuts[1:] == [v[int(np.searchsorted(upto, i / 16))][0] for i in range(1, 17)]
     assert sum(c > 5 for c in cuts) == 8
     assert binned(df.limit(0), ["a"], Config(max_bin=16, weight="k"), "row_id")[2]["a"] == [float("-inf")]
+
+
+def test_order_statistics(spark, monkeypatch):
+    """Exact at every place, with ties, whether a bracket is ordered at once or narrowed further."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), np.round(rng.normal(size=1500), 1)])
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(4)
+    places = [1, 2, 700, 3000, 3500, 4200, len(x) - 1, len(x), len(x) + 9]
+    want = [float(np.sort(x)[min(k, len(x)) - 1]) for k in places]
+    for gathered, sketch in ((10_000, 10_000), (50, 100), (5, 20)):
+        monkeypatch.setattr(binning, "GATHERED", gathered)
+        monkeypatch.setattr(binning, "SKETCH", sketch)
+        assert binning.order_statistics(d, "v", places, len(x)) == want

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.objectives import quantile
 from timberline.functions.primitives import each_fold, fold_mean, fold_spread, sigmoid
-from timberline.operators.binning import order_statistics, weighted_percentiles
+from timberline.operators.binning import order_statistics
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
 
@@ -44,11 +44,12 @@ def regression_parameters(df: DataFrame, folds: Column, score: Column, y: Column
     d = df.select(folds.alias("fs"), score.alias("s"), y.alias("y"))
     if method == "WeightVariance":
         return [conformal_quantile(d, F.abs(F.col("y") - F.col("s")) / F.greatest(fold_spread(F.col("fs")), F.lit(LEAST_SPREAD)), alpha)]
-    n = max(1, d.count())
+    d = d.select(position(F.col("fs"), F.col("y")).alias("v")).where("v is not null and not isnan(v)")
+    n = d.count()
+    if not n:
+        return [0.0, 1.0]
     edge = -1 / n if method == "MinMax" else 1 / n  # the one narrows, the other widens
-    ps = [min(1.0, max(0.0, p)) for p in (alpha / 2 - edge, 1 - alpha / 2 + edge)]
-    got = {r["p"]: r["value"] for r in weighted_percentiles(d.select(position(F.col("fs"), F.col("y")).alias("v")), ["v"], sorted(set(ps))).collect()}
-    return [float(got[p]) for p in ps] if got else [0.0, 1.0]
+    return order_statistics(d, "v", [math.ceil(n * p - 1e-9) for p in (alpha / 2 - edge, 1 - alpha / 2 + edge)], n)
 
 
 def interval(folds: Column, score: Column, parameters: list[float], method: str) -> Column:
