@@ -15,6 +15,7 @@ from timberline.functions.primitives import each_fold, fold_mean, fold_spread, s
 from timberline.operators.binning import order_statistics
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model
+from timberline.sources.tables import WRITTEN, cut_lineage, discard
 
 METHODS = ("WeightVariance", "MinMax", "GRP")
 SHRINK = 0.985
@@ -32,11 +33,20 @@ def position(xs: Column, y: Column) -> Column:
     return (y - F.array_min(xs)) / F.nullif(F.array_max(xs) - F.array_min(xs), F.lit(0.0))
 
 
-def conformal_quantile(df: DataFrame, v: Column, alpha: float) -> float:
-    """The order statistic of v whose place is the least that covers 1 - alpha of n + 1 rows. Exact."""
-    d = df.select(v.cast("double").alias("v")).where("v is not null and not isnan(v)")
+def _at_shares(df: DataFrame, v: Column, shares) -> list[float]:
+    """Order statistics of v at the places that shares(n) names; none of an empty table. Exact. v is worked out once, into a table of
+    its own, which is removed at the end."""
+    since = len(WRITTEN)
+    d = cut_lineage(df.select(v.cast("double").alias("v")), "scores").where("v is not null and not isnan(v)")
     n = d.count()
-    return order_statistics(d, "v", [math.ceil((n + 1) * (1 - alpha))], n)[0] if n else 0.0
+    out = order_statistics(d, "v", shares(n), n) if n else []
+    discard(df.sparkSession, since)
+    return out
+
+
+def conformal_quantile(df: DataFrame, v: Column, alpha: float) -> float:
+    """The order statistic of v whose place is the least that covers 1 - alpha of n + 1 rows."""
+    return (_at_shares(df, v, lambda n: [math.ceil((n + 1) * (1 - alpha))]) or [0.0])[0]
 
 
 def regression_parameters(df: DataFrame, folds: Column, score: Column, y: Column, alpha: float, method: str) -> list[float]:
@@ -44,12 +54,8 @@ def regression_parameters(df: DataFrame, folds: Column, score: Column, y: Column
     d = df.select(folds.alias("fs"), score.alias("s"), y.alias("y"))
     if method == "WeightVariance":
         return [conformal_quantile(d, F.abs(F.col("y") - F.col("s")) / F.greatest(fold_spread(F.col("fs")), F.lit(LEAST_SPREAD)), alpha)]
-    d = d.select(position(F.col("fs"), F.col("y")).alias("v")).where("v is not null and not isnan(v)")
-    n = d.count()
-    if not n:
-        return [0.0, 1.0]
-    edge = -1 / n if method == "MinMax" else 1 / n  # the one narrows, the other widens
-    return order_statistics(d, "v", [math.ceil(n * p - 1e-9) for p in (alpha / 2 - edge, 1 - alpha / 2 + edge)], n)
+    sign = -1 if method == "MinMax" else 1  # the one narrows, the other widens
+    return _at_shares(d, position(F.col("fs"), F.col("y")), lambda n: [math.ceil(n * p - 1e-9) for p in (alpha / 2 - sign / n, 1 - alpha / 2 + sign / n)]) or [0.0, 1.0]
 
 
 def interval(folds: Column, score: Column, parameters: list[float], method: str) -> Column:
