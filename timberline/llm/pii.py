@@ -36,8 +36,8 @@ MAYBE = {
     ("ip", True): lambda t: t.rlike(r"[0-9]\.[0-9]"),
     ("card", True): lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
     ("phone", True): lambda t: F.contains(t, F.lit("+")),
-    ("email", False): lambda t: t.rlike(r"(?i)[\[(] ?at ?[\])]"),
-    ("ip", False): lambda t: t.rlike(r"(?i)[0-9] ?(?:[\[(] ?(?:\.|dot) ?[\])]| \. ) ?[0-9]"),
+    ("email", False): lambda t: (F.contains(t, F.lit("(")) | F.contains(t, F.lit("["))) & t.rlike(r"[\[(] ?[aA][tT] ?[\])]"),
+    ("ip", False): lambda t: (F.contains(t, F.lit("(")) | F.contains(t, F.lit("[")) | F.contains(t, F.lit(" . "))) & t.rlike(r"[0-9] ?(?:[\[(] ?(?:\.|[dD][oO][tT]) ?[\])]|\.) ?[0-9]"),
     ("card", False): lambda t: t.rlike(r"[0-9]{4}(?:[._/]|[ -]{2})[0-9]{4}"),
     ("phone", False): lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
 }
