@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,12 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in words]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's tokenizer, kept with its words for the tasks that follow."""
+    return WordIds(path)
+
+
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -145,7 +152,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         base, done = TaskContext.get().partitionId() << 32, 0
         ids: list[np.ndarray] = []
         names: list = []
