@@ -677,6 +677,7 @@ def test_planted_embeddings(spark, agrees, monkeypatch, tmp_path, dim, lists, si
     df = spark.createDataFrame([(i, [float(v) for v in e], i % 2 if i % 50 else None) for i, e in enumerate(rows)], "vec_id bigint, embedding array<float>, label int")
     df.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(embeddings, "LIST", max(1, len(rows) // 2 // lists))
+    monkeypatch.setattr(embeddings, "LISTS", 7)
     monkeypatch.setattr(embeddings, "SIDE", side)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
@@ -685,16 +686,21 @@ def test_planted_embeddings(spark, agrees, monkeypatch, tmp_path, dim, lists, si
     assert got.agg({"n_links": "sum"}).first()[0] > 5000
 
 
-def test_lists_grow():
-    """Many lists from few centres; every midpoint of a near pair lies in a list of both."""
+def test_lists_grow(monkeypatch):
+    """Many cells from few centres; of a near pair, one visits the other's list and there one probes the other's cell."""
     rng = np.random.default_rng(2)
+    monkeypatch.setattr(embeddings, "LISTS", 50)
     x = embeddings._unit(rng.normal(size=(3000, 48)))
     index = embeddings.Index.fit(x, 2500)
-    assert [len(c) for c in index.centres] == [50, 50] and len(np.unique(index.home(x))) > 500
+    assert len(index.centres) == len(index.cells) == 50
     y = embeddings._unit(x + rng.normal(size=x.shape) * 0.02)
-    hx, nx = index.places(x, 0.2)
-    hy, ny = index.places(y, 0.2)
-    mid = index.home((x + y) / 2)
-    close = np.linalg.norm(x - y, axis=1) <= 0.2
-    assert close.sum() > 1000 and (hx != hy).sum() > 100
-    assert all(m in a and m in b for m, a, b, ok in zip(mid, nx, ny, close) if ok)
+    (hx, lx, ox, cx), (hy, ly, oy, cy) = index.places(x, 0.2), index.places(y, 0.2)
+    assert len({(h, o[list(v).index(h)]) for h, v, o in zip(hx, lx, ox)}) > 500
+    close = np.flatnonzero(np.linalg.norm(x - y, axis=1) <= 0.2)
+    assert len(close) > 1000 and (hx != hy).sum() > 100
+    for i in close:
+        shared = [h for h in {hx[i], hy[i]} if h in lx[i] and h in ly[i]]
+        assert shared
+        for h in shared:
+            a, b = list(lx[i]).index(h), list(ly[i]).index(h)
+            assert oy[i][b] in cx[i][a] or ox[i][a] in cy[i][b]

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from timberline.llm.common import connected_components, materialize, read_table
 
 COSINE = 0.98
-#: Vectors that fit the index at most; vectors of a list aimed at; centres a half at most; parts of a vector and codewords of each.
-SAMPLE, LIST, CENTRES, PARTS, WORDS = 8192, 256, 1024, 8, 64
+#: Vectors that fit the index at most; vectors of a cell aimed at; lists at most, and cells of a list; parts of a vector and
+#: codewords of each.
+SAMPLE, LIST, LISTS, PARTS, WORDS = 8192, 256, 512, 8, 64
 #: Rows of a list that meet in one task, a side.
 SIDE = 4096
 
@@ -31,88 +32,79 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarra
     return c
 
 
+def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)
+
+
+def _near(x: np.ndarray, c: np.ndarray, apart: np.ndarray, limit: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each row's nearest centre, and all centres the plane halfway to which is no farther from the row than ``limit``."""
+    d = _far(x, c)
+    own = d.argmin(axis=1)
+    off = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
+    off[np.arange(len(x)), own] = 0
+    rows, cells = np.nonzero(off <= limit)
+    return own, np.split(cells, np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
+
+
+def _gaps(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(_far(c, c), 1e-30))
+
+
 @dataclass
 class Index:
-    """Inverted lists as pairs of cells, one for each half of a vector: centres of each half's cells, so that 2k centres make k * k
-    lists. For each part of a vector its bounds, and the codewords of residuals there."""
+    """Inverted lists by their centres, each cut into cells by what a vector leaves beyond its list's centre: the cells' centres
+    are the same in all lists, so LISTS + LISTS centres make LISTS * LISTS cells. For each part of a vector its bounds, and the
+    codewords of what the cell's centre leaves."""
 
-    halves: list[tuple[int, int]]
-    centres: list[np.ndarray]
+    centres: np.ndarray
+    cells: np.ndarray
     bounds: list[tuple[int, int]]
     books: list[np.ndarray]
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int) -> Index:
-        """lists: about how many there shall be."""
-        dim = x.shape[1]
-        halves = [(0, dim // 2), (dim // 2, dim)] if dim > 1 else [(0, dim)]
-        k = max(1, round(lists ** (1 / len(halves))))
-        own = cls(halves, [_kmeans(x[:, a:b], k) for a, b in halves], [], [])
-        edges = np.linspace(0, dim, min(PARTS, dim) + 1).astype(int)
-        own.bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-        r = x - own.centre(own.home(x))
-        own.books = [_kmeans(r[:, a:b], WORDS) for a, b in own.bounds]
-        return own
-
-    def _far(self, x: np.ndarray, h: int) -> np.ndarray:
-        """Squared distances of a half of each row to its centres."""
-        a, b = self.halves[h]
-        c = self.centres[h]
-        return (x[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * x[:, a:b] @ c.T + (c**2).sum(axis=1)
-
-    def _list(self, cells: list[np.ndarray]) -> np.ndarray:
-        return cells[0] * len(self.centres[1]) + cells[1] if len(cells) > 1 else cells[0]
-
-    def home(self, x: np.ndarray) -> np.ndarray:
-        """The list whose cells hold each row."""
-        return self._list([self._far(x, h).argmin(axis=1) for h in range(len(self.halves))])
-
-    def centre(self, lists: np.ndarray) -> np.ndarray:
-        cells = np.divmod(lists, len(self.centres[1])) if len(self.halves) > 1 else [lists]
-        return np.concatenate([c[i] for c, i in zip(self.centres, cells)], axis=1)
-
-    def places(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each row's own list, and all lists that have a point within half of reach of it, its own among them.
-
-        The midpoint of two vectors within reach of each other is within half of reach of both, so both are in the midpoint's
-        list, in any dimension. A cell's points lie beyond the plane halfway between its centre and the row's own.
+        """lists: about how many cells there shall be in all."""
+        most = max(1, min(LISTS, len(x) // 8))
+        centres = _kmeans(x, min(lists, most))
+        r = x - centres[_far(x, centres).argmin(axis=1)]
+        k = min(-(-lists // len(centres)), most)
+        cells = _kmeans(r, k) if k > 1 else np.zeros((1, x.shape[1]))
+        r = r - cells[_far(r, cells).argmin(axis=1)]
+        edges = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
+        bounds = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        return cls(centres, cells, bounds, [_kmeans(r[:, a:b], WORDS) for a, b in bounds])
+
+    def places(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray], list[list[int]], list[list[np.ndarray]]]:
+        """Of each row: its list; the lists it visits, its own among them; in each of these its cell; and the cells it probes there.
+
+        Two vectors within ``reach`` of each other in two lists lie on both sides of the plane halfway between the lists'
+        centres, so one of them is within half of reach of it and visits the other's list, in any dimension. In a list both
+        are in it is the same with their cells.
         """
-        homes, offs = [], []
-        for h, c in enumerate(self.centres):
-            d = self._far(x, h)
-            own = d.argmin(axis=1)
-            apart = np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] - 2 * c @ c.T + (c**2).sum(axis=1)), 1e-30))
-            off = np.maximum(d - d[np.arange(len(x)), own][:, None], 0) / (2 * apart[own])
-            off[np.arange(len(x)), own] = 0
-            homes.append(own)
-            offs.append(off)
-        near, limit = [], reach / 2 + 1e-6
-        for i in range(len(x)):
-            cells = [np.flatnonzero(off[i] <= limit) for off in offs]
-            if len(cells) > 1:
-                u, v = (off[i][c] for off, c in zip(offs, cells))
-                p, q = np.nonzero(u[:, None] ** 2 + v**2 <= limit**2)
-                cells = [cells[0][p], cells[1][q]]
-            near.append(self._list(cells))
-        return self._list(homes), near
-
-    def codes(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codewords of each row's residual in a list, and the error they leave."""
-        r = x - self.centre(lists)
+        limit = reach / 2 + 1e-6
+        home, lists = _near(x, self.centres, _gaps(self.centres), limit)
+        rows = np.repeat(np.arange(len(x)), [len(v) for v in lists])
+        own, probed = _near(x[rows] - self.centres[np.concatenate(lists)], self.cells, _gaps(self.cells), limit)
+        ends = np.cumsum([len(v) for v in lists])
+        return home, lists, [own[e - len(v) : e].tolist() for e, v in zip(ends, lists)], [probed[e - len(v) : e] for e, v in zip(ends, lists)]
+
+    def codes(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codewords of what a centre leaves of each row, and the error they leave."""
+        r = x - centre
         codes, left = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x))
         for m, ((a, b), book) in enumerate(zip(self.bounds, self.books)):
-            e = (r[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * r[:, a:b] @ book.T + (book**2).sum(axis=1)
+            e = _far(r[:, a:b], book)
             codes[:, m] = e.argmin(axis=1)
             left += np.maximum(e.min(axis=1), 0)
         return codes, np.sqrt(left)
 
     def distances(self, queries: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to a list's coded members, by sums of table entries."""
+        """Squared distances of queries to a cell's coded members, by sums of table entries."""
         r = queries - centre
         out = np.zeros((len(queries), len(codes)))
         for m, ((a, b), book) in enumerate(zip(self.bounds, self.books)):
-            table = (r[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * r[:, a:b] @ book.T + (book**2).sum(axis=1)
-            out += table[:, codes[:, m]]
+            out += _far(r[:, a:b], book)[:, codes[:, m]]
         return out
 
 
@@ -143,11 +135,11 @@ def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
     """(n, edges) of known(vec_id, label, e, dim, copies): n(vec_id, n_links), the number of vectors (copies counted) linked with
     each, but for its own copies; edges(a, b), whose components are those of all links.
 
-    The index is fitted on at most SAMPLE vectors; every row is indexed. Lists are kept apart by label and by number of
-    components, and grow in number with the largest label. A row goes to every list within half of the links' reach, where
-    table look-ups leave the pairs which quantisation errors can't exclude; those are compared exactly. A pair counts in
-    the list of its midpoint alone, so once. Large lists are cut into squares of SIDE rows a side, so no task holds a list;
-    a square emits a row for each of its vectors that has links, never a pair.
+    The index is fitted on at most SAMPLE vectors; every row is indexed. Cells are kept apart by label and by number of
+    components, and grow in number with the largest label. A row is a member of its cell in every list it visits, and a query in
+    the cells it probes there; table look-ups leave the pairs which the members' quantisation errors can't exclude, and those
+    are compared exactly. Pairs are counted where they meet, and once only. Large cells are cut into squares of SIDE
+    rows a side, so no task holds a cell; a square emits a row for each of its vectors that has links, never a pair.
     """
     spark = known.sparkSession
     stats = known.groupBy("label", "dim").agg(F.count("*").alias("n"))
@@ -157,8 +149,8 @@ def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
     for dim, most in dims.items():
         rows = known.where(F.col("dim") == dim).select("vec_id", "e").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
         x = np.array(rows.column("e").to_pylist(), dtype=float)
-        models[dim] = Index.fit(_unit(x), max(1, min(most // LIST, CENTRES**2, (len(x) // 8) ** 2)))
-    shared = spark.sparkContext.broadcast(models)  # 2 * CENTRES and WORDS rows a dimension
+        models[dim] = Index.fit(_unit(x), max(1, most // LIST))
+    shared = spark.sparkContext.broadcast(models)  # 2 * LISTS and WORDS rows a dimension
     known = known.select("vec_id", "label", "dim", "copies", "e")
 
     def assign(batches):
@@ -166,47 +158,61 @@ def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
                 dims, es = some.column(2).to_numpy(), some.column(4)
-                home, lists = np.zeros(len(dims), np.int32), np.empty(len(dims), dtype=object)
+                got = [np.empty(len(dims), dtype=object) for _ in range(4)]
                 for dim in np.unique(dims):
                     rows = np.flatnonzero(dims == dim)
-                    home[rows], near = shared.value[dim].places(_unit(np.stack([es[int(i)].values.to_numpy(zero_copy_only=False) for i in rows])), reach)
-                    for i, own in zip(rows, near):
-                        lists[i] = own
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home), pa.array(list(lists), pa.list_(pa.int32()))], [*some.schema.names, "home", "lists"])
+                    found = shared.value[dim].places(_unit(np.stack([es[int(i)].values.to_numpy(zero_copy_only=False) for i in rows])), reach)
+                    for column, values in zip(got, found):
+                        for i, v in zip(rows, values):
+                            column[i] = v
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array(list(c), k) for c, k in zip(got, (pa.int32(), ints, ints, pa.list_(ints)))]], [*some.schema.names, "home", "lists", "own", "cells"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.schema)
-    placed = materialize(known.mapInArrow(assign, schema + ", home int, lists array<int>"), "pq-placed")
-    key = ["label", "dim", "list"]
-    stops = placed.withColumn("list", F.explode("lists")).drop("lists")
+    placed = materialize(known.mapInArrow(assign, schema + ", home int, lists array<int>, own array<int>, cells array<array<int>>"), "pq-placed")
+    key = ["label", "dim", "list", "cell"]
+    visits = placed.select("*", F.posexplode("lists").alias("p", "list")).withColumns({"own": F.get("own", "p"), "cells": F.get("cells", "p")})
+    stops = visits.withColumn("cell", F.explode("cells")).drop("p")
     sizes = stops.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
-    stops = stops.join(sizes, key).withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("sides")).cast("int"))
-    squares = stops.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"low": F.least("i", "j"), "high": F.greatest("i", "j")})
+    stops = stops.join(sizes, key).withColumn("side", F.pmod(F.xxhash64("vec_id"), F.col("sides")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("sides") - 1)
+    as_member = F.when(F.col("own") == F.col("cell"), F.transform(every, lambda j: F.struct(F.col("side").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    as_query = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("side").alias("j")))
+    squares = stops.withColumn("at", F.explode(F.array_union(as_member, as_query))).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at", "sides")
 
     def square(frame: pd.DataFrame) -> pd.DataFrame:
-        model, c = shared.value[int(frame["dim"].iloc[0])], np.array([frame["list"].iloc[0]])
-        ids = frame["vec_id"].to_numpy()
-        side, low, high = (frame[k].to_numpy() for k in ("i", "low", "high"))
-        u = _unit(np.stack(frame["e"].to_numpy()))
-        home, copies = frame["home"].to_numpy(), frame["copies"].to_numpy()
-        codes, err = model.codes(u, np.repeat(c, len(u)))
-        qs, ms = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        limit = (reach + err[ms]) ** 2 + 1e-9
+        model, here, cell = shared.value[int(frame["dim"].iloc[0])], int(frame["list"].iloc[0]), int(frame["cell"].iloc[0])
+        ids, side, own, home, copies = (frame[k].to_numpy() for k in ("vec_id", "side", "own", "home", "copies"))
+        ms, qs = np.flatnonzero((own == cell) & (side == frame["i"].iloc[0])), np.flatnonzero(side == frame["j"].iloc[0])
         n, firsts, seconds = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        step, centre, same = max(1, 2_000_000 // max(1, len(ms))), model.centre(c), low[0] == high[0]
-        for at in range(0, len(qs), step):
-            part = qs[at : at + step]
-            q, m = np.nonzero(model.distances(u[part], centre, codes[ms]) <= limit)
+        if len(ms) and len(qs):
+            u = _unit(np.stack(frame["e"].to_numpy()))
+            visited, probed = frame["lists"].to_numpy(), frame["cells"].to_numpy()
+            centre = model.centres[here] + model.cells[cell]
+            codes, err = model.codes(u[ms], centre)
+            limit = (reach + err) ** 2 + 1e-9
+
+        def counts(q: int, m: int) -> bool:
+            """Whether a pair of two lists or cells counts here, not where its rows meet with their parts exchanged."""
+            if home[q] != home[m]:
+                host, guest = (q, m) if home[q] == here else (m, q)
+                if home[guest] < here and home[guest] in visited[host]:
+                    return False
+            return own[q] == cell or not (own[q] < cell and own[q] in probed[m])
+
+        for at in range(0, len(qs) if len(ms) else 0, max(1, 2_000_000 // max(1, len(ms)))):
+            part = qs[at : at + max(1, 2_000_000 // len(ms))]
+            q, m = np.nonzero(model.distances(u[part], centre, codes) <= limit)
             q, m = part[q], ms[m]
-            if same:
-                q, m = q[q < m], m[q < m]
+            good = ((home[q] == here) | (home[m] == here)) & np.where(own[q] == cell, ids[q] < ids[m], q != m)
+            q, m = q[good], m[good]
             for s in range(0, len(q), 100_000):
                 a, b = q[s : s + 100_000], m[s : s + 100_000]
                 hit = (u[a] * u[b]).sum(axis=1) >= cosine
                 a, b = a[hit], b[hit]
-                here = (home[a] == c) & (home[b] == c)
-                mixed = np.flatnonzero(home[a] != home[b])  # rows of one list have their midpoint there
-                here[mixed] = model.home((u[a[mixed]] + u[b[mixed]]) / 2) == c
-                a, b = a[here], b[here]
+                plain = (home[a] == home[b]) & (own[a] == cell)
+                plain[~plain] = [counts(x, y) for x, y in zip(a[~plain], b[~plain])]
+                a, b = a[plain], b[plain]
                 np.add.at(n, a, copies[b])
                 np.add.at(n, b, copies[a])
                 firsts.append(a)
@@ -218,7 +224,7 @@ def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
         root = ids[order][_roots(len(ids), rank[a], rank[b])][rank]
         return pd.DataFrame({"vec_id": ids[n > 0], "n": n[n > 0], "root": root[n > 0]})
 
-    found = materialize(squares.groupBy(*key, "low", "high").applyInPandas(square, "vec_id bigint, n bigint, root bigint"), "pq-found")
+    found = materialize(squares.groupBy(*key, "i", "j").applyInPandas(square, "vec_id bigint, n bigint, root bigint"), "pq-found")
     return found.groupBy("vec_id").agg(F.sum("n").alias("n_links")), found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
 
 
