@@ -200,12 +200,20 @@ def near_links(known: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, Dat
                     return False
             return own[q] == cell or not (own[q] < cell and own[q] in probed[m])
 
-        for at in range(0, len(qs) if len(ms) else 0, max(1, 2_000_000 // max(1, len(ms)))):
-            part = qs[at : at + max(1, 2_000_000 // len(ms))]
-            q, m = np.nonzero(model.distances(u[part], centre, codes) <= limit)
-            q, m = part[q], ms[m]
-            good = ((home[q] == here) | (home[m] == here)) & np.where(own[q] == cell, ids[q] < ids[m], q != m)
-            q, m = q[good], m[good]
+        def candidates():
+            """Pairs of a query and a member that the tables can't exclude, one of them of this list at least. A guest that is a
+            member meets the list's own as a member only."""
+            at_home, guests = qs[home[qs] == here], qs[(home[qs] != here) & (own[qs] != cell)]
+            for queries, members in ((at_home, np.arange(len(ms))), (guests, np.flatnonzero(home[ms] == here))):
+                step = max(1, 2_000_000 // max(1, len(members)))
+                for at in range(0, len(queries) if len(members) else 0, step):
+                    part = queries[at : at + step]
+                    q, m = np.nonzero(model.distances(u[part], centre, codes[members]) <= limit[members])
+                    q, m = part[q], ms[members[m]]
+                    good = np.where((own[q] == cell) & (home[m] == here), ids[q] < ids[m], q != m)
+                    yield q[good], m[good]
+
+        for q, m in candidates() if len(ms) and len(qs) else ():
             for s in range(0, len(q), 100_000):
                 a, b = q[s : s + 100_000], m[s : s + 100_000]
                 hit = (u[a] * u[b]).sum(axis=1) >= cosine
