@@ -1,6 +1,6 @@
 import pytest
 
-from timberline.plans.queries import QUERIES, SQL
+from timberline.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

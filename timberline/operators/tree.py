@@ -286,6 +286,13 @@ def importance(nodes: DataFrame, kind: str = "Gain", normalise: bool = True) ->
     return got.withColumn("value", F.col("value") / F.nullif(F.sum("value").over(_all()), F.lit(0.0))) if normalise else got
 
 
+def importance_vector(model: Model, spark: SparkSession, kind: str = "Gain", normalise: bool = True) -> DataFrame:
+    """(place, feature, value) for every feature in the model's order; 0 for those that no split uses."""
+    names = spark.createDataFrame(list(enumerate(model.features)), "place int, feature string")
+    found = importance(model.table(spark), kind, normalise)
+    return names.join(F.broadcast(found), "feature", "left").select("place", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))  # a row a feature
+
+
 def _all():
     from pyspark.sql import Window
 
