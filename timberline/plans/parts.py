@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from timberline.functions import metrics as M
 from timberline.functions import primitives as P
 from timberline.operators import calibrate, causal, encode, explain, histogram, multi, sampling, schedule
-from timberline.operators.trainer import Config
+from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model, importance_vector
 from timberline.plans.queries import _W0, _W1, _W2, EVENTS, HIST, LABELLED, MODEL, ROUTED, SCORED, _events, _folds, _labelled, _logits, _orders, _rows, _scored, query
 from timberline.sources.export import trees_frame, xgboost_document
@@ -335,3 +335,67 @@ def effects_of_constants(spark, sf_dir):
     }
     means = d.agg(*[F.round(F.avg(c), 7).alias(k) for k, c in made.items()])
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("learner"), F.col(k).alias("effect")) for k in made])).alias("e")).select("e.*")
+
+
+# the first split of a fit of prices, under options
+
+_PRICED = "(SELECT CASE WHEN l_partkey % 5 > 0 THEN CAST(l_quantity AS DOUBLE) END AS q, CAST(l_discount AS DOUBLE) AS d, l_linenumber AS k, l_extendedprice / 1e4 AS y FROM lineitem)"
+_STEP = "power(10, -0.5)"
+
+
+def _priced(spark, sf_dir):
+    d = read_table(spark, sf_dir, "lineitem")
+    return d.select(F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity").cast("double")).alias("q"), F.col("l_discount").cast("double").alias("d"), F.col("l_linenumber").alias("k"), (F.col("l_extendedprice") / 1e4).alias("y"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"))
+
+
+def _first(spark, model: Model):
+    """Weight and rows of each child, with the root's gain and value."""
+    root, *leaves = model.trees[0]
+    rows = [(side, round(root.gain, 3), float(root.value) if root.left_cats is None else None, round(n.weight, 6), n.count) for side, n in zip(("left", "right", "missing"), leaves)]
+    return spark.createDataFrame(rows, "side string, gain double, value double, weight double, n bigint")
+
+
+@query(f"""WITH r AS (SELECT q, (SELECT avg(y) FROM {_PRICED} b) - y AS g FROM {_PRICED} t), m AS (SELECT sum(g) FILTER (q IS NULL) AS mg, count(*) FILTER (q IS NULL) AS mn, sum(g) FILTER (q IS NOT NULL) AS tg, count(q) AS tn, sum(g) AS ag, count(*) AS an FROM r),
+s AS (SELECT q AS v, sum(sum(g)) OVER w AS lg, sum(count(*)) OVER w AS ln FROM r WHERE q IS NOT NULL GROUP BY q WINDOW w AS (ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, lg * lg / (ln + 1e-8) + power(tg - lg, 2) / (tn - ln + 1e-8) + mg * mg / (mn + 1e-8) - ag * ag / (an + 1e-8) AS gain FROM s, m WHERE ln > 0 ORDER BY gain DESC LIMIT 1)
+SELECT side, round(gain, 3) AS gain, v AS value, round(-g / (n + 1e-8) * {_STEP}, 6) AS weight, CAST(n AS BIGINT) AS n FROM k, LATERAL (VALUES ('left', lg, ln), ('right', tg - lg, tn - ln), ('missing', mg, mn)) x(side, g, n)""")
+def fit_one_split_missing(spark, sf_dir):
+    """With a branch of its own for missing values."""
+    return _first(spark, fit(_priced(spark, sf_dir), ["q"], "y", Config("SquaredLoss", iterations=1, max_bin=64, max_nodes=4, missing_branch=True)))
+
+
+@query(f"""WITH r AS (SELECT q, (SELECT avg(y) FROM {_PRICED} b) - y AS g FROM {_PRICED} t), m AS (SELECT coalesce(sum(g) FILTER (q IS NULL), 0) AS mg, count(*) FILTER (q IS NULL) AS mn, sum(g) AS ag, count(*) AS an FROM r),
+s AS (SELECT q AS v, sum(sum(g)) OVER w AS lg, sum(count(*)) OVER w AS ln FROM r WHERE q IS NOT NULL GROUP BY q WINDOW w AS (ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT v, gone_left, lg + CASE WHEN gone_left THEN mg ELSE 0 END AS lg, ln + CASE WHEN gone_left THEN mn ELSE 0 END AS ln, ag, an FROM s, m, (SELECT unnest([false, true]) AS gone_left) x WHERE ln > 0),
+k AS (SELECT *, lg * lg / (ln + 1e-8) + power(ag - lg, 2) / (an - ln + 1e-8) - ag * ag / (an + 1e-8) AS gain FROM b ORDER BY gain DESC LIMIT 1)
+SELECT side, round(gain, 3) AS gain, v AS value, round(-g / (n + 5 + 1e-8) * {_STEP}, 6) AS weight, CAST(n AS BIGINT) AS n FROM k, LATERAL (VALUES ('left', lg, ln), ('right', ag - lg, an - ln)) x(side, g, n)""")
+def fit_one_split_imputed(spark, sf_dir):
+    """Missing values go to the side that gains more; leaves have a ridge."""
+    return _first(spark, fit(_priced(spark, sf_dir), ["q"], "y", Config("SquaredLoss", iterations=1, max_bin=64, max_nodes=3, ridge=5.0)))
+
+
+@query(f"""WITH r AS (SELECT d, (SELECT avg(y) FROM {_PRICED} b) - y AS g FROM {_PRICED} t), m AS (SELECT sum(g) AS ag, count(*) AS an FROM r),
+s AS (SELECT d AS v, sum(sum(g)) OVER w AS lg, sum(count(*)) OVER w AS ln FROM r GROUP BY d WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT direction, v, lg, ln, ag, an, lg * lg / (ln + 1e-8) + power(ag - lg, 2) / (an - ln + 1e-8) - ag * ag / (an + 1e-8) AS gain FROM s, m, (SELECT unnest([1, -1]) AS direction) x WHERE ln > 0 AND direction * (-lg / ln) <= direction * (-(ag - lg) / (an - ln)))
+SELECT CAST(direction AS INT) AS direction, round(max(gain), 3) AS gain, max_by(v, gain) AS value, round(max_by(-lg / (ln + 1e-8) * {_STEP}, gain), 6) AS low, round(max_by(-(ag - lg) / (an - ln + 1e-8) * {_STEP}, gain), 6) AS high FROM k GROUP BY 1""")
+def fit_one_split_monotone(spark, sf_dir):
+    """The best split that goes either direction."""
+    d, rows = _priced(spark, sf_dir), []
+    for way in (1, -1):
+        m = fit(d, ["d"], "y", Config("SquaredLoss", iterations=1, max_bin=64, max_nodes=3, monotone={"d": way}))
+        if m.trees:
+            root, left, right = m.trees[0]
+            rows.append((way, round(root.gain, 3), float(root.value), round(left.weight, 6), round(right.weight, 6)))
+    return spark.createDataFrame(rows, "direction int, gain double, value double, low double, high double")
+
+
+@query(f"""WITH r AS (SELECT k, (SELECT avg(y) FROM {_PRICED} b) - y AS g FROM {_PRICED} t), m AS (SELECT sum(g) AS ag, count(*) AS an FROM r), c AS (SELECT k, sum(g) AS g, count(*) AS n, sum(g) / (count(*) + 1) AS mean FROM r GROUP BY k),
+s AS (SELECT k, sum(g) OVER w AS lg, sum(n) OVER w AS ln, string_agg(CAST(k AS VARCHAR), ',') OVER w AS ks FROM c WINDOW w AS (ORDER BY mean ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, lg * lg / (ln + 1e-8) + power(ag - lg, 2) / (an - ln + 1e-8) - ag * ag / (an + 1e-8) AS gain FROM s, m WHERE ln < an ORDER BY gain DESC LIMIT 1)
+SELECT array_to_string(list_sort(string_split(ks, ',')), ',') AS left_codes, round(gain, 3) AS gain, round(-lg / (ln + 1e-8) * {_STEP}, 6) AS left_weight, round(-(ag - lg) / (an - ln + 1e-8) * {_STEP}, 6) AS right_weight, CAST(ln AS BIGINT) AS left_count FROM x""")
+def fit_one_split_category(spark, sf_dir):
+    """A category's codes in order of their mean, cut where most is gained."""
+    m = fit(_priced(spark, sf_dir), ["k"], "y", Config("SquaredLoss", iterations=1, max_nodes=3, categorical=["k"]))
+    root, left, right = m.trees[0]
+    row = (",".join(map(str, root.left_cats)), round(root.gain, 3), round(left.weight, 6), round(right.weight, 6), left.count)
+    return spark.createDataFrame([row], "left_codes string, gain double, left_weight double, right_weight double, left_count bigint")
