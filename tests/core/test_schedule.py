@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timberline.functions.objectives import objective
 from timberline.operators import histogram, trainer
 from timberline.operators import schedule as S
+from timberline.operators.sampling import drawn
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model, Node
 
@@ -166,3 +167,58 @@ def test_class_weights_of_rows(spark):
     assert got[1.0] > 2 * got[0.0] and np.isclose(20 * got[1.0] + 180 * got[0.0], 400)
     assert class_weighted(d.withColumn("y", F.col("y") + 0.5), "y", "v").agg(F.max("v")).first()[0] == 1.0
     assert [r[0] for r in spark.createDataFrame([(1.0 + 1e-10,), (0.3,), (None,)], "y double").select(class_label(F.col("y"))).collect()] == [1, None, None]
+
+
+def test_frontier_and_redrawn_folds():
+    assert S.frontier_rate(1.0, "SquaredLoss", 800, 4) == 1 - 48 / 800 and S.frontier_rate(1.0, "SquaredLoss", 2048, 4) == 0.95
+    for other in ((0.5, "SquaredLoss", 800, 4), (1.0, "LogLoss", 800, 4), (1.0, "SquaredLoss", 639, 4), (1.0, "SquaredLoss", 800, 13), (1.0, "SquaredLoss", 800, 4, 1)):
+        assert S.frontier_rate(*other) == 1.0
+    assert S.schedule(1.0, "SquaredLoss", 800, 4).subsample == 0.94
+    assert S.redraws_folds("LogLoss", 5000, 4) and S.redraws_folds("LogLoss", 2000, 40)
+    assert not (S.redraws_folds("LogLoss", 4096, 32) or S.redraws_folds("LogLoss", 1999, 40) or S.redraws_folds("SquaredLoss", 5000, 4))
+
+
+def test_watch_of_prefixes():
+    w = S.PrefixWatch("LogLoss", 1.0, False, least=2)
+    for trees, loss in enumerate((0.1, 0.5, 0.4, 0.3996, 0.45), 1):
+        w.see(trees, loss, 1.0)
+    assert w.trees == 3  # the first is under the least, the fourth within the margin
+    assert S.prefix_proxy("LogLoss", 0.4, 2.0) == 0.2 * 0.15 - 0.4 and S.prefix_proxy("LogLoss", 0.4, 1.0, True, 0.8) == 0.8
+    assert S.prefix_proxy("SquaredLoss", 0.72, 1.01) > S.prefix_proxy("SquaredLoss", 0.70, 0.995) and S.prefix_proxy("PoissonLoss", 0.4, 9.0) == -0.4
+    bag = S.PrefixWatch("LogLoss", 1.0, True)
+    bag.see(1, 0.5, 1.0, 0.7)
+    bag.see(2, 0.6, 1.0, 0.71)
+    bag.see(3, None, 1.0)
+    assert bag.trees == 2 and bag.margin == 0.00025
+    assert S.PrefixWatch("SquaredLoss", 9.0, False).margin == 0.003 and S.PrefixWatch("PoissonLoss", 1.0, False).margin == 1e-5
+
+
+def test_fit_keeps_the_best_prefix(data):
+    """Against proxies worked out here from the whole fit: areas by pairs of rows out of bag, or mean loss and generalization."""
+    noise = data.withColumn("z", (F.xxhash64("row_id") % 2 == 0).cast("double"))
+    whole, kept = (fit(noise, ["a", "b"], "z", Config("LogLoss", budget=0.1, iterations=4, max_bin=16, max_nodes=9, subsample=0.6, prefix=p)) for p in (False, True))
+    best = (0, -np.inf)
+    for t in range(1, len(whole.trees) + 1):
+        first = Model(whole.features, whole.objective, whole.base_score, whole.eta, whole.trees[:t])
+        got = noise.where(~drawn("row_id", 0.6, t - 1)).select("z", first.raw_score().alias("s")).toPandas()
+        pos, neg = got.s[got.z == 1].to_numpy(), got.s[got.z == 0].to_numpy()
+        area = np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+        best = (t, area) if area > best[1] + 0.00025 else best
+    assert len(kept.trees) == best[0] and kept.trees == whole.trees[: best[0]]
+
+    args = dict(budget=0.1, iterations=5, max_bin=16, max_nodes=9)
+    whole, kept = (fit(data, ["a", "b"], "y", Config("SquaredLoss", **args, prefix=p)) for p in (False, True))
+    losses = {r["trees"]: r["loss"] for r in S.prefix_losses(whole, data, lambda s: objective("SquaredLoss").columns(F.col("y"), s)["loss"]).collect()}
+    best = (0, -np.inf)
+    for t, tree in enumerate(whole.trees, 1):
+        proxy = np.average([n.generalization for n in tree[1:]], weights=[n.count for n in tree[1:]]) - 0.05 * losses[t]
+        best = (t, proxy) if proxy > best[1] + 0.001 else best
+    assert kept.trees == whole.trees[: best[0]]
+    with pytest.raises(ValueError):
+        fit(data, ["a"], "y", Config("SquaredLoss", prefix=True), frame=lambda d: d)
+
+
+def test_folds_of_each_tree(data):
+    args = dict(budget=0.3, iterations=2, max_bin=16, max_nodes=5)
+    same, redrawn, again = (fit(data, ["a", "b"], "z", Config("LogLoss", **args, redraw_folds=r)) for r in (False, True, True))
+    assert redrawn.to_json() == again.to_json() and redrawn.trees[0][1].fold_weights != same.trees[0][1].fold_weights

@@ -143,6 +143,25 @@ def row_rate(budget: float, rows: int, features: int) -> float:
     return 1 - LEFT_OUT if much and rows * LEFT_OUT >= LEFT_ROWS else 1.0
 
 
+# fixed values: rows and features of plain regressions that leave some FRONTIER rows out of each tree; the least and most share
+FRONTIER_ROWS, FRONTIER_FEATURES, FRONTIER, FRONTIER_SHARE = (640, 2048), (2, 12), 48, (0.05, 0.12)
+# fixed values: rows from which a log loss's folds are redrawn for each tree; rows and features of tables that keep theirs
+REDRAW_ROWS, KEEP_ROWS, KEEP_FEATURES = 2000, 4096, 32
+
+
+def frontier_rate(budget: float, objective: str, rows: int, features: int, categorical: int = 0) -> float:
+    """The share of rows that a tree of a small regression sees, so that the rest tell when to stop; else 1."""
+    within = lambda v, ends: ends[0] <= v <= ends[1]
+    if objective != "SquaredLoss" or budget < 1 or categorical or not within(rows, FRONTIER_ROWS) or not within(features, FRONTIER_FEATURES):
+        return 1.0
+    return 1 - min(max(FRONTIER / rows, FRONTIER_SHARE[0]), FRONTIER_SHARE[1])
+
+
+def redraws_folds(objective: str, rows: int, features: int) -> bool:
+    """Whether each tree of a two-class fit has folds of its own: on small tables of few features folds stay."""
+    return objective == "LogLoss" and rows >= REDRAW_ROWS and (rows > KEEP_ROWS or features > KEEP_FEATURES)
+
+
 def schedule(budget: float, objective: str | Objective, rows: int, features: int, categorical: int = 0, monotone: bool = False) -> Schedule:
     """All numbers of a fit. Larger budgets take more rounds; small tables have their leaves refined more often."""
     kind = family(objective)
@@ -155,7 +174,7 @@ def schedule(budget: float, objective: str | Objective, rows: int, features: int
         ridge=leaf_ridge(budget, kind, rows, features, categorical),
         iterations=round(grown(ROUNDS, ROUNDS_GROW, ROUNDS_CAP)),
         stopping_rounds=math.ceil(grown(IDLE, IDLE_GROW, IDLE_CAP)),
-        subsample=row_rate(budget, rows, features),
+        subsample=min(row_rate(budget, rows, features), frontier_rate(budget, objective if isinstance(objective, str) else objective.name, rows, features, categorical)),
         refine=passes,
         least_trees=least,
     )
@@ -283,6 +302,45 @@ def refine(rows: DataFrame, model: Model, tree: list[Node], passes: int, columns
 
 # the best prefix of trees
 
+# fixed values: what generalization adds to a log loss's proxy, and between which bounds; what mean loss takes from a robust loss's
+PROXY_GAIN, PROXY_BOUNDS, PROXY_LOSS = 0.2, (-0.05, 0.15), 0.05
+# fixed values: by how much a later prefix must be better: a budget's worth, at least, at most; areas out of bag, log losses, robust losses
+MARGINS = {"area": (0.00025, 0.00015, 0.001), "binary": (0.00075, 0.00035, 0.003), "robust": (0.00075, 0.001, 0.003)}
+MARGIN_OUT, MARGIN_OTHER = 1e-6, 1e-5
+
+
+def prefix_proxy(objective: str, loss: float, generalization: float, sampled: bool = False, area: float | None = None) -> float:
+    """How good the trees so far are thought to be; greater is better. Out of the last tree's sample: the area under the curve (log
+    loss, where there is one) or the mean loss. Where trees see all rows, a log loss counts with how far the last tree
+    generalises, and a robust loss gives way to it."""
+    if sampled:
+        return area if objective == "LogLoss" and area is not None else -loss
+    if objective == "LogLoss":
+        return PROXY_GAIN * min(max(generalization - WEAK, PROXY_BOUNDS[0]), PROXY_BOUNDS[1]) - loss
+    return generalization - PROXY_LOSS * loss if family(objective) == "robust" else -loss
+
+
+class PrefixWatch:
+    """Remembers after which tree the proxy was best, by more than a margin over the best before; fewer than ``least`` don't count."""
+
+    def __init__(self, objective: str, budget: float, sampled: bool, least: int = 1):
+        self.objective, self.sampled, self.least, self.trees, self.best = objective, sampled, least, 0, -math.inf
+        kind = "area" if sampled else "robust" if family(objective) == "robust" else "binary"
+        if sampled and objective != "LogLoss":
+            self.margin = MARGIN_OUT
+        elif objective == "LogLoss" or kind == "robust":
+            each, low, high = MARGINS[kind]
+            self.margin = min(max(each * max(budget, 1.0), low), high)
+        else:
+            self.margin = MARGIN_OTHER
+
+    def see(self, trees: int, loss: float | None, generalization: float, area: float | None = None) -> None:
+        if trees < self.least or loss is None or not math.isfinite(loss):
+            return
+        proxy = prefix_proxy(self.objective, loss, generalization, self.sampled, area)
+        if not self.trees or proxy > self.best + self.margin:
+            self.trees, self.best = trees, proxy
+
 
 def prefix_losses(model: Model, df: DataFrame, loss) -> DataFrame:
     """(trees, loss, n): the mean loss of the first trees, for every number of them, in one job. loss(score) is a column.

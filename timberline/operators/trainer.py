@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.objectives import Objective, objective, robust_squared
+from timberline.functions import metrics as M
 from timberline.functions import primitives as P
 from timberline.functions.primitives import TINY
 from timberline.operators.binning import map_bin, sketched_cuts, weighted_cuts
 from timberline.operators.histogram import FOLDS, fold_histogram, ordering_scores
 from timberline.operators import schedule as S
-from timberline.operators.sampling import split_rows
+from timberline.operators.sampling import drawn, split_rows
 from timberline.operators.tree import Model, Node
 from timberline.sources.tables import WRITTEN, cut_lineage, discard
 
@@ -40,6 +41,8 @@ class Config:
     ``refine`` gives leaves that many Newton steps in all; ``damp`` shrinks trees that generalise worse than those before;
     ``holdout`` is a share of rows that no tree sees and by which the number of trees is chosen. ``scheduled`` takes step,
     ridge, rounds, sample and refinement from the data's shape: iterations stays the most, other fields give way.
+    ``prefix`` keeps the first trees at which a proxy was best, without rows held out: one more aggregate a round, over the rows that the
+    round's sample leaves out or, without a sample, over all. ``redraw_folds`` gives each tree folds of its own.
     ``robust`` clips squared loss's gradients in rounds whose residuals have long tails. ``feature_share`` is how many of the features
     each tree may split, chosen by what they gained before; histograms are of these alone, which wide tables need most.
     """
@@ -67,6 +70,8 @@ class Config:
     scheduled: bool = False
     robust: bool = False
     feature_share: float = 1.0
+    prefix: bool = False
+    redraw_folds: bool = False
     seed: int = 0
 
     def __post_init__(self):
@@ -263,10 +268,13 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         obj = robust_squared()
     held, least, eta = None, 1, 10.0**-cfg.budget
     if cfg.scheduled:
-        cfg = replace(cfg, budget=S.scheduled_budget(cfg.budget, obj.name, df.count(), len(features), len(cfg.categorical)))
-        plan = S.schedule(cfg.budget, obj, df.count(), len(features), len(cfg.categorical), bool(cfg.monotone))
+        n, wide = df.count(), len(features)
+        cfg = replace(cfg, budget=S.scheduled_budget(cfg.budget, obj.name, n, wide, len(cfg.categorical)), redraw_folds=cfg.redraw_folds or S.redraws_folds(obj.name, n, wide))
+        plan = S.schedule(cfg.budget, obj, n, wide, len(cfg.categorical), bool(cfg.monotone))
         cfg = replace(cfg, ridge=plan.ridge, iterations=min(cfg.iterations, plan.iterations), stopping_rounds=plan.stopping_rounds, subsample=plan.subsample, refine=plan.refine)
         least, eta = max(1, plan.least_trees), plan.eta
+    if cfg.prefix and frame:
+        raise ValueError("objectives over groups have no proxy for a prefix")
     if cfg.holdout:
         if frame:
             raise ValueError("rows can't be held out of objectives over groups")
@@ -288,6 +296,7 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
     rows = cut_lineage(rows.withColumn("_score", model.raw_score()), "fit")
     sample = S.FeatureSample(len(features), round(cfg.feature_share * len(features)), cfg.seed) if cfg.feature_share < 1 else None
     idle, first_loss, past, history = 0, None, len(model.trees), S.History(S.family(obj))
+    watch = S.PrefixWatch(obj.name, cfg.budget, cfg.subsample < 1, least) if cfg.prefix else None
     for round_ in range(cfg.iterations):
         if frame:
             made = frame(rows)
@@ -298,7 +307,9 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
             made, got = rows, make(F.col(y).cast("double"), F.col("_score"), w)
         work = made.withColumns({"_g": got["gradient"], "_h": got["hessian"], "_l": got["loss"]})
         if cfg.subsample < 1:
-            work = work.where(F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_)), F.lit(1_000_000)) < int(cfg.subsample * 1_000_000))
+            work = work.where(drawn(row_id, cfg.subsample, cfg.seed + round_))
+        if cfg.redraw_folds:
+            work = work.withColumn("_fold", F.pmod(F.xxhash64(row_id, F.lit(cfg.seed + round_), F.lit("fold")), F.lit(FOLDS)).cast("int"))
         tree, gained, loss = grow(work, features, cfg, model, widths, cut_of, groups, (lambda now: S.target_decrement(cfg.budget, first_loss if first_loss is not None else now, now)) if cfg.scheduled else None, sample.draw() if sample else None)
         if sample:
             sample.learn(tree)
@@ -319,9 +330,17 @@ def fit(df: DataFrame, features: list[str], y: str, cfg: Config | None = None, r
         if round_ % CUT_EVERY == CUT_EVERY - 1:
             rows = cut_lineage(rows, "fit")
             discard(spark, since, keep=1)
+        if watch:
+            seen = rows.where(~drawn(row_id, cfg.subsample, cfg.seed + round_)) if watch.sampled else rows
+            of = make(F.col(y).cast("double"), F.col("_score"), w)["loss"]
+            area = M.auc(seen.where(F.col(y).isNotNull()), y, "_score", cfg.weight).first()[0] if watch.sampled and obj.name == "LogLoss" else None
+            watch.see(len(model.trees) - past, seen.agg(F.avg(of)).first()[0], S.tree_generalization(tree, S.family(obj)), area)
         idle = idle + 1 if gained < 1e-6 * max(loss, 1e-12) else 0
         if idle >= cfg.stopping_rounds or cfg.damp and history.spent(cfg.budget, idle):
             break
+    if watch and 0 < watch.trees < len(model.trees) - past:
+        model.trees = model.trees[: past + watch.trees]
+        rows = rows.withColumn("_score", model.raw_score())
     if held is not None and not frame:
         whole = len(model.trees)
         S.best_prefix(model, held.where(F.col(y).isNotNull()), lambda score: make(F.col(y).cast("double"), score, w)["loss"], past + min(least, whole - past))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import metrics as M
 from timberline.functions import primitives as P
+from timberline.functions.objectives import LOG
 from timberline.operators import calibrate, causal, encode, explain, histogram, multi, sampling, schedule
 from timberline.operators.trainer import Config, fit
 from timberline.operators.tree import Model, importance_vector
@@ -399,3 +400,13 @@ def fit_one_split_category(spark, sf_dir):
     root, left, right = m.trees[0]
     row = (",".join(map(str, root.left_cats)), round(root.gain, 3), round(left.weight, 6), round(right.weight, 6), left.count)
     return spark.createDataFrame([row], "left_codes string, gain double, left_weight double, right_weight double, left_count bigint")
+
+
+@query(f"""WITH {ROUTED}, k AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, unnest([1, 2, 3]) AS trees, unnest([{_S1}, {_S2}, {_S2} + {_W2}]) AS s FROM z),
+l AS (SELECT trees, avg(-(y * ln(1 / (1 + exp(-s))) + (1 - y) * ln(1 - 1 / (1 + exp(-s))))) AS loss FROM k GROUP BY 1)
+SELECT CAST(trees AS INT) AS trees, round(0.2 * 0.01 - loss, 6) AS everywhere, round(-loss, 6) AS out_of_bag, round(1 - 0.05 * loss, 6) AS robust FROM l""")
+def prefix_proxies(spark, sf_dir):
+    """What the fixed model's first trees are thought to be worth by their mean loss and generalization."""
+    got = schedule.prefix_losses(MODEL, _orders(spark, sf_dir), lambda s: LOG.columns(F.col("y"), s)["loss"]).where("trees > 0").collect()
+    worth = lambda name, r, sampled=False: round(schedule.prefix_proxy(name, r["loss"], schedule.tree_generalization(MODEL.trees[r["trees"] - 1], schedule.family(name)), sampled), 6)
+    return spark.createDataFrame([(r["trees"], worth("LogLoss", r), worth("LogLoss", r, True), worth("SquaredLoss", r)) for r in got], "trees int, everywhere double, out_of_bag double, robust double")
