@@ -32,7 +32,7 @@ def fair_shares(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     return ranked.select("sk", "source", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, bucket_rows: int = 1024, seed: str = "", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, bucket_rows: int = 128, seed: str = "", carry: bool = False) -> DataFrame:
     """One row for each document: size, source_size, target, start (its source's words queued before it),
     virtual_finish (of its first copy) and taken (words the mix takes, repeats counted).
 
